@@ -5,6 +5,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a one-row generator.
+
+    Later filters cannot be pushed through it, so the optimizer does not copy long expressions into
+    every predicate that mentions the column.
+    """
+    row = F.struct(*[expr.alias(name) for name, expr in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """First k rows per key. Spark prunes to k per task before the shuffle, so a hot key stays small."""
     name = rank or "_rank"

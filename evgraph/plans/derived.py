@@ -68,7 +68,7 @@ def article_pages(t: Library) -> DataFrame:
         F.lit(' – ar5iv</title></head><div class="ltx_page_content">'),
         span(F.concat(F.lit("<b>"), "source", F.lit("</b>  Doe"))), span(F.col("lang")), span(F.col("lang")),
         span(F.lit("x")),
-        F.lit('<div class="ltx_abstract"><i>Abstract</i>. '), first, F.lit("</div><p>"), F.col("text"),
+        F.lit('<div class="ltx_abstract">Abstract. '), first, F.lit("</div><p>"), F.col("text"),
         F.lit("</p><footer>end</footer></div></html>"))
     return t.raw("documents").select("doc_id", html.alias("html"))
 
@@ -87,8 +87,8 @@ def tei_documents(t: Library) -> DataFrame:
         F.lit('</p></body><back><listBibl><biblStruct xml:id="b0"><analytic><title level="a">One <i>two</i></title>'),
         F.lit('</analytic><date type="published" when="2017-05" /><idno type="arXiv">arXiv:'), a,
         F.lit('</idno></biblStruct><biblStruct xml:id="b1"><title>'), F.col("source"),
-        F.lit('</title><idno type="doi">10.1000/'), d,
-        F.lit('</idno><imprint>Vol 12345, 1998.</imprint></biblStruct><biblStruct xml:id="b2"><title>Small '),
+        F.lit('</title> <idno type="doi">10.1000/'), d,
+        F.lit('</idno> <imprint>Vol 12345, 1998.</imprint></biblStruct><biblStruct xml:id="b2"><title>Small '),
         F.lit("Ring</title></biblStruct><biblStruct xml:id=\"b3\"><note>nothing</note></biblStruct></listBibl></back></TEI>"),
     )
     return t.raw("documents").select("doc_id", F.concat(F.lit("<TEI><body><p>"), body, back).alias("tei"))

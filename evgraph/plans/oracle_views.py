@@ -266,4 +266,5 @@ def oracle(body: str) -> str:
     if not needed:
         return body
     parts = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in needed)
-    return f"WITH {parts}\n{body}"
+    own = re.match(r"\s*WITH\b", body)
+    return f"WITH {parts},\n{body[own.end():]}" if own else f"WITH {parts}\n{body}"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evgraph.functions import text as tf
 from evgraph.operators.linkage import assign_new_works, resolve_works
+from evgraph.operators.tables import computed_once
 
 UNKNOWN_URL = "unrecognized URL; metadata will be best-effort"
 NO_IDENTIFIER = "no identifier; needs manual URL/DOI"
@@ -20,7 +21,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     A line splits at the first `|`, else the first tab, else before `http`; without a split it is a
     link, an identifier or a title.
     """
-    raw = lines.withColumn("raw", tf.strip(F.col("line"))).where("raw <> '' AND NOT startswith(raw, '#')")
+    raw = computed_once(lines, raw=tf.strip(F.col("line"))).where("raw <> '' AND NOT startswith(raw, '#')")
     line = F.col("raw")
     at = F.locate("http", line)
     cut = lambda sep: F.array(
@@ -37,24 +38,21 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         )
         .otherwise(F.array(line))
     )
-    split = raw.withColumn("_parts", parts)
-    two = F.size("_parts") == 2
-    token = F.element_at("_parts", -1)
-    arxiv = tf.parse_arxiv_id(token)
-    doi = tf.parse_doi(token)
+    split = computed_once(raw, _parts=parts)
+    two, token = F.size("_parts") == 2, F.element_at("_parts", -1)
+    found = computed_once(
+        split, _two=two, _token=token, _arxiv=tf.parse_arxiv_id(token), _doi=tf.parse_doi(token))
+    two, token, arxiv, doi = (F.col(c) for c in ("_two", "_token", "_arxiv", "_doi"))
     linked = two | arxiv.isNotNull() | doi.isNotNull() | F.startswith(token, F.lit("http"))
-    return (
-        split.withColumn("title", F.when(two, F.element_at("_parts", 1)).when(~linked, token))
-        .withColumn("url", F.when(linked, token))
-        .withColumn("arxiv_id", arxiv)
+    return found.select(
+        *raw.columns,
+        F.when(two, F.element_at("_parts", 1)).when(~linked, token).alias("title"),
+        F.when(linked, token).alias("url"),
+        arxiv.alias("arxiv_id"),
         # a single token that is an arXiv id is not read as a DOI as well
-        .withColumn("doi", F.when(two | arxiv.isNull(), doi))
-        .withColumn(
-            "error",
-            F.when(~two & ~linked, F.lit(NO_IDENTIFIER))
-            .when(~two & arxiv.isNull() & doi.isNull(), F.lit(UNKNOWN_URL)),
-        )
-        .drop("_parts")
+        F.when(two | arxiv.isNull(), doi).alias("doi"),
+        F.when(~two & ~linked, F.lit(NO_IDENTIFIER))
+        .when(~two & arxiv.isNull() & doi.isNull(), F.lit(UNKNOWN_URL)).alias("error"),
     )
 
 
