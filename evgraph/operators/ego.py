@@ -13,7 +13,10 @@ KEPT_OTHERS = 29
 EXPANDED = 12
 DEFAULT_CONFIDENCE = 0.6
 REVIEW_BONUS, READER_BONUS = 0.2, 0.15
-BEST_OTHER = [F.desc("score"), F.asc("other_id")]
+
+
+def _best() -> list[Column]:
+    return [F.desc("score"), F.asc("other_id")]
 
 
 def _both_ends(edges: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def best_others(candidates: DataFrame) -> DataFrame:
 
 def kept_others(candidates: DataFrame, k: int = KEPT_OTHERS) -> DataFrame:
     """(center_id, other_id, score): the works drawn around each centre."""
-    return top_k(best_others(candidates), ["center_id"], BEST_OTHER, k)
+    return top_k(best_others(candidates), ["center_id"], _best(), k)
 
 
 def two_hop_others(scored: DataFrame, k: int = KEPT_OTHERS, expanded: int = EXPANDED) -> DataFrame:
@@ -74,15 +77,15 @@ def two_hop_others(scored: DataFrame, k: int = KEPT_OTHERS, expanded: int = EXPA
     centre itself): no hub is unfolded for each of its neighbours.
     """
     hop1 = best_others(scored.where("from_anchor"))
-    via = top_k(hop1, ["center_id"], BEST_OTHER, expanded).select("center_id", F.col("other_id").alias("via"))
-    reach = top_k(hop1, ["center_id"], BEST_OTHER, k + 1)
+    via = top_k(hop1, ["center_id"], _best(), expanded).select("center_id", F.col("other_id").alias("via"))
+    reach = top_k(hop1, ["center_id"], _best(), k + 1)
     onward = reach.select(F.col("center_id").alias("via"), F.col("other_id").alias("far"), "score")
     hop2 = via.join(onward, "via").where("far <> center_id").select("center_id", F.col("far").alias("other_id"), "score")
     # edges to the centre that only the expanded work is an anchor of
     back = scored.where("from_anchor IS NULL AND to_anchor").select("center_id", "other_id", "score")
     back = back.join(via.withColumnRenamed("via", "other_id"), ["center_id", "other_id"], "left_semi")
     both = hop1.unionByName(hop2).unionByName(back).groupBy("center_id", "other_id").agg(F.max("score").alias("score"))
-    return top_k(both, ["center_id"], BEST_OTHER, k)
+    return top_k(both, ["center_id"], _best(), k)
 
 
 def overflow_members(candidates: DataFrame, kept: DataFrame) -> DataFrame:

@@ -16,7 +16,10 @@ from evgraph.operators.tables import top_k
 
 K = 32
 HEAVY_DF = 512
-BEST = [F.desc("score"), F.asc("other_id")]
+
+
+def _best() -> list[Column]:
+    return [F.desc("score"), F.asc("other_id")]
 
 
 # --- shared references and shared citers -------------------------------------------------
@@ -129,7 +132,7 @@ def _profile_candidates(profiles: DataFrame, pairs: DataFrame, k: int, seeds: Da
 def _rank_pairs(pairs: DataFrame, k: int) -> DataFrame:
     # sqrt of one division: equal rational scores give equal doubles, so ties are real ties
     score = F.sqrt(F.col("dot") * F.col("dot") / (F.col("n_a") * F.col("n_b")))
-    return top_k(pairs.select("work_id", "other_id", score.alias("score")), ["work_id"], BEST, k)
+    return top_k(pairs.select("work_id", "other_id", score.alias("score")), ["work_id"], _best(), k)
 
 
 def bibliographic_coupling(citations: DataFrame, k: int = K, heavy_df: int = HEAVY_DF, seeds=None) -> DataFrame:
@@ -166,7 +169,7 @@ def symmetric(directed: DataFrame) -> DataFrame:
 
 
 def trim(directed: DataFrame, k: int = K) -> DataFrame:
-    return top_k(directed, ["work_id"], BEST, k)
+    return top_k(directed, ["work_id"], _best(), k)
 
 
 def citation_neighbors(citations: DataFrame, k: int = K, heavy_df: int = HEAVY_DF, seeds=None) -> DataFrame:
@@ -276,11 +279,11 @@ def _expand_twins(keyed: DataFrame, pairs: DataFrame, k: int, id_type: str) -> D
     head = top_k(keyed.select("field", "twin", "entity_id"), ["field", "twin"], [F.asc("entity_id")], k + 1)
     ends = head.select("field", F.col("twin").alias("other_twin"), F.col("entity_id").alias("other_id"))
     reachable = top_k(
-        pairs.join(ends, ["field", "other_twin"]), ["field", "twin"], [F.desc("score"), F.asc("other_id")], k + 1
+        pairs.join(ends, ["field", "other_twin"]), ["field", "twin"], _best(), k + 1
     )
     starts = keyed.select("field", "twin", F.col("entity_id").alias("work_id"))
     out = starts.join(reachable, ["field", "twin"]).where("work_id <> other_id")
-    return top_k(out, ["field", "work_id"], BEST, k).select("field", "work_id", "other_id", "score")
+    return top_k(out, ["field", "work_id"], _best(), k).select("field", "work_id", "other_id", "score")
 
 
 _PAIR = "field string, twin string, other_twin string, score double"
@@ -414,7 +417,7 @@ def aspect_neighbors(embeddings: DataFrame, k: int = K, cleared: DataFrame | Non
         both = both.join(cleared, ["field", "work_id"], "left_anti")
     merged = both.groupBy("field", "work_id", "other_id").agg(F.max("score").alias("score"))
     dimension = F.concat(F.lit("aspect_"), F.substring_index("field", ":", -1)).alias("dimension")
-    return top_k(merged, ["field", "work_id"], BEST, k).select(dimension, "work_id", "other_id", "score")
+    return top_k(merged, ["field", "work_id"], _best(), k).select(dimension, "work_id", "other_id", "score")
 
 
 # --- reading neighbour tables (dimension, work_id, other_id, score) ------------------------
@@ -455,13 +458,13 @@ def blend_views(neighbors: DataFrame, views: DataFrame) -> DataFrame:
 def single_dimension(neighbors: DataFrame, dimension: str, k: int = 12, floor: float = 0.28) -> DataFrame:
     """Strongest k neighbours of one dimension above a floor (12 at 0.28 to draw, 6 at 0.4 to lay out)."""
     chosen = neighbors.where((F.col("dimension") == dimension) & (F.col("score") >= floor))
-    return top_k(chosen.select("work_id", "other_id", "score"), ["work_id"], BEST, k)
+    return top_k(chosen.select("work_id", "other_id", "score"), ["work_id"], _best(), k)
 
 
 def strongest_blended(blended: DataFrame, k: int = 6, floor: float = 0.05) -> DataFrame:
     finite = (F.col("score") >= floor) & ~F.isnan("score") & (F.col("score") < float("inf"))
     usable = blended.where(finite & (F.col("work_id") != F.col("other_id")))
-    return top_k(usable.select("work_id", "other_id", "score"), ["work_id"], BEST, k)
+    return top_k(usable.select("work_id", "other_id", "score"), ["work_id"], _best(), k)
 
 
 def undirected(directed: DataFrame) -> DataFrame:
