@@ -184,6 +184,18 @@ def strip_code_fence(c: Column) -> Column:
     return F.when(F.startswith(t, F.lit("```")), strip(inner)).otherwise(t)
 
 
+def is_json(c: Column) -> Column:
+    """True for exactly one JSON value. The list around it exposes text after the value."""
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit(",0]"))), "$", "array<variant>")
+    return F.coalesce(F.size(listed) == 2, F.lit(False))
+
+
+def lenient_json(c: Column) -> Column:
+    """JSON text of a model reply, fenced or not; null when it is not valid JSON."""
+    clean = strip_code_fence(c)
+    return F.when(is_json(clean), clean)
+
+
 def display_title(version_title: Column, title_norm: Column) -> Column:
     return F.coalesce(version_title, title_norm)
 

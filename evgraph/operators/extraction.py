@@ -18,7 +18,7 @@ def _text(c: Column) -> Column:
 
 def aspect_objects(outputs: DataFrame) -> DataFrame:
     """(work_id, version_id, aspect, object) for the aspects present in `outputs` (work_id, version_id, raw)."""
-    parsed = F.from_json(tf.strip_code_fence(F.col("raw")), schemas.aspect_json(tx.ASPECTS))
+    parsed = F.from_json(tf.lenient_json(F.col("raw")), schemas.aspect_json(tx.ASPECTS))
     listed = F.array(*[F.struct(F.lit(k).alias("aspect"), F.col(f"_dna.{k}").alias("object")) for k in tx.ASPECTS])
     return (
         outputs.select("work_id", "version_id", parsed.alias("_dna"))
@@ -127,7 +127,7 @@ def replace_generated(
 def claims_and_methods(outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The other output layout: lists of claims and methods, each with its own quote and page >= 1."""
     parsed = outputs.select(
-        "work_id", "version_id", F.from_json(tf.strip_code_fence(F.col("raw")), schemas.CLAIM_METHOD_JSON).alias("o"))
+        "work_id", "version_id", F.from_json(tf.lenient_json(F.col("raw")), schemas.CLAIM_METHOD_JSON).alias("o"))
     item = F.col("item")
     quoted = (_text(item["source_text"]) != "") & (F.coalesce(item["page"], F.lit(0)) >= 1)
     listed = lambda field: parsed.select("work_id", "version_id", F.posexplode(F.col(f"o.{field}")).alias("item_no", "item"))
@@ -143,7 +143,7 @@ def claims_and_methods(outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def refresh_citations(outputs: DataFrame, citations: DataFrame, versions: DataFrame) -> DataFrame:
     """Citations after the reference lists of `outputs` replaced those of their works."""
-    parsed = F.from_json(tf.strip_code_fence(F.col("raw")), schemas.aspect_json(tx.ASPECTS))
+    parsed = F.from_json(tf.lenient_json(F.col("raw")), schemas.aspect_json(tx.ASPECTS))
     lists = outputs.select("work_id", parsed["references"].alias("references")).where("references IS NOT NULL")
     fresh = resolve_citations(clean_references(lists), versions).drop("position")
     return replace_citations(citations, lists, fresh)
@@ -160,7 +160,7 @@ def triage_results(requested: DataFrame, results: DataFrame) -> DataFrame:
         .when(F.col("error").isNotNull(), "provider error")
         .when(F.col("message").isNull(), "no message")
         .when(F.col("text").isNull(), "no text")
-        .when(F.try_parse_json("text").isNull(), "invalid JSON")
+        .when(~tf.is_json(F.col("text")), "invalid JSON")
         .otherwise("ok")
     )
     return requested.join(found, "custom_id", "left").withColumn("outcome", outcome).drop("_found")

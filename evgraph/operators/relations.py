@@ -127,7 +127,7 @@ def context_candidates(
     `outputs`: work_id, version_id, raw (JSON with `classifications`). `contexts`: work_id, context_id,
     target, text, page, bbox. `resolved`: work_id, target, resolved_work_id.
     """
-    parsed = F.from_json(tf.strip_code_fence(F.col("raw")), schemas.CONTEXT_JSON)
+    parsed = F.from_json(tf.lenient_json(F.col("raw")), schemas.CONTEXT_JSON)
     item = F.col("item")
     proposed = outputs.select("work_id", "version_id", F.posexplode(parsed["classifications"]).alias("item_no", "item"))
     typed = proposed.select(
@@ -158,7 +158,7 @@ def pair_candidates(outputs: DataFrame, relations: DataFrame, members: DataFrame
     `outputs`: a_work_id, a_version_id, b_work_id, b_version_id, raw (JSON with `relations`). The quote
     comes from an abstract, so its page is 0.
     """
-    parsed = F.from_json(tf.strip_code_fence(F.col("raw")), schemas.PAIR_JSON)
+    parsed = F.from_json(tf.lenient_json(F.col("raw")), schemas.PAIR_JSON)
     item = F.col("item")
     ends = ["a_work_id", "a_version_id", "b_work_id", "b_version_id"]
     src = F.coalesce(item["source_paper"], F.lit("A"))
@@ -233,8 +233,10 @@ def recall_candidates(
     none = lambda like: F.array().cast(like)
     id_type = works.schema["work_id"].dataType.simpleString()
     wid = F.col("work_id")
-    joined = works.select("work_id").join(own, "work_id", "left").join(skip, "work_id", "left")
-    window = F.slice(F.filter(shared, lambda w: w != wid), 1, recent)
+    joined = (
+        works.select("work_id", shared.alias("_latest")).join(own, "work_id", "left").join(skip, "work_id", "left")
+    )
+    window = F.slice(F.filter("_latest", lambda w: w != wid), 1, recent)
     offered = F.filter(window, lambda w: ~F.array_contains(F.coalesce("_skip", none(f"array<{id_type}>")), w))
     listed = F.coalesce("_own", none(f"array<struct<score:double,other_id:{id_type}>>"))
     strong = F.filter(listed, lambda s: ~(F.array_contains(offered, s["other_id"]) & (s["score"] < RECENT)))

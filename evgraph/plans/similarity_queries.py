@@ -76,10 +76,10 @@ def _(t):
 
 
 @query("g8_layout_neighbors", """
-    SELECT work_id, other_id, round(score, 6) AS score FROM aspect_neighbors WHERE dimension = 'aspect_methods' AND score >= 0.4
+    SELECT work_id, other_id, round(score, 6) AS score FROM lineage_neighbors WHERE score >= 0.4
     QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY score DESC, other_id) <= 6""")
 def _(t):
-    near = sim.single_dimension(sim.aspect_neighbors(t.embeddings), "aspect_methods", 6, 0.4)
+    near = sim.single_dimension(graph_neighbors(t), "method_lineage", 6, 0.4)
     return rounded(near, "work_id", "other_id")
 
 

@@ -1 +1,90 @@
-"""pending"""
+"""I: change streams run to their end over whole tables; the result must equal the batch one."""
+
+from pyspark.sql import functions as F
+
+from evgraph import schemas
+from evgraph.operators import similarity as sim
+from evgraph.plans.registry import query
+from evgraph.plans.similarity_queries import rounded
+from evgraph.session import fresh_path, materialize
+from evgraph.sources.bindings import Library
+from evgraph.streaming import change_feeds as feeds
+
+
+class StreamedLibrary(Library):
+    """The same bindings with one driver table read as a stream."""
+
+    def __init__(self, spark, directory, streamed):
+        super().__init__(spark, directory)
+        self.streamed = streamed
+
+    def raw(self, name):
+        if name != self.streamed:
+            return super().raw(name)
+        return (
+            self.spark.readStream.schema(schemas.RAW[name]).option("pathGlobFilter", f"{name}.parquet")
+            .parquet(self.directory)
+        )
+
+    def size(self, name):
+        return Library(self.spark, self.directory).size(name) if name == self.streamed else super().size(name)
+
+
+def _finish(started):
+    started.awaitTermination()
+
+
+@query("i1_live_status", "SELECT subject_id, review_status FROM vote_status")
+def _(t):
+    folder = fresh_path(t.spark, "reviews")
+    # votes carry a subject computed from a row count: bound in batch, replayed from the shared folder
+    votes = materialize(t.reviews_raw, "votes")
+    source = t.spark.readStream.schema(votes.schema).option("maxFilesPerTrigger", 1).parquet(_dir(votes))
+    _finish(feeds.follow_reviews(source, folder))
+    return feeds.live_status(t.spark, folder)
+
+
+def _dir(df):
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
+@query("i2_refreshed_neighbors", """
+    SELECT work_id, other_id, round(score, 6) AS score FROM lineage_neighbors""")
+def _(t):
+    """Every voted relation touches its works; stored lists of the others stay as they were."""
+    folder = fresh_path(t.spark, "works")
+    relations, members = materialize(t.relations, "relations"), materialize(t.relation_members, "members")
+    old = t.relations_raw.withColumn("review_status", F.lit("unreviewed"))
+    stored = sim.lineage_neighbors(sim.lineage_edges(old, members))
+    touched = materialize(
+        members.where("anchor_work_id IS NOT NULL").select(F.col("anchor_work_id").alias("work_id")).distinct(), "touched")
+    changes = t.spark.readStream.schema(touched.schema).parquet(_dir(touched))
+    _finish(feeds.follow_works(changes, feeds.refresh_lineage(lambda: relations, lambda: members), folder))
+    return rounded(feeds.current_neighbors(t.spark, stored, folder), "work_id", "other_id")
+
+
+@query("i3_applied_results", """
+    SELECT user_id AS batch_id, event_type AS custom_id, count(*) > 0 AS applied FROM events GROUP BY 1, 2""")
+def _(t):
+    """Results of one batch and item arrive many times; each pair is applied once."""
+    folder = fresh_path(t.spark, "results")
+    events = StreamedLibrary(t.spark, t.directory, "events").raw("events")
+    results = events.select(F.col("user_id").alias("batch_id"), F.col("event_type").alias("custom_id"), F.col("event_id").alias("seq"))
+    _finish(feeds.follow_results(results, folder))
+    done = feeds.applied_results(t.spark, folder, results.schema)
+    return done.select("batch_id", "custom_id", F.lit(True).alias("applied"))
+
+
+@query("i4_comment_feed", """
+    SELECT m.user_id AS viewer_id, c.comment_id FROM node_comments c JOIN (
+        SELECT group_id AS graph_id, user_id, user_id % 50 * 1000 AS since FROM group_members) m ON m.graph_id = c.graph_id
+    WHERE c.created_ord > m.since AND (c.visibility = 'team' OR c.user_id = m.user_id)""")
+def _(t):
+    folder = fresh_path(t.spark, "feed")
+    comments = StreamedLibrary(t.spark, t.directory, "conversations").node_comments
+    viewers = t.group_members.select(
+        F.col("group_id").alias("graph_id"), F.col("user_id").alias("viewer_id"), (F.col("user_id") % 50 * 1000).alias("since"))
+    stream = comments.select("comment_id", "graph_id", "work_id", "user_id", "visibility", F.col("created_ord").alias("updated_ord"))
+    _finish(feeds.follow_comments(stream, viewers, folder))
+    schema = "comment_id long, graph_id long, work_id long, user_id long, visibility string, updated_ord long, viewer_id long"
+    return feeds.comment_feed(t.spark, folder, schema).select("viewer_id", "comment_id")

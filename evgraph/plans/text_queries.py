@@ -121,7 +121,7 @@ def _(t):
         .when(key % 4 == 2, F.concat(F.lit(" ```\n"), props, F.lit("```  ")))
         .otherwise(F.concat(F.lit("```json\n"), F.substring(props, F.lit(1), F.length(props) - 1), F.lit("\n```")))
     )
-    clean = t.raw("events").select(key.alias("event_id"), tf.strip_code_fence(reply).alias("raw"))
+    clean = t.raw("events").select(key.alias("event_id"), tf.lenient_json(reply).alias("raw"))
     parsed = F.try_parse_json("raw")
     return clean.select("event_id", F.try_variant_get(parsed, "$.k", "string").alias("k"))
 
