@@ -73,19 +73,33 @@ def two_hop_others(scored: DataFrame, k: int = KEPT_OTHERS, expanded: int = EXPA
     """Works drawn around each centre when its 12 best others are expanded as well.
 
     `scored` comes from scored_ends. A second-hop score depends on the edge alone, so of every expanded
-    work only its best k + 1 others can reach the first k around a centre (one of them may be the
-    centre itself): no hub is unfolded for each of its neighbours.
+    work only its best k + expanded + 1 others can reach the first k around a centre (the centre and the
+    other expanded works may be among them): no hub is unfolded for each of its neighbours. An edge
+    between two expanded works counts once, seen from the better ranked one that anchors it.
     """
     hop1 = best_others(scored.where("from_anchor"))
-    via = top_k(hop1, ["center_id"], _best(), expanded).select("center_id", F.col("other_id").alias("via"))
-    reach = top_k(hop1, ["center_id"], _best(), k + 1)
+    via = top_k(hop1, ["center_id"], _best(), expanded, rank="place").select(
+        "center_id", F.col("other_id").alias("via"), "place")
+    earlier = via.select("center_id", F.col("via").alias("far"), F.col("place").alias("far_place"))
+    reach = top_k(hop1, ["center_id"], _best(), k + expanded + 1)
     onward = reach.select(F.col("center_id").alias("via"), F.col("other_id").alias("far"), "score")
-    hop2 = via.join(onward, "via").where("far <> center_id").select("center_id", F.col("far").alias("other_id"), "score")
-    # edges to the centre that only the expanded work is an anchor of
+    later_view = F.coalesce(F.col("far_place") < F.col("place"), F.lit(False))
+    hop2 = (
+        via.join(onward, "via").where("far <> center_id").join(earlier, ["center_id", "far"], "left").where(~later_view)
+        .select("center_id", F.col("far").alias("other_id"), "score")
+    )
+    # between two expanded works: edges the better ranked one does not anchor are seen from the other
+    one_sided = best_others(scored.where("from_anchor AND to_anchor IS NULL")).select(
+        F.col("center_id").alias("via"), F.col("other_id").alias("far"), "score")
+    between = (
+        via.join(earlier, "center_id").where("far_place < place").join(one_sided, ["via", "far"])
+        .select("center_id", F.col("far").alias("other_id"), "score")
+    )
+    # edges to the centre that only the expanded work anchors
     back = scored.where("from_anchor IS NULL AND to_anchor").select("center_id", "other_id", "score")
-    back = back.join(via.withColumnRenamed("via", "other_id"), ["center_id", "other_id"], "left_semi")
-    both = hop1.unionByName(hop2).unionByName(back).groupBy("center_id", "other_id").agg(F.max("score").alias("score"))
-    return top_k(both, ["center_id"], _best(), k)
+    back = back.join(via.select("center_id", F.col("via").alias("other_id")), ["center_id", "other_id"], "left_semi")
+    found = hop1.unionByName(hop2).unionByName(between).unionByName(back)
+    return top_k(best_others(found), ["center_id"], _best(), k)
 
 
 def overflow_members(candidates: DataFrame, kept: DataFrame) -> DataFrame:

@@ -33,12 +33,12 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str], order: list[s
     """Changes replace stored rows of the same key; among changes the last by `order` wins."""
     columns = current.columns
     latest = upsert_latest(changes, key, order).select(*columns)
-    return current.join(latest.select(*key), key, "left_anti").unionByName(latest)
+    return current.join(latest.select(*key), key, "left_anti").unionByName(latest).select(*columns)
 
 
 def insert_ignore(current: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of `new` whose key is not stored yet, one per key."""
-    return new.dropDuplicates(key).join(current.select(*key), key, "left_anti")
+    return new.dropDuplicates(key).join(current.select(*key), key, "left_anti").select(*new.columns)
 
 
 def paged(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:

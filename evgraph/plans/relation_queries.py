@@ -234,13 +234,17 @@ def _(t):
 
 
 @query("e11_two_hop_others", """
-    WITH via AS (SELECT center_id, other_id AS via FROM cand_best
-        QUALIFY row_number() OVER (PARTITION BY center_id ORDER BY score DESC, other_id) <= 12),
-    far AS (SELECT v.center_id, b.other_id, b.score FROM via v JOIN cand_best b ON b.center_id = v.via WHERE b.other_id <> v.center_id
+    WITH via AS (SELECT center_id, other_id AS via, row_number() OVER (PARTITION BY center_id ORDER BY score DESC, other_id) AS place
+        FROM cand_best QUALIFY place <= 12),
+    anc AS (SELECT DISTINCT relation_id, anchor_work_id AS w FROM relation_members WHERE anchor_work_id IS NOT NULL),
+    far AS (SELECT v.center_id, x.other_id, x.score FROM via v JOIN cand x ON x.center_id = v.via AND x.other_id <> v.center_id
+            LEFT JOIN via u ON u.center_id = v.center_id AND u.via = x.other_id AND u.place < v.place
+            LEFT JOIN anc a ON a.relation_id = x.relation_id AND a.w = x.other_id WHERE u.via IS NULL OR a.w IS NULL
         UNION ALL SELECT * FROM cand_best
         UNION ALL SELECT c.other_id, c.center_id, c.score - coalesce(o.readers, 0) * 0.15::DOUBLE + coalesce(m.readers, 0) * 0.15::DOUBLE
             FROM cand c JOIN via v ON v.center_id = c.other_id AND v.via = c.center_id
-            LEFT JOIN readers o ON o.work_id = c.other_id LEFT JOIN readers m ON m.work_id = c.center_id)
+            LEFT JOIN anc a ON a.relation_id = c.relation_id AND a.w = c.other_id
+            LEFT JOIN readers o ON o.work_id = c.other_id LEFT JOIN readers m ON m.work_id = c.center_id WHERE a.w IS NULL)
     SELECT center_id, other_id, round(max(score), 6) AS score FROM far GROUP BY 1, 2
     QUALIFY row_number() OVER (PARTITION BY center_id ORDER BY round(max(score), 9) DESC, other_id) <= 29""")
 def _(t):

@@ -8,9 +8,10 @@ from evgraph import schemas
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file, named after the file."""
-    schema = schemas.GOLD_JSON.removeprefix("struct<").removesuffix(">")
-    rows = spark.read.schema(schema).json(path, multiLine=True)
-    return rows.withColumn("name", F.substring_index(F.col("_metadata.file_path"), "/", -1))
+    files = spark.read.text(path, wholetext=True)
+    return parse_gold(
+        files.select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("name"), F.col("value").alias("raw"))
+    )
 
 
 def parse_gold(texts: DataFrame) -> DataFrame:
