@@ -3,8 +3,9 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space as a Java character class body.
+# Unicode white space as a Java character class body, and as the characters themselves.
 _SPACE = r"\s\x85\p{Z}"
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # Identifier shapes.
 ARXIV_PATTERN = r"(\d{4}\.\d{4,5})"
@@ -30,7 +31,7 @@ ENTITIES = [
 
 def strip(c: Column) -> Column:
     """Trim any Unicode white space (F.trim removes the blank only)."""
-    return F.regexp_replace(c, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -177,23 +178,32 @@ def title_abstract_methods_text(title: Column, abstract: Column, methods: Column
     )
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed a single time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip_code_fence(c: Column) -> Column:
     """JSON text of a model reply, without the Markdown fence around it."""
-    t = strip(c)
-    inner = F.regexp_extract(t, r"(?s)\A```(?:json)?\n?(.*?)(?:```)?\z", 1)
-    return F.when(F.startswith(t, F.lit("```")), strip(inner)).otherwise(t)
+    opening, closing = r"\A```(?:json)?\n?", r"```\z"
+    return _once(
+        strip(c),
+        lambda t: F.when(
+            F.startswith(t, F.lit("```")), strip(F.regexp_replace(F.regexp_replace(t, opening, ""), closing, ""))
+        ).otherwise(t),
+    )
 
 
 def is_json(c: Column) -> Column:
     """True for exactly one JSON value. The list around it exposes text after the value."""
-    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit(",0]"))), "$", "array<variant>")
-    return F.coalesce(F.size(listed) == 2, F.lit(False))
+    listed = F.concat(F.lit("["), c, F.lit(",0]"))
+    strict = F.try_parse_json(listed).isNotNull() & (F.json_array_length(listed) == 2)
+    return F.coalesce(strict, F.lit(False))
 
 
 def lenient_json(c: Column) -> Column:
     """JSON text of a model reply, fenced or not; null when it is not valid JSON."""
-    clean = strip_code_fence(c)
-    return F.when(is_json(clean), clean)
+    return _once(strip_code_fence(c), lambda t: F.when(is_json(t), t))
 
 
 def display_title(version_title: Column, title_norm: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evgraph import taxonomy as tx
 from evgraph.functions import scores as sf
-from evgraph.operators.tables import top_k
+from evgraph.operators.tables import dealt_out, top_k
 
 K = 32
 HEAVY_DF = 512
@@ -39,26 +39,53 @@ def shared_link_neighbors(
     sizes = incidence.groupBy("entity").agg(F.sum("m").alias("n"))
     # A reference with one citer joins no pair; it only counts in n.
     weighted = incidence.join(spread, "ref").join(sizes, "entity")
-    heavy = weighted.where(F.col("df") > heavy_df)
+    light = weighted.where(F.col("df") <= heavy_df)
+    light = light.join(_score_floors(light, k, seeds), "entity", "left")
     if spread.where(F.col("df") > heavy_df).isEmpty():
-        return _rank_pairs(_light_pairs(weighted, seeds), k)
+        return _rank_pairs(_above_floor(_light_pairs(light, seeds, ["floor"])), k)
 
-    profiles, profile_pairs = _profiles(heavy)
-    light = weighted.where(F.col("df") <= heavy_df).join(
-        profiles.select("entity", "profile"), "entity", "left"
-    )
+    profiles, profile_pairs = _profiles(weighted.where(F.col("df") > heavy_df))
+    light = light.join(profiles.select("entity", "profile"), "entity", "left")
     extra = profile_pairs.withColumnRenamed("dot", "heavy_dot")
     pairs = (
-        _light_pairs(light, seeds, carry=["profile"])
+        _light_pairs(light, seeds, ["floor", "profile"])
         .join(extra, ["profile_a", "profile_b"], "left")
         .withColumn("dot", F.col("dot") + F.coalesce("heavy_dot", F.lit(0)))
-        .select("work_id", "other_id", "n_a", "n_b", "dot")
     )
     only_heavy = _profile_candidates(profiles, profile_pairs, k, seeds)
-    best = pairs.unionByName(only_heavy).groupBy("work_id", "other_id", "n_a", "n_b").agg(F.max("dot").alias("dot"))
+    both = _above_floor(pairs).select("work_id", "other_id", "n_a", "n_b", "dot").unionByName(only_heavy)
+    best = both.groupBy("work_id", "other_id", "n_a", "n_b").agg(F.max("dot").alias("dot"))
     return _rank_pairs(best, k)
 
 
+def _strength() -> Column:
+    """Square of the score. One division: equal rational scores give equal doubles, so ties are real ties."""
+    return F.col("dot") * F.col("dot") / (F.col("n_a") * F.col("n_b"))
+
+
+def _score_floors(light: DataFrame, k: int, seeds: DataFrame | None, probe: int = 4) -> DataFrame:
+    """(entity, floor): k other works certainly reach this squared score, so weaker pairs need no ranking.
+
+    Found among the `probe` strongest citers of each reference; works with too few of them have no floor.
+    """
+    head = top_k(light, ["ref"], [F.desc(F.col("m") * F.col("m") / F.col("n")), F.asc("entity")], probe)
+    strong = head.select("ref", F.col("entity").alias("other_id"), F.col("m").alias("m_b"), F.col("n").alias("n_b"))
+    mine = light.select("ref", F.col("entity").alias("work_id"), F.col("m").alias("m_a"), F.col("n").alias("n_a"))
+    if seeds is not None:
+        mine = mine.join(seeds.select("work_id").distinct(), "work_id", "left_semi")
+    reached = (
+        dealt_out(mine, "ref").join(strong.hint("merge"), "ref").where("work_id <> other_id")
+        .withColumn("dot", F.col("m_a") * F.col("m_b"))
+        .groupBy("work_id", "other_id").agg(F.max(_strength()).alias("score"))
+    )
+    last = top_k(reached, ["work_id"], _best(), k, rank="place").where(F.col("place") == k)
+    return last.select(F.col("work_id").alias("entity"), F.col("score").alias("floor"))
+
+
+def _above_floor(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.col("floor_a").isNull() | (_strength() >= F.col("floor_a")))
+
+
 def _light_pairs(weighted: DataFrame, seeds: DataFrame | None, carry: list[str] = ()) -> DataFrame:
     """Directed pairs that share a reference of bounded popularity, with the sum of products."""
     side = lambda s, name: weighted.select(
@@ -67,6 +94,8 @@ def _light_pairs(weighted: DataFrame, seeds: DataFrame | None, carry: list[str]
     a, b = side("a", "work_id"), side("b", "other_id")
     keys = ["work_id", "other_id", "n_a", "n_b", *[f"{c}_{s}" for c in carry for s in "ab"]]
     dot = F.sum(F.col("m_a") * F.col("m_b")).alias("dot")
+    # the join multiplies its input: a broadcast would run it in as few tasks as there are input splits
+    a, b = dealt_out(a, "ref"), dealt_out(b, "ref").hint("merge")
     if seeds is not None:
         a = a.join(seeds.select("work_id").distinct(), "work_id", "left_semi")
         return a.join(b, "ref").where("work_id <> other_id").groupBy(*keys).agg(dot)
@@ -130,9 +159,7 @@ def _profile_candidates(profiles: DataFrame, pairs: DataFrame, k: int, seeds: Da
 
 
 def _rank_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    # sqrt of one division: equal rational scores give equal doubles, so ties are real ties
-    score = F.sqrt(F.col("dot") * F.col("dot") / (F.col("n_a") * F.col("n_b")))
-    return top_k(pairs.select("work_id", "other_id", score.alias("score")), ["work_id"], _best(), k)
+    return top_k(pairs.select("work_id", "other_id", F.sqrt(_strength()).alias("score")), ["work_id"], _best(), k)
 
 
 def bibliographic_coupling(citations: DataFrame, k: int = K, heavy_df: int = HEAVY_DF, seeds=None) -> DataFrame:
@@ -219,8 +246,8 @@ def lineage_neighbors(edges: DataFrame, k: int = K, hops: int = 4, seeds: DataFr
         onward = lists.select(
             F.col("work_id").alias("via"), F.col("other_id").alias("_end"), F.col("length").alias("_rest"))
         walked = (
-            step.withColumnRenamed("other_id", "via")
-            .join(onward, "via")
+            dealt_out(step.withColumnRenamed("other_id", "via"), "via")
+            .join(onward.hint("merge"), "via")
             .where("_end <> work_id")
             .select("work_id", F.col("_end").alias("other_id"), (F.col("length") + F.col("_rest")).alias("length"))
         )

@@ -15,6 +15,16 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
+def dealt_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows partitioned by `keys` into spark.sql.shuffle.partitions parts that stay that many.
+
+    For the input of a step that multiplies rows: its own size says little about the work ahead, and
+    adaptive execution would merge the parts into a few.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """First k rows per key. Spark prunes to k per task before the shuffle, so a hot key stays small."""
     name = rank or "_rank"

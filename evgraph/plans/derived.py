@@ -55,7 +55,7 @@ def records(t: Library) -> DataFrame:
 def markup(t: Library) -> DataFrame:
     key = F.col("page_id")
     ending = F.when(key % 4 == 3, ".tei").otherwise(".html")
-    return t.raw("pages").select(
+    return t.spread("pages").select(
         (key * 2).alias("version_id"), F.concat(key.cast("string"), ending).alias("path"), "html")
 
 
@@ -70,7 +70,7 @@ def article_pages(t: Library) -> DataFrame:
         span(F.lit("x")),
         F.lit('<div class="ltx_abstract">Abstract. '), first, F.lit("</div><p>"), F.col("text"),
         F.lit("</p><footer>end</footer></div></html>"))
-    return t.raw("documents").select("doc_id", html.alias("html"))
+    return t.spread("documents").select("doc_id", html.alias("html"))
 
 
 def tei_documents(t: Library) -> DataFrame:
@@ -91,7 +91,7 @@ def tei_documents(t: Library) -> DataFrame:
         F.lit('</idno> <imprint>Vol 12345, 1998.</imprint></biblStruct><biblStruct xml:id="b2"><title>Small '),
         F.lit("Ring</title></biblStruct><biblStruct xml:id=\"b3\"><note>nothing</note></biblStruct></listBibl></back></TEI>"),
     )
-    return t.raw("documents").select("doc_id", F.concat(F.lit("<TEI><body><p>"), body, back).alias("tei"))
+    return t.spread("documents").select("doc_id", F.concat(F.lit("<TEI><body><p>"), body, back).alias("tei"))
 
 
 def context_outputs(t: Library) -> DataFrame:
@@ -107,7 +107,7 @@ def context_outputs(t: Library) -> DataFrame:
         F.round((F.col("o_totalprice") % 100) / 100, 4).alias("confidence"),
     )
     fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(item).alias("classifications"))), F.lit("\n```"))
-    return t.raw("orders").select(key.alias("work_id"), (key * 2).alias("version_id"), fenced.alias("raw"))
+    return t.spread("orders").select(key.alias("work_id"), (key * 2).alias("version_id"), fenced.alias("raw"))
 
 
 def contexts_of_orders(t: Library) -> DataFrame:
@@ -138,7 +138,7 @@ def pair_outputs(t: Library) -> DataFrame:
     )
     raw = F.to_json(F.struct(F.array(item, item).alias("relations")))
     a, b = F.col("o_custkey"), (key * 23) % t.size("customer")
-    return t.raw("orders").select(
+    return t.spread("orders").select(
         a.alias("a_work_id"), (a * 2).alias("a_version_id"), b.alias("b_work_id"), (b * 2).alias("b_version_id"),
         raw.alias("raw"))
 
@@ -156,7 +156,7 @@ def claim_method_outputs(t: Library) -> DataFrame:
         lambda s, i: F.struct(
             F.when(i % 5 == 0, "").otherwise(s).alias("name"), F.col("lang").alias("description"),
             F.col("source").alias("source_text"), (i % 2).cast("int").alias("page")))
-    return t.raw("documents").select(
+    return t.spread("documents").select(
         F.col("doc_id").alias("work_id"), (F.col("doc_id") * 2).alias("version_id"),
         F.to_json(F.struct(claims.alias("claims"), methods.alias("methods"))).alias("raw"))
 
@@ -181,7 +181,7 @@ def gold(t: Library) -> DataFrame:
         ).alias("relations"),
         F.when(key % 2 == 0, F.array(F.struct(pick(["cites", "none"], key / 2 % 2).alias("gold_type")))).alias("citation_contexts"),
     )
-    return t.raw("orders").select(key.cast("string").alias("name"), F.to_json(body).alias("raw"))
+    return t.spread("orders").select(key.cast("string").alias("name"), F.to_json(body).alias("raw"))
 
 
 def merge_proposals(t: Library) -> DataFrame:

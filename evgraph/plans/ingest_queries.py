@@ -8,6 +8,7 @@ from evgraph.operators import contexts, linkage, merge, tables
 from evgraph.plans import derived
 from evgraph.plans.oracle_views import arxiv_of, norm
 from evgraph.plans.registry import query
+from evgraph.session import materialize
 from evgraph.sources import gold, paper_text, reading_list
 
 _RAW = sorted(schemas.RAW)
@@ -301,7 +302,7 @@ def _to_kept(c):
         FROM relation_members LEFT JOIN kw a ON a.m = entity_id LEFT JOIN kw b ON b.m = anchor_work_id""")
 def _(t):
     data = _merge_tables(t)
-    return _rows(merge.apply_merges(data, _accepted(t, data)))
+    return _rows(merge.apply_merges(data, materialize(_accepted(t, data), "merges")))
 
 
 # Merge and split bring every moved row back; copies made for the kept work stay with it.
@@ -330,8 +331,6 @@ def _(t):
     UNION ALL SELECT 'relation_members', relation_id || '/' || role || '/' || entity_kind, entity_id::VARCHAR, anchor_work_id::VARCHAR
         FROM relation_members""")
 def _(t):
-    from evgraph.session import materialize
-
     data = _merge_tables(t)
     merges = materialize(_accepted(t, data), "merges")
     snapshot = merge.take_snapshot(data, merges)

@@ -481,10 +481,10 @@ def _(t):
 def _(t):
     key, lines = F.col("doc_id"), F.split("text", "\n")
     named = F.transform(lines, lambda s: F.struct(s.alias("name"), F.col("lang").alias("description")))
-    papers = t.raw("documents").select(
+    papers = t.spread("documents").select(
         key.alias("work_id"), F.col("source").alias("title"), F.col("text").alias("abstract"),
         F.when(key % 5 == 0, F.slice(named, 1, 0)).otherwise(named).alias("methods"), lines.alias("claims"))
-    pairs = t.raw("documents").select(key.alias("a_work_id"), ((key * 3 + 1) % t.size("documents")).alias("b_work_id"))
+    pairs = t.spread("documents").select(key.alias("a_work_id"), ((key * 3 + 1) % t.size("documents")).alias("b_work_id"))
     return rel.pair_briefs(pairs, papers).select("a_work_id", "b_work_id", F.md5("prompt").alias("prompt_md5"))
 
 
@@ -496,13 +496,13 @@ def _(t):
         || 'cited_title=' || CASE WHEN i % 2 = 0 THEN c.lang ELSE '(unknown)' END || chr(10) || 'context:' || chr(10) || c.text || chr(10) || chr(10), '' ORDER BY i)) AS prompt_md5
     FROM c JOIN documents USING (doc_id) GROUP BY 1, 2""")
 def _(t):
-    lines = t.raw("documents").select(
+    lines = t.spread("documents").select(
         F.col("doc_id").alias("work_id"), F.col("lang"), F.posexplode(F.split("text", "\n")).alias("position", "text"))
     i = F.col("position")
     contexts = lines.where(i % 3 != 1).select(
         "work_id", "position", F.concat(F.lit("c"), i.cast("string")).alias("context_id"), "text", (i % 5).alias("page"),
         F.when(i % 2 == 0, F.col("lang")).alias("cited_title"))
-    titles = t.raw("documents").select(F.col("doc_id").alias("work_id"), F.col("source").alias("title"))
+    titles = t.spread("documents").select(F.col("doc_id").alias("work_id"), F.col("source").alias("title"))
     out = rel.context_prompts(contexts, titles)
     return out.select("work_id", "batch_no", "contexts", F.md5("prompt").alias("prompt_md5"))
 
@@ -517,7 +517,7 @@ def _(t):
     FROM ev e LEFT JOIN seg s ON s.version_id = e.version_id AND s.page = e.page AND e.text <> '' AND contains(lower(s.text), lower(e.text[1:12]))
     GROUP BY e.evidence_id, boxed""")
 def _(t):
-    seg = t.raw("documents").select(
+    seg = t.spread("documents").select(
         F.col("doc_id").alias("version_id"), F.posexplode(F.split("text", "\n")).alias("segment_no", "text")
     ).withColumn("page", F.col("segment_no") % 4)
     n = F.col("segment_no")

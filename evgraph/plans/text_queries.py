@@ -16,7 +16,7 @@ from evgraph.plans.registry import query
 def _(t):
     title = lambda c: F.md5(tf.normalize_title(c)).alias("title_md5")
     parts = t.raw("part").select((-F.col("p_partkey") - 1).alias("doc_id"), title(F.concat(F.lit("  "), "p_name", F.lit("! "))))
-    return t.raw("documents").select("doc_id", title(F.col("text"))).unionByName(parts)
+    return t.spread("documents").select("doc_id", title(F.col("text"))).unionByName(parts)
 
 
 @query("b2_arxiv_ids", r"""
@@ -52,14 +52,14 @@ def sql_html_to_text(c: str) -> str:
 @query("b4_html_to_text", f"""
     SELECT page_id, length(t) AS chars, md5(t) AS text_md5 FROM (SELECT page_id, {sql_html_to_text('html')} AS t FROM pages)""")
 def _(t):
-    return t.raw("pages").select("page_id", tf.html_to_text(F.col("html")).alias("t")).select(
+    return t.spread("pages").select("page_id", tf.html_to_text(F.col("html")).alias("t")).select(
         "page_id", F.length("t").alias("chars"), F.md5("t").alias("text_md5")
     )
 
 
 @query("b5_decoded_entities", f"SELECT page_id, md5({_sql_replace_all('html')}) AS html_md5 FROM pages")
 def _(t):
-    return t.raw("pages").select("page_id", F.md5(tf.decode_entities(F.col("html"))).alias("html_md5"))
+    return t.spread("pages").select("page_id", F.md5(tf.decode_entities(F.col("html"))).alias("html_md5"))
 
 
 @query("b6_stripped_markup", rf"""
@@ -68,7 +68,7 @@ def _(t):
     FROM pages""")
 def _(t):
     html = F.col("html")
-    return t.raw("pages").select(
+    return t.spread("pages").select(
         "page_id", F.md5(tf.strip_markup_joined(html)).alias("joined_md5"),
         F.md5(tf.strip_markup_spaced(html)).alias("spaced_md5"))
 
@@ -108,7 +108,7 @@ def _(t):
         F.split("text", "\n"),
         lambda s, i: F.struct(s.alias("name"), F.when(i % 2 == 0, "").otherwise(F.col("lang")).alias("description")))
     whole = tf.title_abstract_methods_text(F.col("source"), F.col("text"), methods)
-    return t.raw("documents").select(F.col("doc_id").alias("work_id"), F.md5(whole).alias("text_md5"))
+    return t.spread("documents").select(F.col("doc_id").alias("work_id"), F.md5(whole).alias("text_md5"))
 
 
 @query("b10_lenient_json", """

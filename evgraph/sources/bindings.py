@@ -13,7 +13,7 @@ from evgraph import taxonomy as tx
 from evgraph.functions import text as tf
 from evgraph.operators import consensus
 from evgraph.operators.tables import upsert_latest
-from evgraph.sources.tables import load_raw
+from evgraph.sources.tables import load_raw, spread
 
 
 def pick(words: list[str], index):
@@ -30,6 +30,10 @@ class Library:
     def raw(self, name: str) -> DataFrame:
         return load_raw(self.spark, self.directory, name)
 
+    def spread(self, name: str) -> DataFrame:
+        """A driver table for work that costs far more than reading it."""
+        return spread(self.raw(name))
+
     def size(self, name: str):
         """Row count of a driver table, as a scalar subquery."""
         return self.raw(name).select(F.count("*")).scalar()
@@ -346,7 +350,7 @@ class Library:
             ref(F.col("source"), F.lit(""), none, F.lit(None).cast("int")),
             ref(F.lit("  "), F.lit(""), F.lit(" "), F.lit(2003)),
         )
-        return self.raw("documents").select(
+        return self.spread("documents").select(
             F.col("doc_id").alias("work_id"),
             (F.col("doc_id") * 2).alias("version_id"),
             F.to_json(F.struct(*fields, references.alias("references"))).alias("raw"),
