@@ -329,7 +329,7 @@ class Library:
         fields = [
             F.struct(
                 F.coalesce(F.get(of_aspect(i), F.lit(0)), F.lit("")).alias("summary"),
-                F.slice(of_aspect(i), 2, 2147483647).alias("bullets"),
+                F.filter(of_aspect(i), lambda _, n: n > 0).alias("bullets"),
                 F.when((F.col("doc_id") + i) % 5 == 0, "").otherwise(F.col("source")).alias("source_text"),
                 ((F.col("doc_id") + i) % 13 - 1).alias("page"),
             ).alias(key)
