@@ -16,12 +16,16 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def dealt_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows partitioned by `keys` into spark.sql.shuffle.partitions parts that stay that many.
+    """Rows partitioned by `keys` into a number of parts that adaptive execution does not lower.
 
     For the input of a step that multiplies rows: its own size says little about the work ahead, and
-    adaptive execution would merge the parts into a few.
+    its parts would be merged into a few. spark.sql.shuffle.partitions decides where it was raised
+    above Spark's default; below that a few parts per core are enough.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts <= 200:
+        parts = min(parts, 4 * spark.sparkContext.defaultParallelism)
     return df.repartition(parts, *keys)
 
 
