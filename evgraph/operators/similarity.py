@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from evgraph import taxonomy as tx
 from evgraph.functions import scores as sf
 from evgraph.operators.tables import dealt_out, top_k
+from evgraph.session import materialize
 
 K = 32
 HEAVY_DF = 512
@@ -38,10 +39,11 @@ def shared_link_neighbors(
     spread = incidence.groupBy("ref").agg(F.count("*").alias("df")).where("df > 1")
     sizes = incidence.groupBy("entity").agg(F.sum("m").alias("n"))
     # A reference with one citer joins no pair; it only counts in n.
-    weighted = incidence.join(spread, "ref").join(sizes, "entity")
+    # staged: read by the floors, both sides of the pair join and the profiles
+    weighted = materialize(incidence.join(spread, "ref").join(sizes, "entity"), "links")
     light = weighted.where(F.col("df") <= heavy_df)
     light = light.join(_score_floors(light, k, seeds), "entity", "left")
-    if spread.where(F.col("df") > heavy_df).isEmpty():
+    if weighted.where(F.col("df") > heavy_df).isEmpty():
         return _rank_pairs(_above_floor(_light_pairs(light, seeds, ["floor"])), k)
 
     profiles, profile_pairs = _profiles(weighted.where(F.col("df") > heavy_df))
@@ -238,6 +240,7 @@ def lineage_neighbors(edges: DataFrame, k: int = K, hops: int = 4, seeds: DataFr
     A round therefore moves k rows per edge, whatever the degree of a hub.
     """
     near = [F.asc("length"), F.asc("other_id")]
+    edges = materialize(edges, "lineage")
     need = _needed_by_hop(edges, hops, seeds)
     scoped = lambda h: edges if need is None else edges.join(need[h], "work_id", "left_semi")
     lists = top_k(scoped(1), ["work_id"], near, k)

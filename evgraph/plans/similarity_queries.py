@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from evgraph.operators import reads
 from evgraph.operators import similarity as sim
 from evgraph.plans.registry import query
+from evgraph.session import materialize
 
 
 def rounded(df, *keep):
@@ -50,9 +51,9 @@ def _(t):
 def graph_neighbors(t):
     cites = sim.citation_neighbors(t.citations).withColumn("dimension", F.lit("citation_coupling"))
     lines = sim.lineage_neighbors(sim.lineage_edges(t.relations, t.relation_members))
-    return cites.unionByName(lines.withColumn("dimension", F.lit("method_lineage"))).select(
-        "dimension", "work_id", "other_id", "score"
-    )
+    both = cites.unionByName(lines.withColumn("dimension", F.lit("method_lineage")))
+    # neighbour lists are a stored table: the views below read it
+    return materialize(both.select("dimension", "work_id", "other_id", "score"), "neighbors")
 
 
 _BLEND = """SELECT work_id, other_id, sum(score * CASE dimension WHEN 'citation_coupling' THEN 0.7 ELSE 0.5 END / 1.2) AS score
