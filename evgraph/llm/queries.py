@@ -1,6 +1,8 @@
 """The registered queries of the operators: (spark, sf_dir) -> DataFrame, and their SQL where it can say the same."""
 
-from evgraph.llm import language_id
+from pyspark.sql import functions as F
+
+from evgraph.llm import language_id, simhash
 from evgraph.llm.common import table
 
 QUERIES = {}
@@ -21,3 +23,9 @@ def query(sql: str | None = None):
 def op7_language_id(spark, sf_dir):
     found = language_id.identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op10_simhash_components(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
