@@ -241,7 +241,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slop: int
 
     `docs` has doc_id and text, `items` item_id and text. A word inside an occurrence of a window of `width` item words is hit; items
     without words never match, null texts have no words, empty tables give no hits. Rows that repeat a doc_id each
-    get the hits of all of them; a null doc_id gets none.
+    count every place that is hit in any of them; a null doc_id gets none.
     """
     owned = windows(items, width)
     phrases = owned.select("phrase_id", "terms").distinct()

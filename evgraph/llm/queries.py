@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evgraph.llm import decontaminate, language_id, simhash
+from evgraph.llm import decontaminate, language_id, secrets, simhash
 from evgraph.llm.common import table
 
 QUERIES = {}
@@ -62,3 +62,48 @@ def op3_decontamination(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+kinds AS (
+  SELECT * FROM (VALUES
+    (0, 'assign', '(?i:(?:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 8),
+    (1, 'access', '(AKIA[A-Z0-9]+)', 1, 16),
+    (2, 'hex', '([0-9a-f]+)', 1, 32),
+    (3, 'block', '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 1, 1),
+    (4, 'github', '(gh[pousr]_[A-Za-z0-9]{36,})', 1, 1),
+    (5, 'slack', '(xox[abprs]-[A-Za-z0-9-]{10,})', 1, 1),
+    (6, 'jwt', '(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})', 1, 1),
+    (7, 'login', '([a-z][a-z0-9+.-]*://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@)', 1, 1)
+  ) AS k(kind, rule, pattern, grp, least)),
+m AS (
+  SELECT doc_id, kind, rule, least, regexp_extract_all(t, pattern, 0) AS whole, regexp_extract_all(t, pattern, 1) AS part,
+         string_split_regex(t, pattern) AS gaps
+  FROM d, kinds WHERE regexp_matches(t, pattern)),
+e AS (SELECT doc_id, kind, rule, least, whole, part, gaps, unnest(range(1, len(whole) + 1)) AS i FROM m),
+s AS (
+  SELECT doc_id, kind, rule, length(part[i]) >= least AS kept,
+         sum(length(gaps[i]) + length(whole[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop, length(whole[i]) AS size
+  FROM e),
+f AS (SELECT doc_id, kind, rule, (stop - size)::BIGINT AS start, stop::BIGINT AS stop FROM s WHERE kept),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(rule || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+         string_agg(rule || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans
+  FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+""")
+def op9_secret_scan(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    found = secrets.secrets(files, secrets.fresh_ledger(spark))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["rule"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["rule"].isin(*secrets.BASE))
+    return found.select(
+        F.col("path").alias("doc_id"),
+        *[count(kind) for kind in secrets.BASE],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )

@@ -69,6 +69,6 @@ def test_empty_tables_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "item_id long, text string")
     got = sorted((r.doc_id or -1, r.n_words, r.n_hit) for r in dc.contamination(docs, items).collect())
-    assert got == [(-1, 2, 0), (1, 1, 3), (1, 2, 3)]
+    assert got == [(-1, 2, 0), (1, 1, 2), (1, 2, 2)]  # places 0 and 1 of a document with id 1
     assert dc.contamination(docs.limit(0), items).collect() == []
     assert [r.contaminated for r in dc.contamination(docs, items.limit(0)).collect()] == [False] * 3
