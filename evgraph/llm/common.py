@@ -22,8 +22,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(fold == 0, F.lit(False))
 
 
+ROWS_AT_ONCE = 500
+
+
 def map_documents(docs: DataFrame, fn, schema: str) -> DataFrame:
-    """`fn` gets the columns of a batch as a dict of lists and returns a dict of columns named in `schema`."""
+    """`fn` gets the columns of some rows as a dict of lists and returns a dict of columns named in `schema`."""
     fields = docs.sparkSession.createDataFrame([], schema).schema
 
     def run(batches):
@@ -31,8 +34,9 @@ def map_documents(docs: DataFrame, fn, schema: str) -> DataFrame:
 
         shape = to_arrow_schema(fields)
         for batch in batches:
-            if batch.num_rows:
-                out = fn({n: batch.column(n).to_pylist() for n in batch.schema.names})
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(at, ROWS_AT_ONCE)
+                out = fn({n: rows.column(n).to_pylist() for n in rows.schema.names})
                 yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in shape], schema=shape)
 
     return docs.mapInArrow(run, fields)

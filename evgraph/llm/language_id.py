@@ -151,13 +151,14 @@ class Languages:
 
 
 def identify(
-    docs: DataFrame, docs_per_lang: int = 300, words_per_lang: int = 4000, word_chars: int = 64
+    docs: DataFrame, docs_per_lang: int = 300, words_per_lang: int = 4000, word_chars: int = 64, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits_per_letter of every row of `docs` (doc_id, text, lang).
 
     Learned are the non-null `lang` values of rows outside the held-out fold, from a sample of at most
     `docs_per_lang` texts and `words_per_lang` words each. Null texts, texts without a letter, and all texts where
-    nothing could be learned get `und` and score 0. Rows repeat as they came; other columns are ignored.
+    nothing could be learned get `und` and score 0. Rows repeat as they came; of the other columns those named in
+    `carry` follow.
     """
     found = training_words(docs, docs_per_lang, words_per_lang, word_chars).collect()  # bounded by the parameters
     words: dict[str, list[str]] = {}
@@ -173,8 +174,11 @@ def identify(
         out = [model.predict(t) for t in batch["text"]]
         return batch | {n: [x[i] for x in out] for i, n in enumerate(("lang_pred", "score", "bits_per_letter"))}
 
-    return map_documents(
-        id_and_bytes(docs, held_out().alias("held_out")),
+    kinds = dict(docs.dtypes) | {"text": "binary"}
+    found = map_documents(
+        id_and_bytes(docs, held_out().alias("held_out"), *[c for c in carry if c != "text"]),
         score,
-        "doc_id long, held_out boolean, lang_pred string, score double, bits_per_letter double",
+        "doc_id long, held_out boolean, lang_pred string, score double, bits_per_letter double"
+        + "".join(f", `{c}` {kinds[c]}" for c in carry),
     )
+    return found.withColumn("text", F.col("text").cast("string")) if "text" in carry else found

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evgraph.llm import decontaminate, language_id, secrets, simhash
+from evgraph.llm import decontaminate, language_id, secrets, sentence_pieces, simhash
 from evgraph.llm.common import table
 
 QUERIES = {}
@@ -107,3 +107,17 @@ def op9_secret_scan(spark, sf_dir):
         F.sha2(secrets.listed(base), 256).alias("base_sha256"),
         secrets.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query()
+def op6_sentence_pieces(spark, sf_dir):
+    encoder = sentence_pieces.Encoder(spark, sentence_pieces.read_pieces())
+    encoded = encoder.encode(table(spark, sf_dir, "documents"))
+    decoded = encoder.decode(encoded, carry=("ids",))
+    return decoded.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )

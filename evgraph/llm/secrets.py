@@ -147,15 +147,20 @@ def secrets(files: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -
     repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
     paths = scan(files, ledger, rules)
+    none = F.array().cast("array<struct<start:bigint,kind:int,rule:string,end:bigint>>")
+    found = paths.join(blob_spans(ledger, rules), "blob", "left")
+    return found.select("path", "blob", F.coalesce("spans", none).alias("spans"))
+
+
+def blob_spans(ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and spans of each blob in which the ledger knows a finding of `rules`."""
     kinds = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
-    per_blob = (
+    return (
         ledger.findings.withColumn("kind", kinds[F.col("rule")])
         .filter(F.col("kind").isNotNull())
         .groupBy("blob")  # the findings of one text
         .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "rule", "end"))).alias("spans"))
     )
-    none = F.array().cast("array<struct<start:bigint,kind:int,rule:string,end:bigint>>")
-    return paths.join(per_blob, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def listed(found: Column) -> Column:
