@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evgraph.llm import decontaminate, language_id, secrets, sentence_pieces, simhash
+from evgraph.llm import decontaminate, language_id, quality, secrets, sentence_pieces, simhash
 from evgraph.llm.common import table
 
 QUERIES = {}
@@ -121,3 +121,58 @@ def op6_sentence_pieces(spark, sf_dir):
         "ids",
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, lang, text IS NULL AS gone, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, gone, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+             regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw FROM d),
+wins AS (SELECT doc_id, k, array_to_string(w[k:k + 4], ' ') AS win
+         FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, win) AS c FROM wins) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n
+          FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (
+  SELECT w.doc_id, lang, gone, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)),
+classes AS (SELECT * FROM (VALUES
+  ('lower', '[a-z]'), ('upper', '[A-Z]'), ('digit', '[0-9]'), ('space', '[ \t]'), ('line', '[\n\r\x0B\x0C]'), ('stop', '[.,;:!?''"()-]'),
+  ('symbol', '[#*$%&|<>]'), ('beyond', '[^\x00-\x7F]'), ('other', '[\x00-\x08\x0E-\x1F+/=@\[\\\]^_`{}~\x7F]')) AS c(item, pattern)),
+doc_class AS (SELECT doc_id, lang, gone, item, length(t) - length(regexp_replace(t, pattern, '', 'g')) AS n FROM d, classes),
+doc_word AS (SELECT doc_id, lang, gone, word, count(*) AS n FROM (SELECT doc_id, lang, gone, unnest(lw) AS word FROM w) GROUP BY ALL),
+ref_class AS (SELECT lang, item, sum(n) AS q FROM doc_class WHERE lang IS NOT NULL AND NOT gone GROUP BY ALL),
+every_word AS (SELECT lang, word, sum(n) AS q FROM doc_word WHERE lang IS NOT NULL GROUP BY ALL),
+top AS (SELECT lang, word, q FROM every_word QUALIFY row_number() OVER (PARTITION BY lang ORDER BY q DESC, word COLLATE "C") <= 64),
+ref AS (
+  SELECT lang, 'class' AS kind, item, q / sum(q) OVER (PARTITION BY lang) AS q FROM ref_class
+  UNION ALL SELECT lang, 'word', word, q / (SELECT sum(q) FROM every_word e WHERE e.lang = top.lang) FROM top
+  UNION ALL SELECT lang, 'word', '', 1 - sum(q) / (SELECT sum(q) FROM every_word e WHERE e.lang = top.lang) FROM top GROUP BY lang),
+named AS (SELECT b.doc_id, r.lang, sum(coalesce(x.n, 0)) AS n
+          FROM base b, top r LEFT JOIN doc_word x ON x.doc_id = b.doc_id AND x.word = r.word GROUP BY ALL),
+own AS (
+  SELECT c.doc_id, r.lang, 'class' AS kind, c.item, c.n::DOUBLE / nullif(sum(c.n) OVER (PARTITION BY c.doc_id, r.lang), 0) AS p
+  FROM doc_class c, (SELECT DISTINCT lang FROM ref) r
+  UNION ALL
+  SELECT b.doc_id, r.lang, 'word', r.word, coalesce(x.n, 0)::DOUBLE / nullif(b.n_words, 0)
+  FROM base b, top r LEFT JOIN doc_word x ON x.doc_id = b.doc_id AND x.word = r.word
+  UNION ALL
+  SELECT b.doc_id, m.lang, 'word', '', (b.n_words - m.n)::DOUBLE / nullif(b.n_words, 0) FROM base b JOIN named m USING (doc_id)),
+dist AS (
+  SELECT doc_id, lang, kind, CASE WHEN count(p) = 0 THEN 1 ELSE sqrt(greatest(0, sum(
+           CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) END AS far
+  FROM own JOIN ref USING (lang, kind, item) GROUP BY ALL),
+near AS (
+  SELECT a.doc_id, a.far AS by_class, b.far AS by_word FROM dist a JOIN dist b USING (doc_id, lang)
+  WHERE a.kind = 'class' AND b.kind = 'word' QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY a.far + b.far, lang) = 1),
+sized AS (SELECT doc_id, sum(n) AS n_chars FROM doc_class GROUP BY doc_id),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce((n_chars >= 200 AND by_class > 0.30) OR (n_words >= 50 AND by_word > 0.50), false) AS kept
+FROM judged LEFT JOIN near USING (doc_id) LEFT JOIN sized USING (doc_id)
+""")
+def op1_quality_rules(spark, sf_dir):
+    found = quality.judge(table(spark, sf_dir, "documents"))
+    return found.drop("nearest", "class_distance", "word_distance")
