@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evgraph.llm import decontaminate, language_id, quality, secrets, sentence_pieces, simhash
+from evgraph.llm import decontaminate, language_id, quality, repeats, secrets, sentence_pieces, simhash
 from evgraph.llm.common import table
 
 QUERIES = {}
@@ -176,3 +176,23 @@ FROM judged LEFT JOIN near USING (doc_id) LEFT JOIN sized USING (doc_id)
 def op1_quality_rules(spark, sf_dir):
     found = quality.judge(table(spark, sf_dir, "documents"))
     return found.drop("nearest", "class_distance", "word_distance")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS m FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 399)) AS i FROM d)),
+twice AS (SELECT doc_id, i, i + 400 AS e FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+marked AS (SELECT *, CASE WHEN i <= max(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                          THEN 0 ELSE 1 END AS fresh FROM twice),
+spans AS (SELECT doc_id, g, min(i) AS s, max(e) AS e
+          FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) GROUP BY doc_id, g),
+parts AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM spans),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS stop,
+               string_agg(substr(x, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) AS kept
+        FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(from_hex(coalesce(kept, '') || substr(x, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+""")
+def op4_repeated_strings(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
