@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evgraph.llm import decontaminate, language_id, quality, repeats, secrets, sentence_pieces, simhash
+from evgraph.llm import decontaminate, language_id, quality, repeats, secrets, sentence_pieces, simhash, toxicity
 from evgraph.llm.common import table
 
 QUERIES = {}
@@ -196,3 +196,9 @@ FROM d LEFT JOIN cut USING (doc_id)
 """)
 def op4_repeated_strings(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query()
+def op8_toxicity(spark, sf_dir):
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
