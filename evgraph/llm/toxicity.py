@@ -74,19 +74,20 @@ def associated_terms(docs: DataFrame, sample: DataFrame, least: int, most: int)
     bad, good = float(sizes[1]), float(sizes[0])
     share = (F.col("bad") + F.col("good")) / (bad + good)
     chi = F.pow(F.col("bad") / bad - F.col("good") / good, 2) / (share * (1 - share) + 1e-12)
-    top = counts.filter(F.col("bad") + F.col("good") >= least).orderBy(chi.desc(), "term").limit(most)
+    often = F.col("bad") + F.col("good") >= max(least, bad / 50)  # rarer ones may come from a few copies
+    top = counts.filter(often).orderBy(chi.desc(), "term").limit(most)
     return [tuple(r) for r in top.collect()]
 
 
 def voters_among(terms: list[tuple[str, int, int]], bad: int, good: int, precision: float) -> list[str]:
-    """Terms in a hundredth of the toxic texts whose texts would be toxic at `precision` if both classes were equally large.
+    """Terms in a thirtieth of the toxic texts whose texts would be toxic at `precision` if both classes were equally large.
 
     A term that begins like a beginning chosen before it would only repeat that vote and is passed over.
     """
     chosen: list[str] = []
     for term, b, g in terms:
         known = {"^" + term.lstrip("^")[:n] for n in BEGINNINGS}.intersection(chosen)
-        if not known and 100 * b >= bad and b / bad >= precision * (b / bad + g / good):
+        if not known and 30 * b >= bad and b / bad >= precision * (b / bad + g / good):
             chosen.append(term)
     return chosen[: MOST_VOTERS - len(PATTERNS)]
 
@@ -107,8 +108,8 @@ class Votes:
 
 
 class LabelModel:
-    """Chance of no vote at all in both classes, rates of the voters in texts with a vote, their correlations given
-    the class, and the share of toxic texts.
+    """Rates of the voters in both classes, their correlations given the class, the chance of no vote at all, and the
+    share of toxic texts.
 
     That one voter is silent where others speak says nothing: voters look for different things.
     """
@@ -118,12 +119,11 @@ class LabelModel:
         self.share = (weight[1] + 1) / (weight.sum() + 2)
         own = np.diagonal(both, axis1=1, axis2=2)
         self.silence = (own[:, -1] + 1) / (weight + 2)
-        spoken = weight - own[:, -1]
-        self.rates = (own[:, :-1] + 1) / (spoken[:, None] + 2)
-        pairs = both[:, :-1, :-1] / np.maximum(spoken, 1)[:, None, None]
+        self.rates = (own[:, :-1] + 1) / (weight[:, None] + 2)
+        pairs = both[:, :-1, :-1] / np.maximum(weight, 1)[:, None, None]
         sigma = np.sqrt(self.rates * (1 - self.rates))
         correlation = (pairs - self.rates[:, :, None] * self.rates[:, None, :]) / (sigma[:, :, None] * sigma[:, None, :])
-        self.correlation = np.clip((correlation * (spoken / max(1, spoken.sum()))[:, None, None]).sum(0), -1, 1)
+        self.correlation = np.clip((correlation * (weight / max(1, weight.sum()))[:, None, None]).sum(0), -1, 1)
         self.shared = np.where(self.correlation >= correlated, self.correlation, 0)
         np.fill_diagonal(self.shared, 1)
 
@@ -132,7 +132,7 @@ class LabelModel:
         silent, cast = votes[:, -1] > 0, votes[:, :-1]
         odds = np.log(self.rates[1] / self.rates[0])
         # votes that repeat each other share one say
-        spoken = (cast * odds / np.maximum(1, cast @ self.shared)).sum(1) + np.log((1 - self.silence[1]) / (1 - self.silence[0]))
+        spoken = (cast * odds / np.maximum(1, cast @ self.shared)).sum(1)
         total = np.log(self.share / (1 - self.share)) + np.where(silent, np.log(self.silence[1] / self.silence[0]), spoken)
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
@@ -210,7 +210,7 @@ def score(
     sample: int = 8_000,
     least: int = 5,
     features: int = 400,
-    precision: float = 0.9,
+    precision: float = 0.995,
     rounds: int = 4,
 ) -> DataFrame:
     """doc_id, held_out and score of every row of `docs` (doc_id, text).
