@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evgraph.llm import decontaminate, language_id, quality, repeats, secrets, sentence_pieces, simhash, toxicity
+from evgraph.llm import cross_entropy, decontaminate, language_id, licenses, quality, repeats, secrets, sentence_pieces, simhash, toxicity
 from evgraph.llm.common import table
 
 QUERIES = {}
@@ -202,3 +202,18 @@ def op4_repeated_strings(spark, sf_dir):
 def op8_toxicity(spark, sf_dir):
     found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query()
+def op2_cross_entropy_difference(spark, sf_dir):
+    wanted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return cross_entropy.score(table(spark, sf_dir, "documents"), wanted)
+
+
+@query()
+def op5_license_scan(spark, sf_dir):
+    """The documents as a file tree: source / thousands / hundreds, every fifth named as a licence file."""
+    number = F.col("doc_id")
+    name = F.when(number % 5 == 0, F.concat(F.lit("LICENSE-"), number)).otherwise(F.concat(number, F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.floor(number / 1000), F.floor(number / 100) % 10, name)
+    return licenses.scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
