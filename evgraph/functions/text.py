@@ -28,6 +28,18 @@ ENTITIES = [
     ("&times;", "×"),
 ]
 
+# Marks of a paper's parts in its page, what titles end in, label of an image, shortest parts in bytes.
+PAGE_MARK, DOCUMENT_MARK, ARTICLE_MARK = 'class="ltx_page_content"', 'class="ltx_document"', "<article"
+FOOTER = r"(?s)<footer.*\z"
+TITLE_ENDINGS = (" | arXiv", " – ar5iv")
+ABSTRACT_BLOCK = r'(?is)<div[^>]*class="[^"]*ltx_abstract[^"]*"[^>]*>(.*?)</div>'
+ABSTRACT_HEADING = r"\A(?:Abstract)*\.*"
+AUTHOR_SPAN = r'(?is)<span[^>]*class="[^"]*ltx_personname[^"]*"[^>]*>(.*?)</span>'
+IMAGE_LABEL, IMAGE_UNNAMED = ("\n[IMAGE: ", "]\n"), "figure"
+LONGER_THAN_ABSTRACT, SHORTEST_NAME, MOST_AUTHORS = 40, 2, 40
+YEAR_MARKS = (r'when="(\d{4})', r"when='(\d{4})")
+YEAR_IN_TEXT = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
+
 
 def strip(c: Column) -> Column:
     """Trim any Unicode white space (F.trim removes the blank only)."""
@@ -90,9 +102,9 @@ def _image_label(attrs: Column) -> Column:
     label = (
         F.when(alt != "", alt)
         .when(src != "", F.substring_index(src, "/", -1))
-        .otherwise(F.lit("figure"))
+        .otherwise(F.lit(IMAGE_UNNAMED))
     )
-    return F.concat(F.lit("\n[IMAGE: "), label, F.lit("]\n"))
+    return F.concat(F.lit(IMAGE_LABEL[0]), label, F.lit(IMAGE_LABEL[1]))
 
 
 def _images_to_labels(c: Column) -> Column:
@@ -120,37 +132,32 @@ def main_content(html: Column) -> Column:
     """Part of the page that holds the paper: marked content block, document block, article, all."""
     after = lambda mark: F.substring(html, F.locate(mark, html), F.length(html))
     has = lambda mark: F.contains(html, F.lit(mark))
-    page = 'class="ltx_page_content"'
-    body = after(page)
     return (
-        F.when(has(page), F.regexp_replace(body, r"(?s)<footer.*\z", ""))
-        .when(has('class="ltx_document"'), after('class="ltx_document"'))
-        .when(has("<article"), after("<article"))
+        F.when(has(PAGE_MARK), F.regexp_replace(after(PAGE_MARK), FOOTER, ""))
+        .when(has(DOCUMENT_MARK), after(DOCUMENT_MARK))
+        .when(has(ARTICLE_MARK), after(ARTICLE_MARK))
         .otherwise(html)
     )
 
 
 def html_title(html: Column) -> Column:
     raw = decode_entities(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    for suffix in (" | arXiv", " – ar5iv"):
+    for suffix in TITLE_ENDINGS:
         raw = F.replace(raw, F.lit(suffix), F.lit(""))
     return blank_to_null(strip(raw))
 
 
 def html_abstract(body: Column) -> Column:
-    block = F.regexp_extract(
-        body, r'(?is)<div[^>]*class="[^"]*ltx_abstract[^"]*"[^>]*>(.*?)</div>', 1
-    )
-    cleaned = strip(F.regexp_replace(html_to_text(block), r"\A(?:Abstract)*\.*", ""))
-    return F.when(F.octet_length(cleaned) > 40, cleaned)
+    block = F.regexp_extract(body, ABSTRACT_BLOCK, 1)
+    cleaned = strip(F.regexp_replace(html_to_text(block), ABSTRACT_HEADING, ""))
+    return F.when(F.octet_length(cleaned) > LONGER_THAN_ABSTRACT, cleaned)
 
 
-def html_authors(body: Column, limit: int = 40) -> Column:
-    spans = F.regexp_extract_all(
-        body, F.lit(r'(?is)<span[^>]*class="[^"]*ltx_personname[^"]*"[^>]*>(.*?)</span>'), F.lit(1)
-    )
-    names = F.transform(spans, lambda s: squeeze(html_to_text(s)))
-    return F.slice(F.array_distinct(F.filter(names, lambda n: F.octet_length(n) >= 2)), 1, limit)
+def html_authors(body: Column, limit: int | None = MOST_AUTHORS) -> Column:
+    """Names on the page, each once; the first `limit` of them, or all."""
+    names = F.transform(F.regexp_extract_all(body, F.lit(AUTHOR_SPAN), F.lit(1)), lambda s: squeeze(html_to_text(s)))
+    found = F.array_distinct(F.filter(names, lambda n: F.octet_length(n) >= SHORTEST_NAME))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def _non_blank(items: Column) -> Column:
@@ -220,8 +227,7 @@ def parse_cursor(c: Column) -> Column:
 def publication_year(block: Column) -> Column:
     """Year of a bibliography entry: when="YYYY…", else the first 4-digit number 1900-2099 in the text."""
     dated = F.coalesce(
-        blank_to_null(F.regexp_extract(block, r'when="(\d{4})', 1)),
-        blank_to_null(F.regexp_extract(block, r"when='(\d{4})", 1)),
+        *[blank_to_null(F.regexp_extract(block, mark, 1)) for mark in YEAR_MARKS],
     )
-    loose = F.regexp_extract(strip_tags(block), r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1)
+    loose = F.regexp_extract(strip_tags(block), YEAR_IN_TEXT, 1)
     return F.coalesce(dated, blank_to_null(loose)).cast("int")

@@ -280,11 +280,17 @@ def comments_with_authors(comments: DataFrame, users: DataFrame, viewer_id) -> D
 
 
 def filter_comments(
-    comments: DataFrame, since=None, kinds: list[str] | None = None, limit: int | None = 200,
-    order: str = "updated_ord",
+    comments: DataFrame, viewer_id, graph_id=None, work_id=None, since=None, kinds: list[str] | None = None,
+    limit: int | None = 200, order: str = "updated_ord",
 ) -> DataFrame:
-    """Comments changed after a moment, of given kinds, newest first; 1 to 1 000 of them."""
-    rows = comments
+    """What a viewer may read of the comments on a work in a graph, changed after a moment, of given kinds.
+
+    Newest first, 1 to 1 000 of them; `limit` None gives all. Without `graph_id` or `work_id` all of them count.
+    """
+    rows = visible_to(comments, viewer_id)
+    for column, value in (("graph_id", graph_id), ("work_id", work_id)):
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
     if since is not None:
         rows = rows.where(F.col(order) > (since if not isinstance(since, (int, str)) else F.lit(since)))
     if kinds is not None:

@@ -124,14 +124,15 @@ def context_candidates(
 ) -> DataFrame:
     """Relations proposed from citation contexts.
 
-    `outputs`: work_id, version_id, raw (JSON with `classifications`). `contexts`: work_id, context_id,
-    target, text, page, bbox. `resolved`: work_id, target, resolved_work_id.
+    `outputs`: work_id, version_id, batch, raw (JSON with `classifications`). `contexts`: work_id, batch, context_id,
+    target, text, page, bbox. `resolved`: work_id, target, resolved_work_id. A reply may only name contexts of its
+    own batch; of several items for one relation the first of the first batch counts.
     """
     parsed = F.from_json(tf.lenient_json(F.col("raw")), schemas.CONTEXT_JSON)
     item = F.col("item")
-    proposed = outputs.select("work_id", "version_id", F.posexplode(parsed["classifications"]).alias("item_no", "item"))
+    proposed = outputs.select("work_id", "version_id", "batch", F.posexplode(parsed["classifications"]).alias("item_no", "item"))
     typed = proposed.select(
-        "work_id", "version_id", "item_no", item["context_id"].alias("context_id"),
+        "work_id", "version_id", "batch", "item_no", item["context_id"].alias("context_id"),
         tx.proposable_type(item["type"]).alias("type"),
         F.coalesce(item["confidence"], F.lit(0.0)).alias("confidence"),
         tf.blank_to_null(item["aspect"]).alias("aspect"),
@@ -140,16 +141,16 @@ def context_candidates(
     ).where(F.col("type").isNotNull() & (F.col("confidence") >= MIN_CONFIDENCE))
     targets = resolved.where("resolved_work_id IS NOT NULL").select("work_id", "target", "resolved_work_id")
     found = (
-        typed.join(contexts, ["work_id", "context_id"])
+        typed.join(contexts, ["work_id", "batch", "context_id"])
         .join(targets, ["work_id", "target"])
         .withColumn("evidence_text", F.coalesce("quote", "text"))
         .where((F.col("resolved_work_id") != F.col("work_id")) & (tf.strip(F.col("evidence_text")) != ""))
         .select(
             "type", F.col("work_id").alias("source_work_id"), F.col("resolved_work_id").alias("target_work_id"),
             "confidence", "aspect", "explanation", "version_id", "evidence_text",
-            F.when(F.col("page") > 0, F.col("page")).otherwise(1).alias("page"), "bbox", "item_no", "context_id")
+            F.when(F.col("page") > 0, F.col("page")).otherwise(1).alias("page"), "bbox", "batch", "item_no")
     )
-    return first_per_relation(not_yet_related(found, relations, members), ["item_no", "context_id"])
+    return first_per_relation(not_yet_related(found, relations, members), ["batch", "item_no"])
 
 
 def pair_candidates(outputs: DataFrame, relations: DataFrame, members: DataFrame) -> DataFrame:
@@ -335,10 +336,17 @@ def map_nodes(
 
 
 def neighbor_lists(neighbors: DataFrame, graph_works: DataFrame | None = None) -> DataFrame:
-    """(dimension, work_id, entries): neighbours of a work, best first. Lists are trimmed, hence short."""
-    rows = neighbors if graph_works is None else in_graph(neighbors, graph_works, "work_id", "other_id")
+    """(dimension, work_id, entries): neighbours of a work, best first. Lists are trimmed, hence short.
+
+    With `graph_works` there is a list for each graph that holds the work, of those neighbours that it holds too.
+    """
+    rows, key = neighbors, ["dimension", "work_id"]
+    if graph_works is not None:
+        held = graph_works.select("graph_id", "work_id").distinct()
+        rows = rows.join(held, "work_id").join(held.withColumnRenamed("work_id", "other_id"), ["graph_id", "other_id"])
+        key = ["graph_id", *key]
     entry = F.struct((-F.col("score")).alias("n"), "other_id")
-    return rows.groupBy("dimension", "work_id").agg(
+    return rows.groupBy(*key).agg(
         F.transform(
             F.array_sort(F.collect_list(entry)),
             lambda s: F.struct(s["other_id"].alias("other_id"), (-s["n"]).alias("score")),
@@ -571,24 +579,35 @@ def node_relations(
 
 # --- prompts and grounding ------------------------------------------------------------------
 
+# Wording of the prompts, characters of an abstract and contexts in one of them.
+PAIR_LEAD = "Compare paper A and paper B. Propose whitelist relations if any.\n\n"
+PAIR_SIDE, PAIR_PARTS = "### Paper {}\n", ("title: ", "\nabstract: ", "\nmethods:\n", "\nclaims:\n", "\n")
+NO_BULLETS = "(none extracted)"
+CONTEXT_LEAD = ("Citing paper title: ", "\n\nClassify each citation context below.\n\n")
+CONTEXT_PARTS = ("### context_id=", "\npage=", "\ncited_title=", "\ncontext:\n", "\n\n")
+NO_TITLE = "(unknown)"
+ABSTRACT_CHARS, CONTEXTS_AT_ONCE = 1500, 12
+
 
-def pair_briefs(pairs: DataFrame, papers: DataFrame) -> DataFrame:
+def pair_briefs(pairs: DataFrame, papers: DataFrame, abstract_chars: int | None = ABSTRACT_CHARS) -> DataFrame:
     """Comparison prompt of (a_work_id, b_work_id).
 
-    `papers`: work_id, title, abstract, methods array<struct<name,description>>, claims array<string>.
+    `papers`: work_id, title, abstract, methods array<struct<name,description>>, claims array<string>. Of an abstract
+    the first `abstract_chars` characters are shown, or all.
     """
-    bullets = lambda items: F.when(F.size(items) == 0, F.lit("(none extracted)")).otherwise(
+    abstract = F.col("abstract") if abstract_chars is None else F.substring("abstract", 1, abstract_chars)
+    bullets = lambda items: F.when(F.size(items) == 0, F.lit(NO_BULLETS)).otherwise(
         F.array_join(F.transform(items, lambda s: F.concat(F.lit("- "), s)), "\n")
     )
     body = F.concat(
-        F.lit("title: "), "title", F.lit("\nabstract: "), F.substring("abstract", 1, 1500),
-        F.lit("\nmethods:\n"), bullets(F.transform("methods", tf.method_line)),
-        F.lit("\nclaims:\n"), bullets(F.col("claims")), F.lit("\n"))
+        F.lit(PAIR_PARTS[0]), "title", F.lit(PAIR_PARTS[1]), abstract,
+        F.lit(PAIR_PARTS[2]), bullets(F.transform("methods", tf.method_line)),
+        F.lit(PAIR_PARTS[3]), bullets(F.col("claims")), F.lit(PAIR_PARTS[4]))
     side = lambda s: papers.select(
         F.col("work_id").alias(f"{s}_work_id"),
-        F.concat(F.lit(f"### Paper {s.upper()}\n"), body).alias(f"_{s}"),
+        F.concat(F.lit(PAIR_SIDE.format(s.upper())), body).alias(f"_{s}"),
     )
-    lead = F.lit("Compare paper A and paper B. Propose whitelist relations if any.\n\n")
+    lead = F.lit(PAIR_LEAD)
     return (
         pairs.join(side("a"), "a_work_id").join(side("b"), "b_work_id")
         .select("a_work_id", "b_work_id", F.concat(lead, "_a", "_b").alias("prompt"))
@@ -610,17 +629,17 @@ def positions_within(df: DataFrame, key: list[str], order: str, name: str, strid
     )
 
 
-def context_prompts(contexts: DataFrame, titles: DataFrame, batch: int = 12) -> DataFrame:
-    """Classification prompts: twelve contexts of one document each.
+def context_prompts(contexts: DataFrame, titles: DataFrame, batch: int = CONTEXTS_AT_ONCE) -> DataFrame:
+    """Classification prompts: `batch` contexts of one document each.
 
     `contexts`: work_id, position, context_id, text, page, cited_title (known targets only); `titles`:
     work_id, title.
     """
     numbered = positions_within(contexts, ["work_id"], "position", "_at")
     entry = F.concat(
-        F.lit("### context_id="), "context_id", F.lit("\npage="), F.col("page").cast("string"),
-        F.lit("\ncited_title="), F.coalesce("cited_title", F.lit("(unknown)")), F.lit("\ncontext:\n"), "text",
-        F.lit("\n\n"))
+        F.lit(CONTEXT_PARTS[0]), "context_id", F.lit(CONTEXT_PARTS[1]), F.col("page").cast("string"),
+        F.lit(CONTEXT_PARTS[2]), F.coalesce("cited_title", F.lit(NO_TITLE)), F.lit(CONTEXT_PARTS[3]), "text",
+        F.lit(CONTEXT_PARTS[4]))
     chunk = numbered.groupBy("work_id", F.floor(F.col("_at") / batch).alias("batch_no")).agg(
         F.count("*").alias("contexts"),
         F.array_join(
@@ -628,7 +647,7 @@ def context_prompts(contexts: DataFrame, titles: DataFrame, batch: int = 12) ->
         ).alias("_body"),
     )
     lead = F.concat(
-        F.lit("Citing paper title: "), "title", F.lit("\n\nClassify each citation context below.\n\n"))
+        F.lit(CONTEXT_LEAD[0]), "title", F.lit(CONTEXT_LEAD[1]))
     return chunk.join(titles, "work_id").select("work_id", "batch_no", "contexts", F.concat(lead, "_body").alias("prompt"))
 
 

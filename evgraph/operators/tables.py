@@ -51,8 +51,10 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str], order: list[s
 
 
 def insert_ignore(current: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of `new` whose key is not stored yet, one per key."""
-    return new.dropDuplicates(key).join(current.select(*key), key, "left_anti").select(*new.columns)
+    """Rows of `new` whose key is not stored yet; of several with one key, the least by the other columns."""
+    rest = [c for c in new.columns if c not in key]
+    first = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*") if rest else new.distinct()
+    return first.join(current.select(*key), key, "left_anti").select(*new.columns)
 
 
 def paged(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:

@@ -95,9 +95,15 @@ def tei_documents(t: Library) -> DataFrame:
 
 
 def context_outputs(t: Library) -> DataFrame:
-    """Classification replies, one per order: good, weak, wrong type, unknown context, no quote."""
+    """Classification replies: good, weak, wrong type, unknown context, no quote; for every seventh order also one of
+    a second batch that names a context of the first, which it may not."""
+    own, foreign = _replies(t, 0), _replies(t, 1).where("work_id % 7 = 0")
+    return own.unionByName(foreign)
+
+
+def _replies(t: Library, batch: int) -> DataFrame:
     key = F.col("o_orderkey")
-    kind = pick(tx.RELATION_TYPES + ["none"], key % 13)
+    kind = pick(tx.RELATION_TYPES + ["none"], (key + batch) % 13)
     item = F.struct(
         F.when(key % 11 == 0, "c9").otherwise("c0").alias("context_id"),
         F.concat(F.lit(" "), F.upper(kind)).alias("type"),
@@ -107,13 +113,14 @@ def context_outputs(t: Library) -> DataFrame:
         F.round((F.col("o_totalprice") % 100) / 100, 4).alias("confidence"),
     )
     fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(item).alias("classifications"))), F.lit("\n```"))
-    return t.spread("orders").select(key.alias("work_id"), (key * 2).alias("version_id"), fenced.alias("raw"))
+    return t.spread("orders").select(
+        key.alias("work_id"), (key * 2).alias("version_id"), F.lit(batch).alias("batch"), fenced.alias("raw"))
 
 
 def contexts_of_orders(t: Library) -> DataFrame:
     key = F.col("o_orderkey")
     return t.raw("orders").select(
-        key.alias("work_id"), F.lit("c0").alias("context_id"), F.lit("#b0").alias("target"),
+        key.alias("work_id"), F.lit(0).alias("batch"), F.lit("c0").alias("context_id"), F.lit("#b0").alias("target"),
         F.when(key % 5 == 0, " ").otherwise(F.col("o_orderpriority")).alias("text"), (key % 4 - 1).cast("int").alias("page"),
         F.lit(None).cast("string").alias("bbox"))
 

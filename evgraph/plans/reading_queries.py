@@ -192,16 +192,18 @@ def _(t):
 
 
 @query("d17_comments_since", """
-    SELECT comment_id, kind FROM node_comments WHERE created_ord > 20003 AND kind IN ('question', 'idea')""")
+    SELECT comment_id, kind FROM node_comments WHERE graph_id = 3 AND created_ord > 20003 AND kind IN ('question', 'idea')
+      AND (visibility = 'team' OR user_id = 3)""")
 def _(t):
-    rows = reads.filter_comments(t.node_comments, 20003, ["Question", "IDEA"], None, order="created_ord")
+    rows = reads.filter_comments(t.node_comments, 3, 3, None, 20003, ["Question", "IDEA"], None, order="created_ord")
     return rows.select("comment_id", "kind")
 
 
 @query("d17_latest_comments", """
-    SELECT comment_id, kind FROM node_comments WHERE kind IN ('question', 'idea') ORDER BY created_ord DESC LIMIT 200""")
+    SELECT comment_id, kind FROM node_comments WHERE kind IN ('question', 'idea') AND (visibility = 'team' OR user_id = 4)
+    ORDER BY created_ord DESC LIMIT 200""")
 def _(t):
-    rows = reads.filter_comments(t.node_comments, kinds=["question", "idea"], order="created_ord")
+    rows = reads.filter_comments(t.node_comments, 4, kinds=["question", "idea"], order="created_ord")
     return rows.select("comment_id", "kind")
 
 

@@ -216,12 +216,13 @@ def _(t):
 
 
 @query("e9_neighbor_lists", """
-    SELECT dimension, work_id, string_agg(other_id || ':' || round(score * 1000000)::BIGINT, ',' ORDER BY score DESC, other_id) AS entries
-    FROM graph_neighbors WHERE work_id IN (SELECT work_id FROM graph_works) AND other_id IN (SELECT work_id FROM graph_works) GROUP BY 1, 2""")
+    SELECT g.graph_id, dimension, n.work_id, string_agg(other_id || ':' || round(score * 1000000)::BIGINT, ',' ORDER BY score DESC, other_id) AS entries
+    FROM graph_neighbors n JOIN (SELECT DISTINCT graph_id, work_id FROM graph_works) g ON g.work_id = n.work_id
+    JOIN (SELECT DISTINCT graph_id, work_id FROM graph_works) o ON o.work_id = n.other_id AND o.graph_id = g.graph_id GROUP BY 1, 2, 3""")
 def _(t):
     lists = rel.neighbor_lists(graph_neighbors(t), t.graph_works)
     entry = lambda s: F.concat(s["other_id"].cast("string"), F.lit(":"), F.round(s["score"] * 1_000_000).cast("long").cast("string"))
-    return lists.select("dimension", "work_id", F.array_join(F.transform("entries", entry), ",").alias("entries"))
+    return lists.select("graph_id", "dimension", "work_id", F.array_join(F.transform("entries", entry), ",").alias("entries"))
 
 
 def candidates(t, mode="explore"):
@@ -384,13 +385,13 @@ def _(t):
     UNION ALL SELECT 'neighbor', work_id::VARCHAR, dimension || other_id FROM graph_neighbors
         WHERE work_id IN (SELECT work_id FROM p) AND other_id IN (SELECT work_id FROM p)
     UNION ALL SELECT 'comments', work_id::VARCHAR, count(*)::VARCHAR FROM node_comments
-        WHERE (visibility = 'team' OR user_id = 3) AND work_id IN (SELECT work_id FROM p) GROUP BY work_id
+        WHERE graph_id = 3 AND (visibility = 'team' OR user_id = 3) AND work_id IN (SELECT work_id FROM p) GROUP BY work_id
     UNION ALL SELECT 'meta', total::VARCHAR, CASE WHEN total > 50 THEN 50 END::VARCHAR FROM c""")
 def _(t):
     scope = t.graph_works.where("graph_id = 3")
     page = rel.graph_page(
         nodes(t, scope), edges(t, scope), rel.in_graph(graph_neighbors(t), scope, "work_id", "other_id"),
-        reads.visible_to(t.node_comments, 3), limit=40, offset=10)
+        reads.visible_to(t.node_comments, 3).where("graph_id = 3"), limit=40, offset=10)
     row = lambda name, a, b: page[name].select(F.col(a).cast("string").alias("a"), F.expr(b).cast("string").alias("b"))
     parts = {
         "node": row("nodes", "work_id", "readers"),

@@ -1,29 +1,25 @@
 """Session helpers."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder shared by all executors, named by the cluster in spark.checkpoint.dir.
+    """Folder shared by all executors: spark.checkpoint.dir, or else the session's warehouse.
 
-    Only where the setting is absent (tests on one machine) a local folder is made.
+    A local warehouse is shared only where everything runs in one process: elsewhere it is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
-    return named or _local_dir()
-
-
-_LOCAL: list[str] = []
-
-
-def _local_dir() -> str:
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="evgraph-"))
-    return _LOCAL[0]
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    alone = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+    if warehouse.startswith(("file:", "/")) and not alone:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -159,3 +159,26 @@ def test_queue_variants(spark):
     assert ids(only_unreviewed=False) == [7, 5, 4, 3, 2]
     assert ids(work_id=100) == [1, 2, 3, 4, 5]
     assert ids(work_id=100, only_unreviewed=False, limit=2, offset=4) == [5, 7]
+
+
+def test_replies_name_contexts_of_their_own_batch_only(spark):
+    """Thirteen contexts make two batches; the first batch's first item wins, whatever the context's number."""
+    import json
+
+    from evgraph.operators.relations import context_candidates
+
+    item = lambda c, kind, **more: {"context_id": c, "type": kind, "confidence": 0.9, "explanation": c, **more}
+    replies = [
+        (0, [item("c12", "improves_on"), item("c3", "improves_on"), item("c2", "improves_on")]),
+        (1, [item("c0", "improves_on"), item("c12", "improves_on"), item("c12", "alternative_to")]),
+    ]
+    outputs = spark.createDataFrame(
+        [(1, 10, b, json.dumps({"classifications": r})) for b, r in replies], "work_id long, version_id long, batch int, raw string")
+    contexts = spark.createDataFrame(
+        [(1, n // 12, f"c{n}", "#b0", f"text {n}", 1, None) for n in range(13)],
+        "work_id long, batch int, context_id string, target string, text string, page int, bbox string")
+    resolved = spark.createDataFrame([(1, "#b0", 2)], "work_id long, target string, resolved_work_id long")
+    relations = spark.createDataFrame([], "relation_id long, type string, assertion_mode string, review_status string")
+    members = spark.createDataFrame([], "relation_id long, entity_id long, role string")
+    got = {r["type"]: r["explanation"] for r in context_candidates(outputs, contexts, resolved, relations, members).collect()}
+    assert got == {"improves_on": "c3", "alternative_to": "c12"}
