@@ -124,15 +124,23 @@ def card_sections(t) -> DataFrame:
     return out
 
 
-def node_context(t, comments: DataFrame, related: DataFrame, latest: int = 50) -> DataFrame:
-    """Sections of a node read by an assistant: card subset, latest 50 comments, relations around it.
+def node_context(
+    t, graph_works: DataFrame, comments: DataFrame, related: DataFrame, latest: int | None = 50
+) -> DataFrame:
+    """Sections of a node read by an assistant: card subset, latest comments (50, or all), relations around it.
 
-    `comments` are the visible ones of one graph; `related` is `relations.node_relations`.
+    Only works that a graph holds are its nodes. `comments` are the visible ones; `related` is
+    `relations.node_relations`.
     """
     wanted = ["version", "author", "claim", "evidence"]
     cards = card_sections(t).where(F.col("section").isin(wanted))
-    nodes = related.select("graph_id", "work_id").union(comments.select("graph_id", "work_id")).distinct()
-    recent = top_k(comments, ["graph_id", "work_id"], [F.desc("created_ord"), F.desc("comment_id")], latest)
+    node = ["graph_id", "work_id"]
+    held = graph_works.select(*node).distinct()
+    comments, related = comments.join(held, node, "left_semi"), related.join(held, node, "left_semi")
+    nodes = related.select(*node).union(comments.select(*node)).distinct()
+    recent = comments
+    if latest is not None:
+        recent = top_k(comments, node, [F.desc("created_ord"), F.desc("comment_id")], latest)
     return (
         nodes.join(cards, "work_id")
         .unionByName(

@@ -456,7 +456,8 @@ def _(t):
 
 
 @query("e21_node_contexts", """
-    WITH vis AS (SELECT * FROM node_comments WHERE visibility = 'team' OR user_id = 3),
+    WITH vis AS (SELECT * FROM node_comments c WHERE (visibility = 'team' OR user_id = 3) AND EXISTS (
+        SELECT 1 FROM graph_works g WHERE g.graph_id = c.graph_id AND g.work_id = c.work_id)),
     nodes AS (SELECT graph_id, work_id FROM node_relations UNION SELECT graph_id, work_id FROM vis)
     SELECT n.graph_id, n.work_id, s.section, s.item_id FROM nodes n JOIN (
         SELECT work_id, 'version' AS section, version_id::VARCHAR AS item_id FROM versions
@@ -467,7 +468,7 @@ def _(t):
         QUALIFY row_number() OVER (PARTITION BY graph_id, work_id ORDER BY created_ord DESC) <= 50)
     UNION ALL SELECT graph_id, work_id, kind, coalesce(ref, other_id::VARCHAR) FROM node_relations""")
 def _(t):
-    out = reads.node_context(t, reads.visible_to(t.node_comments, 3), node_relations(t))
+    out = reads.node_context(t, t.graph_works, reads.visible_to(t.node_comments, 3), node_relations(t))
     return out.select("graph_id", "work_id", "section", "item_id")
 
 

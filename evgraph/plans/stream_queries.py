@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from evgraph import schemas
+from evgraph.operators import reads
 from evgraph.operators import similarity as sim
 from evgraph.plans.registry import query
 from evgraph.plans.similarity_queries import rounded
@@ -77,14 +78,16 @@ def _(t):
 
 @query("i4_comment_feed", """
     SELECT m.user_id AS viewer_id, c.comment_id FROM node_comments c JOIN (
-        SELECT group_id AS graph_id, user_id, user_id % 50 * 1000 AS since FROM group_members) m ON m.graph_id = c.graph_id
-    WHERE c.created_ord > m.since AND (c.visibility = 'team' OR c.user_id = m.user_id)""")
+        SELECT graph_id, user_id, user_id % 50 * 1000 AS since FROM group_members JOIN graphs USING (group_id)) m ON m.graph_id = c.graph_id
+    WHERE c.created_ord > m.since AND (c.visibility = 'team' OR c.user_id = m.user_id) AND c.kind IN ('question', 'idea')
+    QUALIFY row_number() OVER (PARTITION BY m.user_id ORDER BY c.created_ord DESC, c.comment_id DESC) <= 200""")
 def _(t):
     folder = fresh_path(t.spark, "feed")
     comments = StreamedLibrary(t.spark, t.directory, "conversations").node_comments
-    viewers = t.group_members.select(
-        F.col("group_id").alias("graph_id"), F.col("user_id").alias("viewer_id"), (F.col("user_id") % 50 * 1000).alias("since"))
-    stream = comments.select("comment_id", "graph_id", "work_id", "user_id", "visibility", F.col("created_ord").alias("updated_ord"))
-    _finish(feeds.follow_comments(stream, viewers, folder))
-    schema = "comment_id long, graph_id long, work_id long, user_id long, visibility string, updated_ord long, viewer_id long"
-    return feeds.comment_feed(t.spark, folder, schema).select("viewer_id", "comment_id")
+    viewers = reads.graphs_visible_to_users(t.group_members, t.graphs).select(
+        "graph_id", F.col("user_id").alias("viewer_id"), (F.col("user_id") % 50 * 1000).alias("since"))
+    stream = comments.select(
+        "comment_id", "graph_id", "work_id", "user_id", "kind", "visibility", F.col("created_ord").alias("updated_ord"))
+    _finish(feeds.follow_comments(stream, viewers, folder, ["Question", "idea"]))
+    schema = "comment_id long, graph_id long, work_id long, user_id long, kind string, visibility string, updated_ord long, viewer_id long"
+    return feeds.comment_feed(t.spark, folder, schema, 200).select("viewer_id", "comment_id")

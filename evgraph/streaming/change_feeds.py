@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evgraph.operators import consensus
-from evgraph.operators.tables import upsert_latest
+from evgraph.operators.tables import top_k, upsert_latest
 from evgraph.operators.similarity import K, citation_neighbors, lineage_edges, lineage_neighbors
 
 
@@ -117,14 +117,17 @@ def applied_results(spark: SparkSession, folder: str, schema) -> DataFrame:
 # --- comment feed -----------------------------------------------------------------------------------
 
 
-def follow_comments(comments: DataFrame, viewers: DataFrame, folder: str, once: bool = True) -> StreamingQuery:
-    """Feed of every viewer: rows changed after the viewer's cursor in graphs the viewer may read.
+def follow_comments(
+    comments: DataFrame, viewers: DataFrame, folder: str, kinds: list[str] | None = None, once: bool = True
+) -> StreamingQuery:
+    """Feed of every viewer: rows of given kinds changed after the viewer's cursor in graphs the viewer may read.
 
     `viewers`: viewer_id, graph_id, since. A private comment reaches its author only.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fed = batch.join(viewers, "graph_id").where(
+        asked = batch if kinds is None else batch.where(F.col("kind").isin([k.lower() for k in kinds]))
+        fed = asked.join(viewers, "graph_id").where(
             (F.col("updated_ord") > F.col("since"))
             & ((F.col("visibility") == "team") | (F.col("user_id") == F.col("viewer_id")))
         )
@@ -133,9 +136,12 @@ def follow_comments(comments: DataFrame, viewers: DataFrame, folder: str, once:
     return _start(comments, handle, f"{folder}/checkpoint", once)
 
 
-def comment_feed(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """What each viewer was sent."""
-    return _log(spark, f"{folder}/feed", schema)
+def comment_feed(spark: SparkSession, folder: str, schema, limit: int | None = None) -> DataFrame:
+    """What each viewer was sent: all of it, or the newest `limit` comments."""
+    sent = _log(spark, f"{folder}/feed", schema)
+    if limit is None:
+        return sent
+    return top_k(sent, ["viewer_id"], [F.desc("updated_ord"), F.desc("comment_id")], max(1, min(limit, 1000)))
 
 
 def next_cursors(feed: DataFrame) -> DataFrame:
