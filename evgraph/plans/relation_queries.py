@@ -8,7 +8,7 @@ from evgraph.operators import relations as rel
 from evgraph.plans import derived
 from evgraph.plans.oracle_views import HIGH, VIEWS, case, in_list, words
 from evgraph.plans.registry import query
-from evgraph.plans.similarity_queries import graph_neighbors
+from evgraph.plans.similarity_queries import graph_neighbors, stored_neighbors
 
 VIEWS |= {
     "cand": f"""
@@ -174,7 +174,7 @@ def _(t):
     LEFT JOIN related_works r ON r.work_id = b.work_id AND r.other_id = b.other_id WHERE r.work_id IS NULL
     QUALIFY row_number() OVER (PARTITION BY b.work_id ORDER BY b.score DESC, b.other_id) <= 10""")
 def _(t):
-    near = graph_neighbors(t).where("dimension = 'method_lineage'")
+    near = stored_neighbors(t, "method_lineage")
     none = t.citations.where("citing_work_id = cited_work_id")
     out = rel.recall_candidates(t.works, near, none, t.work_projects.where("project_id < 0"), t.relations, t.relation_members)
     return out.select("work_id", "other_id", F.round("score", 6).alias("score"))

@@ -1,5 +1,6 @@
 """G: neighbour lists and the views derived from them."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.operators import reads
@@ -48,12 +49,24 @@ def _(t):
     return rounded(sim.cosine_neighbors(t.embeddings), "field", "work_id", "other_id")
 
 
+_BUILDERS = {
+    "citation_coupling": lambda t: sim.citation_neighbors(t.citations),
+    "method_lineage": lambda t: sim.lineage_neighbors(sim.lineage_edges(t.relations, t.relation_members)),
+}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored_neighbors(t, dimension):
+    """The neighbour lists of one dimension: a table that is built once per application and input folder."""
+    key = (t.spark.sparkContext.applicationId, t.directory, dimension)
+    if key not in _STORED:
+        built = _BUILDERS[dimension](t).select(F.lit(dimension).alias("dimension"), "work_id", "other_id", "score")
+        _STORED[key] = materialize(built, "neighbors")
+    return _STORED[key]
+
+
 def graph_neighbors(t):
-    cites = sim.citation_neighbors(t.citations).withColumn("dimension", F.lit("citation_coupling"))
-    lines = sim.lineage_neighbors(sim.lineage_edges(t.relations, t.relation_members))
-    both = cites.unionByName(lines.withColumn("dimension", F.lit("method_lineage")))
-    # neighbour lists are a stored table: the views below read it
-    return materialize(both.select("dimension", "work_id", "other_id", "score"), "neighbors")
+    return stored_neighbors(t, "citation_coupling").unionByName(stored_neighbors(t, "method_lineage"))
 
 
 _BLEND = """SELECT work_id, other_id, sum(score * CASE dimension WHEN 'citation_coupling' THEN 0.7 ELSE 0.5 END / 1.2) AS score
@@ -80,7 +93,7 @@ def _(t):
     SELECT work_id, other_id, round(score, 6) AS score FROM lineage_neighbors WHERE score >= 0.4
     QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY score DESC, other_id) <= 6""")
 def _(t):
-    near = sim.single_dimension(graph_neighbors(t), "method_lineage", 6, 0.4)
+    near = sim.single_dimension(stored_neighbors(t, "method_lineage"), "method_lineage", 6, 0.4)
     return rounded(near, "work_id", "other_id")
 
 
