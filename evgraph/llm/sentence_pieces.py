@@ -12,10 +12,12 @@ each chunk is traced back on its own.
 """
 
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from evgraph.session import materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0  # below the least score, for a character without a piece
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 NOWHERE = float("-inf")
 
 
@@ -43,12 +45,11 @@ class Pieces:
     _built: dict = {}
 
     def __init__(self, pieces: list[tuple[str, float, str]]):
-        self.trie: dict = {}
+        self.trie: list = [{}, None, -1]  # children, and score and id of the piece that ends here
         self.byte_ids = np.zeros(256, np.int64)
-        self.bytes_of: list[bytes] = []
         own = [(i, p.replace("▁", " "), s) for i, (p, s, kind) in enumerate(pieces) if kind == "piece"]
-        for p, _, kind in pieces:
-            self.bytes_of.append(bytes([int(p[3:-1], 16)]) if kind == "byte" else p.replace("▁", " ").encode() if kind == "piece" else b"")
+        plain = [bytes([int(p[3:-1], 16)]) if kind == "byte" else p.replace("▁", " ").encode() if kind == "piece" else b"" for p, _, kind in pieces]
+        self.bytes_of = pa.array(plain, pa.large_binary())
         for i, (p, _, kind) in enumerate(pieces):
             if kind == "byte":
                 self.byte_ids[int(p[3:-1], 16)] = i
@@ -57,14 +58,18 @@ class Pieces:
         for i, p, score in own:
             node = self.trie
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = (score, i)
+                node = node[0].setdefault(c, [{}, None, -1])
+            node[1:] = score, i
         joined = {c for _, p, _ in own if len(p) > 1 for c in p}
         spaced = any(re.search("[^ ] ", p) for _, p, _ in own)
         inner = "[" + "".join(map(re.escape, sorted(joined - {" "}))) + "]" if joined - {" "} else "(?!)"
         # no piece lies across the ends of these parts
         self.parts = re.compile(f" *{inner}+| +|." if not spaced else f"(?: |{inner})+|.", re.DOTALL)
-        self._cache: dict[str, bytes] = {}
+        self.splits_at_spaces, self.splits_at_lines = not spaced, "\n" not in joined
+        self._parts = _Encoded(self.word)
+        # by words with and without a space before them
+        self._spaced = _Encoded(lambda w: b"".join(map(self.word, self.parts.findall(" " + w))))
+        self._plain = _Encoded(lambda w: b"".join(map(self.word, self.parts.findall(w))))
 
     @classmethod
     def of(cls, key: str, pieces) -> "Pieces":
@@ -72,63 +77,90 @@ class Pieces:
             cls._built = {key: cls(pieces)}
         return cls._built[key]
 
-    def viterbi(self, text: str, entry: dict[int, float], stop: int) -> tuple[list[float], list]:
-        """Best scores of the places in `text` over pieces that start before `stop`, and (start, id) of each last piece.
+    def viterbi(self, text: str, entry: dict[int, float], stop: int) -> tuple[list[float], list[int], list[int]]:
+        """Best scores of the places in `text` over pieces that start before `stop`, and start and id of each last piece.
 
-        `entry` gives scores of places where a path can begin; id -1 marks a character without a piece.
+        `entry` gives scores of places where a path can begin: their start is -1. Id -1 marks a character without a piece.
         """
-        best, back = [NOWHERE] * (len(text) + 1), [None] * (len(text) + 1)
+        best = [NOWHERE] * (len(text) + 1)
+        since, ids = [-1] * len(best), [-1] * len(best)
         for place, score in entry.items():
             best[place] = score
-        trie, size = self.trie, len(text)
-        for start in range(min(stop, size)):
+        root, reach, unknown = self.trie[0], self.reach, self.unknown
+        for start in range(min(stop, len(text))):
             here = best[start]
             if here == NOWHERE:
                 continue
-            node, at, single = trie, start, False
-            while at < size:
-                node = node.get(text[at])
+            children, at, single = root, start, False
+            for c in text[start : start + reach]:
+                node = children.get(c)
                 if node is None:
                     break
                 at += 1
-                end = node.get("")
-                if end is not None:
-                    single = single or at == start + 1
-                    if here + end[0] > best[at]:
-                        best[at], back[at] = here + end[0], (start, end[1])
-            if not single and here + self.unknown > best[start + 1]:
-                best[start + 1], back[start + 1] = here + self.unknown, (start, -1)
-        return best, back
-
-    def trace(self, text: str, back: list, place: int) -> tuple[int, bytes]:
+                children, score, piece = node
+                if score is not None:
+                    if at == start + 1:
+                        single = True
+                    score += here
+                    if score > best[at]:
+                        best[at], since[at], ids[at] = score, start, piece
+            if not single and here + unknown > best[start + 1]:
+                best[start + 1], since[start + 1], ids[start + 1] = here + unknown, start, -1
+        return best, since, ids
+
+    def trace(self, text: str, since: list[int], ids: list[int], place: int) -> tuple[int, bytes]:
         """Where the path to `place` begins, and its ids as little-endian 32-bit integers."""
-        ids: list[int] = []
-        while back[place] is not None:
-            start, piece = back[place]
-            ids += [piece] if piece >= 0 else self.byte_ids[list(text[start:place].encode())][::-1].tolist()
-            place = start
-        return place, np.array(ids[::-1], "<i4").tobytes()
+        out: list[int] = []
+        while since[place] >= 0:
+            if ids[place] >= 0:
+                out.append(ids[place])
+            else:
+                out += self.byte_ids[list(text[since[place] : place].encode())][::-1].tolist()
+            place = since[place]
+        return place, array("i", out[::-1]).tobytes()
 
     def word(self, text: str) -> bytes:
-        ids = self._cache.get(text)
-        if ids is None:
-            ids = self.trace(text, self.viterbi(text, {0: 0.0}, len(text))[1], len(text))[1]
-            if len(self._cache) >= CACHED_WORDS:
-                self._cache.clear()
-            if len(text) < 64:
-                self._cache[text] = ids
-        return ids
+        """Ids of a part."""
+        return self.trace(text, *self.viterbi(text, {0: 0.0}, len(text))[1:], len(text))[1]
+
+    def _line(self, line: str) -> bytes:
+        """Ids of characters between which and the rest of a text no piece lies."""
+        if "  " in line or not self.splits_at_spaces:
+            return b"".join(map(self._parts.__getitem__, self.parts.findall(line)))
+        first, *rest = line.split(" ")
+        return self._plain[first] + b"".join(map(self._spaced.__getitem__, rest))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a space and the text; none for an empty or null text."""
-        return b"".join(map(self.word, self.parts.findall(" " + text))) if text else b""
+        if not text:
+            return b""
+        if self.splits_at_lines:
+            return self._parts["\n"].join(map(self._line, (" " + text).split("\n")))
+        return self._line(" " + text)
 
     def decode(self, ids: np.ndarray) -> str:
         """Exactly the text that was encoded; ids that aren't of an encoding are decoded as far as they are UTF-8."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        found = self.bytes_of.take(pa.array(ids, pa.int32()))
+        text = (found.buffers()[2].to_pybytes() if len(found) and found.buffers()[2] else b"").decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
+class _Encoded(dict):
+    """Ids by key; what is missing is encoded, and kept while there is room."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self._encode(key)
+        if len(key) < 64:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[key] = ids
+        return ids
+
+
 class Chunk:
     """`size` characters of a document and up to reach - 1 more behind them."""
 
@@ -155,9 +187,6 @@ class Chunk:
         out[: len(part)] = part
         return out
 
-    def _score(self, ids: bytes, scores: np.ndarray) -> float:
-        return float(scores[np.frombuffer(ids, "<i4")].sum())
-
     def transfer(self) -> np.ndarray:
         """Best scores from each entry state (row) to each exit state (column)."""
         reach = self.pieces.reach
@@ -173,25 +202,25 @@ class Chunk:
         """The entry state of the best path to each exit state from entry states of these scores; -1: none."""
         entry = {s: float(v) for s, v in enumerate(scores) if v > NOWHERE}
         if self.head is None:
-            text, best, back = self._all(entry)
+            text, best, *back = self._all(entry)
             exits = self._exits(best, self.size)
-            return np.array([self.pieces.trace(text, back, self.size + t)[0] if v > NOWHERE else -1 for t, v in enumerate(exits)])
-        text, _, back = self._head(entry)
-        first = self.pieces.trace(text, back, self.head)[0]
+            return np.array([self.pieces.trace(text, *back, self.size + t)[0] if v > NOWHERE else -1 for t, v in enumerate(exits)])
+        text, _, *back = self._head(entry)
+        first = self.pieces.trace(text, *back, self.head)[0]
         return np.where(self._exits(self._tail()[1], self.size - self.tail) > NOWHERE, first, -1)
 
     def ids(self, scores: np.ndarray, exit_state: int) -> bytes:
         entry = {s: float(v) for s, v in enumerate(scores) if v > NOWHERE}
         if self.head is None:
-            text, _, back = self._all(entry)
-            return self.pieces.trace(text, back, self.size + exit_state)[1]
-        text, _, back = self._head(entry)
-        end, _, ending = self._tail()
-        middle = b"".join(map(self.pieces.word, self.pieces.parts.findall(self.text[self.head : self.tail])))
+            text, _, *back = self._all(entry)
+            return self.pieces.trace(text, *back, self.size + exit_state)[1]
+        text, _, *back = self._head(entry)
+        end, _, *ending = self._tail()
+        middle = b"".join(map(self.pieces._parts.__getitem__, self.pieces.parts.findall(self.text[self.head : self.tail])))
         return (
-            self.pieces.trace(text, back, self.head)[1]
+            self.pieces.trace(text, *back, self.head)[1]
             + middle
-            + self.pieces.trace(end, ending, self.size - self.tail + exit_state)[1]
+            + self.pieces.trace(end, *ending, self.size - self.tail + exit_state)[1]
         )
 
 
@@ -317,12 +346,22 @@ class Encoder:
         """doc_id, text and the columns `carry` of every row of `encoded` (doc_id, ids); null ids give an empty text."""
         vocabulary = self._vocabulary
         kinds = dict(encoded.dtypes)
-        fields = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry))
+        fields = "".join(f", `{c}` {kinds[c]}" for c in carry)
+        shape = encoded.sparkSession.createDataFrame([], f"doc_id {kinds['doc_id']}{fields}, text string").schema
 
-        def run(batch):
-            return batch | {"text": [vocabulary().decode(np.array(i or [], np.int64)) for i in batch["ids"]]}
+        def run(batches):
+            from pyspark.sql.pandas.types import to_arrow_schema
 
-        return map_documents(encoded.select("doc_id", "ids", *[c for c in carry if c != "ids"]), run, f"{fields}, text string")
+            schema = to_arrow_schema(shape)
+            for batch in batches:
+                ids = batch.column("ids")
+                ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())))
+                values = ids.flatten().to_numpy(zero_copy_only=False)
+                texts = [vocabulary().decode(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                columns = [batch.column(c) for c in ("doc_id", *carry)] + [pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        return encoded.select("doc_id", "ids", *[c for c in carry if c != "ids"]).mapInArrow(run, shape)
 
 
 def _lists(parts: list[bytes]) -> pa.Array:
