@@ -1,7 +1,8 @@
 """Removal of byte strings that occur more than once, by backward extension over sorted contexts.
 
-Every string of `least` bytes has an anchor: the leftmost of its grams with the least hash. Equal strings have equal
-anchors at equal places, so all strings with one anchor gram can be handled on their own. There the contexts to the
+Every string of `least` bytes has an anchor: the leftmost of its grams with the least hash, and a second gram at a
+fixed distance from it, on the side where more than half of the string's other bytes lie. Equal strings have equal
+grams at equal places, so all strings with one pair of grams can be handled on their own. There the contexts to the
 right of the anchor are sorted with the lengths of their common prefixes (a suffix array of the anchor's
 occurrences, and the bytes to the left are its Burrows-Wheeler column). Level by level, intervals are extended
 backwards by one byte: an interval splits by that byte, keeps its order, and lives on while it has two members.
@@ -12,6 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +56,10 @@ def _window_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(document, hash, anchor, first start, last start), places in `data`: concatenated documents ending at `ends`.
+    """(document, key, anchor, first start, last start), places in `data`: concatenated documents ending at `ends`.
 
-    Each start of a string of `least` bytes inside a document belongs to exactly one row.
+    Each start of a string of `least` bytes inside a document belongs to exactly one row; the key is made of the two grams
+    that all strings of the row hold.
     """
     gram = gram_bytes(least)
     if len(data) < least:
@@ -70,8 +73,16 @@ def anchors(data: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray,
     starts, place, doc = starts[inside], place[inside], doc[inside]
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))[: len(place)]
     last = np.concatenate((first[1:], [len(place)]))[: len(first)] - 1
-    at = place[first]
-    return doc[first], hashes[at].view(np.int64), at, starts[first], starts[last]
+    doc, at, lo, hi = doc[first], place[first], starts[first], starts[last]
+    half = (least - gram) // 2
+    ahead, behind = hi >= at - half, lo < at - half  # bytes before the anchor: at most half, or more
+    second = np.concatenate((at[ahead] + least - half - gram, at[behind] - half - 1))
+    doc, lo = np.concatenate((doc[ahead], doc[behind])), np.concatenate((np.maximum(lo, at - half)[ahead], lo[behind]))
+    hi = np.concatenate((hi[ahead], np.minimum(hi, at - half - 1)[behind]))
+    side = np.repeat(np.array([1, 2], np.uint64), (ahead.sum(), behind.sum()))
+    at = np.concatenate((at[ahead], at[behind]))
+    key = hashes[at] * np.uint64(0x94D049BB133111EB) + hashes[second] * np.uint64(0xD6E8FEB86659FD93) + side
+    return doc, (key ^ key >> np.uint64(32)).view(np.int64), at, lo, hi
 
 
 class _RangeLeast:
@@ -95,13 +106,12 @@ class _RangeLeast:
         return out
 
 
-def repeated_starts(group: np.ndarray, strings: list[bytes], before: np.ndarray, least: int) -> list[np.ndarray]:
-    """For each of the distinct `strings` the offsets where a `least`-byte string starts that another one of its group
-    holds at the same distance from the anchor; `before` are the bytes ahead of the anchor."""
+def repeated_starts(group: np.ndarray, strings: list[bytes], before: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(string, first, last): runs of offsets in the distinct `strings` where a `least`-byte string starts that another one
+    of its group holds at the same distance from the anchor; `before` are the bytes ahead of the anchor."""
     n = len(strings)
-    out: list[list[int]] = [[] for _ in range(n)]
     if n < 2:
-        return [np.array(o, np.int64) for o in out]
+        return (np.empty(0, np.int64),) * 3
     sizes = np.fromiter(map(len, strings), np.int64, n)
     after = sizes - before
     right, left = np.zeros((n, least), np.uint8), np.zeros((n, int(before.max()) + 1), np.uint8)
@@ -112,14 +122,15 @@ def repeated_starts(group: np.ndarray, strings: list[bytes], before: np.ndarray,
         left[i, :b] = own[:b][::-1]
     # intervals of the empty extension: the members of a group, in the order of their right contexts
     ranked = np.lexsort((right.view(f"S{least}").ravel(), group))
-    differ = right[ranked][1:] != right[ranked][:-1]
-    common = np.concatenate(([0], np.where(differ.any(1), differ.argmax(1), least)))
-    common_between = _RangeLeast(common)
+    common = np.concatenate(([0], [_common(right[i], right[j]) for i, j in zip(ranked[:-1].tolist(), ranked[1:].tolist())]))
+    del right
+    common_between = _RangeLeast(common.astype(np.int32))
     rank = np.empty(n, np.int64)
     rank[ranked] = np.arange(n)
     lowest = least - after  # a string shorter to the right than least - d holds no such start
     rows, interval = ranked, np.unique(group[ranked], return_inverse=True)[1]
-    hits_row, hits_at = [], []
+    opened, latest = np.full(n, -2), np.full(n, -2)
+    runs = []
     for d in range(least):
         fits = before[rows] >= d
         rows, interval = rows[fits], interval[fits]
@@ -138,19 +149,19 @@ def repeated_starts(group: np.ndarray, strings: list[bytes], before: np.ndarray,
             same = np.flatnonzero(v[1:] == v[:-1])
             long = same[common_between(rank[r[same]], rank[r[same + 1]]) >= least - d]
             hit = np.unique(np.concatenate((r[long], r[long + 1])))
-            hits_row.append(hit)
-            hits_at.append(before[hit] - d)
-    if not hits_row:
-        return [np.array(o, np.int64) for o in out]
-    row, at = np.concatenate(hits_row), np.concatenate(hits_at)
-    order = np.lexsort((at, row))
-    return np.split(at[order], np.searchsorted(row[order], np.arange(1, n)))
+            fresh = hit[latest[hit] != d - 1]
+            ended = fresh[latest[fresh] >= 0]
+            runs.append((ended, before[ended] - latest[ended], before[ended] - opened[ended]))
+            opened[fresh], latest[hit] = d, d
+    ended = np.flatnonzero(latest >= 0)
+    runs.append((ended, before[ended] - latest[ended], before[ended] - opened[ended]))
+    return tuple(np.concatenate(c) for c in zip(*runs))
 
 
-def _runs(starts: np.ndarray) -> tuple[list[int], list[int]]:
-    """First and last of each run of consecutive ascending numbers."""
-    cut = np.flatnonzero(np.diff(starts) > 1)
-    return starts[np.concatenate(([0], cut + 1))].tolist(), starts[np.concatenate((cut, [len(starts) - 1]))].tolist()
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    differ = a != b
+    at = int(differ.argmax())
+    return at if differ[at] else len(a)
 
 
 def _identity(text):
@@ -200,13 +211,22 @@ def _signed(digest: int) -> tuple[int, int]:
     return tuple(x - 2**64 if x >= 2**63 else x for x in (digest >> 64, digest & (2**64 - 1)))
 
 
+def _rows(batches, at_once: int = 50):
+    """Rows as dicts, a few of a batch at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, at_once):
+            yield from batch.slice(at, at_once).to_pylist()
+
+
 def _strings(found: DataFrame, least: int, owners: bool) -> DataFrame:
     """The strings of the listed anchors of each text: themselves (equal ones of a task together), or who owns them."""
 
     def run(batches):
+        names = [f.split()[0] for f in (OWNER if owners else STRING).split(", ")]
+        kinds = {"string": pa.binary(), "before": pa.int32(), "lo": pa.int32()}
         for batch in batches:
             rows, known = [], {}
-            for row in batch.to_pylist():
+            for row in _rows([batch]):
                 for p in row["places"]:
                     string = row["text"][p["lo"] : p["hi"] + least]
                     before = p["at"] - p["lo"]
@@ -218,8 +238,6 @@ def _strings(found: DataFrame, least: int, owners: bool) -> DataFrame:
                     else:
                         known[name, p["h"]] = one = [p["h"], *name, before, string, row["copies"]]
                         rows.append(one)
-            names = [f.split()[0] for f in (OWNER if owners else STRING).split(", ")]
-            kinds = {"string": pa.binary(), "before": pa.int32(), "lo": pa.int32()}
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(n, pa.int64())) for i, n in enumerate(names)], names=names)
 
     return found.mapInArrow(run, OWNER if owners else STRING)
@@ -235,21 +253,16 @@ def _verdicts(strings: DataFrame, least: int) -> DataFrame:
         own = np.flatnonzero(new)
         weight = np.add.reduceat(table.column("weight").to_numpy(), own)
         table = table.take(pa.array(own))
-        strings, before = table.column("string").to_pylist(), table.column("before").to_numpy().astype(np.int64)
-        group = h[own]
+        before, group = table.column("before").to_numpy().astype(np.int64), h[own]
+        lengths = pc.binary_length(table.column("string")).to_numpy()
         alone = np.concatenate(([True], group[1:] != group[:-1])) & np.concatenate((group[1:] != group[:-1], [True]))
-        starts = [np.empty(0, np.int64)] * len(own)
         meet = np.flatnonzero(~alone)
-        for k, found in zip(meet.tolist(), repeated_starts(group[meet], [strings[k] for k in meet], before[meet], least)):
-            starts[k] = found
-        rows = ([], [], [], [])
-        for k, found in enumerate(starts):
-            if weight[k] > 1:
-                found = np.arange(len(strings[k]) - least + 1)
-            if len(found):
-                first, last = _runs(found)
-                for column, values in zip(rows, ([s1[own[k]]] * len(first), [s2[own[k]]] * len(first), first, last)):
-                    column += values
+        k, first, last = repeated_starts(group[meet], table.column("string").take(pa.array(meet)).to_pylist(), before[meet], least)
+        k = meet[k] if len(k) else k
+        whole = np.flatnonzero(weight > 1)  # strings that occur more than once repeat in full
+        mine = weight[k] == 1
+        row = own[np.concatenate((whole, k[mine]))]
+        rows = (s1[row], s2[row], np.concatenate((0 * whole, first[mine])), np.concatenate((lengths[whole] - least, last[mine])))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, shape)], schema=shape)
 
     def run(batches):
@@ -275,15 +288,14 @@ def _counted_windows(found: DataFrame, least: int) -> DataFrame:
     """(b1, b2, first, last) for anchors whose group is too large for one task: every string counts by its hash."""
 
     def run(batches):
-        names = ("w1", "w2", "b1", "b2", "start", "copies")
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                text = row["text"]
-                for p in row["places"]:
-                    for start in range(p["lo"], p["hi"] + 1):
-                        rows.append((*_signed(xxhash.xxh3_128_intdigest(text[start : start + least])), row["b1"], row["b2"], start, row["copies"]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=list(names))
+        names = ["w1", "w2", "b1", "b2", "start", "copies"]
+        for row in _rows(batches):
+            text, rows = row["text"], []
+            for p in row["places"]:
+                for start in range(p["lo"], p["hi"] + 1):
+                    name = _signed(xxhash.xxh3_128_intdigest(text[start : start + least]))
+                    rows.append((*name, row["b1"], row["b2"], start, row["copies"]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names=names)
 
     windows = found.mapInArrow(run, "w1 long, w2 long, b1 long, b2 long, start long, copies long")
     often = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1").select("w1", "w2")
