@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evgraph.functions import text as tf
 from evgraph.functions.scores import synthetic_id
+from evgraph.operators.tables import left_known
 from evgraph.session import materialize
 
 
@@ -30,9 +31,8 @@ def resolve_works(records: DataFrame, works: DataFrame, versions: DataFrame) ->
     by_doi = _directory(versions, ["doi"], "work_id", "_by_doi")
     by_title = _title_year_directory(works, versions, "_by_title")
     keyed = records.withColumn("title_norm", tf.normalize_title(F.col("title")))
-    found = (
-        keyed.join(by_arxiv, "arxiv_id", "left").join(by_doi, "doi", "left").join(by_title, ["title_norm", "year"], "left")
-    )
+    found = left_known(left_known(keyed, by_arxiv, "arxiv_id"), by_doi, "doi")
+    found = left_known(found, by_title, "title_norm", "year")
     return found.withColumn("matched_work_id", F.coalesce("_by_arxiv", "_by_doi", "_by_title")).withColumn(
         "match_kind",
         F.when(F.col("_by_arxiv").isNotNull(), "arxiv")
@@ -63,7 +63,7 @@ def assign_new_works(unmatched: DataFrame) -> DataFrame:
         ranked, is_first = open_rows, F.lit(True)
         for k in keys:
             head = open_rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("seq").alias(f"first_{k}"))
-            ranked = ranked.join(head, k, "left")
+            ranked = left_known(ranked, head, k)
             is_first = is_first & (F.col(k).isNull() | (F.col(f"first_{k}") == F.col("seq")))
         founders = materialize(ranked.where(is_first).select("seq", *keys), "founders")
         rounds.append(founders)
@@ -76,7 +76,7 @@ def assign_new_works(unmatched: DataFrame) -> DataFrame:
         for founders in rounds:
             own = founders.where(F.col(k).isNotNull()).select(k, F.col("seq").alias(f"by_{k}"))
             owners = own if owners is None else owners.unionByName(own)
-        linked = linked.join(owners, k, "left") if rounds else linked.withColumn(f"by_{k}", F.col("seq"))
+        linked = left_known(linked, owners, k) if rounds else linked.withColumn(f"by_{k}", F.col("seq"))
     earlier = [F.when(F.col(f"by_{k}") < F.col("seq"), F.col(f"by_{k}")) for k in keys]
     kind = F.when(earlier[0].isNotNull(), keys[0])
     for k, by in zip(keys[1:], earlier[1:]):
@@ -129,7 +129,7 @@ def resolve_citations(references: DataFrame, versions: DataFrame) -> DataFrame:
     """Cited work by arXiv id when there is one, else by DOI; unresolved references keep their text."""
     by_arxiv = _directory(versions, ["arxiv_id"], "work_id", "_by_arxiv")
     by_doi = _directory(versions, ["doi"], "work_id", "_by_doi")
-    found = references.join(by_arxiv, "arxiv_id", "left").join(by_doi, "doi", "left")
+    found = left_known(left_known(references, by_arxiv, "arxiv_id"), by_doi, "doi")
     cited = F.when(F.col("arxiv_id").isNotNull(), F.col("_by_arxiv")).otherwise(F.col("_by_doi"))
     external = F.struct("title", "arxiv_id", "doi", "year")
     return found.select(
@@ -148,12 +148,11 @@ def resolve_bibliography(entries: DataFrame, works: DataFrame, versions: DataFra
     by_arxiv = _directory(versions, ["arxiv_id"], "work_id", "_by_arxiv")
     by_doi = _directory(versions, ["doi"], "work_id", "_by_doi")
     by_title = _directory(works, ["title_norm"], "work_id", "_by_title")
+    found = entries.withColumn("title_norm", tf.normalize_title(F.col("title")))
+    for directory, key in ((by_arxiv, "arxiv_id"), (by_doi, "doi"), (by_title, "title_norm")):
+        found = left_known(found, directory, key)
     return (
-        entries.withColumn("title_norm", tf.normalize_title(F.col("title")))
-        .join(by_arxiv, "arxiv_id", "left")
-        .join(by_doi, "doi", "left")
-        .join(by_title, "title_norm", "left")
-        .withColumn("resolved_work_id", F.coalesce("_by_arxiv", "_by_doi", "_by_title"))
+        found.withColumn("resolved_work_id", F.coalesce("_by_arxiv", "_by_doi", "_by_title"))
         .drop("_by_arxiv", "_by_doi", "_by_title", "title_norm")
     )
 

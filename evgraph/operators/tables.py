@@ -29,6 +29,15 @@ def dealt_out(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
+def left_known(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Left join whose rows without a key, which match nothing, are spread instead of meeting in one task."""
+    unknown = F.col(keys[0]).isNull()
+    for k in keys[1:]:
+        unknown = unknown | F.col(k).isNull()
+    salted = left.withColumn("_salt", F.when(unknown, 1 + F.monotonically_increasing_id() % 4096).otherwise(0))
+    return salted.join(right.withColumn("_salt", F.lit(0).cast("long")), [*keys, "_salt"], "left").drop("_salt")
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """First k rows per key. Spark prunes to k per task before the shuffle, so a hot key stays small."""
     name = rank or "_rank"
