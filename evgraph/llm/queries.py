@@ -210,7 +210,51 @@ def op2_cross_entropy_difference(spark, sf_dir):
     return cross_entropy.score(table(spark, sf_dir, "documents"), wanted)
 
 
-@query()
+LICENCE_TEMPLATES_SQL = """(VALUES
+  (0, 'MIT', 'Released under the MIT License.'),
+  (1, 'MIT', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files'),
+  (2, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+  (3, 'Apache-2.0', 'you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+  (4, 'GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+  (5, 'GPL-3.0', 'you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License'),
+  (6, 'BSD-3-Clause', 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met'),
+  (7, 'BSD-3-Clause', 'Licensed under the BSD 3-Clause License.'),
+  (8, 'MPL-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.'),
+  (9, 'CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+  (10, 'CC-BY-NC-4.0', 'This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.'),
+  (11, 'CC-BY-4.0', 'Licensed under CC BY 4.0.'),
+  (12, 'CC-BY-4.0', 'This work is licensed under a Creative Commons Attribution 4.0 International License.'))"""
+TERMS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+(?:[.-][\p{{L}}\p{{N}}]+)*')"
+
+
+@query(rf"""
+WITH tt AS (SELECT template, license, term, count(*) AS tf
+            FROM (SELECT template, license, unnest({TERMS_SQL.format('line')}) AS term FROM {LICENCE_TEMPLATES_SQL} AS t(template, license, line)) GROUP BY ALL),
+files AS (SELECT concat_ws('/', source, doc_id // 1000, doc_id // 100 % 10, CASE WHEN doc_id % 5 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS path, text FROM documents),
+n AS (SELECT count(*) AS files FROM files),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TERMS_SQL.format("coalesce(text, '')")})) AS term FROM files)
+       WHERE term IN (SELECT term FROM tt) GROUP BY term),
+idf AS (SELECT term, ln((1 + files) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), n),
+tw AS (SELECT template, license, term, tf * idf AS w FROM tt JOIN idf USING (term)),
+norms AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY template),
+lines AS (SELECT path, i, l[i] AS line FROM (SELECT path, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM files)
+          WHERE regexp_matches(l[i], '(?i)licen[cs]|permission|redistribut|copyright|spdx')),
+own AS (SELECT path, i, term, tf * coalesce(idf, ln(1 + files) + 1) AS w
+        FROM (SELECT path, i, term, count(*) AS tf FROM (SELECT path, i, unnest({TERMS_SQL.format('line')}) AS term FROM lines) GROUP BY ALL) LEFT JOIN idf USING (term), n),
+sizes AS (SELECT path, i, sqrt(sum(w * w)) AS size FROM own GROUP BY ALL),
+dots AS (SELECT path, i, template, license, sum(own.w * tw.w) AS dot FROM own JOIN tw USING (term) GROUP BY ALL),
+cos AS (SELECT path, license, round(dot / (size * norm), 6) AS cosine FROM dots JOIN sizes USING (path, i) JOIN norms USING (template)),
+found AS (SELECT path, license, cosine FROM cos WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license) = 1),
+declared AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, license FROM found WHERE regexp_matches(path, '(?i)/(licen[cs]e|copying|notice)([-._][^/]*)?$')
+             QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, license) = 1),
+folders AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM files),
+near AS (SELECT f.folder, d.license AS inherited, d.folder AS origin FROM folders f JOIN declared d ON f.folder = d.folder OR starts_with(f.folder, d.folder || '/')
+         QUALIFY row_number() OVER (PARTITION BY f.folder ORDER BY length(d.folder) DESC) = 1)
+SELECT path, coalesce(found.license, inherited) AS license, cosine,
+       CASE WHEN found.license IS NOT NULL THEN 'own' WHEN inherited IS NOT NULL THEN 'inherited' ELSE 'none' END AS source,
+       CASE WHEN found.license IS NULL THEN origin END AS origin
+FROM files LEFT JOIN found USING (path) LEFT JOIN near ON near.folder = regexp_replace(path, '/[^/]*$', '')
+""")
 def op5_license_scan(spark, sf_dir):
     """The documents as a file tree: source / thousands / hundreds, every fifth named as a licence file."""
     number = F.col("doc_id")
