@@ -204,10 +204,34 @@ def op8_toxicity(spark, sf_dir):
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-@query()
+@query(rf"""
+WITH d AS (SELECT doc_id, coalesce({WORDS_SQL}, []) AS w FROM documents),
+tokens AS (SELECT doc_id, k, w[k] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+vocabulary AS (SELECT word, 1 + row_number() OVER (ORDER BY n DESC, word) AS id
+               FROM (SELECT word, count(*) AS n FROM tokens GROUP BY word ORDER BY n DESC, word LIMIT 510)),
+pairs AS (SELECT doc_id, lag(id, 1, 1) OVER (PARTITION BY doc_id ORDER BY k) AS a, id AS b
+          FROM (SELECT doc_id, k, coalesce(id, 0) AS id FROM tokens LEFT JOIN vocabulary USING (word))),
+wanted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+near AS (SELECT a, b, count(*)::DOUBLE AS n FROM pairs WHERE doc_id IN (SELECT doc_id FROM wanted) GROUP BY ALL),
+far AS (SELECT a, b, count(*) * ((SELECT sum(n) FROM near) / (SELECT count(*) FROM pairs)) AS n FROM pairs GROUP BY ALL),
+seen AS (SELECT DISTINCT a, b FROM pairs),
+losses AS (
+  SELECT seen.a, seen.b,
+         -log2((coalesce(near.n, 0) + 100 * (coalesce(nb.n, 0) + 1) / ((SELECT sum(n) FROM near) + 512)) / (coalesce(na.n, 0) + 100)) AS target,
+         -log2((far.n + 100 * (fb.n + 1) / ((SELECT sum(n) FROM far) + 512)) / (fa.n + 100)) AS background
+  FROM seen LEFT JOIN near ON near.a = seen.a AND near.b = seen.b JOIN far ON far.a = seen.a AND far.b = seen.b
+  LEFT JOIN (SELECT a, sum(n) AS n FROM near GROUP BY a) na ON na.a = seen.a LEFT JOIN (SELECT b, sum(n) AS n FROM near GROUP BY b) nb ON nb.b = seen.b
+  JOIN (SELECT a, sum(n) AS n FROM far GROUP BY a) fa ON fa.a = seen.a JOIN (SELECT b, sum(n) AS n FROM far GROUP BY b) fb ON fb.b = seen.b),
+means AS (SELECT doc_id, avg(target) AS target, avg(background) AS background FROM pairs JOIN losses USING (a, b) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_tokens, round(target, 6) AS target_bits, round(background, 6) AS background_bits,
+       round(target - background, 6) AS difference
+FROM d LEFT JOIN means USING (doc_id)
+""")
 def op2_cross_entropy_difference(spark, sf_dir):
     wanted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return cross_entropy.score(table(spark, sf_dir, "documents"), wanted)
+    found = cross_entropy.score(table(spark, sf_dir, "documents"), wanted)
+    bits = [F.round(c, 6).alias(c) for c in ("target_bits", "background_bits", "difference")]
+    return found.select("doc_id", "n_tokens", *bits)
 
 
 LICENCE_TEMPLATES_SQL = """(VALUES
