@@ -122,14 +122,14 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         known.mapInArrow(count, "lang string, kind string, item binary, n long")
         .groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     )
-    ranked = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    top = counts.withColumn("rank", F.row_number().over(ranked)).filter(
-        F.col("rank") <= F.when(F.col("kind") == "word", limits.common_words).otherwise(len(CLASSES))
-    )
+    # a plain limit on the rank: each task keeps only that many words of a language before the shuffle
+    ranked = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
+    words = counts.filter("kind = 'word'").withColumn("rank", F.row_number().over(ranked))
+    top = words.filter(F.col("rank") <= limits.common_words)
     whole = counts.filter("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("whole"))
-    named = top.filter("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("named"))
+    named = top.groupBy("lang").agg(F.sum("n").alias("named"))
     rest = whole.join(named, "lang").select("lang", F.lit("word"), F.lit(b""), F.col("whole") - F.col("named"))
-    return top.select("lang", "kind", "item", "n").union(rest)
+    return top.select("lang", "kind", "item", "n").union(rest).union(counts.filter("kind = 'class'"))
 
 
 class Reference:
