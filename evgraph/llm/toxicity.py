@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.llm.common import held_out, id_and_bytes, map_documents
@@ -43,13 +43,13 @@ def _read(text: bytes | None) -> tuple[str, set[str]]:
 
 def _labels(labels: DataFrame) -> DataFrame:
     """(doc_id, toxic) of known labels, the higher one where an id has several."""
-    return labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
 
 
-def _drawn(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """At most `most` rows for each value of `by`, in the order of a hash of doc_id."""
-    order = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("rank")
+def _drawn(rows: DataFrame, is_bad, most: int) -> DataFrame:
+    """At most `most` rows of either class, the first by a hash of doc_id: each task keeps no more than that."""
+    first = lambda part: part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return first(rows.filter(is_bad)).union(first(rows.filter(~is_bad)))
 
 
 def associated_terms(docs: DataFrame, sample: DataFrame, least: int, most: int) -> list[tuple[str, int, int]]:
@@ -224,7 +224,7 @@ def score(
     texts = id_and_bytes(docs, held_out().alias("held_out"))
     learned = texts.filter(~F.col("held_out")).select("doc_id", "text")
     known = _labels(labels).filter(~held_out())
-    labelled = materialize(_drawn(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "toxic", sample), "labelled")
+    labelled = materialize(_drawn(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), F.col("toxic") > 0, sample), "labelled")
     sizes = dict(labelled.groupBy("toxic").count().collect())
     if not sizes.get(0) or not sizes.get(1):
         return texts.select("doc_id", "held_out", F.lit(0.0).alias("score"))
@@ -249,7 +249,7 @@ def score(
             found = _chances(model, unpacked(batch.column("mask").to_numpy(), size), batch.column("label").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array(found >= 0.5)], names=["doc_id", "chance", "bad"])
 
-    taken = _drawn(votes.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).mapInArrow(chances, "doc_id long, chance double, bad boolean"), "bad", sample)
+    taken = _drawn(votes.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).mapInArrow(chances, "doc_id long, chance double, bad boolean"), F.col("bad"), sample)
     names = spark.sparkContext.broadcast({t: i for i, (t, _, _) in enumerate(terms)})
 
     def present(text):
