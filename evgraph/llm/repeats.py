@@ -22,6 +22,7 @@ from evgraph.llm.common import map_documents
 from evgraph.session import materialize
 
 BYTES_AT_ONCE = 2_000_000
+KNOWN_TEXTS = 100_000
 
 
 def gram_bytes(least: int) -> int:
@@ -170,19 +171,24 @@ def _identity(text):
 
 
 def _buffers(batches):
-    """Rows of (b1, b2, text), together at most about BYTES_AT_ONCE or one row, equal neighbours once."""
+    """Rows of (b1, b2, text), together at most about BYTES_AT_ONCE or one row.
+
+    Copies of a text bring nothing new: those of the latest KNOWN_TEXTS texts are passed over.
+    """
     held, size, seen = [], 0, set()
     for batch in batches:
         b1, b2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i in range(batch.num_rows):
             if (b1[i], b2[i]) in seen:
                 continue
+            if len(seen) >= KNOWN_TEXTS:
+                seen.clear()
             seen.add((b1[i], b2[i]))
             held.append((b1[i], b2[i], batch.column(2)[i].as_py()))
             size += len(held[-1][2])
             if size > BYTES_AT_ONCE:
                 yield held
-                held, size, seen = [], 0, set()
+                held, size = [], 0
     if held:
         yield held
 
