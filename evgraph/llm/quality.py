@@ -19,7 +19,7 @@ from evgraph.llm.common import id_and_bytes, map_documents
 
 SYMBOLS = b"#*$%&|<>"  # fixed value
 CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "symbol", "other", "beyond")
-OTHER_WORDS = ""
+NO_WORD_CHARACTER = b" \t\n\r\x0b\x0c" + bytes(range(0x80, 0xC0))  # white space, and all but the first byte of a character
 COUNTED_AT_ONCE = 300_000
 
 
@@ -59,7 +59,7 @@ def base_counts(text: bytes, words: list[bytes]) -> dict:
     lines = Counter(line for line in text.split(b"\n") if line.split())
     return {
         "n_words": len(words),
-        "word_chars": sum(len(w.decode("utf-8", "replace")) for w in words) if not text.isascii() else sum(map(len, words)),
+        "word_chars": len(text.translate(None, NO_WORD_CHARACTER)),
         "n_symbols": len(text) - len(text.translate(None, SYMBOLS)),
         "n_dup_lines": sum(lines.values()) - len(lines),
         "n_repeat_words": repeated_words(words),
@@ -69,9 +69,9 @@ def base_counts(text: bytes, words: list[bytes]) -> dict:
 def repeated_words(words: list[bytes], width: int = 5) -> int:
     """Words inside windows of `width` words that occur more than once in the text."""
     shifted = lambda: zip(*(islice(words, k, None) for k in range(width)))
-    seen = Counter(shifted())
-    if len(seen) == max(0, len(words) - width + 1):
+    if len(set(shifted())) == max(0, len(words) - width + 1):
         return 0
+    seen = Counter(shifted())
     total, end = 0, 0
     for at, window in enumerate(shifted()):
         if seen[window] > 1:
@@ -95,11 +95,11 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     all others) over all texts of each non-null language: at most classes + common_words + 1 rows a language."""
 
     def count(batches):
-        words: Counter = Counter()
+        words: dict[str, Counter] = {}
         classes: dict = {}
 
         def out(final):
-            rows = [(lang, "word", w, n) for (lang, w), n in words.items()]
+            rows = [(lang, "word", w, n) for lang, own in words.items() for w, n in own.items()]
             if final:
                 rows += [(lang, "class", c.encode(), int(n)) for lang, v in classes.items() for c, n in zip(CLASSES, v)]
             words.clear()
@@ -109,11 +109,9 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                own = Counter(text.lower().split())
-                for w, n in own.items():
-                    words[lang, w] += n
+                words.setdefault(lang, Counter()).update(text.lower().split())
                 classes[lang] = classes.get(lang, 0) + character_classes(text)
-                if len(words) > COUNTED_AT_ONCE:
+                if sum(map(len, words.values())) > COUNTED_AT_ONCE:
                     yield out(False)
         yield out(True)
 
