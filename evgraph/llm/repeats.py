@@ -26,8 +26,8 @@ KNOWN_TEXTS = 100_000
 
 
 def gram_bytes(least: int) -> int:
-    """Largest power of two of at most a third of `least`."""
-    return 1 << max(0, (least // 3).bit_length() - 1)
+    """Largest power of two of at most a sixth of `least`: the longer a gram, the more anchors there are."""
+    return 1 << max(0, (least // 6).bit_length() - 1)
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
