@@ -4,7 +4,7 @@ Voters are words and word beginnings that labelled texts tie to toxicity, a smal
 A generative model of the votes given the hidden label is fitted by expectation-maximisation over all texts outside
 the held-out fold; labels are observed where they exist. It estimates each voter's rates in both classes and, given
 the class, the correlations between voters, by which the say of voters that repeat each other is divided. A linear
-classifier on words and word beginnings is then trained on the model's posterior labels.
+classifier on words and word beginnings, the lexicon and the patterns is then trained on the model's posterior labels.
 """
 
 import re
@@ -52,8 +52,24 @@ def _drawn(rows: DataFrame, is_bad, most: int) -> DataFrame:
     return first(rows.filter(is_bad)).union(first(rows.filter(~is_bad)))
 
 
-def associated_terms(docs: DataFrame, sample: DataFrame, least: int, most: int) -> list[tuple[str, int, int]]:
-    """(term, toxic texts, clean texts) of the `most` terms with the largest chi-square over the sampled texts."""
+def merged(terms: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Without terms that stand in the same texts as a shorter beginning of theirs.
+
+    A word's texts are among those of its beginnings, so equal numbers mean equal texts.
+    """
+    counts = {t: (b, g) for t, b, g in terms}
+
+    def repeats(term, own):
+        word = term.lstrip("^")
+        return any(counts.get("^" + word[:n]) == own for n in BEGINNINGS if n < len(word))
+
+    return [(t, b, g) for t, b, g in terms if not repeats(t, (b, g))]
+
+
+def associated_terms(docs: DataFrame, sample: DataFrame, least: int, chi_square: float) -> tuple[list[tuple[str, int, int]], int, int]:
+    """(term, toxic texts, clean texts) of all terms in at least `least` texts whose chi-square reaches `chi_square`, the
+    largest first, and the numbers of toxic and clean texts. Each distinct text of the sample counts once.
+    """
 
     def count(batches):
         for batch in batches:
@@ -68,15 +84,16 @@ def associated_terms(docs: DataFrame, sample: DataFrame, least: int, most: int)
                 "good": pa.array([seen[0].get(t, 0) for t in names], pa.int64()),
             })
 
-    rows = docs.join(F.broadcast(sample), "doc_id")  # the sample is bounded
+    rows = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic").distinct()  # the sample is bounded
+    rows = materialize(rows, "sampled_texts")
     counts = rows.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    sizes = dict(sample.groupBy("toxic").count().collect())
-    bad, good = float(sizes[1]), float(sizes[0])
-    share = (F.col("bad") + F.col("good")) / (bad + good)
-    chi = F.pow(F.col("bad") / bad - F.col("good") / good, 2) / (share * (1 - share) + 1e-12)
-    often = F.col("bad") + F.col("good") >= max(least, bad / 50)  # rarer ones may come from a few copies
-    top = counts.filter(often).orderBy(chi.desc(), "term").limit(most)
-    return [tuple(r) for r in top.collect()]
+    sizes = dict(rows.groupBy("toxic").count().collect())
+    bad, good = sizes[1], sizes[0]
+    share = (F.col("bad") + F.col("good")) / float(bad + good)
+    gap = F.col("bad") / float(bad) - F.col("good") / float(good)
+    chi = F.pow(gap, 2) / (share * (1 - share) * (1 / bad + 1 / good) + 1e-12)
+    tied = counts.filter(F.col("bad") + F.col("good") >= least).filter(chi >= chi_square).orderBy(chi.desc(), "term")
+    return merged([tuple(r) for r in tied.collect()]), bad, good
 
 
 def voters_among(terms: list[tuple[str, int, int]], bad: int, good: int, precision: float) -> list[str]:
@@ -189,34 +206,67 @@ def fit_label_model(votes: DataFrame, size: int, rounds: int) -> tuple[LabelMode
     return model, weight
 
 
-def fit_linear(rows: np.ndarray, chance: np.ndarray, weight: np.ndarray, steps: int = 12, penalty: float = 1e-5) -> np.ndarray:
-    """Weights of a logistic regression (the last is the constant) on soft labels, by Newton steps."""
-    x = np.hstack((rows, np.ones((len(rows), 1), rows.dtype)))
+def fit_linear(
+    rows: list[np.ndarray], size: int, chance: np.ndarray, weight: np.ndarray, steps: int = 12, penalty: float = 1e-5
+) -> np.ndarray:
+    """Weights of a logistic regression (the last is the constant) on soft labels, by Newton steps.
+
+    `rows` has the inputs of each text that are 1, of `size` ones. Each step is solved by conjugate gradients, so that
+    only the ones are kept.
+    """
+    row = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])
+    column = np.concatenate([np.append(r, size) for r in rows]).astype(np.int64)
+    forward = lambda w: np.bincount(row, w[column], len(rows))
+    backward = lambda v: np.bincount(column, v[row], size + 1)
     weight = weight / weight.sum()
-    ridge = np.full(x.shape[1], penalty)
+    ridge = np.full(size + 1, penalty)
     ridge[-1] = 1e-9
-    w = np.zeros(x.shape[1])
+    w = np.zeros(size + 1)
     for _ in range(steps):
-        guess = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ ((guess - chance) * weight) + ridge * w
-        bend = (x * (weight * guess * (1 - guess))[:, None]).T @ x
-        w = w - np.linalg.solve(bend + np.diag(ridge), slope)
+        guess = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
+        slope = backward((guess - chance) * weight) + ridge * w
+        curve = weight * guess * (1 - guess)
+        move = _solved(lambda v: backward(curve * forward(v)) + ridge * v, slope, backward(curve) + ridge)
+        w = w - move
+        if np.abs(move).max() < 1e-6:
+            break
     return w
 
 
+def _solved(matrix, right: np.ndarray, diagonal: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """x with matrix(x) = right, by conjugate gradients scaled by the diagonal."""
+    x, rest = np.zeros_like(right), right.copy()
+    scaled = rest / diagonal
+    way, size = scaled.copy(), rest @ scaled
+    least = size * 1e-16
+    for _ in range(rounds):
+        if size <= least:
+            break
+        ahead = matrix(way)
+        far = size / (way @ ahead)
+        x += far * way
+        rest -= far * ahead
+        scaled = rest / diagonal
+        size, before = rest @ scaled, size
+        way = scaled + size / before * way
+    return x
+
+
 def score(
     docs: DataFrame,
     labels: DataFrame,
     sample: int = 8_000,
     least: int = 5,
-    features: int = 400,
+    chi_square: float = 15.137,
     precision: float = 0.995,
     rounds: int = 4,
 ) -> DataFrame:
     """doc_id, held_out and score of every row of `docs` (doc_id, text).
 
     Learned from are the labels outside the held-out fold. Terms are chosen, and the linear classifier is fitted, on
-    samples of at most `sample` texts of either class; the label model covers all texts outside the fold. Where
+    samples of at most `sample` texts of either class, copies merged where terms are chosen; the label model covers all
+    texts outside the fold. The classifier's inputs are all terms whose chi-square reaches `chi_square` (chance of one in
+    10 000 for a term without a tie to the labels), the lexicon and the patterns. Where
     one of the classes has no label every score is 0. Null and empty texts have no word and score as such; repeated
     rows stay; an empty table gives an empty result; other columns are ignored.
     """
@@ -224,12 +274,14 @@ def score(
     texts = id_and_bytes(docs, held_out().alias("held_out"))
     learned = texts.filter(~F.col("held_out")).select("doc_id", "text")
     known = _labels(labels).filter(~held_out())
-    labelled = materialize(_drawn(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), F.col("toxic") > 0, sample), "labelled")
+    copies = learned.select("doc_id", F.md5(F.coalesce("text", F.lit(b""))).alias("copy")).join(known, "doc_id")
+    distinct = copies.groupBy("copy", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct()
+    labelled = materialize(_drawn(distinct, F.col("toxic") > 0, sample), "labelled")
     sizes = dict(labelled.groupBy("toxic").count().collect())
     if not sizes.get(0) or not sizes.get(1):
         return texts.select("doc_id", "held_out", F.lit(0.0).alias("score"))
-    terms = associated_terms(learned, labelled, least, features)
-    chosen = spark.sparkContext.broadcast(voters_among(terms, sizes[1], sizes[0], precision))
+    terms, bad, good = associated_terms(learned, labelled, least, chi_square)
+    chosen = spark.sparkContext.broadcast(voters_among(terms, bad, good, precision))
 
     def vote(batch):
         voters = Votes(chosen.value)
@@ -253,20 +305,20 @@ def score(
     names = spark.sparkContext.broadcast({t: i for i, (t, _, _) in enumerate(terms)})
 
     def present(text):
-        return [names.value[t] for t in terms_of(_read(text)[1]) & names.value.keys()]
+        plain, words = _read(text)
+        found = [names.value[t] for t in terms_of(words) & names.value.keys()]
+        return found + [i for i, holds in enumerate(PATTERNS.values(), len(names.value)) if holds(plain, words)]
 
     found = map_documents(
         learned.join(F.broadcast(taken), "doc_id"),  # the sample is bounded
         lambda b: b | {"terms": [present(t) for t in b["text"]]},
         "chance double, terms array<int>",
     ).collect()
-    rows, chance = np.zeros((len(found), len(terms)), np.float32), np.array([r.chance for r in found])
-    for k, r in enumerate(found):
-        rows[k, r.terms] = 1
-    bad = chance >= 0.5
+    chance = np.array([r.chance for r in found])
+    toxic = chance >= 0.5
     # each class counts as often as it occurs among all texts
-    share = np.where(bad, weight[1] / max(1, bad.sum()), weight[0] / max(1, (~bad).sum()))
-    line = fit_linear(rows, chance, share)
+    share = np.where(toxic, weight[1] / max(1, toxic.sum()), weight[0] / max(1, (~toxic).sum()))
+    line = fit_linear([np.array(r.terms, np.int64) for r in found], len(terms) + len(PATTERNS), chance, share)
 
     def linear(batch):
         out = [1 / (1 + np.exp(-np.clip(line[-1] + line[present(t)].sum(), -500, 500))) for t in batch["text"]]

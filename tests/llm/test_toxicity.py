@@ -59,3 +59,40 @@ def test_label_model_recovers_rates_and_shares_correlated_votes():
     twice, once = model.posterior(tx.unpacked(np.array([3]), 3)), np.log(model.rates[1, 0] / model.rates[0, 0])
     alone = np.log(model.share / (1 - model.share)) + once
     assert abs(np.log(twice / (1 - twice)) - alone).max() < 0.2
+
+
+def test_copies_of_one_long_text_leave_the_insults_their_inputs(spark):
+    rows = corpus(900)
+    rng = np.random.default_rng(4)
+    long = " ".join("".join(rng.choice(list("klmnoprs"), 8)) for _ in range(700)) + " idiot"
+    copied = [(i, long, 1) for i in range(5000, 5090)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows + copied], SCHEMA)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows + copied], "doc_id long, toxic int")
+    known = labels.select("doc_id", "toxic")
+    learned = docs.select("doc_id", docs.text.cast("binary").alias("text"))
+    terms, bad, good = tx.associated_terms(learned, known, 3, 15.137)
+    assert (bad, good) == (181, 720)
+    assert not set(long.split()[:-1]) & {t for t, _, _ in terms}
+    assert {"^zork", "^wupp"} < {t for t, _, _ in terms} and not {"^zorkw", "^zorkwa"} & {t for t, _, _ in terms}
+    got = {r.doc_id: r.score for r in tx.score(docs, labels, least=3).collect()}
+    assert sum((got[i] >= 0.5) != y for i, _, y in rows) <= 9
+    assert all(got[i] >= 0.5 for i, _, _ in copied)
+
+
+def test_more_ties_than_a_fixed_number_are_all_kept(spark):
+    docs = [(i, " ".join(f"{'abcdefghij'[j // 100]}{'abcdefghij'[j // 10 % 10]}{'abcdefghij'[j % 10]}" for j in range(600)) if i % 2 else f"zz{'q' * (i % 7)}") for i in range(80)]
+    rows = spark.createDataFrame([(i, bytearray(f"{t} {'v' * (i + 1)}".encode()), i % 2) for i, t in docs], "doc_id long, text binary, toxic int")
+    terms, _, _ = tx.associated_terms(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), 5, 15.137)
+    assert len([t for t, b, g in terms if (b, g) == (40, 0)]) >= 600
+
+
+def test_linear_fit_equals_dense_newton():
+    rng = np.random.default_rng(2)
+    x = (rng.random((300, 12)) < 0.3).astype(float)
+    chance = 1 / (1 + np.exp(-(x @ rng.normal(0, 1, 12))))
+    weight = np.ones(300)
+    w = tx.fit_linear([np.flatnonzero(r) for r in x], 12, chance, weight)
+    wide = np.hstack((x, np.ones((300, 1))))
+    guess = 1 / (1 + np.exp(-(wide @ w)))
+    slope = wide.T @ ((guess - chance) / 300) + np.append(np.full(12, 1e-5), 1e-9) * w
+    assert np.abs(slope).max() < 1e-8
