@@ -201,7 +201,7 @@ def _lookup(segment: dict, by_anchor: dict[bytes, list], slop: int) -> tuple:
     starts, positions = segment["starts"].to_numpy(), segment["positions"].to_numpy()
     terms = {t: i for i, t in enumerate(segment["terms"].to_pylist())}
     first, n_words = segment["first"].to_numpy(), segment["n_words"].to_numpy()
-    spots, lengths, names = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    spots, anchors, lengths, names = ([np.empty(0, np.int64)] for _ in range(4))
 
     def postings(term):
         i = terms.get(bytes(term))
@@ -217,15 +217,16 @@ def _lookup(segment: dict, by_anchor: dict[bytes, list], slop: int) -> tuple:
                 left = _meet(left, own - offset, slop) if len(own) else left[:0]
             if len(left):
                 spots.append(left)
+                anchors.append(left + offsets[0])
                 lengths.append(np.full(len(left), len(needed)))
                 names.append(np.full(len(left), name))
-    spot, length, name = map(np.concatenate, (spots, lengths, names))
-    doc = np.searchsorted(first, np.maximum(spot, 0), "right") - 1
-    if not slop:  # the gap keeps exact phrases inside a document
-        start = spot - first[doc]
-    else:
-        start = np.maximum(spot - first[doc], 0)
-        length = np.minimum(length, n_words[doc] - start)
+    spot, anchor, length, name = map(np.concatenate, (spots, anchors, lengths, names))
+    doc = np.searchsorted(first, anchor, "right") - 1  # the rarest term lies in the document, the start may not
+    start = spot - first[doc]
+    if slop:  # the gap keeps exact phrases inside a document
+        end = np.minimum(start + length, n_words[doc])
+        start = np.maximum(start, 0)
+        length = end - start
     return segment["doc_ids"].take(pa.array(doc)), start, length, name
 
 

@@ -65,6 +65,15 @@ def test_proximity(spark, tables):
     assert {r.doc_id for r in dc.find(index, dc.by_rarity(index, phrases), 1, block=1).collect()} == {1, 2}
 
 
+def test_proximity_whose_start_lies_before_the_document(spark):
+    texts = [(1, "a a b b q"), (2, "c a b"), (3, "a b q"), (4, "q a b c")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    phrases = dc.windows(spark.createDataFrame([(1, "a b c")], "item_id long, text string"), 10).select("phrase_id", "terms")
+    index = dc.build_index(docs)
+    got = [(r.doc_id, r.start, r.length) for r in dc.find(index, dc.by_rarity(index, phrases), 3).collect()]
+    assert sorted(got) == [(2, 0, 1), (4, 1, 3)]
+
+
 def test_empty_tables_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "item_id long, text string")
