@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evgraph.llm import cross_entropy, decontaminate, language_id, licenses, quality, repeats, secrets, sentence_pieces, simhash, toxicity
+from evgraph.llm import cross_entropy, decontaminate, language_id, licenses, merkle, quality, repeats, secrets, sentence_pieces, simhash, toxicity
 from evgraph.llm.common import table
 
 QUERIES = {}
@@ -285,3 +285,52 @@ def op5_license_scan(spark, sf_dir):
     name = F.when(number % 5 == 0, F.concat(F.lit("LICENSE-"), number)).otherwise(F.concat(number, F.lit(".txt")))
     path = F.concat_ws("/", "source", F.floor(number / 1000), F.floor(number / 100) % 10, name)
     return licenses.scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+
+
+CRC_SQL = """xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k::INT, 1))::BIGINT),
+  lambda c, b: list_reduce([xor(c, b)] || range(0, 8)::BIGINT[], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+LEAF_SQL = "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+CLIMB_SQL = """SELECT tree, lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), max((n + 2) // 3)
+               FROM {0} WHERE n > 1 GROUP BY tree, lvl, pos // 3"""
+
+
+@query(rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {LEAF_SQL.format("text")} AS leaf,
+         CASE WHEN {CRC_SQL} % 2 = 0 THEN {LEAF_SQL.format("replace(text, chr(10), '')")} ELSE {LEAF_SQL.format("text")} END AS claimed
+  FROM documents),
+placed AS (SELECT *, coalesce('=' || source, '') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                  count(*) OVER (PARTITION BY source) AS n FROM d),
+up(tree, lvl, pos, node, n) AS (SELECT tree, 0, pos, leaf, n FROM placed UNION ALL {CLIMB_SQL.format("up")}),
+heads AS (SELECT tree, lvl, node FROM up WHERE n = 1),
+named AS (SELECT *, row_number() OVER (ORDER BY tree COLLATE "C") - 1 AS pos, count(*) OVER () AS n FROM heads),
+over(tree, lvl, pos, node, n) AS (SELECT 'all', 0, pos, node, n FROM named UNION ALL {CLIMB_SQL.format("over")}),
+way(doc_id, part, lvl, tree, pos, folded) AS (
+  SELECT doc_id, 0, 0, tree, pos, claimed FROM placed
+  UNION ALL
+  SELECT w.doc_id, w.part, w.lvl + 1, w.tree, w.pos // 3,
+         sha256(string_agg(CASE WHEN s.pos = w.pos THEN w.folded ELSE s.node END, '' ORDER BY s.pos))
+  FROM way w JOIN up s ON s.tree = w.tree AND s.lvl = w.lvl AND s.pos // 3 = w.pos // 3 AND s.n > 1
+  GROUP BY w.doc_id, w.part, w.lvl, w.tree, w.pos, w.folded),
+inner_end AS (SELECT w.doc_id, h.node AS subroot, n.pos, w.folded FROM way w JOIN heads h ON h.tree = w.tree AND h.lvl = w.lvl JOIN named n ON n.tree = w.tree),
+far(doc_id, lvl, pos, folded) AS (
+  SELECT doc_id, 0, pos, folded FROM inner_end
+  UNION ALL
+  SELECT w.doc_id, w.lvl + 1, w.pos // 3, sha256(string_agg(CASE WHEN s.pos = w.pos THEN w.folded ELSE s.node END, '' ORDER BY s.pos))
+  FROM far w JOIN over s ON s.lvl = w.lvl AND s.pos // 3 = w.pos // 3 AND s.n > 1 GROUP BY w.doc_id, w.lvl, w.pos, w.folded),
+siblings AS (
+  SELECT w.doc_id, 0 AS part, w.lvl, s.pos, s.node FROM way w JOIN up s ON s.tree = w.tree AND s.lvl = w.lvl AND s.pos // 3 = w.pos // 3 AND s.pos <> w.pos
+  UNION ALL SELECT w.doc_id, 1, w.lvl, s.pos, s.node FROM far w JOIN over s ON s.lvl = w.lvl AND s.pos // 3 = w.pos // 3 AND s.pos <> w.pos),
+proofs AS (SELECT doc_id, string_agg(node, '' ORDER BY part, lvl, pos) AS proof FROM siblings GROUP BY doc_id),
+top AS (SELECT lvl, node AS root FROM over WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, f.folded AS folded_root, f.folded = root AS verified
+FROM d JOIN inner_end USING (doc_id) JOIN top ON true JOIN far f USING (doc_id) LEFT JOIN proofs USING (doc_id) WHERE f.lvl = top.lvl
+""")
+def op11_merkle_manifest(spark, sf_dir):
+    """Tampering deletes the line feeds of every document whose id has an even checksum."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    altered = merkle.leaf(*fields[:-1], F.translate("text", "\n", ""))
+    rows = docs.select("doc_id", "source", merkle.leaf(*fields).alias("leaf"), F.when(even, altered).alias("claimed"))
+    return merkle.manifest(rows).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
