@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evgraph.llm import cross_entropy, decontaminate, language_id, licenses, merkle, quality, repeats, secrets, sentence_pieces, simhash, toxicity
+from evgraph.llm import collocations, cross_entropy, decontaminate, language_id, licenses, merkle, quality, repeats, secrets, sentence_pieces, simhash, toxicity
 from evgraph.llm.common import table
 
 QUERIES = {}
@@ -334,3 +334,29 @@ def op11_merkle_manifest(spark, sf_dir):
     altered = merkle.leaf(*fields[:-1], F.translate("text", "\n", ""))
     rows = docs.select("doc_id", "source", merkle.leaf(*fields).alias("leaf"), F.when(even, altered).alias("claimed"))
     return merkle.manifest(rows).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query(r"""
+WITH p AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+grams AS (
+  SELECT lang, size, array_to_string(w[k:k + size - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM w, range(1, 6) AS s(size) WHERE len(w) >= size) GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM grams WHERE size = 1 GROUP BY lang),
+often AS (SELECT lang, size, phrase, f, string_split(phrase, ' ') AS w FROM grams WHERE f >= 100),
+cuts AS (SELECT lang, size, phrase, f AS a, w, unnest(range(1, size)) AS k FROM often WHERE size > 1),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, f, w, size, m, unnest(range(1, size - m + 2)) AS s FROM (SELECT *, unnest(range(2, size)) AS m FROM often WHERE size > 2)),
+longer AS (SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(f) AS most FROM inside GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+""")
+def op12_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
