@@ -15,7 +15,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +26,23 @@ TRIGGER = LONGEST - 1  # words of a trigger window: a phrase that starts before
 ONE_IN = 64  # windows of words that are triggers
 BITMAP_BITS = 1 << 25
 UNKNOWN = "und"
-BYTES_AT_ONCE = 4_000_000
-_TO_BREAK = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_SPREAD = np.uint64(0xBF58476D1CE4E5B9)
+BYTES_AT_ONCE = 6_000_000
+SPACE, BREAK = 32, 10
+_TO_BREAK = bytes(BREAK if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
+_random = np.random.default_rng(42)
+_OCTET = _random.integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_MIX, _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of the base and of its inverse, as far as needed
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 42)
+def _grown(size: int) -> list[np.ndarray]:
+    if len(_powers[0]) < size:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            _powers[i] = np.cumprod(factors)
+    return _powers
 
 
 def appended(prefix: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -44,117 +52,105 @@ def appended(prefix: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed * _SPREAD
 
 
-def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
-    return (hashes >> np.uint64(20)) % np.uint64(size)
-
-
-def parsed(text: bytes | None, hash_of, one_in: int = ONE_IN):
-    """(words, closed): the chunks of a text, A-Z in lower case. The phrases that start in the last TRIGGER words of a
-    closed one, its trigger, belong to the next."""
-    parts = [p for p in map(bytes.split, (text or b"").lower().translate(_TO_BREAK).split(b"\n")) if p]
-    words = [w for p in parts for w in p]
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-    cuts = np.empty(0, np.int64)
-    if len(words) > TRIGGER:
-        hashes = np.fromiter(map(hash_of, words), np.uint64, len(words))
-        count = len(words) - TRIGGER + 1
-        window = hashes[:count]
-        for k in range(1, TRIGGER):
-            window = appended(window, hashes[k : count + k])
-        cuts = np.flatnonzero((window >> np.uint64(32)) < np.uint64(2**32 // one_in))
-        cuts = cuts[cuts + TRIGGER <= ends[np.searchsorted(ends, cuts, "right")]]  # inside a piece
-    start, i, cuts = 0, 0, cuts.tolist()
-    for end in ends.tolist():
-        while i < len(cuts) and cuts[i] < end:
-            if cuts[i] > start:
-                yield words[start : cuts[i] + TRIGGER], True
-                start = cuts[i]
-            i += 1
-        yield words[start:end], False
-        start = end
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = word_hash(word)
-        return h
+class Words:
+    """The words of `lines`, which are words with single spaces between them: places in `data`, hashes, words left in the line.
+
+    Hashes have 64 bits: of 10 ** 9 different words no two are alike with a chance of 97 %.
+    """
+
+    def __init__(self, lines: list[bytes]):
+        self.data = b"\n".join(lines) + b"\n" * bool(lines)
+        octets = np.frombuffer(self.data, np.uint8)
+        self.ends = np.flatnonzero((octets == SPACE) | (octets == BREAK))
+        self.starts = np.concatenate(([0], self.ends[:-1] + 1))[: len(self.ends)]
+        up, down = _grown(len(octets) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_OCTET[octets] * up[: len(octets)])))
+        own = (sums[self.ends] - sums[self.starts]) * down[self.starts]
+        self.hashes = appended(own, (self.ends - self.starts).astype(np.uint64))
+        self.lasts = np.flatnonzero(octets[self.ends] == BREAK) if lines else np.empty(0, np.int64)
+        lengths = np.diff(self.lasts, prepend=-1)
+        self.left = np.repeat(self.lasts + 1, lengths) - np.arange(len(self.ends))
+
+    def phrases(self, length: int, seeds: np.ndarray | None = None) -> np.ndarray:
+        """Hash of the phrase of `length` words at each place that has so many words behind it, whatever the line."""
+        count = max(0, len(self.hashes) - length + 1)
+        out = self.hashes[:count] if seeds is None else appended(seeds[:count], self.hashes[:count])
+        for k in range(1, length):
+            out = appended(out, self.hashes[k : count + k])
+        return out
+
+
+def language_hash(lang: str) -> np.uint64:
+    return Words([lang.encode().replace(b" ", b"_").replace(b"\n", b"_")]).hashes[0]
+
+
+def parsed(lines: list[bytes], one_in: int = ONE_IN):
+    """(chunks, closed, line): the chunks of some lines, and the line of each. The phrases that start in the last
+    TRIGGER words of a closed chunk, its trigger, belong to the next."""
+    words = Words(lines)
+    windows = words.phrases(TRIGGER)
+    cuts = np.flatnonzero((windows >> np.uint64(32)) < np.uint64(2**32 // one_in))
+    cuts = cuts[words.left[cuts] >= TRIGGER]  # inside a line
+    firsts = np.concatenate(([0], words.lasts[:-1] + 1))[: len(lines)]
+    starts = np.union1d(firsts, cuts)
+    line = np.searchsorted(firsts, starts, "right") - 1
+    closed = np.concatenate((line[1:] == line[:-1], [False]))[: len(starts)]
+    last = words.lasts[line]
+    last[closed] = starts[1:][closed[:-1]] + TRIGGER - 1
+    spans = zip(words.starts[starts].tolist(), words.ends[last].tolist())
+    return [words.data[a:b] for a, b in spans], closed, line
 
 
 def dictionary(docs: DataFrame, one_in: int = ONE_IN) -> DataFrame:
     """(lang, chunk, closed, times): the distinct chunks of `docs` (text, lang), and how often each was parsed."""
 
+    def out(lines, langs):
+        chunks, closed, line = parsed(lines, one_in)
+        owner = pa.array(langs, pa.string()).take(pa.array(line, pa.int64()))
+        return pa.RecordBatch.from_arrays([owner, pa.array(chunks, pa.binary()), pa.array(closed, pa.bool_())], names=["lang", "chunk", "closed"])
+
     def run(batches):
-        hash_of = _Hashes().__getitem__
-        found: Counter = Counter()
-        size = 0
+        lines, langs, size = [], [], 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                for words, closed in parsed(text.as_py(), hash_of, one_in):
-                    key = (lang, b" ".join(words), closed)
-                    if key not in found:
-                        size += 100 + len(key[1])
-                    found[key] += 1
-                if size > BYTES_AT_ONCE:
-                    yield _chunks(found)
-                    found, size = Counter(), 0
-        yield _chunks(found)
+                text = (text.as_py() or b"").lower().translate(_TO_BREAK)
+                own = [b" ".join(w) for w in map(bytes.split, text.split(b"\n")) if w]
+                lines += own
+                langs += [lang] * len(own)
+                size += len(text)
+                if size > BYTES_AT_ONCE // 4:
+                    yield out(lines, langs)
+                    lines, langs, size = [], [], 0
+        yield out(lines, langs)
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang")
     texts = docs.select(lang, F.col("text").cast("string").cast("binary").alias("text"))
-    chunks = texts.mapInArrow(run, "lang string, chunk binary, closed boolean, times long")
-    return chunks.groupBy("lang", "chunk", "closed").agg(F.sum("times").alias("times"))
-
-
-def _chunks(found: Counter) -> pa.RecordBatch:
-    langs, chunks, closed = zip(*found) if found else ((), (), ())
-    columns = [pa.array(langs, pa.string()), pa.array(chunks, pa.binary()), pa.array(closed, pa.bool_()), pa.array(list(found.values()), pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "chunk", "closed", "times"])
-
-
-class _Rows:
-    """Words of some chunks of one language side by side, `times` and the words left in its chunk at each place."""
-
-    def __init__(self, chunks: list[bytes], closed: list[bool], times: list[int]):
-        known: dict[bytes, int] = {}
-        self.numbers: list[int] = []
-        lengths = []
-        for chunk in chunks:
-            words = chunk.split(b" ")
-            lengths.append(len(words))
-            self.numbers += [known.setdefault(w, len(known)) for w in words]
-        self.words = list(known)
-        self.ids = np.array(self.numbers, np.int64)
-        self.left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(self.ids))
-        another = np.repeat(closed, lengths) & (self.left <= TRIGGER)  # counted in the next chunk
-        self.times = np.where(another, 0, np.repeat(times, lengths))
-
-    def frequent(self, length: int, lang: str, bits: np.ndarray, size: int):
-        """(phrase, count) of phrases of `length` words whose beginning and end may be frequent by the bitmap."""
-        hashes = np.array([word_hash(w) for w in self.words], np.uint64)[self.ids]
-        seed = np.full(len(hashes), word_hash(lang.encode()), np.uint64)
-        rolling = appended(seed, hashes)
-        for k in range(1, length - 1):
-            rolling = appended(rolling[:-1], hashes[k:])
-        if len(rolling) < 2:
-            return [], []
-        at = _bits(rolling, size)
+    chunks = texts.mapInArrow(run, "lang string, chunk binary, closed boolean")
+    return chunks.groupBy("lang", "chunk", "closed").agg(F.count("*").alias("times"))
+
+
+def frequent(chunks: list[bytes], closed: list[bool], times: list[int], length: int, lang: str, bits: np.ndarray, size: int):
+    """(phrase, count) in chunks: all words, or phrases of `length` words whose beginning and end are in the bitmap."""
+    words = Words(chunks)
+    lengths = np.diff(words.lasts, prepend=-1)
+    elsewhere = np.repeat(closed, lengths) & (words.left <= TRIGGER)  # counted in the next chunk
+    weight = np.where(elsewhere, 0, np.repeat(times, lengths))
+    hashes = words.phrases(length)
+    fit = (words.left[: len(hashes)] >= length) & (weight[: len(hashes)] > 0)
+    if length > 1:
+        at = words.phrases(length - 1, np.full(len(words.hashes), language_hash(lang), np.uint64)) % np.uint64(size)
         maybe = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-        places = np.flatnonzero(maybe[:-1] & maybe[1:] & (self.left[: len(maybe) - 1] >= length) & (self.times[: len(maybe) - 1] > 0))
-        if not len(places):
-            return [], []
-        number = self.ids[places]  # exact: a phrase is the number of its beginning and that of its last word
-        for k in range(1, length):
-            _, first, number = np.unique(number * len(self.words) + self.ids[places + k], return_index=True, return_inverse=True)
-        counts = np.zeros(len(first), np.int64)
-        np.add.at(counts, number, self.times[places])
-        spots = places[first].tolist()
-        return [b" ".join([self.words[i] for i in self.numbers[s : s + length]]) for s in spots], counts.tolist()
+        fit &= maybe[:-1] & maybe[1:]
+    places = np.flatnonzero(fit)
+    _, first, number = np.unique(hashes[places], return_index=True, return_inverse=True)
+    counts = np.zeros(len(first), np.int64)
+    np.add.at(counts, number, weight[places])
+    spots = places[first]
+    return [words.data[a:b] for a, b in zip(words.starts[spots].tolist(), words.ends[spots + length - 1].tolist())], counts
 
 
 def _by_language(batches):
-    """(lang, rows) of a few MB of chunks each."""
+    """(lang, chunks, closed, times) of a few MB of chunks each."""
     held: dict[str, tuple] = {}
     sizes: Counter = Counter()
     for batch in batches:
@@ -166,47 +162,41 @@ def _by_language(batches):
             sizes[lang] += len(chunk)
             if sizes[lang] > BYTES_AT_ONCE or len(held) > 64:
                 largest = max(sizes, key=sizes.get)
-                yield largest, _Rows(*held.pop(largest))
+                yield largest, *held.pop(largest)
                 del sizes[largest]
     for lang, own in held.items():
-        yield lang, _Rows(*own)
+        yield lang, *own
 
 
 def _counted(chunks: DataFrame, length: int, bits: bytes, size: int) -> DataFrame:
-    """(lang, phrase, n) over a part each: one word, or `length` words that may be frequent by the bitmap."""
+    """(lang, phrase, n): words, or phrases of `length` words that may be frequent by the bitmap."""
     shared = chunks.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         bitmap = np.frombuffer(shared.value, np.uint8)
-        for lang, rows in _by_language(batches):
-            if length == 1:
-                phrases = rows.words
-                counts = np.zeros(len(phrases), np.int64)
-                np.add.at(counts, rows.ids, rows.times)
-                phrases, counts = zip(*[(p, n) for p, n in zip(phrases, counts.tolist()) if n]) if counts.any() else ((), ())
-            else:
-                phrases, counts = rows.frequent(length, lang, bitmap, size)
-            columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())]
+        for lang, own, closed, times in _by_language(batches):
+            found, counts = frequent(own, closed, times, length, lang, bitmap, size)
+            columns = [pa.array([lang]).take(pa.array(np.zeros(len(found), np.int64))), pa.array(found, pa.binary()), pa.array(counts)]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
     return chunks.mapInArrow(run, "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def bitmap(phrases: DataFrame, size: int) -> bytes:
-    """`size` bits: set at the hash of each of `phrases` (lang, phrase). At most size / 8 bytes come to the driver."""
+def bitmap(known: DataFrame, length: int, size: int) -> bytes:
+    """`size` bits: set at the hash of each of `known` (lang, phrase), all of `length` words. At most size / 8 bytes
+    come to the driver."""
 
     def run(batches):
         for batch in batches:
-            hashes = []
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
-                h = np.array([word_hash(lang.encode())], np.uint64)
-                for w in phrase.split(b" "):
-                    h = appended(h, np.array([word_hash(w)], np.uint64))
-                hashes.append(h)
-            at = _bits(np.concatenate(hashes), size) if hashes else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], names=["bit"])
-
-    bits = phrases.select("lang", "phrase").mapInArrow(run, "bit long")
+            langs = batch.column("lang").to_pylist()
+            seed = {lang: language_hash(lang) for lang in set(langs)}
+            hashes = Words(batch.column("phrase").to_pylist()).hashes.reshape(-1, length)
+            out = np.array([seed[lang] for lang in langs], np.uint64)
+            for k in range(length):
+                out = appended(out, hashes[:, k])
+            yield pa.RecordBatch.from_arrays([pa.array((out % np.uint64(size)).astype(np.int64))], names=["bit"])
+
+    bits = known.select("lang", "phrase").mapInArrow(run, "bit long")
     one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
     words = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("word"))
     out = np.zeros(size // 64, np.int64)
@@ -218,10 +208,10 @@ def bitmap(phrases: DataFrame, size: int) -> bytes:
 def phrases(chunks: DataFrame, least: int, size: int = BITMAP_BITS) -> list[DataFrame]:
     """All words of the dictionary `chunks`, then its phrases of 2 to LONGEST words: (lang, phrase, n), n >= `least`."""
     found = [materialize(_counted(chunks, 1, b"", size), "words")]
-    frequent = found[0].filter(F.col("n") >= least)
+    often = found[0].filter(F.col("n") >= least)
     for length in range(2, LONGEST + 1):
-        frequent = materialize(_counted(chunks, length, bitmap(frequent, size), size).filter(F.col("n") >= least), "phrases")
-        found.append(frequent)
+        often = materialize(_counted(chunks, length, bitmap(often, length - 1, size), size).filter(F.col("n") >= least), "phrases")
+        found.append(often)
     return found
 
 

@@ -64,13 +64,14 @@ def test_equals_a_count_of_all_phrases(spark, one_in, bits):
 
 @pytest.mark.parametrize("one_in", [1, 2, 5])
 def test_each_phrase_lies_in_one_chunk(one_in):
-    text = corpus(3)[80][0].encode()
-    pieces = plain_pieces(text.decode())
-    chunks = list(co.parsed(text, co.word_hash, one_in))
+    pieces = [p for t in (corpus(3)[80][0], corpus(3)[0][0], corpus(3)[1][0]) for p in plain_pieces(t)]
+    found, closed, line = co.parsed([" ".join(p).encode() for p in pieces], one_in)
+    chunks = [(c.decode().split(" "), shut) for c, shut in zip(found, closed.tolist())]
     for size in range(1, 6):
         own = Counter(tuple(w[i : i + size]) for w, shut in chunks for i in range(len(w) - size + 1) if not shut or i < len(w) - co.TRIGGER)
-        assert own == Counter(tuple(x.encode() for x in w[i : i + size]) for w in pieces for i in range(len(w) - size + 1))
+        assert own == Counter(tuple(w[i : i + size]) for w in pieces for i in range(len(w) - size + 1))
     assert any(a[1] and a[0][-co.TRIGGER :] == b[0][: co.TRIGGER] for a, b in pairwise(chunks))
+    assert sorted(set(line.tolist())) == list(range(len(pieces)))
 
 
 def test_score_beyond_64_bits(spark):
