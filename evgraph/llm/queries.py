@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evgraph.llm import collocations, cross_entropy, decontaminate, language_id, licenses, merkle, quality, repeats, secrets, sentence_pieces, simhash, toxicity
+from evgraph.llm import collocations, cross_entropy, decontaminate, jaccard_join, language_id, licenses, merkle, quality, repeats, secrets, sentence_pieces, simhash, toxicity
 from evgraph.llm.common import table
 
 QUERIES = {}
@@ -360,3 +360,8 @@ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BI
 """)
 def op12_phrase_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_jaccard_join(spark, sf_dir):
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
