@@ -8,7 +8,7 @@ sum to H + 1, some segment differs in fewer tokens than its share, so similar se
 where many sets meet to ones where few do, if that costs less than listing the deletions there.
 
 Equal sets are one node. The sets that meet are verified exactly: first with the member of their bucket that meets
-most others; buckets that are not one component by then are compared in whole, portion by portion.
+most others; what is not one component in a bucket by then is compared pair by pair, portion by portion if many.
 """
 
 import numpy as np
@@ -25,6 +25,8 @@ from evgraph.session import materialize
 WIDTH = 3
 LEAST, OF = 90, 100  # similar: OF * common >= LEAST * (a + b - common)
 DELETION_PRICE = 1.0  # of listing one deletion, in units of an eighth of a token verified
+WIDER = 3  # halves: a band's sizes grow by half, so that few sets are listed in two
+SMALL = 16  # members of a bucket whose pairs are listed
 KNOWN_SETS = 100_000
 BITMAP_BITS = 1 << 25
 MEMBERS, TOKENS = 512, 400_000  # of a portion
@@ -37,14 +39,14 @@ def similar(common, a, b):
 
 
 class Bands:
-    """Band b holds the sizes lows[b] .. lows[b + 1] - 1: all that a set of the least size can be similar to."""
+    """Band b holds the sizes lows[b] .. lows[b + 1] - 1; a set is similar to none beyond the band next to its own."""
 
     def __init__(self):
         self.lows = [1]
 
     def of(self, size: int) -> int:
         while self.lows[-1] <= size:
-            self.lows.append(self.lows[-1] * OF // LEAST + 1)
+            self.lows.append(max(self.lows[-1] + 1, self.lows[-1] * WIDER // 2))
         return int(np.searchsorted(self.lows, size, "right")) - 1
 
     def top(self, band: int) -> int:
@@ -167,7 +169,7 @@ def _exploded(listed: DataFrame) -> DataFrame:
 def _allocated(keys: DataFrame, price: float) -> DataFrame:
     """(band, segment, share) where the share is not one."""
     peers = keys.filter("segment = 0").groupBy("band").agg(F.count("*").alias("peers"))
-    shared = keys.groupBy("band", "segment", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("band").alias("band"), F.min("segment").alias("segment")).filter("n > 1")
     stats = shared.groupBy("band", "segment").agg(F.sum(F.col("n") - 1).alias("excess")).join(peers, "band")
 
     def move(rows):
@@ -270,14 +272,21 @@ def links_within(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray],
     return links
 
 
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): the pairs of `members` (key, node, size, component) of different components, in buckets of few members."""
+    mine = members.select("key", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("component").alias("a_component"))
+    met = mine.join(members, "key").filter((F.col("a") < F.col("node")) & (F.col("a_component") != F.col("component")))
+    return met.filter(_fits(F.col("a_size"), F.col("size"))).select("a", F.col("node").alias("b")).distinct()
+
+
 def _across(members: DataFrame, sets: DataFrame, most: int, tokens: int) -> DataFrame:
     """(a, b): links inside the buckets of `members` (key, node, size, component) between different components.
 
     A bucket of more than `most` members or `tokens` tokens is cut into portions, and each two of them are a group.
     """
-    spans = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    spans = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
     portions = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("tokens") / tokens)).cast("long")
-    open_keys = spans.filter("low <> high").select("key", portions.alias("portions"))
+    open_keys = spans.select("key", portions.alias("portions"))
     spread = (
         members.join(open_keys, "key")
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("portions")))
@@ -309,7 +318,7 @@ def _fits(a: Column, b: Column) -> Column:
     return OF * F.least(a, b) >= LEAST * F.greatest(a, b)
 
 
-def joined(docs: DataFrame, price: float = DELETION_PRICE, most: int = MEMBERS, tokens: int = TOKENS) -> DataFrame:
+def joined(docs: DataFrame, price: float = DELETION_PRICE, small: int = SMALL, most: int = MEMBERS, tokens: int = TOKENS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text).
 
     Rows whose sets of WIDTH-word shingles have a Jaccard similarity of LEAST / OF or more are linked; component_id is
@@ -344,9 +353,13 @@ def joined(docs: DataFrame, price: float = DELETION_PRICE, most: int = MEMBERS,
     sets = materialize(_sets(docs, named.join(support, "node", "left_semi")), "sets")
     pairs = buckets.join(hubs, "key").filter((F.col("node") != F.col("hub")) & _fits(F.col("size"), F.col("hub_size")))
     verified = materialize(_verified(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets), "similar_sets")
-    members = buckets.select("key", "node", "size").join(components(verified), "node", "left")
-    members = materialize(members.select("key", "node", "size", F.coalesce("component", "node").alias("component")), "set_members")
-    found = components(verified.union(_across(members, sets, most, tokens)))
+    rest = buckets.select("key", "node", "size").join(hubs.select("key", "hub"), "key").filter("node <> hub")  # the hub has met all
+    rest = rest.join(components(verified), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+    rest = materialize(rest, "set_members")
+    spans = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    still = rest.join(spans.filter("low <> high").select("key", "n"), "key")
+    few = _verified(_small_pairs(still.filter(F.col("n") <= small).drop("n")), sets)
+    found = components(verified.union(few).union(_across(still.filter(F.col("n") > small).drop("n"), sets, most, tokens)))
     heads = nodes.join(found, "node", "left").select("name", "first_id", F.coalesce("component", "node").alias("component"))
     least = heads.groupBy("component").agg(F.min("first_id").alias("component_id"))
     ids = heads.join(least, "component").select("name", "component_id")

@@ -58,7 +58,7 @@ def texts(seed, groups=8, members=14):
     return out + [" ".join(rng.choice(words[:12], int(rng.integers(1, 25)))) for _ in range(60)]
 
 
-@pytest.mark.parametrize("seed,limits", [(1, {}), (2, {"price": 0.0}), (3, {"most": 5, "tokens": 300}), (4, {"price": 0.0, "most": 3})])
+@pytest.mark.parametrize("seed,limits", [(1, {}), (2, {"price": 0.0}), (3, {"small": 1, "most": 5, "tokens": 300}), (4, {"price": 0.0, "small": 3, "most": 3})])
 def test_equals_all_pairs(spark, seed, limits):
     docs = [(i * 3 % 1009, t) for i, t in enumerate(texts(seed))]
     docs += [(None, docs[0][1]), (None, "only without id"), (5000, "Only  WITHOUT\tid x"), (5001, None), (5002, ""), (5003, " \n"), (None, None)]
