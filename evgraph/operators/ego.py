@@ -13,6 +13,7 @@ KEPT_OTHERS = 29
 EXPANDED = 12
 DEFAULT_CONFIDENCE = 0.6
 REVIEW_BONUS, READER_BONUS = 0.2, 0.15
+HUB_PART = 4096  # edges of one work that a task unfolds at a time
 
 
 def _best() -> list[Column]:
@@ -102,6 +103,33 @@ def two_hop_others(scored: DataFrame, k: int = KEPT_OTHERS, expanded: int = EXPA
     return top_k(best_others(found), ["center_id"], _best(), k)
 
 
+def two_hop_candidates(scored: DataFrame, expanded: int = EXPANDED, hub_part: int = HUB_PART) -> DataFrame:
+    """Hops 1 and 2: the edges around every work, and those around its best `expanded` others, as in ego_candidates.
+
+    `scored` comes from scored_ends. Each relation counts once per centre, where it is met first: from the centre, then
+    from the expanded works by rank. Its other end and direction are relative to the centre if it touches that, else
+    to the expanded work. The edges of a hub are unfolded in parts of about `hub_part`, each with a copy of the
+    list of centres that expand it, so that no task has a whole hub; what follows works per centre and work.
+    """
+    anchored = scored.where("from_anchor")
+    via = top_k(best_others(anchored), ["center_id"], _best(), expanded, rank="place").select(
+        "center_id", F.col("other_id").alias("via"), "place")
+    hubs = anchored.groupBy("center_id").agg(F.ceil(F.count("*") / hub_part).cast("long").alias("parts")).where("parts > 1")
+    hubs = hubs.withColumnRenamed("center_id", "via")
+    part = F.pmod(F.xxhash64("relation_id", "other_id"), F.coalesce("parts", F.lit(1)))
+    spread = anchored.withColumnRenamed("center_id", "via").join(hubs, "via", "left").withColumn("part", part).drop("parts")
+    last = F.coalesce("parts", F.lit(1)) - 1
+    asked = via.join(hubs, "via", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
+    earlier = via.select("center_id", F.col("via").alias("other_id"), F.col("place").alias("other_place"))
+    # an edge between two expanded works that both anchor it was met at the better ranked one
+    met = F.coalesce(F.col("to_anchor") & (F.col("other_place") < F.col("place")), F.lit(False))
+    beyond = spread.join(asked, ["via", "part"]).where("other_id <> center_id").join(earlier, ["center_id", "other_id"], "left").where(~met)
+    # edges to the centre that only the expanded work anchors
+    back = scored.where("from_anchor IS NULL AND to_anchor").join(earlier, ["center_id", "other_id"], "left_semi")
+    columns = [c for c in scored.columns if c not in ("from_anchor", "to_anchor")]
+    return anchored.select(columns).unionByName(beyond.select(columns)).unionByName(back.select(columns))
+
+
 def overflow_members(candidates: DataFrame, kept: DataFrame) -> DataFrame:
     """(center_id, group_key, relation_type, direction, other_id): works that were not kept."""
     left_over = candidates.join(kept.select("center_id", "other_id"), ["center_id", "other_id"], "left_anti")
@@ -141,8 +169,13 @@ def ego_nodes(works: DataFrame, versions: DataFrame, kept: DataFrame, groups: Da
 
 
 def ego_edges(candidates: DataFrame, kept: DataFrame, groups: DataFrame) -> DataFrame:
-    """Edges between the centre and kept works, and one edge per overflow group."""
-    drawn = candidates.join(kept.select("center_id", "other_id"), ["center_id", "other_id"], "left_semi").select(
+    """Edges whose ends are the centre or kept works, and one edge per overflow group."""
+    shown = kept.select("center_id", F.col("other_id").alias("_end"))
+    shown = shown.unionByName(kept.select("center_id", F.col("center_id").alias("_end"))).distinct()
+    inside = candidates
+    for end in ("source_work_id", "target_work_id"):
+        inside = inside.join(shown.withColumnRenamed("_end", end), ["center_id", end], "left_semi")
+    drawn = inside.select(
         "center_id",
         F.col("relation_id").cast("string").alias("edge_id"),
         F.col("source_work_id").cast("string").alias("source_id"),

@@ -9,41 +9,64 @@ from evgraph.plans import derived
 from evgraph.plans.oracle_views import HIGH, VIEWS, case, in_list, words
 from evgraph.plans.registry import query
 from evgraph.plans.similarity_queries import graph_neighbors, stored_neighbors
+from evgraph.session import materialize
 
 VIEWS |= {
-    "cand": f"""
+    "ends": f"""
         SELECT v.*, {case('review_status', [([k], w) for k, w in tx.STATUS_WEIGHTS.items()], 0.0)}::DOUBLE
                  * 1.0::DOUBLE * (1.0::DOUBLE + coalesce(confidence, 0.6::DOUBLE)) + review_count * 0.2::DOUBLE
                  + coalesce(r.readers, 0) * 0.15::DOUBLE AS score
         FROM (SELECT e.*, source_work_id AS center_id, target_work_id AS other_id, 'out' AS direction FROM edges e
               UNION ALL SELECT e.*, target_work_id, source_work_id, 'in' FROM edges e) v
-        JOIN (SELECT DISTINCT relation_id, anchor_work_id FROM relation_members) m
-            ON m.relation_id = v.relation_id AND m.anchor_work_id = v.center_id
         LEFT JOIN readers r ON r.work_id = v.other_id""",
+    "cand": """
+        SELECT v.* FROM ends v JOIN (SELECT DISTINCT relation_id, anchor_work_id FROM relation_members) m
+            ON m.relation_id = v.relation_id AND m.anchor_work_id = v.center_id""",
     "cand_best": "SELECT center_id, other_id, max(score) AS score FROM cand GROUP BY 1, 2",
-    "ego_kept": """
-        SELECT * FROM cand_best QUALIFY row_number() OVER (PARTITION BY center_id ORDER BY score DESC, other_id) <= 8""",
-    "ego_over": """
+    "cand2": """
+        WITH via AS (SELECT center_id, other_id AS via, row_number() OVER (PARTITION BY center_id ORDER BY score DESC, other_id) AS place
+            FROM cand_best QUALIFY place <= 12),
+        met AS (SELECT center_id, relation_id, 0 AS place FROM cand
+            UNION ALL SELECT v.center_id, x.relation_id, v.place FROM via v JOIN cand x ON x.center_id = v.via),
+        soonest AS (SELECT center_id, relation_id, min(place) AS place FROM met GROUP BY 1, 2)
+        SELECT f.center_id, e.* EXCLUDE (center_id) FROM soonest f LEFT JOIN via v ON v.center_id = f.center_id AND v.place = f.place
+        JOIN ends e ON e.relation_id = f.relation_id AND e.center_id =
+            CASE WHEN f.center_id IN (e.source_work_id, e.target_work_id) THEN f.center_id ELSE v.via END""",
+    "cand2_best": "SELECT center_id, other_id, max(score) AS score FROM cand2 GROUP BY 1, 2",
+}
+
+
+def _drawn(suffix: str, kept: int) -> dict:
+    cand = f"cand{suffix}"
+    return {
+        f"ego{suffix}_kept": f"""
+        SELECT * FROM {cand}_best QUALIFY row_number() OVER (PARTITION BY center_id ORDER BY score DESC, other_id) <= {kept}""",
+        f"ego{suffix}_over": f"""
         SELECT DISTINCT c.center_id, c.relation_type || ':' || c.direction AS group_key, c.relation_type, c.direction, c.other_id
-        FROM cand c LEFT JOIN ego_kept k ON k.center_id = c.center_id AND k.other_id = c.other_id WHERE k.center_id IS NULL""",
-    "ego_groups": """
+        FROM {cand} c LEFT JOIN ego{suffix}_kept k ON k.center_id = c.center_id AND k.other_id = c.other_id WHERE k.center_id IS NULL""",
+        f"ego{suffix}_groups": f"""
         SELECT center_id, group_key, relation_type, direction, count(*) AS members,
-               sha256(center_id || '|' || group_key)[:32] AS group_id FROM ego_over GROUP BY 1, 2, 3, 4""",
-    "ego_node_rows": """
+               sha256(center_id || '|' || group_key)[:32] AS group_id FROM ego{suffix}_over GROUP BY 1, 2, 3, 4""",
+        f"ego{suffix}_node_rows": f"""
         SELECT center_id, center_id::VARCHAR AS node_id, 'work' AS kind, w.title AS label, NULL::BIGINT AS members
-        FROM (SELECT DISTINCT center_id FROM ego_kept) JOIN titled w ON w.work_id = center_id
-        UNION ALL SELECT center_id, other_id::VARCHAR, 'work', w.title, NULL FROM ego_kept JOIN titled w ON w.work_id = other_id
+        FROM (SELECT DISTINCT center_id FROM ego{suffix}_kept) JOIN titled w ON w.work_id = center_id
+        UNION ALL SELECT center_id, other_id::VARCHAR, 'work', w.title, NULL FROM ego{suffix}_kept JOIN titled w ON w.work_id = other_id
         UNION ALL SELECT center_id, group_id, 'group', CASE direction WHEN 'in' THEN 'towards it:' ELSE 'from it:' END
-            || ' ' || replace(relation_type, '_', ' ') || ' +' || members, members FROM ego_groups""",
-    "ego_edge_rows": f"""
+            || ' ' || replace(relation_type, '_', ' ') || ' +' || members, members FROM ego{suffix}_groups""",
+        f"ego{suffix}_edge_rows": f"""
         SELECT c.center_id, c.relation_id::VARCHAR AS edge_id, source_work_id::VARCHAR AS source_id, target_work_id::VARCHAR AS target_id,
             relation_type, source_work_id || '|' || target_work_id || '|'
             || {case('relation_type', [(v, f"'{k}'") for k, v in tx.SEMANTIC_GROUPS.items()], "'other'")} AS bundle_key
-        FROM cand c JOIN ego_kept k ON k.center_id = c.center_id AND k.other_id = c.other_id
+        FROM {cand} c LEFT JOIN ego{suffix}_kept a ON a.center_id = c.center_id AND a.other_id = c.source_work_id
+        LEFT JOIN ego{suffix}_kept b ON b.center_id = c.center_id AND b.other_id = c.target_work_id
+        WHERE (a.center_id IS NOT NULL OR c.source_work_id = c.center_id) AND (b.center_id IS NOT NULL OR c.target_work_id = c.center_id)
         UNION ALL SELECT center_id, group_id, CASE direction WHEN 'out' THEN center_id::VARCHAR ELSE group_id END,
-            CASE direction WHEN 'out' THEN group_id ELSE center_id::VARCHAR END, relation_type, NULL FROM ego_groups""",
-}
+            CASE direction WHEN 'out' THEN group_id ELSE center_id::VARCHAR END, relation_type, NULL FROM ego{suffix}_groups""",
+    }
+
+
 KEPT = 8  # small enough that most centres of the test tables have overflow
+VIEWS |= _drawn("", KEPT) | _drawn("2", ego.KEPT_OTHERS)
 
 
 @query("e1_relation_problems", """
@@ -258,11 +281,18 @@ def _(t):
     return ego.kept_others(candidates(t), KEPT).select("center_id", "other_id", F.round("score", 6).alias("score"))
 
 
-def _ego(t):
-    from evgraph.session import materialize
+def two_hops(t):
+    return ego.two_hop_candidates(ego.scored_ends(edges(t), t.relation_members, t.reading_status))
 
-    cand = materialize(candidates(t), "ego")
-    kept = ego.kept_others(cand, KEPT)
+
+@query("e11_two_hop_candidates", "SELECT center_id, other_id, relation_id, direction, round(score, 6) AS score FROM cand2")
+def _(t):
+    return two_hops(t).select("center_id", "other_id", "relation_id", "direction", F.round("score", 6).alias("score"))
+
+
+def _ego(t, depth=1):
+    cand = materialize(candidates(t) if depth == 1 else two_hops(t), "ego")
+    kept = materialize(ego.kept_others(cand, KEPT if depth == 1 else ego.KEPT_OTHERS), "ego_kept")
     over = ego.overflow_members(cand, kept)
     return cand, kept, over, ego.overflow_groups(over)
 
@@ -284,6 +314,28 @@ def _(t):
     return ego.ego_edges(cand, kept, groups).drop("review_status", "review_count")
 
 
+@query("e12_two_hop_kept", "SELECT center_id, other_id, round(score, 6) AS score FROM ego2_kept")
+def _(t):
+    return _ego(t, 2)[1].select("center_id", "other_id", F.round("score", 6).alias("score"))
+
+
+@query("e12_two_hop_groups", "SELECT center_id, group_key, members, group_id FROM ego2_groups")
+def _(t):
+    return _ego(t, 2)[3].select("center_id", "group_key", "members", "group_id")
+
+
+@query("e13_two_hop_nodes", "SELECT * REPLACE (members::VARCHAR AS members) FROM ego2_node_rows")
+def _(t):
+    _, kept, _, groups = _ego(t, 2)
+    return ego.ego_nodes(t.works, t.versions, kept, groups).drop("score").withColumn("members", F.col("members").cast("string"))
+
+
+@query("e13_two_hop_edges", "SELECT * FROM ego2_edge_rows")
+def _(t):
+    cand, kept, _, groups = _ego(t, 2)
+    return ego.ego_edges(cand, kept, groups).drop("review_status", "review_count")
+
+
 @query("e14_expanded_groups", """
     WITH opened AS (SELECT * FROM ego_groups WHERE direction = 'in'),
     inside AS (SELECT o.center_id, o.other_id::VARCHAR AS node_id, min(o.group_key) AS group_key FROM ego_over o

@@ -73,23 +73,8 @@ def test_invalid_output_is_rejected(spark):
     assert [(r["source_work_id"], r["target_work_id"], r["version_id"], r["page"]) for r in got] == [(2, 1, 20, 0)]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_two_hops_like_full_search(spark, seed):
-    rng = random.Random(seed)
-    n, edges, members = 40, [], []
-    for i in range(150):
-        a, b = rng.randrange(n), rng.randrange(n)
-        if rng.random() < 0.3:
-            a = 0
-        if a == b:
-            continue
-        conf, status = rng.random(), rng.choice(["confirmed", "unreviewed", "disputed"])
-        edges.append((i, a, b, "improves_on", status, "ai_candidate", conf, "", rng.randrange(3)))
-        members += [(i, "source", a if rng.random() < 0.8 else None), (i, "target", b if rng.random() < 0.8 else None)]
-    reading = [(u, rng.randrange(n), "read") for u in range(60)]
-    readers = defaultdict(int)
-    for _, w, _ in reading:
-        readers[w] += 1
+def plain_neighbourhoods(n, edges, members, readers, kept, expanded):
+    """Per centre: rows (other, relation, direction, score) of both hops, and the best others."""
     anchors = {(r, a) for r, _, a in members if a is not None}
 
     def collect(anchor, center, seen):
@@ -97,35 +82,83 @@ def test_two_hops_like_full_search(spark, seed):
         for r, a, b, _, status, _, conf, _, votes in edges:
             if (r, anchor) not in anchors or r in seen:
                 continue
-            other = b if a == center else a if b == center else b if a == anchor else a if b == anchor else None
+            other, way = (b, "out") if a == center else (a, "in") if b == center else (b, "out") if a == anchor else (a, "in") if b == anchor else (None, "")
             if other is None:
                 continue
             seen.add(r)
             base = tx.STATUS_WEIGHTS[status] * (1 + conf) + votes * 0.2
-            out.append((other, base + readers[other] * 0.15))
+            out.append((other, r, way, base + readers[other] * 0.15))
         return out
 
     def best_of(found):
         best = {}
-        for other, s in found:
+        for other, _, _, s in found:
             best[other] = max(best.get(other, -1), s)
         return sorted(best.items(), key=lambda x: (-round(x[1], 9), x[0]))
 
-    want = []
+    out = {}
     for c in range(n):
         seen = set()
         found = collect(c, c, seen)
-        if not found:
+        if found:
+            for hop, _ in best_of(found)[:expanded]:
+                found += collect(hop, c, seen)
+            out[c] = found, best_of(found)[:kept]
+    return out
+
+
+@pytest.mark.parametrize("seed,hub_part", [(0, 4096), (2, 5), (3, 1)])
+def test_two_hops_like_full_search(spark, seed, hub_part):
+    rng = random.Random(seed)
+    n, edges, members = 40, [], []
+    kinds = {}
+    for i in range(150):
+        a, b = rng.randrange(n), rng.randrange(n)
+        if rng.random() < 0.3:
+            a = 0
+        if a == b:
             continue
-        for hop, _ in best_of(found)[:3]:
-            found += collect(hop, c, seen)
-        want += [(c, o, round(s, 6)) for o, s in best_of(found)[:6]]
+        conf, status = rng.random(), rng.choice(["confirmed", "unreviewed", "disputed"])
+        kinds[i] = rng.choice(["improves_on", "improves_on", "uses_method_from"])
+        edges.append((i, a, b, kinds[i], status, "ai_candidate", conf, "", rng.randrange(3)))
+        members += [(i, "source", a if rng.random() < 0.8 else None), (i, "target", b if rng.random() < 0.8 else None)]
+    reading = [(u, rng.randrange(n), "read") for u in range(60)]
+    readers = defaultdict(int)
+    for _, w, _ in reading:
+        readers[w] += 1
+    want = plain_neighbourhoods(n, edges, members, readers, kept=6, expanded=3)
     e = spark.createDataFrame(
         edges, EDGE.replace("source_work_id string, target_work_id string", "source_work_id long, target_work_id long"))
     m = spark.createDataFrame(members, "relation_id long, role string, anchor_work_id long")
     r = spark.createDataFrame(reading, "user_id long, work_id long, status string")
-    out = ego.two_hop_others(ego.scored_ends(e, m, r), k=6, expanded=3).withColumn("score", F.round("score", 6))
-    assert sorted(map(tuple, out.select("center_id", "other_id", "score").collect())) == sorted(want)
+    scored = ego.scored_ends(e, m, r)
+    best = sorted((c, o, round(s, 6)) for c, (_, kept) in want.items() for o, s in kept)
+    out = ego.two_hop_others(scored, k=6, expanded=3).withColumn("score", F.round("score", 6))
+    assert sorted(map(tuple, out.select("center_id", "other_id", "score").collect())) == best
+
+    found = ego.two_hop_candidates(scored, 3, hub_part)
+    got = found.select("center_id", "other_id", "relation_id", "direction", F.round("score", 6))
+    assert sorted(map(tuple, got.collect())) == sorted((c, o, i, way, round(s, 6)) for c, (rows_, _) in want.items() for o, i, way, s in rows_)
+    kept = ego.kept_others(found, 6)
+    assert sorted(map(tuple, kept.select("center_id", "other_id", F.round("score", 6)).collect())) == best
+    groups = defaultdict(set)
+    shown = set()
+    ends = {i: (a, b) for i, a, b, *_ in edges}
+    for c, (rows_, best_) in want.items():
+        inside = {o for o, _ in best_}
+        for o, i, way, _ in rows_:
+            if o not in inside:
+                groups[c, f"{kinds[i]}:{way}"].add(o)
+            if set(ends[i]) <= inside | {c}:
+                shown.add((c, str(i)))
+    over = ego.overflow_members(found, kept)
+    summed = ego.overflow_groups(over)
+    assert rows(summed, "center_id", "group_key", "members") == sorted(
+        ((c, k, len(o)) for (c, k), o in groups.items()), key=lambda x: [str(y) for y in x])
+    assert {(x.center_id, x.group_key, x.other_id) for x in over.collect()} == {(c, k, o) for (c, k), os in groups.items() for o in os}
+    lines = ego.ego_edges(found, kept, summed)
+    assert {(x.center_id, x.edge_id) for x in lines.where("bundle_key IS NOT NULL").collect()} == shown
+    assert lines.where("bundle_key IS NULL").count() == len(groups) > 20
 
 
 def test_positions_over_strides(spark):
