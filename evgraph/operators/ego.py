@@ -7,7 +7,7 @@ from evgraph import taxonomy as tx
 from evgraph.functions import text as tf
 from evgraph.functions.scores import synthetic_id
 from evgraph.operators.relations import reader_counts
-from evgraph.operators.tables import top_k
+from evgraph.operators.tables import crowded, in_every_part, in_parts, top_k
 
 KEPT_OTHERS = 29
 EXPANDED = 12
@@ -114,12 +114,9 @@ def two_hop_candidates(scored: DataFrame, expanded: int = EXPANDED, hub_part: in
     anchored = scored.where("from_anchor")
     via = top_k(best_others(anchored), ["center_id"], _best(), expanded, rank="place").select(
         "center_id", F.col("other_id").alias("via"), "place")
-    hubs = anchored.groupBy("center_id").agg(F.ceil(F.count("*") / hub_part).cast("long").alias("parts")).where("parts > 1")
-    hubs = hubs.withColumnRenamed("center_id", "via")
-    part = F.pmod(F.xxhash64("relation_id", "other_id"), F.coalesce("parts", F.lit(1)))
-    spread = anchored.withColumnRenamed("center_id", "via").join(hubs, "via", "left").withColumn("part", part).drop("parts")
-    last = F.coalesce("parts", F.lit(1)) - 1
-    asked = via.join(hubs, "via", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
+    around = anchored.withColumnRenamed("center_id", "via")
+    hubs = crowded(around, "via", hub_part)
+    spread, asked = in_parts(around, "via", hubs, "relation_id", "other_id"), in_every_part(via, "via", hubs)
     earlier = via.select("center_id", F.col("via").alias("other_id"), F.col("place").alias("other_place"))
     # an edge between two expanded works that both anchor it was met at the better ranked one
     met = F.coalesce(F.col("to_anchor") & (F.col("other_place") < F.col("place")), F.lit(False))

@@ -11,10 +11,11 @@ from evgraph import schemas, taxonomy as tx
 from evgraph.functions import text as tf
 from evgraph.operators import relations as rel
 from evgraph.operators.consensus import judgment_disputes
-from evgraph.operators.tables import paged, top_k
+from evgraph.operators.tables import left_known, paged, top_k
 from evgraph.session import materialize
 
 MAX_BODY = 20_000
+MOST_DOUBLINGS = 40  # ends a thread that replies to itself
 
 
 # --- works ----------------------------------------------------------------------------------
@@ -53,6 +54,26 @@ def search_works(
     return paged(hits, [F.desc(order), F.desc("work_id")], min(limit, 200) if limit > 0 else 50, offset)
 
 
+def with_author_names(page: DataFrame, version_authors: DataFrame, authors: DataFrame) -> DataFrame:
+    """The works of a page with the names of their primary version's authors, in order; no author gives an empty list.
+
+    The lists are as long as a work has authors: for listings of pages, `work_authors` is the flat form for all.
+    """
+    asked = page.select(F.col("primary_version_id").alias("version_id")).where("version_id IS NOT NULL").distinct()
+    placed = F.struct("position", "author_id", "full_name")
+    named = version_authors.join(asked, "version_id", "left_semi").join(authors, "author_id").groupBy("version_id").agg(
+        F.transform(F.array_sort(F.collect_list(placed)), lambda a: a["full_name"]).alias("authors"))
+    out = page.join(named.withColumnRenamed("version_id", "primary_version_id"), "primary_version_id", "left")
+    return out.withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
+
+
+def with_shown_version(works: DataFrame, versions: DataFrame, order: str = "created_ord") -> DataFrame:
+    """Works whose card has a version: the primary one, or else the first that was made."""
+    first = versions.groupBy("work_id").agg(F.min_by("version_id", F.struct(order, "version_id")).alias("_first"))
+    shown = works.join(first, "work_id", "left")
+    return shown.withColumn("primary_version_id", F.coalesce("primary_version_id", "_first")).drop("_first")
+
+
 def work_authors(works: DataFrame, version_authors: DataFrame, authors: DataFrame) -> DataFrame:
     """(work_id, position, author_id, full_name) of the primary versions."""
     primary = works.where("primary_version_id IS NOT NULL").select("work_id", F.col("primary_version_id").alias("version_id"))
@@ -79,21 +100,22 @@ def work_cards(t) -> DataFrame:
     The sections themselves are `card_sections`. `t` has the tables as attributes.
     """
     count = lambda df, name, key="work_id": df.groupBy(F.col(key).alias("work_id")).agg(F.count("*").alias(name))
+    works = with_shown_version(t.works, t.versions)
     sections = [
         count(t.versions, "versions"),
-        count(work_authors(t.works, t.version_authors, t.authors), "authors"),
+        count(work_authors(works, t.version_authors, t.authors), "authors"),
         count(t.work_projects, "projects"),
         count(t.claims, "claims"),
+        count(t.methods, "methods"),
+        count(t.paper_aspects, "aspects"),
         count(t.reading_status, "reading"),
-        count(t.annotations, "annotations") if hasattr(t, "annotations") else None,
+        annotation_counts(t.annotations),
         count(evidence_of_works(t.evidence, t.versions, t.claims, t.relation_members), "evidence"),
         count(rel.relations_of_works(t.relations, t.relation_members), "relations"),
         count(jobs_of_works(t.jobs, t.works, t.versions), "jobs"),
     ]
-    out = titled_works(t.works, t.versions)
+    out = titled_works(works, t.versions)
     for s in sections:
-        if s is None:
-            continue
         name = s.columns[-1]
         out = out.join(s, "work_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
     return out
@@ -109,9 +131,12 @@ def card_sections(t) -> DataFrame:
     listed = rel.relations_of_works(t.relations, t.relation_members)
     parts = [
         row(t.versions, "version", c("created_ord"), c("version_id"), c("title")),
-        row(work_authors(t.works, t.version_authors, t.authors), "author", c("position"), c("author_id"), c("full_name")),
+        row(work_authors(with_shown_version(t.works, t.versions), t.version_authors, t.authors), "author", c("position"),
+            c("author_id"), c("full_name")),
         row(projects, "project", c("name"), c("project_id"), c("name")),
         row(t.claims, "claim", c("claim_id"), c("claim_id"), c("text")),
+        row(t.methods, "method", c("method_id"), c("method_id"), c("name")),
+        row(t.paper_aspects, "aspect", c("aspect"), c("aspect"), c("summary")),
         row(t.reading_status, "reading", c("updated_at"), c("user_id"), c("status")),
         row(evidence_of_works(t.evidence, t.versions, t.claims, t.relation_members), "evidence", c("page"),
             c("evidence_id"), c("text")),
@@ -132,7 +157,7 @@ def node_context(
     Only works that a graph holds are its nodes. `comments` are the visible ones; `related` is
     `relations.node_relations`.
     """
-    wanted = ["version", "author", "claim", "evidence"]
+    wanted = ["version", "author", "claim", "method", "aspect", "evidence"]
     cards = card_sections(t).where(F.col("section").isin(wanted))
     node = ["graph_id", "work_id"]
     held = graph_works.select(*node).distinct()
@@ -282,6 +307,11 @@ def visible_to(rows: DataFrame, viewer_id) -> DataFrame:
     return rows.where((F.col("visibility") == "team") | (F.col("user_id") == F.lit(viewer_id)))
 
 
+def annotation_counts(annotations: DataFrame) -> DataFrame:
+    """(work_id, annotations): all of a work's, whoever may read them."""
+    return annotations.groupBy("work_id").agg(F.count("*").alias("annotations"))
+
+
 def comments_with_authors(comments: DataFrame, users: DataFrame, viewer_id) -> DataFrame:
     named = users.select("user_id", F.col("name").alias("author_name"))
     return visible_to(comments, viewer_id).join(named, "user_id")
@@ -375,15 +405,25 @@ def delete_own_comments(comments: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def delete_own_annotations(annotations: DataFrame, requests: DataFrame) -> DataFrame:
-    """Author-only delete (annotation_id, user_id); replies go with it, level by level."""
+    """Author-only delete (annotation_id, user_id); all replies below go with it.
+
+    Every annotation looks at ancestors at doubling distance: after r rounds it knows whether one of its nearest
+    2 ** r is deleted, so the rounds follow the logarithm of the deepest thread. Replies to a missing annotation
+    stay; so do threads that reply to themselves, unless one of them is deleted.
+    """
     key = ["annotation_id", "user_id"]
-    level = materialize(annotations.join(requests.select(*key), key, "left_semi").select("annotation_id"), "deleted")
-    left = annotations
-    while not level.isEmpty():
-        left = left.join(level, "annotation_id", "left_anti")
-        parents = level.withColumnRenamed("annotation_id", "parent_id")
-        level = materialize(left.join(parents, "parent_id", "left_semi").select("annotation_id"), "deleted")
-    return left.select(*annotations.columns)
+    asked = requests.select(*key).distinct().withColumn("gone", F.lit(True))
+    gone = F.coalesce("gone", F.lit(False))
+    seen = annotations.join(asked, key, "left").select(
+        "annotation_id", F.when(~gone, F.col("parent_id")).alias("above"), gone.alias("gone"))
+    for _ in range(MOST_DOUBLINGS):
+        seen = materialize(seen, "ancestors")
+        if seen.where("above IS NOT NULL").isEmpty():
+            break
+        up = seen.select(F.col("annotation_id").alias("above"), F.col("above").alias("_above"), F.col("gone").alias("_gone"))
+        lost = F.col("gone") | F.coalesce("_gone", F.lit(False))
+        seen = left_known(seen, up, "above").select("annotation_id", F.when(~lost, F.col("_above")).alias("above"), lost.alias("gone"))
+    return annotations.join(seen.where("gone").select("annotation_id"), "annotation_id", "left_anti").select(*annotations.columns)
 
 
 # --- jobs and views -----------------------------------------------------------------------------

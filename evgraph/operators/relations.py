@@ -413,11 +413,12 @@ def patch_relations(relations: DataFrame, members: DataFrame, patches: DataFrame
 
 def review_queue(
     relations: DataFrame, members: DataFrame | None = None, work_id=None, only_unreviewed: bool = True,
-    limit: int | None = 50, offset: int = 0,
+    limit: int | None = 50, offset: int = 0, worth: bool = True,
 ) -> DataFrame:
     """AI candidates waiting for a vote: for one work or for all, unreviewed only or any status.
 
-    The page size is 50 by default and 200 at most; limit=None gives the whole queue, unsorted.
+    The page size is 50 by default and 200 at most; limit=None gives the whole queue, unsorted. The queue of all
+    works holds only what is `worth` a vote (confident or high-risk, no citations); that of one work holds everything.
     """
     queue = relations.where("source = 'ai_candidate'")
     if only_unreviewed:
@@ -426,6 +427,8 @@ def review_queue(
         anchored = members.where(F.col("anchor_work_id") == F.lit(work_id)).select("relation_id")
         queue = queue.join(anchored, "relation_id", "left_semi")
         order = [F.asc("relation_id")]
+    elif not worth:
+        order = [F.asc("relation_id")]
     elif only_unreviewed:
         worth_it = (F.coalesce("confidence", F.lit(0.0)) >= 0.75) | tx.is_high_risk(F.col("type"))
         queue = queue.where(~F.col("type").isin(tx.NOT_PROPOSABLE) & worth_it)
@@ -436,6 +439,12 @@ def review_queue(
     return queue if limit is None else paged(queue, order, min(limit, 200) if limit > 0 else 50, offset)
 
 
+def review_queues(relations: DataFrame, members: DataFrame, only_unreviewed: bool = True) -> DataFrame:
+    """(work_id, relation …): the AI candidates anchored on each work, as review_queue lists them for one."""
+    anchored = members.where("anchor_work_id IS NOT NULL").select("relation_id", F.col("anchor_work_id").alias("work_id")).distinct()
+    return anchored.join(review_queue(relations, only_unreviewed=only_unreviewed, limit=None, worth=False), "relation_id")
+
+
 def relations_of_works(relations: DataFrame, members: DataFrame) -> DataFrame:
     """(work_id, relation …) for every work a relation is anchored on or names, citations left out.
 
@@ -577,6 +586,15 @@ def node_relations(
     )
 
 
+def related_titles(rows: DataFrame, works: DataFrame, versions: DataFrame) -> DataFrame:
+    """(graph_id, work_id, other_id, title, year): every other work that `node_relations` names at a node, once."""
+    named = rows.where("other_id IS NOT NULL").select("graph_id", "work_id", "other_id").distinct()
+    primary = versions.select(F.col("version_id").alias("primary_version_id"), F.col("title").alias("_title"), "year")
+    titled = works.join(primary, "primary_version_id", "left").select(
+        F.col("work_id").alias("other_id"), tf.display_title(F.col("_title"), F.col("title_norm")).alias("title"), "year")
+    return named.join(titled, "other_id").select("graph_id", "work_id", "other_id", "title", "year")
+
+
 # --- prompts and grounding ------------------------------------------------------------------
 
 # Wording of the prompts, characters of an abstract and contexts in one of them.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evgraph import taxonomy as tx
 from evgraph.functions import scores as sf
-from evgraph.operators.tables import dealt_out, top_k
+from evgraph.operators.tables import crowded, dealt_out, in_every_part, in_parts, top_k
 from evgraph.session import materialize
 
 K = 32
@@ -232,15 +232,22 @@ def lineage_edges(relations: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def lineage_neighbors(edges: DataFrame, k: int = K, hops: int = 4, seeds: DataFrame | None = None) -> DataFrame:
+HUB_PART = 4096  # edges of one work that a task extends at a time
+
+
+def lineage_neighbors(
+    edges: DataFrame, k: int = K, hops: int = 4, seeds: DataFrame | None = None, hub_part: int = HUB_PART
+) -> DataFrame:
     """k nearest works over at most `hops` edges: score = 1 / max(distance, 1).
 
     Round h extends the lists of round h-1 by one edge and keeps k per work. That is exact: when x
     is the first step from a towards b, anything x ranks before b is also at least as near to a.
-    A round therefore moves k rows per edge, whatever the degree of a hub.
+    A round therefore moves k rows per edge, whatever the degree of a hub. The edges that lead to a hub are
+    dealt into parts of about `hub_part`, each with a copy of the hub's list, so that no task extends them all.
     """
     near = [F.asc("length"), F.asc("other_id")]
     edges = materialize(edges, "lineage")
+    hubs = materialize(crowded(edges, "work_id", hub_part).withColumnRenamed("work_id", "via"), "lineage_hubs")
     need = _needed_by_hop(edges, hops, seeds)
     scoped = lambda h: edges if need is None else edges.join(need[h], "work_id", "left_semi")
     lists = top_k(scoped(1), ["work_id"], near, k)
@@ -248,9 +255,10 @@ def lineage_neighbors(edges: DataFrame, k: int = K, hops: int = 4, seeds: DataFr
         step = scoped(hop)
         onward = lists.select(
             F.col("work_id").alias("via"), F.col("other_id").alias("_end"), F.col("length").alias("_rest"))
+        inward = in_parts(step.withColumnRenamed("other_id", "via"), "via", hubs, "work_id")
         walked = (
-            dealt_out(step.withColumnRenamed("other_id", "via"), "via")
-            .join(onward.hint("merge"), "via")
+            dealt_out(inward, "via", "part")
+            .join(in_every_part(onward, "via", hubs).hint("merge"), ["via", "part"])
             .where("_end <> work_id")
             .select("work_id", F.col("_end").alias("other_id"), (F.col("length") + F.col("_rest")).alias("length"))
         )

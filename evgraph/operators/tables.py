@@ -29,6 +29,25 @@ def dealt_out(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
+def crowded(rows: DataFrame, key: str, per_part: int) -> DataFrame:
+    """(key, parts) of the keys with more than `per_part` rows."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count("*") / per_part).cast("long").alias("parts"))
+    return counts.where("parts > 1")
+
+
+def in_parts(rows: DataFrame, key: str, crowds: DataFrame, *spread_by: str) -> DataFrame:
+    """Adds `part`: the rows of a crowded key are dealt by a hash of `spread_by`, those of others have part 0."""
+    part = F.pmod(F.xxhash64(*spread_by), F.coalesce("parts", F.lit(1)))
+    return rows.join(crowds, key, "left").withColumn("part", part).drop("parts")
+
+
+def in_every_part(rows: DataFrame, key: str, crowds: DataFrame) -> DataFrame:
+    """Adds `part`: one copy of each row for every part of its key, to meet the rows of `in_parts`."""
+    last = F.coalesce("parts", F.lit(1)) - 1
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), last))
+    return rows.join(crowds, key, "left").withColumn("part", copies).drop("parts")
+
+
 def left_known(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Left join whose rows without a key, which match nothing, are spread instead of meeting in one task."""
     unknown = F.col(keys[0]).isNull()

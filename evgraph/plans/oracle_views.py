@@ -135,6 +135,16 @@ VIEWS = {
                split_part(text, chr(10), 1) AS text,
                CASE WHEN lang = 'en' THEN 'ai_candidate' ELSE 'team_record' END AS source,
                CASE WHEN lang = 'en' THEN 'unreviewed' ELSE 'confirmed' END AS review_status FROM documents""",
+    "methods": """
+        SELECT o_orderkey AS method_id, (o_orderkey * 7) % (SELECT count(*) FROM part) AS work_id,
+               o_orderpriority || ' ' || o_orderstatus AS name FROM orders""",
+    "paper_aspects": f"""
+        SELECT doc_id % (SELECT count(*) FROM part) AS work_id, {words(tx.ASPECTS)}[doc_id % 8 + 1] AS aspect,
+               split_part(text, chr(10), 1) AS summary FROM documents""",
+    "annotations": """
+        SELECT event_id AS annotation_id, event_id % (SELECT count(*) FROM part) AS work_id, event_id % 7 AS user_id,
+               CASE WHEN event_id % 5 = 0 THEN 'private' ELSE 'team' END AS visibility,
+               CASE WHEN event_id % 40 > 0 THEN event_id - 1 END AS parent_id FROM events""",
     "claim_judgments": f"""
         SELECT event_id AS judgment_id, event_id % (SELECT count(*) FROM documents) AS claim_id, user_id,
                {words(tx.CLAIM_VERDICTS)}[event_id % 6 + 1] AS verdict FROM events""",

@@ -50,8 +50,32 @@ def _(t):
     return hits.select("work_id", "title", "year", "arxiv_id")
 
 
+@query("d1_work_search_authors", """
+    WITH page AS (SELECT * FROM titled WHERE title_norm ILIKE '%RING%' OR title ILIKE '%RING%' OR arxiv_id ILIKE '%RING%'
+        ORDER BY created_ord DESC, work_id DESC LIMIT 200)
+    SELECT p.work_id, p.title, coalesce(string_agg(full_name, '; ' ORDER BY position, author_id), '') AS authors
+    FROM page p LEFT JOIN work_authors a ON a.work_id = p.work_id GROUP BY 1, 2""")
+def _(t):
+    page = reads.with_author_names(reads.search_works(t.works, t.versions, "RING", limit=200), t.version_authors, t.authors)
+    return page.select("work_id", "title", F.array_join("authors", "; ").alias("authors"))
+
+
+@query("d2_cards_without_primary", """
+    SELECT w.work_id, coalesce(v.title, w.title_norm) AS title, v.year::VARCHAR AS year, (SELECT count(*) FROM version_authors x WHERE x.version_id = v.version_id) AS authors
+    FROM works w LEFT JOIN versions v ON v.version_id = CASE WHEN w.work_id % 3 <> 0 THEN w.primary_version_id
+        ELSE (SELECT arg_min(y.version_id, y.created_ord) FROM versions y WHERE y.work_id = w.work_id AND (w.work_id % 2 = 0 OR y.kind = 'journal')) END""")
+def _(t):
+    """Every third work has no primary version; half of these keep only their journal version, if any."""
+    works = t.works.withColumn("primary_version_id", F.when(F.col("work_id") % 3 != 0, F.col("primary_version_id")))
+    lost = (F.col("work_id") % 3 == 0) & (F.col("work_id") % 2 != 0) & (F.col("kind") != "journal")
+    shown = reads.with_shown_version(works, t.versions.where(~lost))
+    counted = reads.work_authors(shown, t.version_authors, t.authors).groupBy("work_id").agg(F.count("*").alias("authors"))
+    out = reads.titled_works(shown, t.versions).join(counted, "work_id", "left")
+    return out.select("work_id", "title", F.col("year").cast("string").alias("year"), F.coalesce("authors", F.lit(0).cast("long")).alias("authors"))
+
+
 @query("d2_work_cards", """
-    SELECT w.work_id, w.title, coalesce(a.n, 0) AS versions, coalesce(b.n, 0) AS authors, coalesce(c.n, 0) AS projects,
+    SELECT w.work_id, w.title, coalesce(m.n, 0) AS methods, coalesce(s.n, 0) AS aspects, coalesce(o.n, 0) AS annotations, coalesce(a.n, 0) AS versions, coalesce(b.n, 0) AS authors, coalesce(c.n, 0) AS projects,
            coalesce(d.n, 0) AS claims, coalesce(e.n, 0) AS reading, coalesce(f.n, 0) AS evidence,
            coalesce(g.n, 0) AS relations, coalesce(h.n, 0) AS jobs
     FROM titled w
@@ -59,13 +83,17 @@ def _(t):
     LEFT JOIN (SELECT work_id, count(*) AS n FROM work_authors GROUP BY 1) b ON b.work_id = w.work_id
     LEFT JOIN (SELECT work_id, count(*) AS n FROM work_projects GROUP BY 1) c ON c.work_id = w.work_id
     LEFT JOIN (SELECT work_id, count(*) AS n FROM claims GROUP BY 1) d ON d.work_id = w.work_id
+    LEFT JOIN (SELECT work_id, count(*) AS n FROM methods GROUP BY 1) m ON m.work_id = w.work_id
+    LEFT JOIN (SELECT work_id, count(*) AS n FROM paper_aspects GROUP BY 1) s ON s.work_id = w.work_id
+    LEFT JOIN (SELECT work_id, count(*) AS n FROM annotations GROUP BY 1) o ON o.work_id = w.work_id
     LEFT JOIN (SELECT work_id, count(*) AS n FROM reading_status GROUP BY 1) e ON e.work_id = w.work_id
     LEFT JOIN (SELECT work_id, count(*) AS n FROM work_evidence GROUP BY 1) f ON f.work_id = w.work_id
     LEFT JOIN (SELECT work_id, count(*) AS n FROM work_relations GROUP BY 1) g ON g.work_id = w.work_id
     LEFT JOIN (SELECT work_id, count(*) AS n FROM work_jobs GROUP BY 1) h ON h.work_id = w.work_id""")
 def _(t):
     return reads.work_cards(t).select(
-        "work_id", "title", "versions", "authors", "projects", "claims", "reading", "evidence", "relations", "jobs")
+        "work_id", "title", "versions", "authors", "projects", "claims", "methods", "aspects", "reading", "annotations", "evidence",
+        "relations", "jobs")
 
 
 @query("d2_card_sections", f"""
@@ -73,6 +101,8 @@ def _(t):
     UNION ALL SELECT work_id, 'author', position::VARCHAR, author_id::VARCHAR, md5(full_name) FROM work_authors
     UNION ALL SELECT x.work_id, 'project', p.name, p.project_id::VARCHAR, md5(p.name) FROM work_projects x JOIN projects p USING (project_id)
     UNION ALL SELECT work_id, 'claim', claim_id::VARCHAR, claim_id::VARCHAR, md5(text) FROM claims
+    UNION ALL SELECT work_id, 'method', method_id::VARCHAR, method_id::VARCHAR, md5(name) FROM methods
+    UNION ALL SELECT work_id, 'aspect', aspect, aspect, md5(summary) FROM paper_aspects
     UNION ALL SELECT work_id, 'reading', '', user_id::VARCHAR, md5(status) FROM reading_status
     UNION ALL SELECT work_id, 'evidence', page::VARCHAR, evidence_id::VARCHAR, md5(text) FROM work_evidence
     UNION ALL SELECT work_id, 'relation', ({LISTING_RANK})::VARCHAR, relation_id::VARCHAR, md5(type) FROM work_relations
@@ -183,6 +213,11 @@ def _(t):
     return reads.visible_to(notes, 3).select("work_id", "annotation_id")
 
 
+@query("d15_annotation_counts", "SELECT work_id, count(*) AS annotations FROM annotations GROUP BY 1")
+def _(t):
+    return reads.annotation_counts(t.annotations)
+
+
 @query("d16_comments_with_authors", """
     SELECT c.graph_id, c.work_id, c.comment_id, u.name AS author_name, c.created_ord
     FROM node_comments c JOIN users u ON u.user_id = c.user_id WHERE c.visibility = 'team' OR c.user_id = 3""")
@@ -299,3 +334,13 @@ def _(t):
     requests = t.node_comments.where(c("created_ord") % 3 == 0).select("comment_id", (c("work_id") % 7).alias("user_id"))
     rows = reads.delete_own_comments(t.node_comments, requests)
     return rows.select("comment_id", c("parent_id").cast("string").alias("parent_id"))
+
+
+@query("d25_deleted_annotations", """
+    SELECT annotation_id, work_id FROM annotations QUALIFY NOT bool_or(annotation_id % 11 = 0 AND user_id = work_id % 7)
+        OVER (PARTITION BY annotation_id // 40 ORDER BY annotation_id)""")
+def _(t):
+    """Forty annotations in a row are a thread: what follows a deleted one is below it."""
+    key = F.col("annotation_id")
+    requests = t.annotations.where(key % 11 == 0).select("annotation_id", (F.col("work_id") % 7).alias("user_id"))
+    return reads.delete_own_annotations(t.annotations, requests).select("annotation_id", "work_id")

@@ -406,6 +406,20 @@ def _(t):
     return rel.review_queue(t.relations, only_unreviewed=False, limit=None).select("relation_id", "type", "review_status")
 
 
+_OF_WORKS = """SELECT m.work_id, r.relation_id, r.type FROM (SELECT DISTINCT relation_id, anchor_work_id AS work_id FROM relation_members
+    WHERE anchor_work_id IS NOT NULL) m JOIN relations r ON r.relation_id = m.relation_id WHERE r.source = 'ai_candidate'"""
+
+
+@query("e18_queues_of_works", f"{_OF_WORKS} AND r.review_status = 'unreviewed'")
+def _(t):
+    return rel.review_queues(t.relations, t.relation_members).select("work_id", "relation_id", "type")
+
+
+@query("e18_queues_of_works_any_status", _OF_WORKS)
+def _(t):
+    return rel.review_queues(t.relations, t.relation_members, only_unreviewed=False).select("work_id", "relation_id", "type")
+
+
 @query("d8_relations_of_works", "SELECT work_id, relation_id, type, review_status FROM work_relations")
 def _(t):
     return rel.relations_of_works(t.relations, t.relation_members).select("work_id", "relation_id", "type", "review_status")
@@ -507,6 +521,12 @@ def _(t):
     return out.where("kind NOT IN ('related', 'neighbor')").select("graph_id", "work_id", "kind", "detail", "ref")
 
 
+@query("e20_related_titles", """
+    SELECT DISTINCT n.graph_id, n.work_id, n.other_id, w.title, w.year FROM node_relations n JOIN titled w ON w.work_id = n.other_id""")
+def _(t):
+    return rel.related_titles(node_relations(t), t.works, t.versions)
+
+
 @query("e21_node_contexts", """
     WITH vis AS (SELECT * FROM node_comments c WHERE (visibility = 'team' OR user_id = 3) AND EXISTS (
         SELECT 1 FROM graph_works g WHERE g.graph_id = c.graph_id AND g.work_id = c.work_id)),
@@ -515,6 +535,7 @@ def _(t):
         SELECT work_id, 'version' AS section, version_id::VARCHAR AS item_id FROM versions
         UNION ALL SELECT work_id, 'author', author_id::VARCHAR FROM work_authors
         UNION ALL SELECT work_id, 'claim', claim_id::VARCHAR FROM claims
+        UNION ALL SELECT work_id, 'method', method_id::VARCHAR FROM methods UNION ALL SELECT work_id, 'aspect', aspect FROM paper_aspects
         UNION ALL SELECT work_id, 'evidence', evidence_id::VARCHAR FROM work_evidence) s ON s.work_id = n.work_id
     UNION ALL (SELECT graph_id, work_id, 'comment', comment_id::VARCHAR FROM vis
         QUALIFY row_number() OVER (PARTITION BY graph_id, work_id ORDER BY created_ord DESC) <= 50)

@@ -242,6 +242,37 @@ class Library:
             F.when(F.col("lang") == "en", "unreviewed").otherwise("confirmed").alias("review_status"),
         )
 
+    @cached_property
+    def methods(self):
+        """Every order is a method of a work."""
+        return self.raw("orders").select(
+            F.col("o_orderkey").alias("method_id"),
+            ((F.col("o_orderkey") * 7) % self.size("part")).alias("work_id"),
+            F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("name"),
+        )
+
+    @cached_property
+    def paper_aspects(self):
+        """First line of every document sums up an aspect of a work."""
+        return self.raw("documents").select(
+            (F.col("doc_id") % self.size("part")).alias("work_id"),
+            pick(tx.ASPECTS, F.col("doc_id") % 8).alias("aspect"),
+            F.substring_index("text", "\n", 1).alias("summary"),
+        )
+
+    @cached_property
+    def annotations(self):
+        """Events are annotations; up to forty in a row answer one another."""
+        key = F.col("event_id")
+        return self.raw("events").select(
+            key.alias("annotation_id"),
+            (key % self.size("part")).alias("work_id"),
+            (key % 7).alias("user_id"),
+            F.when(key % 5 == 0, "private").otherwise("team").alias("visibility"),
+            F.when(key % 40 > 0, key - 1).alias("parent_id"),
+            F.col("event_type").alias("body"),
+        )
+
     @cached_property
     def claim_judgments(self):
         return self.raw("events").select(

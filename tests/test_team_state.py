@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evgraph.operators import consensus, evaluation, extraction, reads, tables
-from evgraph.session import fresh_path
+from evgraph.session import fresh_path, materialize
 from evgraph.sources import gold, paper_text
 from evgraph.streaming import change_feeds as feeds
 from tests.helpers import rows
@@ -91,6 +91,40 @@ def test_deletes(spark):
     assert rows(left, "comment_id", "parent_id") == [(2, None), (3, 2), (4, None)]
 
 
+def test_deletes_reach_deep_threads_in_few_rounds(spark, monkeypatch):
+    """A thread of a thousand replies, one of which is deleted, a wide one, and one that replies to itself."""
+    deep = [(i, 1, i - 1 if i else None) for i in range(1000)]
+    wide = [(2000, 1, None)] + [(2001 + i, 2, 2000) for i in range(300)]
+    odd = [(5000, 1, 5001), (5001, 1, 5000), (6000, 1, 6001), (6001, 1, 6000), (7000, 1, 9999), (7001, 2, 7000)]
+    schema = "annotation_id long, user_id long, parent_id long"
+    notes = spark.createDataFrame(deep + wide + odd, schema).repartition(4)
+    asked = spark.createDataFrame([(400, 1), (400, 1), (2000, 1), (2001, 1), (6001, 1), (5, 2)], "annotation_id long, user_id long")
+    rounds = []
+    monkeypatch.setattr(reads, "MOST_DOUBLINGS", 14)
+    monkeypatch.setattr(reads, "materialize", lambda df, label: rounds.append(label) or materialize(df, label))
+    got = {r.annotation_id for r in reads.delete_own_annotations(notes, asked).collect()}
+    assert got == set(range(400)) | {5000, 5001, 7000, 7001}
+    assert len(rounds) <= 14
+    rounds.clear()
+    straight = spark.createDataFrame(deep, schema)
+    assert reads.delete_own_annotations(straight, asked).count() == 400 and len(rounds) <= 11
+    assert reads.delete_own_annotations(straight, asked.limit(0)).count() == 1000
+
+
+def test_pages_list_author_names_in_order(spark):
+    page = spark.createDataFrame([(1, 10, "a"), (2, 20, "b"), (3, None, "c")], "work_id long, primary_version_id long, title string")
+    links = spark.createDataFrame([(10, 7, 2), (10, 8, 1), (10, 9, 2), (11, 7, 1)], "version_id long, author_id long, position int")
+    people = spark.createDataFrame([(7, "Seven"), (8, "Eight"), (9, "Nine")], "author_id long, full_name string")
+    got = dict(rows(reads.with_author_names(page, links, people), "work_id", "authors"))
+    assert got == {1: ["Eight", "Seven", "Nine"], 2: [], 3: []}
+
+
+def test_cards_fall_back_to_the_first_version(spark):
+    works = spark.createDataFrame([(1, 12), (2, None), (3, None)], "work_id long, primary_version_id long")
+    versions = spark.createDataFrame([(11, 1, 1), (12, 1, 2), (22, 2, 9), (23, 2, 4), (24, 2, 4)], "version_id long, work_id long, created_ord long")
+    assert rows(reads.with_shown_version(works, versions), "work_id", "primary_version_id") == [(1, 12), (2, 23), (3, None)]
+
+
 def test_triage(spark):
     asked = spark.createDataFrame([(c,) for c in "abcdefg"], "custom_id string")
     results = spark.createDataFrame(
