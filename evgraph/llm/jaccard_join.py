@@ -166,11 +166,38 @@ def _exploded(listed: DataFrame) -> DataFrame:
     return own.union(beyond)
 
 
-def _allocated(keys: DataFrame, price: float) -> DataFrame:
+def _met(listed: DataFrame, shared: DataFrame, size: int = BITMAP_BITS) -> DataFrame:
+    """The rows of `_exploded` whose key is one of `shared` (key, n), with n.
+
+    A bitmap of the shared keys passes over most of the others before anything is shuffled; the join decides.
+    """
+    bits = listed.sparkSession.sparkContext.broadcast(_bitmap(shared.select("key"), size))
+    kinds = {"node": pa.int64(), "size": pa.int64(), "band": pa.int32(), "segment": pa.int32(), "key": pa.int64()}
+
+    def run(batches):
+        bitmap = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            for column, beyond in (("own", 0), ("next", 1)):
+                lists = batch.column(column)
+                keys, lengths = lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy()
+                segment = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                at = keys & (size - 1)
+                hit = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1))
+                row = np.repeat(np.arange(batch.num_rows), lengths)[hit]
+                node, own, band = (batch.column(c).to_numpy()[row] for c in ("node", "size", "band"))
+                out = zip((node, own, band + beyond, segment[hit], keys[hit]), kinds.values())
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in out], names=list(kinds))
+
+    found = listed.select("node", "size", "band", "own", "next").mapInArrow(run, "node long, size long, band int, segment int, key long")
+    return found.join(shared, "key")
+
+
+def _allocated(rows: DataFrame, met: DataFrame, price: float) -> DataFrame:
     """(band, segment, share) where the share is not one."""
-    peers = keys.filter("segment = 0").groupBy("band").agg(F.count("*").alias("peers"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("band").alias("band"), F.min("segment").alias("segment")).filter("n > 1")
-    stats = shared.groupBy("band", "segment").agg(F.sum(F.col("n") - 1).alias("excess")).join(peers, "band")
+    listed_in = F.when(F.col("next").isNull(), F.array("band")).otherwise(F.array("band", F.col("band") + 1))
+    peers = rows.select(F.explode(listed_in).alias("band")).groupBy("band").agg(F.count("*").alias("peers"))
+    buckets = met.groupBy("band", "segment", "key").agg(F.count("*").alias("n"))
+    stats = buckets.groupBy("band", "segment").agg(F.sum(F.col("n") - 1).alias("excess")).join(peers, "band")
 
     def move(rows):
         bands, band = Bands(), int(rows["band"].iloc[0])
@@ -184,8 +211,8 @@ def _allocated(keys: DataFrame, price: float) -> DataFrame:
 
 
 def _bitmap(hashes: DataFrame, size: int) -> bytes:
-    """`size` bits, set at each of `hashes` (text_hash); at most size / 8 bytes come to the driver."""
-    bit = F.pmod("text_hash", F.lit(size))
+    """`size` bits (a power of two), set at each of the one column of `hashes`; at most size / 8 bytes come to the driver."""
+    bit = F.pmod(hashes.columns[0], F.lit(size))
     words = hashes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
     out = np.zeros(size // 64, np.int64)
     for batch in words.toArrow().to_batches():
@@ -195,7 +222,7 @@ def _bitmap(hashes: DataFrame, size: int) -> bytes:
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int = BITMAP_BITS) -> DataFrame:
     """(node, own): the tokens of each of `wanted` (node, name, text_hash). Only texts in a bitmap of these are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, size))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("text_hash"), size))
 
     def run(batches):
         bits, fresh = np.frombuffer(shared.value, np.uint8), _Fresh()
@@ -334,22 +361,27 @@ def joined(docs: DataFrame, price: float = DELETION_PRICE, small: int = SMALL, m
     )
     nodes = materialize(nodes, "set_nodes")
     rows = listed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    keys = materialize(_exploded(rows), "set_keys")
-    allocated = materialize(_allocated(keys, price), "set_shares")
-    raised = allocated.filter("share = 2").groupBy("band").agg(F.collect_list("segment").alias("segments"))
-    used = keys.join(allocated.filter("share = 0"), ["band", "segment"], "left_anti").select("node", "size", "key")
-    # a bucket counts if some set is in it as a whole
-    used = used.withColumn("whole", F.lit(True))
+    keys = rows.select(F.explode("own").alias("key")).union(rows.select(F.explode("next").alias("key")))
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared_keys")
+    met = materialize(_met(rows, shared), "met_sets")
+    allocated = materialize(_allocated(rows, met, price), "set_shares")
+    raised = allocated.filter("share = 2")
+    buckets = met.join(allocated, ["band", "segment"], "left_anti").select("key", "node", "size", "n")
     named = rows.select("node", "name", "text_hash")
-    some_raised = allocated.filter("share = 2").limit(1).count() > 0
-    if some_raised:
-        in_raised = keys.select("node", "band").join(raised.select("band"), "band", "left_semi").distinct()
-        raised_sets = _sets(docs, named.join(in_raised.select("node").distinct(), "node", "left_semi")).join(in_raised, "node")
-        used = materialize(used.union(_deletions(raised_sets, raised).withColumn("whole", F.lit(False)).distinct()), "buckets_listed")
-    shared = used.groupBy("key").agg(F.count("*").alias("n"), F.max("whole").alias("whole")).filter("n > 1 and whole").select("key", "n")
-    buckets = materialize(used.join(shared, "key").select("key", "node", "size", "n"), "set_buckets")
+    if not raised.isEmpty():
+        # where deletions are listed, a set that is alone with its subset may still meet those of others
+        every = _exploded(rows).join(raised, ["band", "segment"], "left_semi").select("key", "node", "size", F.lit(True).alias("whole"))
+        bands = raised.groupBy("band").agg(F.collect_list("segment").alias("segments"))
+        in_raised = _exploded(rows).filter("segment = 0").select("node", "band").join(bands.select("band"), "band", "left_semi").distinct()
+        sets_there = _sets(docs, named.join(in_raised.select("node").distinct(), "node", "left_semi")).join(in_raised, "node")
+        deleted = _deletions(sets_there, bands).select("key", "node", "size", F.lit(False).alias("whole")).distinct()
+        listed_there = materialize(every.union(deleted), "deletions")
+        meet = listed_there.groupBy("key").agg(F.count("*").alias("n"), F.max("whole").alias("whole")).filter("n > 1 and whole").select("key", "n")
+        buckets = buckets.union(listed_there.join(meet, "key").select("key", "node", "size", "n"))
+    buckets = materialize(buckets, "set_buckets")
     support = buckets.groupBy("node").agg(F.sum("n").alias("support"))
-    hubs = buckets.join(support, "node").groupBy("key").agg(F.max_by("node", "support").alias("hub"), F.max_by("size", "support").alias("hub_size"))
+    hubs = buckets.join(support, "node").groupBy("key").agg(F.max(F.struct("support", "node", "size")).alias("hub"))
+    hubs = materialize(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")), "set_hubs")
     sets = materialize(_sets(docs, named.join(support, "node", "left_semi")), "sets")
     pairs = buckets.join(hubs, "key").filter((F.col("node") != F.col("hub")) & _fits(F.col("size"), F.col("hub_size")))
     verified = materialize(_verified(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets), "similar_sets")
