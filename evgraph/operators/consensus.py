@@ -1,6 +1,6 @@
 """Votes, status and team state."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.functions import text as tf
@@ -22,14 +22,14 @@ def _vote_flags(reviews: DataFrame, *keys) -> DataFrame:
     )
 
 
+def status_of(agreed: Column, disagreed: Column) -> Column:
+    both = F.when(agreed & disagreed, "disputed")
+    return both.when(disagreed, "rejected").when(agreed, "confirmed").otherwise("unreviewed")
+
+
 def relation_status(latest: DataFrame) -> DataFrame:
     """(subject_id, review_status) of every relation that has votes; the others are unreviewed."""
-    status = (
-        F.when(F.col("agreed") & F.col("disagreed"), "disputed")
-        .when(F.col("disagreed"), "rejected")
-        .when(F.col("agreed"), "confirmed")
-        .otherwise("unreviewed")
-    )
+    status = status_of(F.col("agreed"), F.col("disagreed"))
     votes = _vote_flags(latest.where(F.col("subject_kind") == "relation"), "subject_id")
     return votes.select("subject_id", status.alias("review_status"))
 

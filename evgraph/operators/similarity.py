@@ -267,6 +267,17 @@ def lineage_neighbors(
     return lists.select("work_id", "other_id", (F.lit(1.0) / F.greatest("length", F.lit(1))).alias("score"))
 
 
+def within_steps(edges: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
+    """(work_id) of the works that are at most `steps` edges (work_id, other_id) away from `starts`."""
+    edges = materialize(edges, "steps")
+    reached = frontier = materialize(starts.select("work_id").distinct(), "reached")
+    for _ in range(steps):
+        onward = edges.join(frontier, "work_id", "left_semi").select(F.col("other_id").alias("work_id")).distinct()
+        frontier = materialize(onward.join(reached, "work_id", "left_anti"), "reached")
+        reached = reached.union(frontier)
+    return reached
+
+
 def _needed_by_hop(edges: DataFrame, hops: int, seeds: DataFrame | None):
     """Works whose list of length h is read on the way to the seeds' lists of length `hops`."""
     if seeds is None:

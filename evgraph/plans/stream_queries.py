@@ -39,7 +39,7 @@ def _finish(started):
 def _(t):
     folder = fresh_path(t.spark, "reviews")
     # votes carry a subject computed from a row count: bound in batch, replayed from the shared folder
-    votes = materialize(t.reviews_raw, "votes")
+    votes = materialize(t.reviews_raw.repartition(3), "votes")  # three batches, in which late votes come last
     source = t.spark.readStream.schema(votes.schema).option("maxFilesPerTrigger", 1).parquet(_dir(votes))
     _finish(feeds.follow_reviews(source, folder))
     return feeds.live_status(t.spark, folder)
@@ -64,6 +64,24 @@ def _(t):
     return rounded(feeds.current_neighbors(t.spark, stored, folder), "work_id", "other_id")
 
 
+@query("i2_refreshed_after_few_changes", """
+    SELECT work_id, other_id, round(score, 6) AS score FROM lineage_neighbors""")
+def _(t):
+    """One relation in two hundred gets its votes; lists that this cannot reach stay as they were stored."""
+    folder = fresh_path(t.spark, "works")
+    after, members = materialize(t.relations, "relations"), materialize(t.relation_members, "members")
+    changed = F.col("relation_id") % 200 == 0
+    before = materialize(after.withColumn("review_status", F.when(~changed, F.col("review_status")).otherwise("unreviewed")), "relations")
+    stored = materialize(sim.lineage_neighbors(sim.lineage_edges(before, members)), "stored")
+    ends = members.where(changed & F.col("anchor_work_id").isNotNull()).select(F.col("anchor_work_id").alias("work_id"))
+    touched = materialize(ends.distinct().repartition(2), "touched")
+    changes = t.spark.readStream.schema(touched.schema).option("maxFilesPerTrigger", 1).parquet(_dir(touched))
+    _finish(feeds.follow_works(
+        changes, feeds.refresh_lineage(lambda: after, lambda: members), folder,
+        affected=feeds.affected_by_lineage(lambda: before, lambda: after, lambda: members)))
+    return rounded(feeds.current_neighbors(t.spark, stored, folder), "work_id", "other_id")
+
+
 @query("i3_applied_results", """
     SELECT user_id AS batch_id, event_type AS custom_id, count(*) > 0 AS applied FROM events GROUP BY 1, 2""")
 def _(t):

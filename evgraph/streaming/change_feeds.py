@@ -5,17 +5,19 @@ Folders passed in must be visible to all executors.
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evgraph.operators import consensus
 from evgraph.operators.tables import top_k, upsert_latest
-from evgraph.operators.similarity import K, citation_neighbors, lineage_edges, lineage_neighbors
+from evgraph.operators.similarity import K, citation_neighbors, lineage_edges, lineage_neighbors, within_steps
+from evgraph.session import materialize
 
 
-def _start(stream: DataFrame, handle: Callable, checkpoint: str, once: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+def _start(stream: DataFrame, handle: Callable, checkpoint: str, once: bool, mode: str = "append") -> StreamingQuery:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
 
 
@@ -35,36 +37,62 @@ def _log(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def follow_reviews(reviews: DataFrame, folder: str, once: bool = True) -> StreamingQuery:
-    """Live relation status. A late older vote never replaces a newer one: the log is read by vote time."""
-    schema = reviews.schema
+    """Live relation status.
+
+    The state store holds the latest vote of every user on every relation, so a batch costs what it brings, however
+    long the history; a late older vote changes nothing. Each batch writes by how much the votes of its relations
+    change, and `live_status` adds that up.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in reviews.schema}
+    held = f"verdict string, created_at {kinds['created_at']}, review_id {kinds['review_id']}"
+    change = f"subject_id {kinds['subject_id']}, agree long, disagree long, voters long"
+
+    def moment(at, review):
+        return (pd.notna(at), at if pd.notna(at) else None, review) if pd.notna(at) else (False, review)
+
+    def settle(key, frames, state):
+        before = state.get if state.exists else None
+        latest = before
+        for frame in frames:
+            for vote in zip(*(frame[c].tolist() for c in ("verdict", "created_at", "review_id"))):
+                if latest is None or moment(*vote[1:]) > moment(*latest[1:]):
+                    latest = vote
+        state.update(tuple(None if pd.isna(v) else v for v in latest))
+        old = before[0] if before else None
+        yield pd.DataFrame({
+            "subject_id": [key[1]], "agree": [(latest[0] == "agree") - (old == "agree")],
+            "disagree": [(latest[0] == "disagree") - (old == "disagree")], "voters": [int(before is None)]})
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        latest = consensus.latest_reviews(batch)
-        _append(latest, f"{folder}/votes", batch_id)
-        log = _log(spark, f"{folder}/votes", schema).where(F.col("batch") <= batch_id)
-        touched = latest.select(*consensus.SUBJECT).distinct()
-        votes = consensus.latest_reviews(log.join(touched, consensus.SUBJECT, "left_semi").drop("batch"))
-        _append(consensus.relation_status(votes), f"{folder}/status", batch_id)
+        sums = [F.sum(c).alias(c) for c in ("agree", "disagree", "voters")]
+        _append(batch.groupBy("subject_id").agg(*sums), f"{folder}/changes", batch_id)
 
-    return _start(reviews, handle, f"{folder}/checkpoint", once)
+    votes = reviews.where("subject_kind = 'relation'").groupBy(*consensus.SUBJECT, "user_id")
+    changes = votes.applyInPandasWithState(settle, change, held, "update", "NoTimeout")
+    return _start(changes, handle, f"{folder}/checkpoint", once, "update")
 
 
-def live_status(spark: SparkSession, folder: str) -> DataFrame:
-    log = _log(spark, f"{folder}/status", "subject_id long, review_status string")
-    return upsert_latest(log, ["subject_id"], ["batch"]).select("subject_id", "review_status")
+def live_status(spark: SparkSession, folder: str, subject_type: str = "long") -> DataFrame:
+    log = _log(spark, f"{folder}/changes", f"subject_id {subject_type}, agree long, disagree long, voters long")
+    totals = log.groupBy("subject_id").agg(*[F.sum(c).alias(c) for c in ("agree", "disagree", "voters")]).where("voters > 0")
+    return totals.select("subject_id", consensus.status_of(F.col("agree") > 0, F.col("disagree") > 0).alias("review_status"))
 
 
 # --- changed works -> neighbour lists ------------------------------------------------------------
 
 
 def follow_works(
-    changes: DataFrame, recompute: Callable[[DataFrame], DataFrame], folder: str, once: bool = True
-) -> StreamingQuery:
-    """Neighbour lists of changed works (work_id) only. `recompute(seeds)` gives their new lists."""
+    changes: DataFrame, recompute: Callable[[DataFrame], DataFrame], folder: str, once: bool = True,
+    affected: Callable[[DataFrame], DataFrame] | None = None,
+) -> StreamingQuery:
+    """Neighbour lists of changed works (work_id) only, or of all works that `affected` names for them.
+
+    `recompute(seeds)` gives their new lists. Lists of other works stay as they were stored.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         seeds = batch.select("work_id").distinct()
+        seeds = materialize(affected(seeds), "affected") if affected else seeds
         _append(seeds, f"{folder}/seeds", batch_id)
         _append(recompute(seeds), f"{folder}/lists", batch_id)
 
@@ -76,6 +104,21 @@ def refresh_lineage(relations: Callable[[], DataFrame], members: Callable[[], Da
     return lambda seeds: lineage_neighbors(lineage_edges(relations(), members()), seeds=seeds)
 
 
+def affected_by_lineage(
+    before: Callable[[], DataFrame], after: Callable[[], DataFrame], members: Callable[[], DataFrame], hops: int = 4
+):
+    """affected for follow_works: works whose list may differ once relations of the changed works did.
+
+    A path of `hops` edges through a changed edge reaches one of its ends within hops - 1, in the graph of the time.
+    """
+
+    def near(seeds: DataFrame) -> DataFrame:
+        edges = lineage_edges(before(), members()).union(lineage_edges(after(), members()))
+        return within_steps(edges.select("work_id", "other_id").distinct(), seeds, hops - 1)
+
+    return near
+
+
 def refresh_citations(citations: Callable[[], DataFrame], k: int = K):
     """recompute for follow_works: shared references and citers of the touched works."""
     return lambda seeds: citation_neighbors(citations(), k, seeds=seeds).join(seeds, "work_id", "left_semi")

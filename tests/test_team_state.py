@@ -198,6 +198,41 @@ def test_late_votes_do_not_win(spark, tmp_path):
     assert rows(feeds.live_status(spark, folder)) == want == [(1, "confirmed"), (2, "disputed")]
 
 
+def test_live_status_over_batches_and_restarts(spark, tmp_path):
+    rng = random.Random(4)
+    data = [(rng.randrange(6), rng.randrange(4), rng.choice(["agree", "disagree", "unsure"]), rng.randrange(30)) for _ in range(90)]
+    folder = fresh_path(spark, "restarts")
+    for i in range(0, 90, 30):
+        part = [(n, "relation" if n % 7 else "claim", *row) for n, row in enumerate(data)][i : i + 30]
+        for half in (part[:20], part[20:] + part[:5]):  # some votes are delivered twice
+            spark.createDataFrame(half, VOTE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(VOTE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        feeds.follow_reviews(stream, folder).awaitTermination()
+        seen = spark.createDataFrame([(n, "relation" if n % 7 else "claim", *row) for n, row in enumerate(data)][: i + 30], VOTE)
+        want = rows(consensus.relation_status(consensus.latest_reviews(seen)))
+        assert rows(feeds.live_status(spark, folder)) == want and len(want) == 6
+
+
+def test_changes_reach_only_works_near_them(spark, tmp_path):
+    from evgraph.operators import similarity as sim
+
+    chain = [(i, "improves_on", "unreviewed") for i in range(30)] + [(90, "improves_on", "rejected")]
+    ends = [(i, "source", i) for i in range(30)] + [(i, "target", i + 1) for i in range(30)] + [(90, "source", 0), (90, "target", 29)]
+    schema = "relation_id long, type string, review_status string"
+    before = spark.createDataFrame(chain, schema)
+    after = spark.createDataFrame([(i, k, "confirmed" if i == 10 else s) for i, k, s in chain], schema)
+    members = spark.createDataFrame(ends, "relation_id long, role string, anchor_work_id long")
+    stored = sim.lineage_neighbors(sim.lineage_edges(before, members))
+    spark.createDataFrame([(10,), (11,)], "work_id long").write.parquet(str(tmp_path / "in"))
+    folder = fresh_path(spark, "near")
+    stream = spark.readStream.schema("work_id long").parquet(str(tmp_path / "in"))
+    near = feeds.affected_by_lineage(lambda: before, lambda: after, lambda: members)
+    feeds.follow_works(stream, feeds.refresh_lineage(lambda: after, lambda: members), folder, affected=near).awaitTermination()
+    got = feeds.current_neighbors(spark, stored, folder)
+    assert rows(got, "work_id", "other_id", "score") == rows(sim.lineage_neighbors(sim.lineage_edges(after, members)))
+    assert {r.work_id for r in near(spark.createDataFrame([(10,), (11,)], "work_id long")).collect()} == set(range(7, 15))
+
+
 def test_results_applied_once_over_restarts(spark, tmp_path):
     schema = "batch_id string, custom_id string, seq long"
     folder, source = fresh_path(spark, "once"), str(tmp_path / "in")
