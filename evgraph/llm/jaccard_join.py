@@ -5,7 +5,8 @@ there too. Two similar sets of a band differ in at most H tokens. The band's uni
 H + 1 segments, and each segment gets a share: 0 (not looked at), 1 (sets with an equal subset in it meet) or 2 (so do
 sets whose subsets differ in one token: each set is also listed under its subset with one token deleted). If the shares
 sum to H + 1, some segment differs in fewer tokens than its share, so similar sets meet. Shares are moved from segments
-where many sets meet to ones where few do, if that costs less than listing the deletions there.
+where many sets meet to ones where few do, if that costs less than listing the deletions there. Sets below the largest of
+a band share several keys if they are similar; then only the rarest of each set are looked at.
 
 Equal sets are one node. The sets that meet are verified exactly: first with the member of their bucket that meets
 most others; what is not one component in a bucket by then is compared pair by pair, portion by portion if many.
@@ -17,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from evgraph.llm.components import components
 from evgraph.llm.near_copies import shingles
@@ -25,7 +27,7 @@ from evgraph.session import materialize
 WIDTH = 3
 LEAST, OF = 90, 100  # similar: OF * common >= LEAST * (a + b - common)
 DELETION_PRICE = 1.0  # of listing one deletion, in units of an eighth of a token verified
-WIDER = 3  # halves: a band's sizes grow by half, so that few sets are listed in two
+WIDER = 4  # halves: a band's sizes double, so that few sets are listed in two
 SMALL = 16  # members of a bucket whose pairs are listed
 KNOWN_SETS = 100_000
 BITMAP_BITS = 1 << 25
@@ -58,6 +60,11 @@ class Bands:
         """One more than the tokens that similar sets can differ in where the larger one is of this band."""
         return 2 * self.top(band) * (OF - LEAST) // (OF + LEAST) + 1
 
+    def surplus(self, size: int, band: int) -> int:
+        """Keys that a set and any similar one share in a band beyond the first; those of most sets need not be looked at."""
+        largest = min(self.top(band), size * OF // LEAST)
+        return self.segments(band) - (size + largest) * (OF - LEAST) // (OF + LEAST) - 1
+
     def listed_in(self, size: int) -> list[int]:
         own = self.of(size)
         return [own] + [own + 1] * (size * OF // LEAST > self.top(own))
@@ -167,12 +174,13 @@ def _exploded(listed: DataFrame) -> DataFrame:
 
 
 def _met(listed: DataFrame, shared: DataFrame, size: int = BITMAP_BITS) -> DataFrame:
-    """The rows of `_exploded` whose key is one of `shared` (key, n), with n.
+    """The rows of `_exploded` whose key is one of `shared` (key, n), with n and `surplus`.
 
     A bitmap of the shared keys passes over most of the others before anything is shuffled; the join decides.
     """
     bits = listed.sparkSession.sparkContext.broadcast(_bitmap(shared.select("key"), size))
-    kinds = {"node": pa.int64(), "size": pa.int64(), "band": pa.int32(), "segment": pa.int32(), "key": pa.int64()}
+    kinds = {"node": pa.int64(), "size": pa.int64(), "band": pa.int32(), "segment": pa.int32(), "key": pa.int64(), "surplus": pa.int64()}
+    bands = Bands()
 
     def run(batches):
         bitmap = np.frombuffer(bits.value, np.uint8)
@@ -185,13 +193,26 @@ def _met(listed: DataFrame, shared: DataFrame, size: int = BITMAP_BITS) -> DataF
                 hit = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1))
                 row = np.repeat(np.arange(batch.num_rows), lengths)[hit]
                 node, own, band = (batch.column(c).to_numpy()[row] for c in ("node", "size", "band"))
-                out = zip((node, own, band + beyond, segment[hit], keys[hit]), kinds.values())
+                pairs, which = np.unique(np.stack((own, band + beyond)), axis=1, return_inverse=True)
+                surplus = np.array([bands.surplus(*p) for p in pairs.T.tolist()], np.int64)[which.ravel()]
+                out = zip((node, own, band + beyond, segment[hit], keys[hit], surplus), kinds.values())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in out], names=list(kinds))
 
-    found = listed.select("node", "size", "band", "own", "next").mapInArrow(run, "node long, size long, band int, segment int, key long")
+    found = listed.select("node", "size", "band", "own", "next").mapInArrow(run, "node long, size long, band int, segment int, key long, surplus long")
     return found.join(shared, "key")
 
 
+def _rarest(met: DataFrame) -> DataFrame:
+    """Of the keys that a set shares with others in a band, all but the `surplus` most frequent.
+
+    Similar sets share surplus + 1 keys at least. In one order of all keys, by frequency, they therefore share one that is
+    not among the last `surplus` keys of either; keys that are a set's own are the first in that order.
+    """
+    own = W.partitionBy("node", "band")
+    ranked = met.withColumn("rank", F.row_number().over(own.orderBy("n", "key"))).withColumn("k", F.count("*").over(own))
+    return ranked.filter(F.col("rank") <= F.col("k") - F.col("surplus"))
+
+
 def _allocated(rows: DataFrame, met: DataFrame, price: float) -> DataFrame:
     """(band, segment, share) where the share is not one."""
     listed_in = F.when(F.col("next").isNull(), F.array("band")).otherwise(F.array("band", F.col("band") + 1))
@@ -366,7 +387,9 @@ def joined(docs: DataFrame, price: float = DELETION_PRICE, small: int = SMALL, m
     met = materialize(_met(rows, shared), "met_sets")
     allocated = materialize(_allocated(rows, met, price), "set_shares")
     raised = allocated.filter("share = 2")
-    buckets = met.join(allocated, ["band", "segment"], "left_anti").select("key", "node", "size", "n")
+    moved = met.join(allocated.select("band").distinct(), "band", "left_semi").join(allocated, ["band", "segment"], "left_anti")
+    buckets = _rarest(met.join(allocated.select("band"), "band", "left_anti")).select("key", "node", "size", "n").union(
+        moved.select("key", "node", "size", "n"))
     named = rows.select("node", "name", "text_hash")
     if not raised.isEmpty():
         # where deletions are listed, a set that is alone with its subset may still meet those of others

@@ -116,6 +116,23 @@ def test_bands_hold_what_a_set_can_be_similar_to():
         assert 20 * largest // 190 < bands.segments(bands.of(largest))
 
 
+def test_similar_sets_share_more_keys_than_their_surplus():
+    rng, bands, met = np.random.default_rng(8), jj.Bands(), 0
+    for _ in range(300):
+        size = int(rng.integers(1, 400))
+        base = rng.integers(0, 2**64, size, np.uint64)
+        drop, add = rng.integers(0, 1 + size // 15, 2)
+        a, b = np.unique(base), np.unique(np.concatenate((base[drop:], rng.integers(0, 2**64, add, np.uint64))))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 90 * (len(a) + len(b) - common):
+            band = bands.of(max(len(a), len(b)))
+            n = bands.segments(band)
+            shared = np.sum(jj.segment_keys(a, band, n) == jj.segment_keys(b, band, n))
+            assert shared > max(bands.surplus(len(a), band), bands.surplus(len(b), band)) >= 0
+            met += bands.surplus(len(a), band) > 2
+    assert met > 50
+
+
 def test_shares_move_from_crowded_segments():
     share = jj.shares(np.array([0, 10**6, 0, 5]), 10, 40)
     assert share.tolist() == [2, 0, 1, 1] and jj.shares(np.array([3, 3, 3]), 10, 40).tolist() == [1, 1, 1]
