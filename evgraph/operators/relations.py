@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 from evgraph import schemas
 from evgraph import taxonomy as tx
 from evgraph.functions import text as tf
-from evgraph.functions.geometry import parse_box
+from evgraph.functions.geometry import box_of
 from evgraph.operators.tables import paged, top_k
 
 MIN_CONFIDENCE = 0.5
@@ -669,20 +669,44 @@ def context_prompts(contexts: DataFrame, titles: DataFrame, batch: int = CONTEXT
     return chunk.join(titles, "work_id").select("work_id", "batch_no", "contexts", F.concat(lead, "_body").alias("prompt"))
 
 
+GROUNDING_HEAD = 12  # characters of a quote that are looked up
+STRETCH = 512
+
+
 def ground_evidence(evidence: DataFrame, segments: DataFrame) -> DataFrame:
     """Where a quote is on its page: its box, else the first text segment holding its first 12 characters.
 
-    `evidence`: evidence_id, version_id, page, text, bbox (JSON); `segments`: version_id, page, segment_no, text.
-    Adds how (box, segment, none), box and segment_no.
+    `evidence`: evidence_id, version_id, page, text, bbox (struct or JSON); `segments`: version_id, page,
+    segment_no, text. Adds how (box, segment, none), box and segment_no.
+
+    Beginnings of quotes meet an index of the pieces of the same length of every segment by equality, so the
+    quotes of a page are never held against its segments one by one. A page names the few lengths its quotes
+    need (12, and those of shorter quotes); segments of pages without open quotes are not cut at all.
     """
-    boxed = evidence.withColumn("box", parse_box(F.col("bbox")))
-    needle = F.lower(F.substring("text", 1, 12))
-    seek = boxed.where("box IS NULL AND text <> ''").select(
-        "evidence_id", "version_id", "page", needle.alias("_needle"))
-    hay = segments.select("version_id", "page", "segment_no", F.lower("text").alias("_hay"))
-    hit = (
-        seek.join(hay, ["version_id", "page"]).where(F.contains("_hay", "_needle"))
-        .groupBy("evidence_id").agg(F.min("segment_no").alias("segment_no"))
+    boxed = evidence.withColumn("box", box_of(evidence, "bbox"))
+    page = ["version_id", "page"]
+    head = F.lower(F.substring("text", 1, GROUNDING_HEAD))
+    seek = boxed.where("box IS NULL AND text <> ''").select("evidence_id", *page, head.alias("_piece"))
+    wanted = seek.select(*page, "_piece").distinct()
+    lengths = wanted.groupBy(*page).agg(F.collect_set(F.length("_piece")).alias("_lengths"))
+    # a long segment is cut into stretches that overlap by a piece, so that finding a place in it stays short
+    last = F.floor((F.length("_hay") - F.col("_length")) / STRETCH)
+    stretch = F.substring(F.col("_hay"), (F.col("_at") * STRETCH + 1).cast("int"), F.col("_length") + (STRETCH - 1))
+    places = F.sequence(F.lit(1), F.length("_stretch") - F.col("_length") + 1)
+    pieces = F.transform(places, lambda i: F.substring(F.col("_stretch"), i, F.col("_length")))
+    index = (
+        segments.select(*page, "segment_no", F.lower("text").alias("_hay"))
+        .join(lengths, page)
+        .select(*page, "segment_no", "_hay", F.explode("_lengths").alias("_length"))
+        .where(F.length("_hay") >= F.col("_length"))
+        .select(*page, "segment_no", "_hay", "_length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_at"))
+        .select(*page, "segment_no", "_length", stretch.alias("_stretch"))
+        .select(*page, "segment_no", F.explode(F.array_distinct(pieces)).alias("_piece"))
+    )
+    first = (
+        index.join(wanted, [*page, "_piece"])
+        .groupBy(*page, "_piece").agg(F.min("segment_no").alias("segment_no"))
     )
+    hit = seek.join(first, [*page, "_piece"]).select("evidence_id", "segment_no")
     how = F.when(F.col("box").isNotNull(), "box").when(F.col("segment_no").isNotNull(), "segment").otherwise("none")
     return boxed.join(hit, "evidence_id", "left").withColumn("how", how)

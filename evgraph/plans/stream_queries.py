@@ -85,15 +85,44 @@ def _(t):
 @query("i3_applied_results", """
     SELECT user_id AS batch_id, event_type AS custom_id, count(*) > 0 AS applied FROM events GROUP BY 1, 2""")
 def _(t):
-    """Results of one batch and item arrive many times; each pair is applied once."""
-    folder = fresh_path(t.spark, "results")
-    events = StreamedLibrary(t.spark, t.directory, "events").raw("events")
-    results = events.select(F.col("user_id").alias("batch_id"), F.col("event_type").alias("custom_id"), F.col("event_id").alias("seq"))
-    _finish(feeds.follow_results(results, folder))
-    done = feeds.applied_results(t.spark, folder, results.schema)
+    """Results of one batch and item arrive many times, in one file or in a later one; each pair is applied once."""
+    done = _applied(t, t.raw("events").repartition(4))
     return done.select("batch_id", "custom_id", F.lit(True).alias("applied"))
 
 
+@query("i3_results_by_delivery", """
+    WITH sent AS (SELECT *, event_id // (SELECT (max(event_id) + 4) // 4 FROM events) AS delivery FROM events)
+    SELECT user_id AS batch_id, event_type AS custom_id, max(event_id) AS seq, max_by(props, event_id) AS body FROM sent
+    WHERE delivery = (SELECT min(s.delivery) FROM sent s WHERE s.user_id = sent.user_id AND s.event_type = sent.event_type)
+    GROUP BY 1, 2""")
+def _(t):
+    """Four deliveries, one after the other: the last result of a pair's first delivery is the one applied."""
+    events = t.raw("events")
+    quarter = events.agg(F.max("event_id")).first()[0] // 4 + 1 if not events.isEmpty() else 1
+    folder, feed = fresh_path(t.spark, "results"), fresh_path(t.spark, "deliveries")
+    for n in range(4):
+        part = events.where(F.floor(F.col("event_id") / quarter) == n)
+        _results(part).write.mode("append").parquet(feed)
+        source = t.spark.readStream.schema(_results(events).schema).parquet(feed)
+        _finish(feeds.follow_results(source, folder))
+    done = feeds.applied_results(t.spark, folder, _results(events).schema)
+    return done.select("batch_id", "custom_id", "seq", "body")
+
+
+def _results(events):
+    return events.select(
+        F.col("user_id").alias("batch_id"), F.col("event_type").alias("custom_id"), F.col("event_id").alias("seq"),
+        F.col("props").alias("body"))
+
+
+def _applied(t, events):
+    sent = materialize(_results(events), "deliveries")
+    source = t.spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(_dir(sent))
+    folder = fresh_path(t.spark, "results")
+    _finish(feeds.follow_results(source, folder))
+    return feeds.applied_results(t.spark, folder, sent.schema)
+
+
 @query("i4_comment_feed", """
     SELECT m.user_id AS viewer_id, c.comment_id FROM node_comments c JOIN (
         SELECT graph_id, user_id, user_id % 50 * 1000 AS since FROM group_members JOIN graphs USING (group_id)) m ON m.graph_id = c.graph_id

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evgraph.operators import consensus
-from evgraph.operators.tables import top_k, upsert_latest
+from evgraph.operators.tables import top_k
 from evgraph.operators.similarity import K, citation_neighbors, lineage_edges, lineage_neighbors, within_steps
 from evgraph.session import materialize
 
@@ -139,18 +139,44 @@ def current_neighbors(spark: SparkSession, stored: DataFrame, folder: str) -> Da
 
 
 def follow_results(results: DataFrame, folder: str, once: bool = True) -> StreamingQuery:
-    """Each (batch_id, custom_id) is applied once, however often its result is delivered."""
-    schema = results.schema
-    key = ["batch_id", "custom_id"]
+    """Each (batch_id, custom_id) is applied once, however often its result is delivered.
+
+    The state store remembers the keys that were applied, so a micro-batch costs what it brings and never reads
+    the results applied before. Of several results of a key in one micro-batch the last by `seq` counts (without
+    `seq`: first of all; equal: the greatest row as JSON). Rows without batch_id or custom_id are keys like any
+    other. Keys are remembered for ever: a run that ends with its input can't end while time-outs are pending.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in results.schema}
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    row = F.to_json(F.struct(*[F.col(c) for c in results.columns]), exact).alias("row")
+    packed = results.select("batch_id", "custom_id", "seq", row)
+
+    def settle(key, frames, state):
+        newest = None
+        for frame in frames:
+            for seq, text in zip(frame["seq"].tolist(), frame["row"].tolist()):
+                rank = (pd.notna(seq), seq if pd.notna(seq) else None, text)
+                if newest is None or _later(rank, newest):
+                    newest = rank
+        fresh = not state.exists
+        state.update((True,))
+        if fresh:
+            yield pd.DataFrame({"row": [newest[2]]})
 
     def handle(batch: DataFrame, number: int) -> None:
-        fresh = upsert_latest(batch, key, ["seq"])
-        if number > 0:
-            ledger = _log(batch.sparkSession, f"{folder}/applied", schema).where(F.col("batch") < number)
-            fresh = fresh.join(ledger.select(*key), key, "left_anti")
-        _append(fresh, f"{folder}/applied", number)
+        schema = ", ".join(f"`{name}` {kind}" for name, kind in kinds.items())
+        _append(batch.select(F.from_json("row", schema, exact).alias("r")).select("r.*"), f"{folder}/applied", number)
+
+    applied = packed.groupBy("batch_id", "custom_id").applyInPandasWithState(
+        settle, "row string", "applied boolean", "update", "NoTimeout")
+    return _start(applied, handle, f"{folder}/checkpoint", once, "update")
+
 
-    return _start(results, handle, f"{folder}/checkpoint", once)
+def _later(a: tuple, b: tuple) -> bool:
+    """Whether (known, seq, row) `a` comes after `b`; unknown ones come first."""
+    if a[0] != b[0]:
+        return a[0]
+    return a[1:] > b[1:] if a[0] else a[2] > b[2]
 
 
 def applied_results(spark: SparkSession, folder: str, schema) -> DataFrame:

@@ -178,6 +178,41 @@ def test_grounding_ignores_case(spark):
     assert got == {1: ("segment", 4), 2: ("none", None), 3: ("box", None)}
 
 
+def one_by_one(quotes, segments):
+    """Every quote against every segment of its page."""
+    out = {}
+    for evidence, version, page, text, box in quotes:
+        head = (text or "")[:12].lower()
+        found = [no for v, p, no, body in segments if (v, p) == (version, page) and body is not None and head in body.lower()]
+        if box is not None:
+            out[evidence] = ("box", None)
+        else:
+            out[evidence] = ("segment", min(found)) if head and version is not None and found else ("none", None)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_evidence_grounded_like_one_by_one(spark, seed):
+    """Short, empty and missing quotes, copies, segments longer than a stretch, a page with most rows."""
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice("abAB é") for _ in range(n))
+    segments = [(rng.choice([1, 1, 1, 2]), rng.randrange(2), no, text(rng.choice([0, 3, 30, 1700]))) for no in range(40)]
+    segments += [(1, 0, 40, None)] + segments[:3]
+    quotes = []
+    for i in range(120):
+        version, page, _, body = rng.choice(segments)
+        start = rng.randrange(len(body or "") + 1)
+        quote = rng.choice([(body or "")[start : start + rng.choice([1, 5, 11, 12, 40])], text(7), "", None])
+        quotes.append((i, rng.choice([version, version, None]), page, quote, (1.0, 2.0, 3.0, 4.0) if rng.random() < 0.1 else None))
+    ev = spark.createDataFrame(
+        quotes, "evidence_id long, version_id long, page int, text string, bbox struct<x:double,y:double,w:double,h:double>")
+    seg = spark.createDataFrame(segments, "version_id long, page int, segment_no int, text string")
+    got = {r["evidence_id"]: (r["how"], r["segment_no"]) for r in rel.ground_evidence(ev, seg).collect()}
+    assert got == one_by_one(quotes, segments)
+    assert rel.ground_evidence(ev.limit(0), seg).count() == 0
+    assert {r["how"] for r in rel.ground_evidence(ev, seg.limit(0)).collect()} <= {"box", "none"}
+
+
 def test_queue_variants(spark):
     data = [
         (1, "cites", 0.9, "ai_candidate", "unreviewed", 1), (2, "version_of", 0.9, "ai_candidate", "unreviewed", 2),

@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import pytest
@@ -244,6 +245,28 @@ def test_results_applied_once_over_restarts(spark, tmp_path):
     assert got == [("b", "x"), ("b", "y"), ("c", "x")]
 
 
+def test_results_keep_every_column(spark, tmp_path):
+    """Late and repeated rows, missing keys and numbers, quotes in texts, microseconds."""
+    schema = "batch_id string, custom_id string, seq long, body string, at timestamp_ntz, cost double, n long"
+    at = datetime.datetime(2024, 5, 6, 7, 8, 9, 123456)
+    big = 2**53 + 1
+    waves = [
+        [("b", "x", 7, 'a "quoted"\nline', at, 0.1, big), ("b", "x", None, "no number", at, 0.2, None), (None, "y", 1, None, None, None, None)],
+        [("b", "x", 9, "too late", at, 0.3, 1), (None, "y", 2, "again", at, None, 2), ("b", None, None, "p", None, None, None),
+         ("b", None, None, "q", None, None, None), ("", "", 3, "", None, float("nan"), 0)],
+    ]
+    folder, source = fresh_path(spark, "columns"), str(tmp_path / "in")
+    for wave in waves:
+        spark.createDataFrame(wave, schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        feeds.follow_results(stream, folder).awaitTermination()
+    got = {tuple(r)[:2]: tuple(r)[2:7] for r in feeds.applied_results(spark, folder, schema).collect()}
+    assert got.pop(("", ""))[:3] == (3, "", None)
+    assert got == {
+        ("b", "x"): (7, 'a "quoted"\nline', at, 0.1, big), (None, "y"): (1, None, None, None, None),
+        ("b", None): (None, "q", None, None, None)}
+
+
 def test_feed_and_cursors(spark, tmp_path):
     schema = "comment_id long, graph_id long, work_id long, user_id long, visibility string, updated_ord long"
     rows_in = [(1, 1, 1, 5, "team", 10), (2, 1, 1, 5, "private", 11), (3, 1, 1, 6, "team", 3), (4, 2, 1, 6, "team", 99)]
