@@ -17,13 +17,13 @@ HUB_PART = 4096  # edges of one work that a task unfolds at a time
 
 
 def _best() -> list[Column]:
-    return [F.desc("score"), F.asc("other_id")]
+    return [F.desc("score"), F.asc("neighbor_work_id")]
 
 
 def _both_ends(edges: DataFrame) -> DataFrame:
-    """Every edge seen from either end: center_id, other_id, direction."""
+    """Every edge seen from either end: center_id, neighbor_work_id, direction."""
     view = lambda me, other, way: F.struct(
-        F.col(me).alias("center_id"), F.col(other).alias("other_id"), F.lit(way).alias("direction"))
+        F.col(me).alias("center_id"), F.col(other).alias("neighbor_work_id"), F.lit(way).alias("direction"))
     rest = [c for c in edges.columns if c not in ("source_work_id", "target_work_id")]
     return edges.select(
         *rest, "source_work_id", "target_work_id",
@@ -38,7 +38,7 @@ def scored_ends(edges: DataFrame, members: DataFrame, reading: DataFrame, mode:
     """
     anchors = members.where("anchor_work_id IS NOT NULL").select("relation_id", "anchor_work_id").distinct()
     at = lambda c, flag: anchors.select("relation_id", F.col("anchor_work_id").alias(c), F.lit(True).alias(flag))
-    readers = reader_counts(reading).withColumnRenamed("work_id", "other_id")
+    readers = reader_counts(reading).withColumnRenamed("work_id", "neighbor_work_id")
     rel_type = F.col("relation_type")
     base = (
         tx.status_weight(F.col("review_status"))
@@ -49,8 +49,8 @@ def scored_ends(edges: DataFrame, members: DataFrame, reading: DataFrame, mode:
     return (
         _both_ends(edges)
         .join(at("center_id", "from_anchor"), ["relation_id", "center_id"], "left")
-        .join(at("other_id", "to_anchor"), ["relation_id", "other_id"], "left")
-        .join(readers, "other_id", "left")
+        .join(at("neighbor_work_id", "to_anchor"), ["relation_id", "neighbor_work_id"], "left")
+        .join(readers, "neighbor_work_id", "left")
         .withColumn("score", base + F.coalesce("readers", F.lit(0)) * READER_BONUS)
         .drop("readers")
     )
@@ -62,11 +62,11 @@ def ego_candidates(edges: DataFrame, members: DataFrame, reading: DataFrame, mod
 
 
 def best_others(candidates: DataFrame) -> DataFrame:
-    return candidates.groupBy("center_id", "other_id").agg(F.max("score").alias("score"))
+    return candidates.groupBy("center_id", "neighbor_work_id").agg(F.max("score").alias("score"))
 
 
 def kept_others(candidates: DataFrame, k: int = KEPT_OTHERS) -> DataFrame:
-    """(center_id, other_id, score): the works drawn around each centre."""
+    """(center_id, neighbor_work_id, score): the works drawn around each centre."""
     return top_k(best_others(candidates), ["center_id"], _best(), k)
 
 
@@ -80,25 +80,25 @@ def two_hop_others(scored: DataFrame, k: int = KEPT_OTHERS, expanded: int = EXPA
     """
     hop1 = best_others(scored.where("from_anchor"))
     via = top_k(hop1, ["center_id"], _best(), expanded, rank="place").select(
-        "center_id", F.col("other_id").alias("via"), "place")
+        "center_id", F.col("neighbor_work_id").alias("via"), "place")
     earlier = via.select("center_id", F.col("via").alias("far"), F.col("place").alias("far_place"))
     reach = top_k(hop1, ["center_id"], _best(), k + expanded + 1)
-    onward = reach.select(F.col("center_id").alias("via"), F.col("other_id").alias("far"), "score")
+    onward = reach.select(F.col("center_id").alias("via"), F.col("neighbor_work_id").alias("far"), "score")
     later_view = F.coalesce(F.col("far_place") < F.col("place"), F.lit(False))
     hop2 = (
         via.join(onward, "via").where("far <> center_id").join(earlier, ["center_id", "far"], "left").where(~later_view)
-        .select("center_id", F.col("far").alias("other_id"), "score")
+        .select("center_id", F.col("far").alias("neighbor_work_id"), "score")
     )
     # between two expanded works: edges the better ranked one does not anchor are seen from the other
     one_sided = best_others(scored.where("from_anchor AND to_anchor IS NULL")).select(
-        F.col("center_id").alias("via"), F.col("other_id").alias("far"), "score")
+        F.col("center_id").alias("via"), F.col("neighbor_work_id").alias("far"), "score")
     between = (
         via.join(earlier, "center_id").where("far_place < place").join(one_sided, ["via", "far"])
-        .select("center_id", F.col("far").alias("other_id"), "score")
+        .select("center_id", F.col("far").alias("neighbor_work_id"), "score")
     )
     # edges to the centre that only the expanded work anchors
-    back = scored.where("from_anchor IS NULL AND to_anchor").select("center_id", "other_id", "score")
-    back = back.join(via.select("center_id", F.col("via").alias("other_id")), ["center_id", "other_id"], "left_semi")
+    back = scored.where("from_anchor IS NULL AND to_anchor").select("center_id", "neighbor_work_id", "score")
+    back = back.join(via.select("center_id", F.col("via").alias("neighbor_work_id")), ["center_id", "neighbor_work_id"], "left_semi")
     found = hop1.unionByName(hop2).unionByName(between).unionByName(back)
     return top_k(best_others(found), ["center_id"], _best(), k)
 
@@ -113,25 +113,25 @@ def two_hop_candidates(scored: DataFrame, expanded: int = EXPANDED, hub_part: in
     """
     anchored = scored.where("from_anchor")
     via = top_k(best_others(anchored), ["center_id"], _best(), expanded, rank="place").select(
-        "center_id", F.col("other_id").alias("via"), "place")
+        "center_id", F.col("neighbor_work_id").alias("via"), "place")
     around = anchored.withColumnRenamed("center_id", "via")
     hubs = crowded(around, "via", hub_part)
-    spread, asked = in_parts(around, "via", hubs, "relation_id", "other_id"), in_every_part(via, "via", hubs)
-    earlier = via.select("center_id", F.col("via").alias("other_id"), F.col("place").alias("other_place"))
+    spread, asked = in_parts(around, "via", hubs, "relation_id", "neighbor_work_id"), in_every_part(via, "via", hubs)
+    earlier = via.select("center_id", F.col("via").alias("neighbor_work_id"), F.col("place").alias("other_place"))
     # an edge between two expanded works that both anchor it was met at the better ranked one
     met = F.coalesce(F.col("to_anchor") & (F.col("other_place") < F.col("place")), F.lit(False))
-    beyond = spread.join(asked, ["via", "part"]).where("other_id <> center_id").join(earlier, ["center_id", "other_id"], "left").where(~met)
+    beyond = spread.join(asked, ["via", "part"]).where("neighbor_work_id <> center_id").join(earlier, ["center_id", "neighbor_work_id"], "left").where(~met)
     # edges to the centre that only the expanded work anchors
-    back = scored.where("from_anchor IS NULL AND to_anchor").join(earlier, ["center_id", "other_id"], "left_semi")
+    back = scored.where("from_anchor IS NULL AND to_anchor").join(earlier, ["center_id", "neighbor_work_id"], "left_semi")
     columns = [c for c in scored.columns if c not in ("from_anchor", "to_anchor")]
     return anchored.select(columns).unionByName(beyond.select(columns)).unionByName(back.select(columns))
 
 
 def overflow_members(candidates: DataFrame, kept: DataFrame) -> DataFrame:
-    """(center_id, group_key, relation_type, direction, other_id): works that were not kept."""
-    left_over = candidates.join(kept.select("center_id", "other_id"), ["center_id", "other_id"], "left_anti")
+    """(center_id, group_key, relation_type, direction, neighbor_work_id): works that were not kept."""
+    left_over = candidates.join(kept.select("center_id", "neighbor_work_id"), ["center_id", "neighbor_work_id"], "left_anti")
     key = F.concat_ws(":", "relation_type", "direction").alias("group_key")
-    return left_over.select("center_id", key, "relation_type", "direction", "other_id").distinct()
+    return left_over.select("center_id", key, "relation_type", "direction", "neighbor_work_id").distinct()
 
 
 def overflow_groups(overflow: DataFrame) -> DataFrame:
@@ -155,8 +155,8 @@ def ego_nodes(works: DataFrame, versions: DataFrame, kept: DataFrame, groups: Da
     me = centers.join(titled, F.col("center_id") == F.col("_work")).select(
         "center_id", F.col("center_id").cast("string").alias("node_id"), F.lit("work").alias("kind"), "label",
         nil("long").alias("members"), nil("double").alias("score"))
-    others = kept.join(titled, F.col("other_id") == F.col("_work")).select(
-        "center_id", F.col("other_id").cast("string").alias("node_id"), F.lit("work").alias("kind"), "label",
+    others = kept.join(titled, F.col("neighbor_work_id") == F.col("_work")).select(
+        "center_id", F.col("neighbor_work_id").cast("string").alias("node_id"), F.lit("work").alias("kind"), "label",
         nil("long").alias("members"), "score")
     bundles = groups.select(
         "center_id", F.col("group_id").alias("node_id"), F.lit("group").alias("kind"),
@@ -167,7 +167,7 @@ def ego_nodes(works: DataFrame, versions: DataFrame, kept: DataFrame, groups: Da
 
 def ego_edges(candidates: DataFrame, kept: DataFrame, groups: DataFrame) -> DataFrame:
     """Edges whose ends are the centre or kept works, and one edge per overflow group."""
-    shown = kept.select("center_id", F.col("other_id").alias("_end"))
+    shown = kept.select("center_id", F.col("neighbor_work_id").alias("_end"))
     shown = shown.unionByName(kept.select("center_id", F.col("center_id").alias("_end"))).distinct()
     inside = candidates
     for end in ("source_work_id", "target_work_id"):
@@ -200,7 +200,7 @@ def expand_groups(
     gone_edge = target.select("center_id", F.col("_gid").alias("edge_id"))
     stay = nodes.join(gone_node, ["center_id", "node_id"], "left_anti")
     inside = overflow.join(target, ["center_id", "group_key"]).select(
-        "center_id", "group_key", "relation_type", F.col("other_id").cast("string").alias("node_id"))
+        "center_id", "group_key", "relation_type", F.col("neighbor_work_id").cast("string").alias("node_id"))
     # a work in two opened groups appears once, under the first group
     first = inside.groupBy("center_id", "node_id").agg(F.min_by("relation_type", "group_key").alias("relation_type"), F.min("group_key").alias("group_key"))
     fresh = first.join(stay.select("center_id", "node_id"), ["center_id", "node_id"], "left_anti")

@@ -157,7 +157,7 @@ def resolve_bibliography(entries: DataFrame, works: DataFrame, versions: DataFra
     )
 
 
-def repair_primary(works: DataFrame, versions: DataFrame, order: str = "created_ord") -> DataFrame:
+def repair_primary(works: DataFrame, versions: DataFrame, order: str = "created_at") -> DataFrame:
     """Works whose primary version is missing or belongs to another work get their earliest version."""
     owned = versions.select("work_id", F.col("version_id").alias("primary_version_id"), F.lit(True).alias("_owned"))
     earliest = versions.groupBy("work_id").agg(F.min_by("version_id", F.struct(order, "version_id")).alias("_first"))

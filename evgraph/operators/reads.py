@@ -32,7 +32,7 @@ def titled_works(works: DataFrame, versions: DataFrame) -> DataFrame:
 
 def search_works(
     works: DataFrame, versions: DataFrame, query: str | None = None, work_projects: DataFrame | None = None,
-    project_id=None, limit: int | None = 50, offset: int = 0, order: str = "created_ord",
+    project_id=None, limit: int | None = 50, offset: int = 0, order: str = "created_at",
 ) -> DataFrame:
     """Works whose normalised title, title or arXiv id contains the query, newest first, at most 200 a page.
 
@@ -67,7 +67,7 @@ def with_author_names(page: DataFrame, version_authors: DataFrame, authors: Data
     return out.withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
 
 
-def with_shown_version(works: DataFrame, versions: DataFrame, order: str = "created_ord") -> DataFrame:
+def with_shown_version(works: DataFrame, versions: DataFrame, order: str = "created_at") -> DataFrame:
     """Works whose card has a version: the primary one, or else the first that was made."""
     first = versions.groupBy("work_id").agg(F.min_by("version_id", F.struct(order, "version_id")).alias("_first"))
     shown = works.join(first, "work_id", "left")
@@ -130,7 +130,7 @@ def card_sections(t) -> DataFrame:
     projects = t.work_projects.join(t.projects, "project_id")
     listed = rel.relations_of_works(t.relations, t.relation_members)
     parts = [
-        row(t.versions, "version", c("created_ord"), c("version_id"), c("title")),
+        row(t.versions, "version", c("created_at"), c("version_id"), c("title")),
         row(work_authors(with_shown_version(t.works, t.versions), t.version_authors, t.authors), "author", c("position"),
             c("author_id"), c("full_name")),
         row(projects, "project", c("name"), c("project_id"), c("name")),
@@ -165,18 +165,18 @@ def node_context(
     nodes = related.select(*node).union(comments.select(*node)).distinct()
     recent = comments
     if latest is not None:
-        recent = top_k(comments, node, [F.desc("created_ord"), F.desc("comment_id")], latest)
+        recent = top_k(comments, node, [F.desc("created_at"), F.desc("comment_id")], latest)
     return (
         nodes.join(cards, "work_id")
         .unionByName(
             recent.select(
-                "graph_id", "work_id", F.lit("comment").alias("section"), F.col("created_ord").cast("string").alias("sort_key"),
+                "graph_id", "work_id", F.lit("comment").alias("section"), F.col("created_at").cast("string").alias("sort_key"),
                 F.col("comment_id").cast("string").alias("item_id"), F.col("body").alias("label"))
         )
         .unionByName(
             related.select(
                 "graph_id", "work_id", F.col("kind").alias("section"), "direction",
-                F.coalesce("ref", F.col("other_id").cast("string")).alias("item_id"), F.col("detail").alias("label"),
+                F.coalesce("ref", F.col("neighbor_work_id").cast("string")).alias("item_id"), F.col("detail").alias("label"),
             ).withColumnRenamed("direction", "sort_key")
         )
     )
@@ -319,7 +319,7 @@ def comments_with_authors(comments: DataFrame, users: DataFrame, viewer_id) -> D
 
 def filter_comments(
     comments: DataFrame, viewer_id, graph_id=None, work_id=None, since=None, kinds: list[str] | None = None,
-    limit: int | None = 200, order: str = "updated_ord",
+    limit: int | None = 200, order: str = "updated_at",
 ) -> DataFrame:
     """What a viewer may read of the comments on a work in a graph, changed after a moment, of given kinds.
 
@@ -376,7 +376,7 @@ def comment_threads(comments: DataFrame) -> DataFrame:
         "graph_id", "work_id", F.col("comment_id").alias("root_id"), F.col("body").alias("root_body"))
     replies = comments.where("parent_id IS NOT NULL").select(
         F.col("parent_id").alias("root_id"), F.col("comment_id").alias("reply_id"), F.col("body").alias("reply_body"),
-        F.col("created_ord").alias("reply_ord"))
+        F.col("created_at").alias("reply_ord"))
     return roots.join(replies, "root_id", "left")
 
 
@@ -390,7 +390,7 @@ def patch_comments(comments: DataFrame, patches: DataFrame) -> DataFrame:
     given = F.coalesce("new_body", "new_kind", "new_visibility").isNotNull()
     usable = patches.where(sane & given).withColumn("new_body", body)
     joined = comments.join(usable, ["comment_id", "user_id"], "left")
-    new = {"body": "new_body", "kind": "new_kind", "visibility": "new_visibility", "updated_ord": "moment"}
+    new = {"body": "new_body", "kind": "new_kind", "visibility": "new_visibility", "updated_at": "moment"}
     return joined.select(*[F.coalesce(new[c], c).alias(c) if c in new else F.col(c) for c in comments.columns])
 
 

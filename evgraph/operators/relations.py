@@ -192,45 +192,44 @@ def pair_candidates(outputs: DataFrame, relations: DataFrame, members: DataFrame
 def recall_candidates(
     works: DataFrame, neighbors: DataFrame, citations: DataFrame, work_projects: DataFrame,
     relations: DataFrame, members: DataFrame, k: int = 10, near: int = 32, recent: int = 48,
-    order: str = "created_ord",
+    order: str = "created_at",
 ) -> DataFrame:
-    """Works worth comparing with each work: (work_id, other_id, score), best k per work.
+    """Works worth comparing with each work: (work_id, neighbor_work_id, score), best k per work.
 
     The highest of: neighbour score (top 32), cites 0.55, cited by 0.50, same project 0.2 (32 smallest
     ids), one of the 48 latest works 0.12. Works already related are left out.
     """
-    pair = ["work_id", "other_id"]
+    pair = ["work_id", "neighbor_work_id"]
     near_best = neighbors.where(F.col("dimension").isin(tx.GRAPH_DIMENSIONS)).groupBy(*pair).agg(F.max("score").alias("score"))
-    by_neighbor = top_k(near_best, ["work_id"], [F.desc("score"), F.asc("other_id")], near)
+    by_neighbor = top_k(near_best, ["work_id"], [F.desc("score"), F.asc("neighbor_work_id")], near)
     cites = citations.where("cited_work_id IS NOT NULL AND citing_work_id <> cited_work_id")
     by_cites = cites.select(
         F.inline(F.array(
-            F.struct(F.col("citing_work_id").alias("work_id"), F.col("cited_work_id").alias("other_id"),
+            F.struct(F.col("citing_work_id").alias("work_id"), F.col("cited_work_id").alias("neighbor_work_id"),
                      F.lit(CITED).alias("score")),
-            F.struct(F.col("cited_work_id").alias("work_id"), F.col("citing_work_id").alias("other_id"),
+            F.struct(F.col("cited_work_id").alias("work_id"), F.col("citing_work_id").alias("neighbor_work_id"),
                      F.lit(CITED_BY).alias("score")))))
     # one extra member per project: a work is not its own partner
-    head = top_k(work_projects, ["project_id"], [F.asc("work_id")], near + 1).withColumnRenamed("work_id", "other_id")
-    partners = work_projects.join(head, "project_id").where("work_id <> other_id").select(*pair).distinct()
-    by_project = top_k(partners, ["work_id"], [F.asc("other_id")], near).withColumn("score", F.lit(SAME_PROJECT))
+    head = top_k(work_projects, ["project_id"], [F.asc("work_id")], near + 1).withColumnRenamed("work_id", "neighbor_work_id")
+    partners = work_projects.join(head, "project_id").where("work_id <> neighbor_work_id").select(*pair).distinct()
+    by_project = top_k(partners, ["work_id"], [F.asc("neighbor_work_id")], near).withColumn("score", F.lit(SAME_PROJECT))
     related = _related_works(relations, members)
     scored = (
         by_neighbor.unionByName(by_cites).unionByName(by_project)
         .groupBy(*pair).agg(F.max("score").alias("score"))
         .join(related, pair, "left_anti")
     )
-    best = top_k(scored, ["work_id"], [F.desc("score"), F.asc("other_id")], k)
+    best = top_k(scored, ["work_id"], [F.desc("score"), F.asc("neighbor_work_id")], k)
 
     # The latest works are one short list shared by all; what must be left out of it is at most as long.
     latest = works.orderBy(F.desc(order), F.desc("work_id")).limit(recent + 1).select("work_id", order)
-    shared = latest.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col(order)).alias("o"), (-F.col("work_id")).alias("i"), F.col("work_id").alias("w")))).alias("l")
-    ).select(F.transform("l", lambda s: s["w"])).scalar()
+    newest_first = F.reverse(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("work_id").alias("w")))))
+    shared = latest.agg(newest_first.alias("l")).select(F.transform("l", lambda s: s["w"])).scalar()
     skip = (
-        related.join(latest.select(F.col("work_id").alias("other_id")), "other_id", "left_semi")
-        .groupBy("work_id").agg(F.collect_set("other_id").alias("_skip"))
+        related.join(latest.select(F.col("work_id").alias("neighbor_work_id")), "neighbor_work_id", "left_semi")
+        .groupBy("work_id").agg(F.collect_set("neighbor_work_id").alias("_skip"))
     )
-    own = best.groupBy("work_id").agg(F.collect_list(F.struct("score", "other_id")).alias("_own"))
+    own = best.groupBy("work_id").agg(F.collect_list(F.struct("score", "neighbor_work_id")).alias("_own"))
     none = lambda like: F.array().cast(like)
     id_type = works.schema["work_id"].dataType.simpleString()
     wid = F.col("work_id")
@@ -239,16 +238,16 @@ def recall_candidates(
     )
     window = F.slice(F.filter("_latest", lambda w: w != wid), 1, recent)
     offered = F.filter(window, lambda w: ~F.array_contains(F.coalesce("_skip", none(f"array<{id_type}>")), w))
-    listed = F.coalesce("_own", none(f"array<struct<score:double,other_id:{id_type}>>"))
-    strong = F.filter(listed, lambda s: ~(F.array_contains(offered, s["other_id"]) & (s["score"] < RECENT)))
-    strong_ids = F.transform(strong, lambda s: s["other_id"])
+    listed = F.coalesce("_own", none(f"array<struct<score:double,neighbor_work_id:{id_type}>>"))
+    strong = F.filter(listed, lambda s: ~(F.array_contains(offered, s["neighbor_work_id"]) & (s["score"] < RECENT)))
+    strong_ids = F.transform(strong, lambda s: s["neighbor_work_id"])
     filler = F.transform(
-        F.array_except(offered, strong_ids), lambda w: F.struct(F.lit(RECENT).alias("score"), w.alias("other_id"))
+        F.array_except(offered, strong_ids), lambda w: F.struct(F.lit(RECENT).alias("score"), w.alias("neighbor_work_id"))
     )
     everyone = F.concat(strong, filler)
     ranked = F.transform(
-        F.array_sort(F.transform(everyone, lambda s: F.struct((-s["score"]).alias("n"), s["other_id"].alias("other_id")))),
-        lambda s: F.struct(s["other_id"].alias("other_id"), (-s["n"]).alias("score")),
+        F.array_sort(F.transform(everyone, lambda s: F.struct((-s["score"]).alias("n"), s["neighbor_work_id"].alias("neighbor_work_id")))),
+        lambda s: F.struct(s["neighbor_work_id"].alias("neighbor_work_id"), (-s["n"]).alias("score")),
     )
     return joined.select("work_id", F.inline(F.slice(ranked, 1, k)))
 
@@ -260,8 +259,8 @@ def _related_works(relations: DataFrame, members: DataFrame) -> DataFrame:
     ).select("relation_id")
     m = members.where("entity_kind = 'work'").join(live, "relation_id", "left_semi")
     a = m.select("relation_id", F.col("entity_id").alias("work_id"))
-    b = m.select("relation_id", F.col("entity_id").alias("other_id"))
-    return a.join(b, "relation_id").where("work_id <> other_id").select("work_id", "other_id").distinct()
+    b = m.select("relation_id", F.col("entity_id").alias("neighbor_work_id"))
+    return a.join(b, "relation_id").where("work_id <> neighbor_work_id").select("work_id", "neighbor_work_id").distinct()
 
 
 # --- projections ----------------------------------------------------------------------------
@@ -312,7 +311,7 @@ def reader_counts(reading: DataFrame) -> DataFrame:
 
 def map_nodes(
     works: DataFrame, versions: DataFrame, reading: DataFrame, relations: DataFrame, members: DataFrame,
-    graph_works: DataFrame | None = None, order: str = "created_ord",
+    graph_works: DataFrame | None = None, order: str = "created_at",
 ) -> DataFrame:
     """Works with title, year, readers and whether a relation anchored on them is disputed."""
     scope = works if graph_works is None else works.join(graph_works.select("work_id"), "work_id", "left_semi")
@@ -343,13 +342,13 @@ def neighbor_lists(neighbors: DataFrame, graph_works: DataFrame | None = None) -
     rows, key = neighbors, ["dimension", "work_id"]
     if graph_works is not None:
         held = graph_works.select("graph_id", "work_id").distinct()
-        rows = rows.join(held, "work_id").join(held.withColumnRenamed("work_id", "other_id"), ["graph_id", "other_id"])
+        rows = rows.join(held, "work_id").join(held.withColumnRenamed("work_id", "neighbor_work_id"), ["graph_id", "neighbor_work_id"])
         key = ["graph_id", *key]
-    entry = F.struct((-F.col("score")).alias("n"), "other_id")
+    entry = F.struct((-F.col("score")).alias("n"), "neighbor_work_id")
     return rows.groupBy(*key).agg(
         F.transform(
             F.array_sort(F.collect_list(entry)),
-            lambda s: F.struct(s["other_id"].alias("other_id"), (-s["n"]).alias("score")),
+            lambda s: F.struct(s["neighbor_work_id"].alias("neighbor_work_id"), (-s["n"]).alias("score")),
         ).alias("entries")
     )
 
@@ -432,10 +431,10 @@ def review_queue(
     elif only_unreviewed:
         worth_it = (F.coalesce("confidence", F.lit(0.0)) >= 0.75) | tx.is_high_risk(F.col("type"))
         queue = queue.where(~F.col("type").isin(tx.NOT_PROPOSABLE) & worth_it)
-        order = [F.desc_nulls_last("confidence"), F.asc("created_ord"), F.asc("relation_id")]
+        order = [F.desc_nulls_last("confidence"), F.asc("created_at"), F.asc("relation_id")]
     else:
         queue = queue.where("type <> 'cites'")
-        order = [F.desc("created_ord"), F.desc("relation_id")]
+        order = [F.desc("created_at"), F.desc("relation_id")]
     return queue if limit is None else paged(queue, order, min(limit, 200) if limit > 0 else 50, offset)
 
 
@@ -465,7 +464,7 @@ def listing_order() -> list[Column]:
     return [
         F.asc(tx.listing_rank(F.col("review_status"))),
         F.asc("type"),
-        F.desc("created_ord"),
+        F.desc("created_at"),
         F.asc("relation_id"),
     ]
 
@@ -491,7 +490,7 @@ def card_groups(listed: DataFrame, members: DataFrame) -> DataFrame:
 
 def graph_page(
     nodes: DataFrame, edges: DataFrame, neighbors: DataFrame, comments: DataFrame, limit: int = 500,
-    offset: int = 0, order: str = "created_ord",
+    offset: int = 0, order: str = "created_at",
 ) -> dict[str, DataFrame]:
     """A page of nodes of one graph, what connects them, and where the next page starts.
 
@@ -510,7 +509,7 @@ def graph_page(
         "meta": meta,
         "nodes": page,
         "edges": in_graph(edges, ids, "source_work_id", "target_work_id"),
-        "neighbors": in_graph(neighbors, ids, "work_id", "other_id"),
+        "neighbors": in_graph(neighbors, ids, "work_id", "neighbor_work_id"),
         "comment_counts": in_graph(comments, ids, "work_id").groupBy("work_id").agg(F.count("*").alias("comments")),
     }
 
@@ -521,13 +520,13 @@ def node_relations(
 ) -> DataFrame:
     """Everything connected with every node of every graph, as rows of one table.
 
-    (graph_id, work_id, kind, detail, direction, other_id, ref, score): kind assertion (detail = type, ref =
-    relation; other_id null for the relation itself, plus one row per other work), citation, neighbor.
+    (graph_id, work_id, kind, detail, direction, neighbor_work_id, ref, score): kind assertion (detail = type, ref =
+    relation; neighbor_work_id null for the relation itself, plus one row per other work), citation, neighbor.
     """
     if direction not in ("both", "incoming", "outgoing"):
         raise ValueError("direction must be both, incoming or outgoing")
     at = graph_works.select("graph_id", "work_id")
-    at_other = graph_works.select("graph_id", F.col("work_id").alias("other_id"))
+    at_other = graph_works.select("graph_id", F.col("work_id").alias("neighbor_work_id"))
 
     def keep(df):
         return df if direction == "both" else df.where(F.col("direction") == direction)
@@ -555,7 +554,7 @@ def node_relations(
     shown = directed.join(inside, "relation_id").join(at, ["graph_id", "work_id"], "left_semi")
     others = shown.join(n_works, "relation_id").where("stand <> work_id")
     row = lambda df, kind, other, ref, score: df.select(
-        "graph_id", "work_id", F.lit(kind).alias("kind"), "detail", "direction", other.alias("other_id"),
+        "graph_id", "work_id", F.lit(kind).alias("kind"), "detail", "direction", other.alias("neighbor_work_id"),
         ref.cast("string").alias("ref"), score.cast("double").alias("score"))
     id_type = graph_works.schema["work_id"].dataType.simpleString()
     nil = F.lit(None)
@@ -566,33 +565,33 @@ def node_relations(
     cites = citations.where("cited_work_id IS NOT NULL").select(
         F.col("citation_id").alias("ref"),
         F.inline(F.array(
-            F.struct(F.col("citing_work_id").alias("work_id"), F.col("cited_work_id").alias("other_id"),
+            F.struct(F.col("citing_work_id").alias("work_id"), F.col("cited_work_id").alias("neighbor_work_id"),
                      F.lit("outgoing").alias("direction")),
-            F.struct(F.col("cited_work_id").alias("work_id"), F.col("citing_work_id").alias("other_id"),
+            F.struct(F.col("cited_work_id").alias("work_id"), F.col("citing_work_id").alias("neighbor_work_id"),
                      F.lit("incoming").alias("direction")))))
-    cited = keep(cites).withColumn("detail", F.lit("cites")).join(at, "work_id").join(at_other, ["graph_id", "other_id"])
+    cited = keep(cites).withColumn("detail", F.lit("cites")).join(at, "work_id").join(at_other, ["graph_id", "neighbor_work_id"])
 
     near = neighbors.select(
         F.col("dimension").alias("detail"),
         F.inline(F.array(
-            F.struct("work_id", "other_id", "score"),
-            F.struct(F.col("other_id").alias("work_id"), F.col("work_id").alias("other_id"), "score"))),
-    ).groupBy("detail", "work_id", "other_id").agg(F.max("score").alias("score"))
-    near = near.withColumn("direction", F.lit("both")).join(at, "work_id").join(at_other, ["graph_id", "other_id"])
+            F.struct("work_id", "neighbor_work_id", "score"),
+            F.struct(F.col("neighbor_work_id").alias("work_id"), F.col("work_id").alias("neighbor_work_id"), "score"))),
+    ).groupBy("detail", "work_id", "neighbor_work_id").agg(F.max("score").alias("score"))
+    near = near.withColumn("direction", F.lit("both")).join(at, "work_id").join(at_other, ["graph_id", "neighbor_work_id"])
     return (
         assertions
-        .unionByName(row(cited, "citation", F.col("other_id"), F.col("ref"), nil))
-        .unionByName(row(near, "neighbor", F.col("other_id"), nil, F.col("score")))
+        .unionByName(row(cited, "citation", F.col("neighbor_work_id"), F.col("ref"), nil))
+        .unionByName(row(near, "neighbor", F.col("neighbor_work_id"), nil, F.col("score")))
     )
 
 
 def related_titles(rows: DataFrame, works: DataFrame, versions: DataFrame) -> DataFrame:
-    """(graph_id, work_id, other_id, title, year): every other work that `node_relations` names at a node, once."""
-    named = rows.where("other_id IS NOT NULL").select("graph_id", "work_id", "other_id").distinct()
+    """(graph_id, work_id, neighbor_work_id, title, year): every other work that `node_relations` names at a node, once."""
+    named = rows.where("neighbor_work_id IS NOT NULL").select("graph_id", "work_id", "neighbor_work_id").distinct()
     primary = versions.select(F.col("version_id").alias("primary_version_id"), F.col("title").alias("_title"), "year")
     titled = works.join(primary, "primary_version_id", "left").select(
-        F.col("work_id").alias("other_id"), tf.display_title(F.col("_title"), F.col("title_norm")).alias("title"), "year")
-    return named.join(titled, "other_id").select("graph_id", "work_id", "other_id", "title", "year")
+        F.col("work_id").alias("neighbor_work_id"), tf.display_title(F.col("_title"), F.col("title_norm")).alias("title"), "year")
+    return named.join(titled, "neighbor_work_id").select("graph_id", "work_id", "neighbor_work_id", "title", "year")
 
 
 # --- prompts and grounding ------------------------------------------------------------------

@@ -20,7 +20,7 @@ HEAVY_DF = 512
 
 
 def _best() -> list[Column]:
-    return [F.desc("score"), F.asc("other_id")]
+    return [F.desc("score"), F.asc("neighbor_work_id")]
 
 
 # --- shared references and shared citers -------------------------------------------------
@@ -55,8 +55,8 @@ def shared_link_neighbors(
         .withColumn("dot", F.col("dot") + F.coalesce("heavy_dot", F.lit(0)))
     )
     only_heavy = _profile_candidates(profiles, profile_pairs, k, seeds)
-    both = _above_floor(pairs).select("work_id", "other_id", "n_a", "n_b", "dot").unionByName(only_heavy)
-    best = both.groupBy("work_id", "other_id", "n_a", "n_b").agg(F.max("dot").alias("dot"))
+    both = _above_floor(pairs).select("work_id", "neighbor_work_id", "n_a", "n_b", "dot").unionByName(only_heavy)
+    best = both.groupBy("work_id", "neighbor_work_id", "n_a", "n_b").agg(F.max("dot").alias("dot"))
     return _rank_pairs(best, k)
 
 
@@ -71,14 +71,14 @@ def _score_floors(light: DataFrame, k: int, seeds: DataFrame | None, probe: int
     Found among the `probe` strongest citers of each reference; works with too few of them have no floor.
     """
     head = top_k(light, ["ref"], [F.desc(F.col("m") * F.col("m") / F.col("n")), F.asc("entity")], probe)
-    strong = head.select("ref", F.col("entity").alias("other_id"), F.col("m").alias("m_b"), F.col("n").alias("n_b"))
+    strong = head.select("ref", F.col("entity").alias("neighbor_work_id"), F.col("m").alias("m_b"), F.col("n").alias("n_b"))
     mine = light.select("ref", F.col("entity").alias("work_id"), F.col("m").alias("m_a"), F.col("n").alias("n_a"))
     if seeds is not None:
         mine = mine.join(seeds.select("work_id").distinct(), "work_id", "left_semi")
     reached = (
-        dealt_out(mine, "ref").join(strong.hint("merge"), "ref").where("work_id <> other_id")
+        dealt_out(mine, "ref").join(strong.hint("merge"), "ref").where("work_id <> neighbor_work_id")
         .withColumn("dot", F.col("m_a") * F.col("m_b"))
-        .groupBy("work_id", "other_id").agg(F.max(_strength()).alias("score"))
+        .groupBy("work_id", "neighbor_work_id").agg(F.max(_strength()).alias("score"))
     )
     last = top_k(reached, ["work_id"], _best(), k, rank="place").where(F.col("place") == k)
     return last.select(F.col("work_id").alias("entity"), F.col("score").alias("floor"))
@@ -93,16 +93,16 @@ def _light_pairs(weighted: DataFrame, seeds: DataFrame | None, carry: list[str]
     side = lambda s, name: weighted.select(
         "ref", F.col("entity").alias(name), F.col("n").alias(f"n_{s}"), F.col("m").alias(f"m_{s}"),
         *[F.col(c).alias(f"{c}_{s}") for c in carry])
-    a, b = side("a", "work_id"), side("b", "other_id")
-    keys = ["work_id", "other_id", "n_a", "n_b", *[f"{c}_{s}" for c in carry for s in "ab"]]
+    a, b = side("a", "work_id"), side("b", "neighbor_work_id")
+    keys = ["work_id", "neighbor_work_id", "n_a", "n_b", *[f"{c}_{s}" for c in carry for s in "ab"]]
     dot = F.sum(F.col("m_a") * F.col("m_b")).alias("dot")
     # the join multiplies its input: a broadcast would run it in as few tasks as there are input splits
     a, b = dealt_out(a, "ref"), dealt_out(b, "ref").hint("merge")
     if seeds is not None:
         a = a.join(seeds.select("work_id").distinct(), "work_id", "left_semi")
-        return a.join(b, "ref").where("work_id <> other_id").groupBy(*keys).agg(dot)
-    half = a.join(b, "ref").where("work_id < other_id").groupBy(*keys).agg(dot)
-    swapped = {"work_id": "other_id", "other_id": "work_id", "n_a": "n_b", "n_b": "n_a"}
+        return a.join(b, "ref").where("work_id <> neighbor_work_id").groupBy(*keys).agg(dot)
+    half = a.join(b, "ref").where("work_id < neighbor_work_id").groupBy(*keys).agg(dot)
+    swapped = {"work_id": "neighbor_work_id", "neighbor_work_id": "work_id", "n_a": "n_b", "n_b": "n_a"}
     swapped |= {f"{c}_a": f"{c}_b" for c in carry} | {f"{c}_b": f"{c}_a" for c in carry}
     columns = keys + ["dot"]
     forward = F.struct(*columns)
@@ -147,21 +147,21 @@ def _profile_candidates(profiles: DataFrame, pairs: DataFrame, k: int, seeds: Da
     k + 1 members per profile and k + 1 partners per profile are enough for an exact top k.
     """
     head = top_k(profiles, ["profile"], [F.asc("n"), F.asc("entity")], k + 1)
-    members = head.select(F.col("profile").alias("profile_b"), F.col("entity").alias("other_id"), F.col("n").alias("n_b"))
+    members = head.select(F.col("profile").alias("profile_b"), F.col("entity").alias("neighbor_work_id"), F.col("n").alias("n_b"))
     ratio = F.desc(F.col("dot") * F.col("dot") / F.col("n_b"))
-    partners = top_k(pairs.join(members, "profile_b"), ["profile_a"], [ratio, F.asc("other_id")], k + 1)
+    partners = top_k(pairs.join(members, "profile_b"), ["profile_a"], [ratio, F.asc("neighbor_work_id")], k + 1)
     works = profiles.select(
         F.col("profile").alias("profile_a"), F.col("entity").alias("work_id"), F.col("n").alias("n_a"))
     if seeds is not None:
         works = works.join(seeds.select("work_id").distinct(), "work_id", "left_semi")
     return (
-        works.join(partners, "profile_a").where("work_id <> other_id")
-        .select("work_id", "other_id", "n_a", "n_b", "dot")
+        works.join(partners, "profile_a").where("work_id <> neighbor_work_id")
+        .select("work_id", "neighbor_work_id", "n_a", "n_b", "dot")
     )
 
 
 def _rank_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    return top_k(pairs.select("work_id", "other_id", F.sqrt(_strength()).alias("score")), ["work_id"], _best(), k)
+    return top_k(pairs.select("work_id", "neighbor_work_id", F.sqrt(_strength()).alias("score")), ["work_id"], _best(), k)
 
 
 def bibliographic_coupling(citations: DataFrame, k: int = K, heavy_df: int = HEAVY_DF, seeds=None) -> DataFrame:
@@ -181,7 +181,7 @@ def strongest(*directed: DataFrame) -> DataFrame:
     out = directed[0]
     for more in directed[1:]:
         out = out.unionByName(more)
-    return out.groupBy("work_id", "other_id").agg(F.max("score").alias("score"))
+    return out.groupBy("work_id", "neighbor_work_id").agg(F.max("score").alias("score"))
 
 
 def symmetric(directed: DataFrame) -> DataFrame:
@@ -189,12 +189,12 @@ def symmetric(directed: DataFrame) -> DataFrame:
     both = directed.select(
         F.inline(
             F.array(
-                F.struct("work_id", "other_id", "score"),
-                F.struct(F.col("other_id").alias("work_id"), F.col("work_id").alias("other_id"), "score"),
+                F.struct("work_id", "neighbor_work_id", "score"),
+                F.struct(F.col("neighbor_work_id").alias("work_id"), F.col("work_id").alias("neighbor_work_id"), "score"),
             )
         )
     )
-    return both.groupBy("work_id", "other_id").agg(F.max("score").alias("score"))
+    return both.groupBy("work_id", "neighbor_work_id").agg(F.max("score").alias("score"))
 
 
 def trim(directed: DataFrame, k: int = K) -> DataFrame:
@@ -213,21 +213,21 @@ def citation_neighbors(citations: DataFrame, k: int = K, heavy_df: int = HEAVY_D
 
 
 def lineage_edges(relations: DataFrame, members: DataFrame) -> DataFrame:
-    """Undirected (work_id, other_id, length) between anchored works of method relations."""
+    """Undirected (work_id, neighbor_work_id, length) between anchored works of method relations."""
     usable = relations.where(tx.is_method_lineage(F.col("type")) & (F.col("review_status") != "rejected"))
     end = lambda role, name: members.where((F.col("role") == role) & F.col("anchor_work_id").isNotNull()).select(
         "relation_id", F.col("anchor_work_id").alias(name))
     directed = (
         usable.select("relation_id", F.when(F.col("review_status") == "confirmed", 1).otherwise(2).alias("length"))
         .join(end("source", "work_id"), "relation_id")
-        .join(end("target", "other_id"), "relation_id")
-        .where("work_id <> other_id")
+        .join(end("target", "neighbor_work_id"), "relation_id")
+        .where("work_id <> neighbor_work_id")
     )
-    there = F.struct("work_id", "other_id", "length")
-    back = F.struct(F.col("other_id").alias("work_id"), F.col("work_id").alias("other_id"), "length")
+    there = F.struct("work_id", "neighbor_work_id", "length")
+    back = F.struct(F.col("neighbor_work_id").alias("work_id"), F.col("work_id").alias("neighbor_work_id"), "length")
     return (
         directed.select(F.inline(F.array(there, back)))
-        .groupBy("work_id", "other_id")
+        .groupBy("work_id", "neighbor_work_id")
         .agg(F.min("length").alias("length"))
     )
 
@@ -245,7 +245,7 @@ def lineage_neighbors(
     A round therefore moves k rows per edge, whatever the degree of a hub. The edges that lead to a hub are
     dealt into parts of about `hub_part`, each with a copy of the hub's list, so that no task extends them all.
     """
-    near = [F.asc("length"), F.asc("other_id")]
+    near = [F.asc("length"), F.asc("neighbor_work_id")]
     edges = materialize(edges, "lineage")
     hubs = materialize(crowded(edges, "work_id", hub_part).withColumnRenamed("work_id", "via"), "lineage_hubs")
     need = _needed_by_hop(edges, hops, seeds)
@@ -254,25 +254,25 @@ def lineage_neighbors(
     for hop in range(2, hops + 1):
         step = scoped(hop)
         onward = lists.select(
-            F.col("work_id").alias("via"), F.col("other_id").alias("_end"), F.col("length").alias("_rest"))
-        inward = in_parts(step.withColumnRenamed("other_id", "via"), "via", hubs, "work_id")
+            F.col("work_id").alias("via"), F.col("neighbor_work_id").alias("_end"), F.col("length").alias("_rest"))
+        inward = in_parts(step.withColumnRenamed("neighbor_work_id", "via"), "via", hubs, "work_id")
         walked = (
             dealt_out(inward, "via", "part")
             .join(in_every_part(onward, "via", hubs).hint("merge"), ["via", "part"])
             .where("_end <> work_id")
-            .select("work_id", F.col("_end").alias("other_id"), (F.col("length") + F.col("_rest")).alias("length"))
+            .select("work_id", F.col("_end").alias("neighbor_work_id"), (F.col("length") + F.col("_rest")).alias("length"))
         )
-        shortest = walked.unionByName(step).groupBy("work_id", "other_id").agg(F.min("length").alias("length"))
+        shortest = walked.unionByName(step).groupBy("work_id", "neighbor_work_id").agg(F.min("length").alias("length"))
         lists = top_k(shortest, ["work_id"], near, k)
-    return lists.select("work_id", "other_id", (F.lit(1.0) / F.greatest("length", F.lit(1))).alias("score"))
+    return lists.select("work_id", "neighbor_work_id", (F.lit(1.0) / F.greatest("length", F.lit(1))).alias("score"))
 
 
 def within_steps(edges: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
-    """(work_id) of the works that are at most `steps` edges (work_id, other_id) away from `starts`."""
+    """(work_id) of the works that are at most `steps` edges (work_id, neighbor_work_id) away from `starts`."""
     edges = materialize(edges, "steps")
     reached = frontier = materialize(starts.select("work_id").distinct(), "reached")
     for _ in range(steps):
-        onward = edges.join(frontier, "work_id", "left_semi").select(F.col("other_id").alias("work_id")).distinct()
+        onward = edges.join(frontier, "work_id", "left_semi").select(F.col("neighbor_work_id").alias("work_id")).distinct()
         frontier = materialize(onward.join(reached, "work_id", "left_anti"), "reached")
         reached = reached.union(frontier)
     return reached
@@ -284,7 +284,7 @@ def _needed_by_hop(edges: DataFrame, hops: int, seeds: DataFrame | None):
         return None
     need = {hops: seeds.select("work_id").distinct()}
     for h in range(hops - 1, 0, -1):
-        reached = edges.join(need[h + 1], "work_id", "left_semi").select(F.col("other_id").alias("work_id"))
+        reached = edges.join(need[h + 1], "work_id", "left_semi").select(F.col("neighbor_work_id").alias("work_id"))
         need[h] = reached.distinct()
     return need
 
@@ -304,7 +304,7 @@ def _unit(rows: pd.Series) -> np.ndarray:
 def cosine_neighbors(
     embeddings: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS
 ) -> DataFrame:
-    """Exact directed top k by cosine inside each field: (field, work_id, other_id, score).
+    """Exact directed top k by cosine inside each field: (field, work_id, neighbor_work_id, score).
 
     `embeddings`: entity_id, field, vec. Equal vectors are compared once. The distinct ones are cut
     into blocks around at most `max_pivots` pivots per field; a vector visits another block only if
@@ -326,13 +326,13 @@ def cosine_neighbors(
 def _expand_twins(keyed: DataFrame, pairs: DataFrame, k: int, id_type: str) -> DataFrame:
     """From pairs of distinct vectors (itself included) to pairs of works; k + 1 ids per vector suffice."""
     head = top_k(keyed.select("field", "twin", "entity_id"), ["field", "twin"], [F.asc("entity_id")], k + 1)
-    ends = head.select("field", F.col("twin").alias("other_twin"), F.col("entity_id").alias("other_id"))
+    ends = head.select("field", F.col("twin").alias("other_twin"), F.col("entity_id").alias("neighbor_work_id"))
     reachable = top_k(
         pairs.join(ends, ["field", "other_twin"]), ["field", "twin"], _best(), k + 1
     )
     starts = keyed.select("field", "twin", F.col("entity_id").alias("work_id"))
-    out = starts.join(reachable, ["field", "twin"]).where("work_id <> other_id")
-    return top_k(out, ["field", "work_id"], _best(), k).select("field", "work_id", "other_id", "score")
+    out = starts.join(reachable, ["field", "twin"]).where("work_id <> neighbor_work_id")
+    return top_k(out, ["field", "work_id"], _best(), k).select("field", "work_id", "neighbor_work_id", "score")
 
 
 _PAIR = "field string, twin string, other_twin string, score double"
@@ -447,7 +447,7 @@ def _pruned_blocks(distinct: DataFrame, counts: dict, k: int, block_rows: int, m
 
 
 def aspect_neighbors(embeddings: DataFrame, k: int = K, cleared: DataFrame | None = None, **how) -> DataFrame:
-    """Neighbours of every aspect dimension: (dimension, work_id, other_id, score), symmetric, k per work.
+    """Neighbours of every aspect dimension: (dimension, work_id, neighbor_work_id, score), symmetric, k per work.
 
     `cleared`: (field, work_id) whose aspect text became empty; they keep no list of their own.
     """
@@ -457,19 +457,19 @@ def aspect_neighbors(embeddings: DataFrame, k: int = K, cleared: DataFrame | Non
     both = directed.select(
         F.inline(
             F.array(
-                F.struct("field", "work_id", "other_id", "score"),
-                F.struct("field", F.col("other_id").alias("work_id"), F.col("work_id").alias("other_id"), "score"),
+                F.struct("field", "work_id", "neighbor_work_id", "score"),
+                F.struct("field", F.col("neighbor_work_id").alias("work_id"), F.col("work_id").alias("neighbor_work_id"), "score"),
             )
         )
     )
     if cleared is not None:
         both = both.join(cleared, ["field", "work_id"], "left_anti")
-    merged = both.groupBy("field", "work_id", "other_id").agg(F.max("score").alias("score"))
+    merged = both.groupBy("field", "work_id", "neighbor_work_id").agg(F.max("score").alias("score"))
     dimension = F.concat(F.lit("aspect_"), F.substring_index("field", ":", -1)).alias("dimension")
-    return top_k(merged, ["field", "work_id"], _best(), k).select(dimension, "work_id", "other_id", "score")
+    return top_k(merged, ["field", "work_id"], _best(), k).select(dimension, "work_id", "neighbor_work_id", "score")
 
 
-# --- reading neighbour tables (dimension, work_id, other_id, score) ------------------------
+# --- reading neighbour tables (dimension, work_id, neighbor_work_id, score) ------------------------
 
 
 def blend(neighbors: DataFrame, weights: dict[str, float], topic: bool = False) -> DataFrame:
@@ -481,7 +481,7 @@ def blend(neighbors: DataFrame, weights: dict[str, float], topic: bool = False)
     share = F.create_map(*[F.lit(x) for d, w in used.items() for x in (d, w)])[F.col("dimension")]
     return (
         neighbors.where(F.col("dimension").isin(list(used)))
-        .groupBy("work_id", "other_id")
+        .groupBy("work_id", "neighbor_work_id")
         .agg(F.sum(F.col("score") * share / total).alias("score"))
     )
 
@@ -499,7 +499,7 @@ def blend_views(neighbors: DataFrame, views: DataFrame) -> DataFrame:
     ).where("weight IS NOT NULL")
     return (
         neighbors.join(shares, "dimension")
-        .groupBy("view_id", "work_id", "other_id")
+        .groupBy("view_id", "work_id", "neighbor_work_id")
         .agg(F.sum(F.col("score") * F.col("weight") / F.col("total")).alias("score"))
     )
 
@@ -507,20 +507,20 @@ def blend_views(neighbors: DataFrame, views: DataFrame) -> DataFrame:
 def single_dimension(neighbors: DataFrame, dimension: str, k: int = 12, floor: float = 0.28) -> DataFrame:
     """Strongest k neighbours of one dimension above a floor (12 at 0.28 to draw, 6 at 0.4 to lay out)."""
     chosen = neighbors.where((F.col("dimension") == dimension) & (F.col("score") >= floor))
-    return top_k(chosen.select("work_id", "other_id", "score"), ["work_id"], _best(), k)
+    return top_k(chosen.select("work_id", "neighbor_work_id", "score"), ["work_id"], _best(), k)
 
 
 def strongest_blended(blended: DataFrame, k: int = 6, floor: float = 0.05) -> DataFrame:
     finite = (F.col("score") >= floor) & ~F.isnan("score") & (F.col("score") < float("inf"))
-    usable = blended.where(finite & (F.col("work_id") != F.col("other_id")))
-    return top_k(usable.select("work_id", "other_id", "score"), ["work_id"], _best(), k)
+    usable = blended.where(finite & (F.col("work_id") != F.col("neighbor_work_id")))
+    return top_k(usable.select("work_id", "neighbor_work_id", "score"), ["work_id"], _best(), k)
 
 
 def undirected(directed: DataFrame) -> DataFrame:
     """One row per pair, smaller id first, highest score."""
     return (
-        directed.where("work_id <> other_id")
-        .groupBy(F.least("work_id", "other_id").alias("source_id"), F.greatest("work_id", "other_id").alias("target_id"))
+        directed.where("work_id <> neighbor_work_id")
+        .groupBy(F.least("work_id", "neighbor_work_id").alias("source_id"), F.greatest("work_id", "neighbor_work_id").alias("target_id"))
         .agg(F.max("score").alias("score"))
     )
 

@@ -271,7 +271,7 @@ VIEWS |= {
         LEFT JOIN proposal_links l ON l.history_id = p.history_id""",
     "merges": "SELECT history_id, kept_work_id, merged_work_id FROM verdicts WHERE verdict = 'ok'",
     "related_works": f"""
-        SELECT DISTINCT a.entity_id AS work_id, b.entity_id AS other_id FROM relation_members a
+        SELECT DISTINCT a.entity_id AS work_id, b.entity_id AS neighbor_work_id FROM relation_members a
         JOIN relation_members b ON a.relation_id = b.relation_id AND a.entity_id <> b.entity_id
         JOIN relations r ON r.relation_id = a.relation_id
         WHERE a.entity_kind = 'work' AND b.entity_kind = 'work' AND r.review_status <> 'rejected'

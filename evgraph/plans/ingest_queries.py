@@ -221,8 +221,8 @@ def _(t):
 
 def _merge_tables(t):
     return {
-        "works": t.works.select("work_id", "title_norm", "primary_version_id", "created_ord"),
-        "versions": t.versions.select("version_id", "work_id", "title", "created_ord"),
+        "works": t.works.select("work_id", "title_norm", "primary_version_id", "created_at"),
+        "versions": t.versions.select("version_id", "work_id", "title", "created_at"),
         "claims": t.claims,
         "citations": t.citations,
         "relation_members": t.relation_members,

@@ -48,11 +48,11 @@ def arxiv_of(k: str) -> str:
 VIEWS = {
     "works": f"""
         SELECT p_partkey AS work_id, {norm('p_name')} AS title_norm, p_partkey * 2 AS primary_version_id,
-               p_partkey AS created_ord FROM part""",
+               p_partkey AS created_at FROM part""",
     "versions": f"""
         SELECT p_partkey * 2 AS version_id, p_partkey AS work_id, 'arxiv' AS kind, {arxiv_of('p_partkey')} AS arxiv_id,
                NULL AS doi, p_name AS title, p_brand || ' ' || p_type AS abstract, 1990 + p_size AS year,
-               p_brand AS venue_name, p_partkey * 2 AS created_ord FROM part
+               p_brand AS venue_name, p_partkey * 2 AS created_at FROM part
         UNION ALL
         SELECT p_partkey * 2 + 1, p_partkey, 'journal', NULL, '10.1000/' || p_partkey, p_name || ' Extended',
                p_brand || ' ' || p_type, 1991 + p_size, p_brand, p_partkey * 2 + 1
@@ -73,7 +73,7 @@ VIEWS = {
                o_orderstatus AS aspect, o_orderpriority || ' ' || o_orderstatus AS explanation,
                round((o_totalprice % 100) / 100, 4) AS confidence,
                CASE o_orderpriority[1] WHEN '1' THEN 'public_fact' WHEN '2' THEN 'team_record'
-               ELSE 'ai_candidate' END AS source, o_orderkey AS created_ord FROM orders""",
+               ELSE 'ai_candidate' END AS source, o_orderkey AS created_at FROM orders""",
     "reviews_raw": """
         SELECT event_id AS review_id, 'relation' AS subject_kind,
                (event_id * 7 + user_id) % ((SELECT count(*) FROM orders) // 5) AS subject_id, user_id,
@@ -164,7 +164,7 @@ VIEWS = {
                CASE role WHEN 'user' THEN 'question' WHEN 'assistant' THEN 'idea' ELSE 'review' END AS kind,
                CASE WHEN (conv_id + turn) % 5 = 0 THEN 'private' ELSE 'team' END AS visibility, text AS body,
                CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent_id,
-               conv_id * 1000 + turn AS created_ord FROM conversations""",
+               conv_id * 1000 + turn AS created_at FROM conversations""",
     "vectors": f"""
         SELECT vec_id AS entity_id, 'aspect:' || {words(tx.ASPECTS)}[label % 8 + 1] AS field,
                embedding::DOUBLE[] AS vec FROM embeddings""",
@@ -184,7 +184,7 @@ VIEWS = {
         FROM (SELECT d.*, i, [lines[j + 1] FOR j IN range(0, len(lines)) IF j % 8 = i] AS ls
               FROM doc_lines d, range(0, 8) AS t(i))""",
     "lineage": f"""
-        SELECT a AS work_id, b AS other_id, min(length) AS length FROM (
+        SELECT a AS work_id, b AS neighbor_work_id, min(length) AS length FROM (
             SELECT s.anchor_work_id AS a, t.anchor_work_id AS b,
                    CASE WHEN r.review_status = 'confirmed' THEN 1 ELSE 2 END AS length
             FROM relations r JOIN relation_members s ON s.relation_id = r.relation_id AND s.role = 'source'
@@ -193,8 +193,8 @@ VIEWS = {
               AND s.anchor_work_id IS NOT NULL AND t.anchor_work_id IS NOT NULL
               AND s.anchor_work_id <> t.anchor_work_id) GROUP BY 1, 2""",
     "lineage_both": """
-        SELECT work_id, other_id, min(length) AS length FROM (
-            SELECT * FROM lineage UNION ALL SELECT other_id, work_id, length FROM lineage) GROUP BY 1, 2""",
+        SELECT work_id, neighbor_work_id, min(length) AS length FROM (
+            SELECT * FROM lineage UNION ALL SELECT neighbor_work_id, work_id, length FROM lineage) GROUP BY 1, 2""",
 }
 
 
@@ -203,59 +203,59 @@ def _shared(name: str, me: str, ref: str) -> dict[str, str]:
         f"{name}_m": f"SELECT {me} AS e, {ref} AS r, count(*) AS m FROM citations GROUP BY 1, 2",
         f"{name}_n": f"SELECT e, sum(m)::BIGINT AS n FROM {name}_m GROUP BY 1",
         f"{name}_all": f"""
-            SELECT d.a AS work_id, d.b AS other_id,
+            SELECT d.a AS work_id, d.b AS neighbor_work_id,
                    sqrt((d.dot * d.dot)::DOUBLE / (x.n * y.n)::DOUBLE) AS score
             FROM (SELECT p.e AS a, q.e AS b, sum(p.m * q.m)::BIGINT AS dot FROM {name}_m p
                   JOIN {name}_m q ON p.r = q.r AND p.e <> q.e GROUP BY 1, 2) d
             JOIN {name}_n x ON x.e = d.a JOIN {name}_n y ON y.e = d.b""",
         f"{name}_top": f"""
-            SELECT work_id, other_id, score FROM {name}_all
-            QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY score DESC, other_id) <= 32""",
+            SELECT work_id, neighbor_work_id, score FROM {name}_all
+            QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY score DESC, neighbor_work_id) <= 32""",
     }
 
 
 def top(source: str, keys: str, k: int = 32) -> str:
     return f"""SELECT * FROM {source}
-        QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, other_id) <= {k}"""
+        QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, neighbor_work_id) <= {k}"""
 
 
 VIEWS |= _shared("coupling", "citing_work_id", "cited_work_id")
 VIEWS |= _shared("cocite", "cited_work_id", "citing_work_id")
 VIEWS |= {
     "cite_best": """
-        SELECT work_id, other_id, max(score) AS score FROM (
+        SELECT work_id, neighbor_work_id, max(score) AS score FROM (
             SELECT * FROM coupling_top UNION ALL SELECT * FROM cocite_top) GROUP BY 1, 2""",
     "cite_top": top("cite_best", "work_id"),
     "cite_sym": """
-        SELECT work_id, other_id, max(score) AS score FROM (
-            SELECT work_id, other_id, score FROM cite_top
-            UNION ALL SELECT other_id, work_id, score FROM cite_top) GROUP BY 1, 2""",
+        SELECT work_id, neighbor_work_id, max(score) AS score FROM (
+            SELECT work_id, neighbor_work_id, score FROM cite_top
+            UNION ALL SELECT neighbor_work_id, work_id, score FROM cite_top) GROUP BY 1, 2""",
     "cite_neighbors": top("cite_sym", "work_id"),
     "walk2": """
-        SELECT work_id, other_id, min(length) AS length FROM (
+        SELECT work_id, neighbor_work_id, min(length) AS length FROM (
             SELECT * FROM lineage_both UNION ALL
-            SELECT a.work_id, b.other_id, a.length + b.length FROM lineage_both a
-            JOIN lineage_both b ON a.other_id = b.work_id WHERE a.work_id <> b.other_id) GROUP BY 1, 2""",
+            SELECT a.work_id, b.neighbor_work_id, a.length + b.length FROM lineage_both a
+            JOIN lineage_both b ON a.neighbor_work_id = b.work_id WHERE a.work_id <> b.neighbor_work_id) GROUP BY 1, 2""",
     "walk4": """
-        SELECT work_id, other_id, min(length) AS length FROM (
+        SELECT work_id, neighbor_work_id, min(length) AS length FROM (
             SELECT * FROM walk2 UNION ALL
-            SELECT a.work_id, b.other_id, a.length + b.length FROM walk2 a
-            JOIN walk2 b ON a.other_id = b.work_id WHERE a.work_id <> b.other_id) GROUP BY 1, 2""",
-    "lineage_score": "SELECT work_id, other_id, 1.0::DOUBLE / greatest(length, 1) AS score FROM walk4",
+            SELECT a.work_id, b.neighbor_work_id, a.length + b.length FROM walk2 a
+            JOIN walk2 b ON a.neighbor_work_id = b.work_id WHERE a.work_id <> b.neighbor_work_id) GROUP BY 1, 2""",
+    "lineage_score": "SELECT work_id, neighbor_work_id, 1.0::DOUBLE / greatest(length, 1) AS score FROM walk4",
     "lineage_neighbors": top("lineage_score", "work_id"),
     "graph_neighbors": """
-        SELECT 'citation_coupling' AS dimension, work_id, other_id, score FROM cite_neighbors
-        UNION ALL SELECT 'method_lineage', work_id, other_id, score FROM lineage_neighbors""",
+        SELECT 'citation_coupling' AS dimension, work_id, neighbor_work_id, score FROM cite_neighbors
+        UNION ALL SELECT 'method_lineage', work_id, neighbor_work_id, score FROM lineage_neighbors""",
     "cosine_all": """
-        SELECT a.field, a.entity_id AS work_id, b.entity_id AS other_id, list_cosine_similarity(a.vec, b.vec) AS score
+        SELECT a.field, a.entity_id AS work_id, b.entity_id AS neighbor_work_id, list_cosine_similarity(a.vec, b.vec) AS score
         FROM vectors a JOIN vectors b ON a.field = b.field AND a.entity_id <> b.entity_id""",
     "cosine_top": top("cosine_all", "field, work_id"),
     "cosine_sym": """
-        SELECT field, work_id, other_id, max(score) AS score FROM (
-            SELECT field, work_id, other_id, score FROM cosine_top
-            UNION ALL SELECT field, other_id, work_id, score FROM cosine_top) GROUP BY 1, 2, 3""",
+        SELECT field, work_id, neighbor_work_id, max(score) AS score FROM (
+            SELECT field, work_id, neighbor_work_id, score FROM cosine_top
+            UNION ALL SELECT field, neighbor_work_id, work_id, score FROM cosine_top) GROUP BY 1, 2, 3""",
     "aspect_neighbors": f"""
-        SELECT 'aspect_' || split_part(field, ':', 2) AS dimension, work_id, other_id, score
+        SELECT 'aspect_' || split_part(field, ':', 2) AS dimension, work_id, neighbor_work_id, score
         FROM ({top('cosine_sym', 'field, work_id')})""",
 }
 

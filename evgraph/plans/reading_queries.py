@@ -8,7 +8,7 @@ from evgraph.plans.registry import query
 
 VIEWS |= {
     "titled": """
-        SELECT w.work_id, coalesce(v.title, w.title_norm) AS title, v.year, v.arxiv_id, w.title_norm, w.created_ord
+        SELECT w.work_id, coalesce(v.title, w.title_norm) AS title, v.year, v.arxiv_id, w.title_norm, w.created_at
         FROM works w LEFT JOIN versions v ON v.version_id = w.primary_version_id""",
     "work_authors": """
         SELECT w.work_id, x.position, x.author_id, a.full_name FROM works w
@@ -44,7 +44,7 @@ def _(t):
 @query("d1_work_search_page", """
     SELECT work_id, title, year, arxiv_id FROM titled WHERE (title_norm ILIKE '%1000.0%' OR title ILIKE '%1000.0%' OR arxiv_id ILIKE '%1000.0%')
         AND work_id IN (SELECT work_id FROM work_projects WHERE project_id = 7)
-    ORDER BY created_ord DESC LIMIT 50 OFFSET 10""")
+    ORDER BY created_at DESC LIMIT 50 OFFSET 10""")
 def _(t):
     hits = reads.search_works(t.works, t.versions, "1000.0", t.work_projects, 7, offset=10)
     return hits.select("work_id", "title", "year", "arxiv_id")
@@ -52,7 +52,7 @@ def _(t):
 
 @query("d1_work_search_authors", """
     WITH page AS (SELECT * FROM titled WHERE title_norm ILIKE '%RING%' OR title ILIKE '%RING%' OR arxiv_id ILIKE '%RING%'
-        ORDER BY created_ord DESC, work_id DESC LIMIT 200)
+        ORDER BY created_at DESC, work_id DESC LIMIT 200)
     SELECT p.work_id, p.title, coalesce(string_agg(full_name, '; ' ORDER BY position, author_id), '') AS authors
     FROM page p LEFT JOIN work_authors a ON a.work_id = p.work_id GROUP BY 1, 2""")
 def _(t):
@@ -63,7 +63,7 @@ def _(t):
 @query("d2_cards_without_primary", """
     SELECT w.work_id, coalesce(v.title, w.title_norm) AS title, v.year::VARCHAR AS year, (SELECT count(*) FROM version_authors x WHERE x.version_id = v.version_id) AS authors
     FROM works w LEFT JOIN versions v ON v.version_id = CASE WHEN w.work_id % 3 <> 0 THEN w.primary_version_id
-        ELSE (SELECT arg_min(y.version_id, y.created_ord) FROM versions y WHERE y.work_id = w.work_id AND (w.work_id % 2 = 0 OR y.kind = 'journal')) END""")
+        ELSE (SELECT arg_min(y.version_id, y.created_at) FROM versions y WHERE y.work_id = w.work_id AND (w.work_id % 2 = 0 OR y.kind = 'journal')) END""")
 def _(t):
     """Every third work has no primary version; half of these keep only their journal version, if any."""
     works = t.works.withColumn("primary_version_id", F.when(F.col("work_id") % 3 != 0, F.col("primary_version_id")))
@@ -97,7 +97,7 @@ def _(t):
 
 
 @query("d2_card_sections", f"""
-    SELECT work_id, 'version' AS section, created_ord::VARCHAR AS sort_key, version_id::VARCHAR AS item_id, md5(title) AS label FROM versions
+    SELECT work_id, 'version' AS section, created_at::VARCHAR AS sort_key, version_id::VARCHAR AS item_id, md5(title) AS label FROM versions
     UNION ALL SELECT work_id, 'author', position::VARCHAR, author_id::VARCHAR, md5(full_name) FROM work_authors
     UNION ALL SELECT x.work_id, 'project', p.name, p.project_id::VARCHAR, md5(p.name) FROM work_projects x JOIN projects p USING (project_id)
     UNION ALL SELECT work_id, 'claim', claim_id::VARCHAR, claim_id::VARCHAR, md5(text) FROM claims
@@ -219,26 +219,26 @@ def _(t):
 
 
 @query("d16_comments_with_authors", """
-    SELECT c.graph_id, c.work_id, c.comment_id, u.name AS author_name, c.created_ord
+    SELECT c.graph_id, c.work_id, c.comment_id, u.name AS author_name, c.created_at
     FROM node_comments c JOIN users u ON u.user_id = c.user_id WHERE c.visibility = 'team' OR c.user_id = 3""")
 def _(t):
     rows = reads.comments_with_authors(t.node_comments, t.users, 3)
-    return rows.select("graph_id", "work_id", "comment_id", "author_name", "created_ord")
+    return rows.select("graph_id", "work_id", "comment_id", "author_name", "created_at")
 
 
 @query("d17_comments_since", """
-    SELECT comment_id, kind FROM node_comments WHERE graph_id = 3 AND created_ord > 20003 AND kind IN ('question', 'idea')
+    SELECT comment_id, kind FROM node_comments WHERE graph_id = 3 AND created_at > 20003 AND kind IN ('question', 'idea')
       AND (visibility = 'team' OR user_id = 3)""")
 def _(t):
-    rows = reads.filter_comments(t.node_comments, 3, 3, None, 20003, ["Question", "IDEA"], None, order="created_ord")
+    rows = reads.filter_comments(t.node_comments, 3, 3, None, 20003, ["Question", "IDEA"], None, order="created_at")
     return rows.select("comment_id", "kind")
 
 
 @query("d17_latest_comments", """
     SELECT comment_id, kind FROM node_comments WHERE kind IN ('question', 'idea') AND (visibility = 'team' OR user_id = 4)
-    ORDER BY created_ord DESC LIMIT 200""")
+    ORDER BY created_at DESC LIMIT 200""")
 def _(t):
-    rows = reads.filter_comments(t.node_comments, 4, kinds=["question", "idea"], order="created_ord")
+    rows = reads.filter_comments(t.node_comments, 4, kinds=["question", "idea"], order="created_at")
     return rows.select("comment_id", "kind")
 
 
@@ -311,27 +311,27 @@ def _(t):
     SELECT c.comment_id, md5(CASE WHEN ok AND b IS NOT NULL THEN trim(b) ELSE c.body END) AS body_md5,
            CASE WHEN ok AND k IS NOT NULL THEN k ELSE c.kind END AS kind
     FROM (SELECT *, user_id = work_id % 7 AND (b IS NULL OR trim(b) <> '') AND (b IS NOT NULL OR k IS NOT NULL) AS ok FROM (
-        SELECT *, CASE created_ord % 4 WHEN 0 THEN '  new ' || comment_id WHEN 1 THEN '   ' END AS b,
-               CASE WHEN created_ord % 2 = 1 THEN 'critique' END AS k FROM node_comments)) c""")
+        SELECT *, CASE created_at % 4 WHEN 0 THEN '  new ' || comment_id WHEN 1 THEN '   ' END AS b,
+               CASE WHEN created_at % 2 = 1 THEN 'critique' END AS k FROM node_comments)) c""")
 def _(t):
     c = F.col
-    stored = t.node_comments.withColumn("updated_ord", c("created_ord"))
+    stored = t.node_comments.withColumn("updated_at", c("created_at"))
     patches = stored.select(
         "comment_id", (c("work_id") % 7).alias("user_id"),
-        F.when(c("created_ord") % 4 == 0, F.concat(F.lit("  new "), c("comment_id").cast("string")))
-        .when(c("created_ord") % 4 == 1, "   ").alias("new_body"),
-        F.when(c("created_ord") % 2 == 1, "critique").alias("new_kind"), F.lit(None).cast("string").alias("new_visibility"),
-        c("created_ord").alias("moment"))
+        F.when(c("created_at") % 4 == 0, F.concat(F.lit("  new "), c("comment_id").cast("string")))
+        .when(c("created_at") % 4 == 1, "   ").alias("new_body"),
+        F.when(c("created_at") % 2 == 1, "critique").alias("new_kind"), F.lit(None).cast("string").alias("new_visibility"),
+        c("created_at").alias("moment"))
     return reads.patch_comments(stored, patches).select("comment_id", F.md5("body").alias("body_md5"), "kind")
 
 
 @query("d25_deleted_comments", """
-    WITH gone AS (SELECT comment_id FROM node_comments WHERE user_id = work_id % 7 AND created_ord % 3 = 0)
+    WITH gone AS (SELECT comment_id FROM node_comments WHERE user_id = work_id % 7 AND created_at % 3 = 0)
     SELECT comment_id, CASE WHEN parent_id NOT IN (SELECT comment_id FROM gone) THEN parent_id END::VARCHAR AS parent_id
     FROM node_comments WHERE comment_id NOT IN (SELECT comment_id FROM gone)""")
 def _(t):
     c = F.col
-    requests = t.node_comments.where(c("created_ord") % 3 == 0).select("comment_id", (c("work_id") % 7).alias("user_id"))
+    requests = t.node_comments.where(c("created_at") % 3 == 0).select("comment_id", (c("work_id") % 7).alias("user_id"))
     rows = reads.delete_own_comments(t.node_comments, requests)
     return rows.select("comment_id", c("parent_id").cast("string").alias("parent_id"))
 

@@ -16,15 +16,15 @@ VIEWS |= {
         SELECT v.*, {case('review_status', [([k], w) for k, w in tx.STATUS_WEIGHTS.items()], 0.0)}::DOUBLE
                  * 1.0::DOUBLE * (1.0::DOUBLE + coalesce(confidence, 0.6::DOUBLE)) + review_count * 0.2::DOUBLE
                  + coalesce(r.readers, 0) * 0.15::DOUBLE AS score
-        FROM (SELECT e.*, source_work_id AS center_id, target_work_id AS other_id, 'out' AS direction FROM edges e
+        FROM (SELECT e.*, source_work_id AS center_id, target_work_id AS neighbor_work_id, 'out' AS direction FROM edges e
               UNION ALL SELECT e.*, target_work_id, source_work_id, 'in' FROM edges e) v
-        LEFT JOIN readers r ON r.work_id = v.other_id""",
+        LEFT JOIN readers r ON r.work_id = v.neighbor_work_id""",
     "cand": """
         SELECT v.* FROM ends v JOIN (SELECT DISTINCT relation_id, anchor_work_id FROM relation_members) m
             ON m.relation_id = v.relation_id AND m.anchor_work_id = v.center_id""",
-    "cand_best": "SELECT center_id, other_id, max(score) AS score FROM cand GROUP BY 1, 2",
+    "cand_best": "SELECT center_id, neighbor_work_id, max(score) AS score FROM cand GROUP BY 1, 2",
     "cand2": """
-        WITH via AS (SELECT center_id, other_id AS via, row_number() OVER (PARTITION BY center_id ORDER BY score DESC, other_id) AS place
+        WITH via AS (SELECT center_id, neighbor_work_id AS via, row_number() OVER (PARTITION BY center_id ORDER BY score DESC, neighbor_work_id) AS place
             FROM cand_best QUALIFY place <= 12),
         met AS (SELECT center_id, relation_id, 0 AS place FROM cand
             UNION ALL SELECT v.center_id, x.relation_id, v.place FROM via v JOIN cand x ON x.center_id = v.via),
@@ -32,7 +32,7 @@ VIEWS |= {
         SELECT f.center_id, e.* EXCLUDE (center_id) FROM soonest f LEFT JOIN via v ON v.center_id = f.center_id AND v.place = f.place
         JOIN ends e ON e.relation_id = f.relation_id AND e.center_id =
             CASE WHEN f.center_id IN (e.source_work_id, e.target_work_id) THEN f.center_id ELSE v.via END""",
-    "cand2_best": "SELECT center_id, other_id, max(score) AS score FROM cand2 GROUP BY 1, 2",
+    "cand2_best": "SELECT center_id, neighbor_work_id, max(score) AS score FROM cand2 GROUP BY 1, 2",
 }
 
 
@@ -40,25 +40,25 @@ def _drawn(suffix: str, kept: int) -> dict:
     cand = f"cand{suffix}"
     return {
         f"ego{suffix}_kept": f"""
-        SELECT * FROM {cand}_best QUALIFY row_number() OVER (PARTITION BY center_id ORDER BY score DESC, other_id) <= {kept}""",
+        SELECT * FROM {cand}_best QUALIFY row_number() OVER (PARTITION BY center_id ORDER BY score DESC, neighbor_work_id) <= {kept}""",
         f"ego{suffix}_over": f"""
-        SELECT DISTINCT c.center_id, c.relation_type || ':' || c.direction AS group_key, c.relation_type, c.direction, c.other_id
-        FROM {cand} c LEFT JOIN ego{suffix}_kept k ON k.center_id = c.center_id AND k.other_id = c.other_id WHERE k.center_id IS NULL""",
+        SELECT DISTINCT c.center_id, c.relation_type || ':' || c.direction AS group_key, c.relation_type, c.direction, c.neighbor_work_id
+        FROM {cand} c LEFT JOIN ego{suffix}_kept k ON k.center_id = c.center_id AND k.neighbor_work_id = c.neighbor_work_id WHERE k.center_id IS NULL""",
         f"ego{suffix}_groups": f"""
         SELECT center_id, group_key, relation_type, direction, count(*) AS members,
                sha256(center_id || '|' || group_key)[:32] AS group_id FROM ego{suffix}_over GROUP BY 1, 2, 3, 4""",
         f"ego{suffix}_node_rows": f"""
         SELECT center_id, center_id::VARCHAR AS node_id, 'work' AS kind, w.title AS label, NULL::BIGINT AS members
         FROM (SELECT DISTINCT center_id FROM ego{suffix}_kept) JOIN titled w ON w.work_id = center_id
-        UNION ALL SELECT center_id, other_id::VARCHAR, 'work', w.title, NULL FROM ego{suffix}_kept JOIN titled w ON w.work_id = other_id
+        UNION ALL SELECT center_id, neighbor_work_id::VARCHAR, 'work', w.title, NULL FROM ego{suffix}_kept JOIN titled w ON w.work_id = neighbor_work_id
         UNION ALL SELECT center_id, group_id, 'group', CASE direction WHEN 'in' THEN 'towards it:' ELSE 'from it:' END
             || ' ' || replace(relation_type, '_', ' ') || ' +' || members, members FROM ego{suffix}_groups""",
         f"ego{suffix}_edge_rows": f"""
         SELECT c.center_id, c.relation_id::VARCHAR AS edge_id, source_work_id::VARCHAR AS source_id, target_work_id::VARCHAR AS target_id,
             relation_type, source_work_id || '|' || target_work_id || '|'
             || {case('relation_type', [(v, f"'{k}'") for k, v in tx.SEMANTIC_GROUPS.items()], "'other'")} AS bundle_key
-        FROM {cand} c LEFT JOIN ego{suffix}_kept a ON a.center_id = c.center_id AND a.other_id = c.source_work_id
-        LEFT JOIN ego{suffix}_kept b ON b.center_id = c.center_id AND b.other_id = c.target_work_id
+        FROM {cand} c LEFT JOIN ego{suffix}_kept a ON a.center_id = c.center_id AND a.neighbor_work_id = c.source_work_id
+        LEFT JOIN ego{suffix}_kept b ON b.center_id = c.center_id AND b.neighbor_work_id = c.target_work_id
         WHERE (a.center_id IS NOT NULL OR c.source_work_id = c.center_id) AND (b.center_id IS NOT NULL OR c.target_work_id = c.center_id)
         UNION ALL SELECT center_id, group_id, CASE direction WHEN 'out' THEN center_id::VARCHAR ELSE group_id END,
             CASE direction WHEN 'out' THEN group_id ELSE center_id::VARCHAR END, relation_type, NULL FROM ego{suffix}_groups""",
@@ -168,39 +168,39 @@ def _(t):
 
 
 @query("e6_recalled_candidates", """
-    WITH near AS (SELECT work_id, other_id, max(score) AS score FROM graph_neighbors GROUP BY 1, 2
-        QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY max(score) DESC, other_id) <= 32),
-    proj AS (SELECT a.work_id, b.other_id FROM work_projects a JOIN (SELECT project_id, work_id AS other_id FROM work_projects) b
-        ON a.project_id = b.project_id AND a.work_id <> b.other_id
-        QUALIFY row_number() OVER (PARTITION BY a.work_id ORDER BY b.other_id) <= 32),
-    lib AS (SELECT w.work_id, l.work_id AS other_id FROM works w, (SELECT * FROM works ORDER BY created_ord DESC LIMIT 49) l
-        WHERE w.work_id <> l.work_id QUALIFY row_number() OVER (PARTITION BY w.work_id ORDER BY l.created_ord DESC) <= 48),
+    WITH near AS (SELECT work_id, neighbor_work_id, max(score) AS score FROM graph_neighbors GROUP BY 1, 2
+        QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY max(score) DESC, neighbor_work_id) <= 32),
+    proj AS (SELECT a.work_id, b.neighbor_work_id FROM work_projects a JOIN (SELECT project_id, work_id AS neighbor_work_id FROM work_projects) b
+        ON a.project_id = b.project_id AND a.work_id <> b.neighbor_work_id
+        QUALIFY row_number() OVER (PARTITION BY a.work_id ORDER BY b.neighbor_work_id) <= 32),
+    lib AS (SELECT w.work_id, l.work_id AS neighbor_work_id FROM works w, (SELECT * FROM works ORDER BY created_at DESC LIMIT 49) l
+        WHERE w.work_id <> l.work_id QUALIFY row_number() OVER (PARTITION BY w.work_id ORDER BY l.created_at DESC) <= 48),
     every AS (SELECT * FROM near UNION ALL SELECT citing_work_id, cited_work_id, 0.55 FROM citations
         UNION ALL SELECT cited_work_id, citing_work_id, 0.50 FROM citations
-        UNION ALL SELECT work_id, other_id, 0.2 FROM proj UNION ALL SELECT work_id, other_id, 0.12 FROM lib),
-    best AS (SELECT work_id, other_id, max(score) AS score FROM every GROUP BY 1, 2)
-    SELECT b.work_id, b.other_id, round(b.score, 6) AS score FROM best b
-    LEFT JOIN related_works r ON r.work_id = b.work_id AND r.other_id = b.other_id WHERE r.work_id IS NULL
-    QUALIFY row_number() OVER (PARTITION BY b.work_id ORDER BY b.score DESC, b.other_id) <= 10""")
+        UNION ALL SELECT work_id, neighbor_work_id, 0.2 FROM proj UNION ALL SELECT work_id, neighbor_work_id, 0.12 FROM lib),
+    best AS (SELECT work_id, neighbor_work_id, max(score) AS score FROM every GROUP BY 1, 2)
+    SELECT b.work_id, b.neighbor_work_id, round(b.score, 6) AS score FROM best b
+    LEFT JOIN related_works r ON r.work_id = b.work_id AND r.neighbor_work_id = b.neighbor_work_id WHERE r.work_id IS NULL
+    QUALIFY row_number() OVER (PARTITION BY b.work_id ORDER BY b.score DESC, b.neighbor_work_id) <= 10""")
 def _(t):
     out = rel.recall_candidates(
         t.works, graph_neighbors(t), t.citations, t.work_projects, t.relations, t.relation_members)
-    return out.select("work_id", "other_id", F.round("score", 6).alias("score"))
+    return out.select("work_id", "neighbor_work_id", F.round("score", 6).alias("score"))
 
 
 @query("e6_recalled_fresh_import", """
-    WITH lib AS (SELECT w.work_id, l.work_id AS other_id FROM works w, (SELECT * FROM works ORDER BY created_ord DESC LIMIT 49) l
-        WHERE w.work_id <> l.work_id QUALIFY row_number() OVER (PARTITION BY w.work_id ORDER BY l.created_ord DESC) <= 48),
-    near AS (SELECT work_id, other_id, max(score) AS score FROM (SELECT work_id, other_id, score FROM lineage_neighbors
+    WITH lib AS (SELECT w.work_id, l.work_id AS neighbor_work_id FROM works w, (SELECT * FROM works ORDER BY created_at DESC LIMIT 49) l
+        WHERE w.work_id <> l.work_id QUALIFY row_number() OVER (PARTITION BY w.work_id ORDER BY l.created_at DESC) <= 48),
+    near AS (SELECT work_id, neighbor_work_id, max(score) AS score FROM (SELECT work_id, neighbor_work_id, score FROM lineage_neighbors
         UNION ALL SELECT * , 0.12 FROM lib) GROUP BY 1, 2)
-    SELECT b.work_id, b.other_id, round(b.score, 6) AS score FROM near b
-    LEFT JOIN related_works r ON r.work_id = b.work_id AND r.other_id = b.other_id WHERE r.work_id IS NULL
-    QUALIFY row_number() OVER (PARTITION BY b.work_id ORDER BY b.score DESC, b.other_id) <= 10""")
+    SELECT b.work_id, b.neighbor_work_id, round(b.score, 6) AS score FROM near b
+    LEFT JOIN related_works r ON r.work_id = b.work_id AND r.neighbor_work_id = b.neighbor_work_id WHERE r.work_id IS NULL
+    QUALIFY row_number() OVER (PARTITION BY b.work_id ORDER BY b.score DESC, b.neighbor_work_id) <= 10""")
 def _(t):
     near = stored_neighbors(t, "method_lineage")
     none = t.citations.where("citing_work_id = cited_work_id")
     out = rel.recall_candidates(t.works, near, none, t.work_projects.where("project_id < 0"), t.relations, t.relation_members)
-    return out.select("work_id", "other_id", F.round("score", 6).alias("score"))
+    return out.select("work_id", "neighbor_work_id", F.round("score", 6).alias("score"))
 
 
 def edges(t, scope=None):
@@ -223,7 +223,7 @@ def _(t):
 
 
 VIEWS["map_nodes"] = """
-    SELECT w.work_id, w.title, w.year, coalesce(r.readers, 0) AS readers, w.created_ord,
+    SELECT w.work_id, w.title, w.year, coalesce(r.readers, 0) AS readers, w.created_at,
            w.work_id IN (SELECT m.anchor_work_id FROM relation_members m JOIN relations x ON x.relation_id = m.relation_id
                          WHERE x.review_status = 'disputed' AND m.anchor_work_id IS NOT NULL) AS has_dispute
     FROM titled w LEFT JOIN readers r ON r.work_id = w.work_id"""
@@ -239,12 +239,12 @@ def _(t):
 
 
 @query("e9_neighbor_lists", """
-    SELECT g.graph_id, dimension, n.work_id, string_agg(other_id || ':' || round(score * 1000000)::BIGINT, ',' ORDER BY score DESC, other_id) AS entries
+    SELECT g.graph_id, dimension, n.work_id, string_agg(neighbor_work_id || ':' || round(score * 1000000)::BIGINT, ',' ORDER BY score DESC, neighbor_work_id) AS entries
     FROM graph_neighbors n JOIN (SELECT DISTINCT graph_id, work_id FROM graph_works) g ON g.work_id = n.work_id
-    JOIN (SELECT DISTINCT graph_id, work_id FROM graph_works) o ON o.work_id = n.other_id AND o.graph_id = g.graph_id GROUP BY 1, 2, 3""")
+    JOIN (SELECT DISTINCT graph_id, work_id FROM graph_works) o ON o.work_id = n.neighbor_work_id AND o.graph_id = g.graph_id GROUP BY 1, 2, 3""")
 def _(t):
     lists = rel.neighbor_lists(graph_neighbors(t), t.graph_works)
-    entry = lambda s: F.concat(s["other_id"].cast("string"), F.lit(":"), F.round(s["score"] * 1_000_000).cast("long").cast("string"))
+    entry = lambda s: F.concat(s["neighbor_work_id"].cast("string"), F.lit(":"), F.round(s["score"] * 1_000_000).cast("long").cast("string"))
     return lists.select("graph_id", "dimension", "work_id", F.array_join(F.transform("entries", entry), ",").alias("entries"))
 
 
@@ -252,42 +252,42 @@ def candidates(t, mode="explore"):
     return ego.ego_candidates(edges(t), t.relation_members, t.reading_status, mode)
 
 
-@query("e10_ego_candidates", "SELECT center_id, other_id, relation_id, direction, round(score, 6) AS score FROM cand")
+@query("e10_ego_candidates", "SELECT center_id, neighbor_work_id, relation_id, direction, round(score, 6) AS score FROM cand")
 def _(t):
-    return candidates(t).select("center_id", "other_id", "relation_id", "direction", F.round("score", 6).alias("score"))
+    return candidates(t).select("center_id", "neighbor_work_id", "relation_id", "direction", F.round("score", 6).alias("score"))
 
 
 @query("e11_two_hop_others", """
-    WITH via AS (SELECT center_id, other_id AS via, row_number() OVER (PARTITION BY center_id ORDER BY score DESC, other_id) AS place
+    WITH via AS (SELECT center_id, neighbor_work_id AS via, row_number() OVER (PARTITION BY center_id ORDER BY score DESC, neighbor_work_id) AS place
         FROM cand_best QUALIFY place <= 12),
     anc AS (SELECT DISTINCT relation_id, anchor_work_id AS w FROM relation_members WHERE anchor_work_id IS NOT NULL),
-    far AS (SELECT v.center_id, x.other_id, x.score FROM via v JOIN cand x ON x.center_id = v.via AND x.other_id <> v.center_id
-            LEFT JOIN via u ON u.center_id = v.center_id AND u.via = x.other_id AND u.place < v.place
-            LEFT JOIN anc a ON a.relation_id = x.relation_id AND a.w = x.other_id WHERE u.via IS NULL OR a.w IS NULL
+    far AS (SELECT v.center_id, x.neighbor_work_id, x.score FROM via v JOIN cand x ON x.center_id = v.via AND x.neighbor_work_id <> v.center_id
+            LEFT JOIN via u ON u.center_id = v.center_id AND u.via = x.neighbor_work_id AND u.place < v.place
+            LEFT JOIN anc a ON a.relation_id = x.relation_id AND a.w = x.neighbor_work_id WHERE u.via IS NULL OR a.w IS NULL
         UNION ALL SELECT * FROM cand_best
-        UNION ALL SELECT c.other_id, c.center_id, c.score - coalesce(o.readers, 0) * 0.15::DOUBLE + coalesce(m.readers, 0) * 0.15::DOUBLE
-            FROM cand c JOIN via v ON v.center_id = c.other_id AND v.via = c.center_id
-            LEFT JOIN anc a ON a.relation_id = c.relation_id AND a.w = c.other_id
-            LEFT JOIN readers o ON o.work_id = c.other_id LEFT JOIN readers m ON m.work_id = c.center_id WHERE a.w IS NULL)
-    SELECT center_id, other_id, round(max(score), 6) AS score FROM far GROUP BY 1, 2
-    QUALIFY row_number() OVER (PARTITION BY center_id ORDER BY round(max(score), 9) DESC, other_id) <= 29""")
+        UNION ALL SELECT c.neighbor_work_id, c.center_id, c.score - coalesce(o.readers, 0) * 0.15::DOUBLE + coalesce(m.readers, 0) * 0.15::DOUBLE
+            FROM cand c JOIN via v ON v.center_id = c.neighbor_work_id AND v.via = c.center_id
+            LEFT JOIN anc a ON a.relation_id = c.relation_id AND a.w = c.neighbor_work_id
+            LEFT JOIN readers o ON o.work_id = c.neighbor_work_id LEFT JOIN readers m ON m.work_id = c.center_id WHERE a.w IS NULL)
+    SELECT center_id, neighbor_work_id, round(max(score), 6) AS score FROM far GROUP BY 1, 2
+    QUALIFY row_number() OVER (PARTITION BY center_id ORDER BY round(max(score), 9) DESC, neighbor_work_id) <= 29""")
 def _(t):
     scored = ego.scored_ends(edges(t), t.relation_members, t.reading_status)
-    return ego.two_hop_others(scored).select("center_id", "other_id", F.round("score", 6).alias("score"))
+    return ego.two_hop_others(scored).select("center_id", "neighbor_work_id", F.round("score", 6).alias("score"))
 
 
-@query("e12_ego_kept", "SELECT center_id, other_id, round(score, 6) AS score FROM ego_kept")
+@query("e12_ego_kept", "SELECT center_id, neighbor_work_id, round(score, 6) AS score FROM ego_kept")
 def _(t):
-    return ego.kept_others(candidates(t), KEPT).select("center_id", "other_id", F.round("score", 6).alias("score"))
+    return ego.kept_others(candidates(t), KEPT).select("center_id", "neighbor_work_id", F.round("score", 6).alias("score"))
 
 
 def two_hops(t):
     return ego.two_hop_candidates(ego.scored_ends(edges(t), t.relation_members, t.reading_status))
 
 
-@query("e11_two_hop_candidates", "SELECT center_id, other_id, relation_id, direction, round(score, 6) AS score FROM cand2")
+@query("e11_two_hop_candidates", "SELECT center_id, neighbor_work_id, relation_id, direction, round(score, 6) AS score FROM cand2")
 def _(t):
-    return two_hops(t).select("center_id", "other_id", "relation_id", "direction", F.round("score", 6).alias("score"))
+    return two_hops(t).select("center_id", "neighbor_work_id", "relation_id", "direction", F.round("score", 6).alias("score"))
 
 
 def _ego(t, depth=1):
@@ -314,9 +314,9 @@ def _(t):
     return ego.ego_edges(cand, kept, groups).drop("review_status", "review_count")
 
 
-@query("e12_two_hop_kept", "SELECT center_id, other_id, round(score, 6) AS score FROM ego2_kept")
+@query("e12_two_hop_kept", "SELECT center_id, neighbor_work_id, round(score, 6) AS score FROM ego2_kept")
 def _(t):
-    return _ego(t, 2)[1].select("center_id", "other_id", F.round("score", 6).alias("score"))
+    return _ego(t, 2)[1].select("center_id", "neighbor_work_id", F.round("score", 6).alias("score"))
 
 
 @query("e12_two_hop_groups", "SELECT center_id, group_key, members, group_id FROM ego2_groups")
@@ -338,7 +338,7 @@ def _(t):
 
 @query("e14_expanded_groups", """
     WITH opened AS (SELECT * FROM ego_groups WHERE direction = 'in'),
-    inside AS (SELECT o.center_id, o.other_id::VARCHAR AS node_id, min(o.group_key) AS group_key FROM ego_over o
+    inside AS (SELECT o.center_id, o.neighbor_work_id::VARCHAR AS node_id, min(o.group_key) AS group_key FROM ego_over o
                JOIN opened g ON g.center_id = o.center_id AND g.group_key = o.group_key GROUP BY 1, 2)
     SELECT center_id, node_id, kind, 'node' AS what FROM ego_node_rows WHERE node_id NOT IN (SELECT group_id FROM opened)
     UNION ALL SELECT center_id, node_id, 'work', 'node' FROM inside
@@ -395,7 +395,7 @@ def _(t):
     return rel.review_queue(t.relations, limit=None).select("relation_id", "type", "confidence")
 
 
-@query("e18_review_queue_page", f"{_QUEUE} ORDER BY confidence DESC, created_ord LIMIT 200 OFFSET 50")
+@query("e18_review_queue_page", f"{_QUEUE} ORDER BY confidence DESC, created_at LIMIT 200 OFFSET 50")
 def _(t):
     return rel.review_queue(t.relations, limit=500, offset=50).select("relation_id", "type", "confidence")
 
@@ -443,26 +443,26 @@ def _(t):
 @query("e19_graph_page", """
     WITH g AS (SELECT * FROM graph_works WHERE graph_id = 3),
     n AS (SELECT * FROM map_nodes WHERE work_id IN (SELECT work_id FROM g)),
-    p AS (SELECT * FROM n ORDER BY created_ord LIMIT 40 OFFSET 10),
+    p AS (SELECT * FROM n ORDER BY created_at LIMIT 40 OFFSET 10),
     c AS (SELECT count(*) AS total FROM n)
     SELECT 'node' AS what, work_id::VARCHAR AS a, readers::VARCHAR AS b FROM p
     UNION ALL SELECT 'edge', relation_id::VARCHAR, review_status FROM edges
         WHERE source_work_id IN (SELECT work_id FROM p) AND target_work_id IN (SELECT work_id FROM p)
-    UNION ALL SELECT 'neighbor', work_id::VARCHAR, dimension || other_id FROM graph_neighbors
-        WHERE work_id IN (SELECT work_id FROM p) AND other_id IN (SELECT work_id FROM p)
+    UNION ALL SELECT 'neighbor', work_id::VARCHAR, dimension || neighbor_work_id FROM graph_neighbors
+        WHERE work_id IN (SELECT work_id FROM p) AND neighbor_work_id IN (SELECT work_id FROM p)
     UNION ALL SELECT 'comments', work_id::VARCHAR, count(*)::VARCHAR FROM node_comments
         WHERE graph_id = 3 AND (visibility = 'team' OR user_id = 3) AND work_id IN (SELECT work_id FROM p) GROUP BY work_id
     UNION ALL SELECT 'meta', total::VARCHAR, CASE WHEN total > 50 THEN 50 END::VARCHAR FROM c""")
 def _(t):
     scope = t.graph_works.where("graph_id = 3")
     page = rel.graph_page(
-        nodes(t, scope), edges(t, scope), rel.in_graph(graph_neighbors(t), scope, "work_id", "other_id"),
+        nodes(t, scope), edges(t, scope), rel.in_graph(graph_neighbors(t), scope, "work_id", "neighbor_work_id"),
         reads.visible_to(t.node_comments, 3).where("graph_id = 3"), limit=40, offset=10)
     row = lambda name, a, b: page[name].select(F.col(a).cast("string").alias("a"), F.expr(b).cast("string").alias("b"))
     parts = {
         "node": row("nodes", "work_id", "readers"),
         "edge": row("edges", "relation_id", "review_status"),
-        "neighbor": row("neighbors", "work_id", "concat(dimension, other_id)"),
+        "neighbor": row("neighbors", "work_id", "concat(dimension, neighbor_work_id)"),
         "comments": row("comment_counts", "work_id", "comments"),
         "meta": row("meta", "total_nodes", "next_offset"),
     }
@@ -476,7 +476,7 @@ def _(t):
 VIEWS["node_relations"] = """
     SELECT g.graph_id, x.work_id, 'assertion' AS kind, x.type AS detail,
            CASE WHEN e.s = x.work_id THEN 'outgoing' WHEN e.t = x.work_id THEN 'incoming' ELSE 'involving' END AS direction,
-           NULL::BIGINT AS other_id, x.relation_id::VARCHAR AS ref, NULL::DOUBLE AS score
+           NULL::BIGINT AS neighbor_work_id, x.relation_id::VARCHAR AS ref, NULL::DOUBLE AS score
     FROM work_relations x JOIN (SELECT relation_id, source_work_id AS s, target_work_id AS t FROM endpoints) e ON e.relation_id = x.relation_id
     JOIN graph_works g ON g.work_id = x.work_id
     JOIN graph_works a ON a.work_id = e.s AND a.graph_id = g.graph_id JOIN graph_works b ON b.work_id = e.t AND b.graph_id = g.graph_id
@@ -495,11 +495,11 @@ VIEWS["node_relations"] = """
         UNION ALL SELECT citation_id, cited_work_id, citing_work_id, 'incoming' FROM citations) c
     JOIN graph_works a ON a.work_id = c.me JOIN graph_works b ON b.work_id = c.you AND a.graph_id = b.graph_id
     UNION ALL
-    SELECT a.graph_id, n.work_id, 'neighbor', n.dimension, 'both', n.other_id, NULL, n.score FROM (
-        SELECT dimension, work_id, other_id, max(score) AS score FROM (
-            SELECT dimension, work_id, other_id, score FROM graph_neighbors
-            UNION ALL SELECT dimension, other_id, work_id, score FROM graph_neighbors) GROUP BY 1, 2, 3) n
-    JOIN graph_works a ON a.work_id = n.work_id JOIN graph_works b ON b.work_id = n.other_id AND a.graph_id = b.graph_id"""
+    SELECT a.graph_id, n.work_id, 'neighbor', n.dimension, 'both', n.neighbor_work_id, NULL, n.score FROM (
+        SELECT dimension, work_id, neighbor_work_id, max(score) AS score FROM (
+            SELECT dimension, work_id, neighbor_work_id, score FROM graph_neighbors
+            UNION ALL SELECT dimension, neighbor_work_id, work_id, score FROM graph_neighbors) GROUP BY 1, 2, 3) n
+    JOIN graph_works a ON a.work_id = n.work_id JOIN graph_works b ON b.work_id = n.neighbor_work_id AND a.graph_id = b.graph_id"""
 
 
 def node_relations(t, **how):
@@ -507,10 +507,10 @@ def node_relations(t, **how):
 
 
 @query("e20_node_relations", """
-    SELECT * REPLACE (other_id::VARCHAR AS other_id, round(score, 6) AS score) FROM node_relations""")
+    SELECT * REPLACE (neighbor_work_id::VARCHAR AS neighbor_work_id, round(score, 6) AS score) FROM node_relations""")
 def _(t):
     out = node_relations(t)
-    return out.withColumn("other_id", F.col("other_id").cast("string")).withColumn("score", F.round("score", 6))
+    return out.withColumn("neighbor_work_id", F.col("neighbor_work_id").cast("string")).withColumn("score", F.round("score", 6))
 
 
 @query("e20_outgoing_relations", """
@@ -522,7 +522,7 @@ def _(t):
 
 
 @query("e20_related_titles", """
-    SELECT DISTINCT n.graph_id, n.work_id, n.other_id, w.title, w.year FROM node_relations n JOIN titled w ON w.work_id = n.other_id""")
+    SELECT DISTINCT n.graph_id, n.work_id, n.neighbor_work_id, w.title, w.year FROM node_relations n JOIN titled w ON w.work_id = n.neighbor_work_id""")
 def _(t):
     return rel.related_titles(node_relations(t), t.works, t.versions)
 
@@ -538,8 +538,8 @@ def _(t):
         UNION ALL SELECT work_id, 'method', method_id::VARCHAR FROM methods UNION ALL SELECT work_id, 'aspect', aspect FROM paper_aspects
         UNION ALL SELECT work_id, 'evidence', evidence_id::VARCHAR FROM work_evidence) s ON s.work_id = n.work_id
     UNION ALL (SELECT graph_id, work_id, 'comment', comment_id::VARCHAR FROM vis
-        QUALIFY row_number() OVER (PARTITION BY graph_id, work_id ORDER BY created_ord DESC) <= 50)
-    UNION ALL SELECT graph_id, work_id, kind, coalesce(ref, other_id::VARCHAR) FROM node_relations""")
+        QUALIFY row_number() OVER (PARTITION BY graph_id, work_id ORDER BY created_at DESC) <= 50)
+    UNION ALL SELECT graph_id, work_id, kind, coalesce(ref, neighbor_work_id::VARCHAR) FROM node_relations""")
 def _(t):
     out = reads.node_context(t, t.graph_works, reads.visible_to(t.node_comments, 3), node_relations(t))
     return out.select("graph_id", "work_id", "section", "item_id")

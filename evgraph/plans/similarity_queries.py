@@ -13,40 +13,40 @@ def rounded(df, *keep):
     return df.select(*keep, F.round("score", 6).alias("score"))
 
 
-@query("g1_bibliographic_coupling", "SELECT work_id, other_id, round(score, 6) AS score FROM coupling_top")
+@query("g1_bibliographic_coupling", "SELECT work_id, neighbor_work_id, round(score, 6) AS score FROM coupling_top")
 def _(t):
-    return rounded(sim.bibliographic_coupling(t.citations), "work_id", "other_id")
+    return rounded(sim.bibliographic_coupling(t.citations), "work_id", "neighbor_work_id")
 
 
-@query("g2_co_citation", "SELECT work_id, other_id, round(score, 6) AS score FROM cocite_top")
+@query("g2_co_citation", "SELECT work_id, neighbor_work_id, round(score, 6) AS score FROM cocite_top")
 def _(t):
-    return rounded(sim.co_citation(t.citations), "work_id", "other_id")
+    return rounded(sim.co_citation(t.citations), "work_id", "neighbor_work_id")
 
 
-@query("g3_citation_neighbors", "SELECT work_id, other_id, round(score, 6) AS score FROM cite_neighbors")
+@query("g3_citation_neighbors", "SELECT work_id, neighbor_work_id, round(score, 6) AS score FROM cite_neighbors")
 def _(t):
-    return rounded(sim.citation_neighbors(t.citations), "work_id", "other_id")
+    return rounded(sim.citation_neighbors(t.citations), "work_id", "neighbor_work_id")
 
 
-@query("g4_lineage_edges", "SELECT work_id, other_id, length FROM lineage_both")
+@query("g4_lineage_edges", "SELECT work_id, neighbor_work_id, length FROM lineage_both")
 def _(t):
     return sim.lineage_edges(t.relations, t.relation_members)
 
 
-@query("g5_lineage_neighbors", "SELECT work_id, other_id, round(score, 6) AS score FROM lineage_neighbors")
+@query("g5_lineage_neighbors", "SELECT work_id, neighbor_work_id, round(score, 6) AS score FROM lineage_neighbors")
 def _(t):
     edges = sim.lineage_edges(t.relations, t.relation_members)
-    return rounded(sim.lineage_neighbors(edges), "work_id", "other_id")
+    return rounded(sim.lineage_neighbors(edges), "work_id", "neighbor_work_id")
 
 
-@query("g6_aspect_neighbors", "SELECT dimension, work_id, other_id, round(score, 6) AS score FROM aspect_neighbors")
+@query("g6_aspect_neighbors", "SELECT dimension, work_id, neighbor_work_id, round(score, 6) AS score FROM aspect_neighbors")
 def _(t):
-    return rounded(sim.aspect_neighbors(t.embeddings), "dimension", "work_id", "other_id")
+    return rounded(sim.aspect_neighbors(t.embeddings), "dimension", "work_id", "neighbor_work_id")
 
 
-@query("g6_cosine_directed", "SELECT field, work_id, other_id, round(score, 6) AS score FROM cosine_top")
+@query("g6_cosine_directed", "SELECT field, work_id, neighbor_work_id, round(score, 6) AS score FROM cosine_top")
 def _(t):
-    return rounded(sim.cosine_neighbors(t.embeddings), "field", "work_id", "other_id")
+    return rounded(sim.cosine_neighbors(t.embeddings), "field", "work_id", "neighbor_work_id")
 
 
 _BUILDERS = {
@@ -60,7 +60,7 @@ def stored_neighbors(t, dimension):
     """The neighbour lists of one dimension: a table that is built once per application and input folder."""
     key = (t.spark.sparkContext.applicationId, t.directory, dimension)
     if key not in _STORED:
-        built = _BUILDERS[dimension](t).select(F.lit(dimension).alias("dimension"), "work_id", "other_id", "score")
+        built = _BUILDERS[dimension](t).select(F.lit(dimension).alias("dimension"), "work_id", "neighbor_work_id", "score")
         _STORED[key] = materialize(built, "neighbors")
     return _STORED[key]
 
@@ -69,7 +69,7 @@ def graph_neighbors(t):
     return stored_neighbors(t, "citation_coupling").unionByName(stored_neighbors(t, "method_lineage"))
 
 
-_BLEND = """SELECT work_id, other_id, sum(score * CASE dimension WHEN 'citation_coupling' THEN 0.7 ELSE 0.5 END / 1.2) AS score
+_BLEND = """SELECT work_id, neighbor_work_id, sum(score * CASE dimension WHEN 'citation_coupling' THEN 0.7 ELSE 0.5 END / 1.2) AS score
     FROM graph_neighbors GROUP BY 1, 2"""
 
 
@@ -77,36 +77,36 @@ def blended(t):
     return sim.blend(graph_neighbors(t), {"citation_coupling": 0.7, "method_lineage": 0.5})
 
 
-@query("g7_blended_scores", f"SELECT work_id, other_id, round(score, 6) AS score FROM ({_BLEND})")
+@query("g7_blended_scores", f"SELECT work_id, neighbor_work_id, round(score, 6) AS score FROM ({_BLEND})")
 def _(t):
-    return rounded(blended(t), "work_id", "other_id")
+    return rounded(blended(t), "work_id", "neighbor_work_id")
 
 
 @query("g8_drawn_neighbors", """
-    SELECT work_id, other_id, round(score, 6) AS score FROM aspect_neighbors WHERE dimension = 'aspect_problem' AND score >= 0.28
-    QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY score DESC, other_id) <= 12""")
+    SELECT work_id, neighbor_work_id, round(score, 6) AS score FROM aspect_neighbors WHERE dimension = 'aspect_problem' AND score >= 0.28
+    QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY score DESC, neighbor_work_id) <= 12""")
 def _(t):
-    return rounded(sim.single_dimension(sim.aspect_neighbors(t.embeddings), "aspect_problem"), "work_id", "other_id")
+    return rounded(sim.single_dimension(sim.aspect_neighbors(t.embeddings), "aspect_problem"), "work_id", "neighbor_work_id")
 
 
 @query("g8_layout_neighbors", """
-    SELECT work_id, other_id, round(score, 6) AS score FROM lineage_neighbors WHERE score >= 0.4
-    QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY score DESC, other_id) <= 6""")
+    SELECT work_id, neighbor_work_id, round(score, 6) AS score FROM lineage_neighbors WHERE score >= 0.4
+    QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY score DESC, neighbor_work_id) <= 6""")
 def _(t):
     near = sim.single_dimension(stored_neighbors(t, "method_lineage"), "method_lineage", 6, 0.4)
-    return rounded(near, "work_id", "other_id")
+    return rounded(near, "work_id", "neighbor_work_id")
 
 
-_TOP_BLEND = f"""SELECT work_id, other_id, score FROM ({_BLEND}) WHERE score >= 0.05
-    QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY round(score, 12) DESC, other_id) <= 6"""
+_TOP_BLEND = f"""SELECT work_id, neighbor_work_id, score FROM ({_BLEND}) WHERE score >= 0.05
+    QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY round(score, 12) DESC, neighbor_work_id) <= 6"""
 
 
-@query("g9_strongest_blended", f"SELECT work_id, other_id, round(score, 6) AS score FROM ({_TOP_BLEND})")
+@query("g9_strongest_blended", f"SELECT work_id, neighbor_work_id, round(score, 6) AS score FROM ({_TOP_BLEND})")
 def _(t):
-    return rounded(sim.strongest_blended(blended(t)), "work_id", "other_id")
+    return rounded(sim.strongest_blended(blended(t)), "work_id", "neighbor_work_id")
 
 
-_PAIRS = "SELECT least(work_id, other_id) AS source_id, greatest(work_id, other_id) AS target_id, max(score) AS score FROM {0} GROUP BY 1, 2"
+_PAIRS = "SELECT least(work_id, neighbor_work_id) AS source_id, greatest(work_id, neighbor_work_id) AS target_id, max(score) AS score FROM {0} GROUP BY 1, 2"
 
 
 @query("g10_layout_springs", f"""
@@ -153,11 +153,11 @@ def _views(t):
 
 @query("g7_blended_by_view", """
     WITH v AS (SELECT r_regionkey::BIGINT AS view_id, r_regionkey / 4.0::DOUBLE AS a, (r_regionkey % 3) / 4.0::DOUBLE AS b FROM region)
-    SELECT view_id, work_id, other_id, round(sum(score * CASE dimension WHEN 'citation_coupling' THEN a ELSE b END
+    SELECT view_id, work_id, neighbor_work_id, round(sum(score * CASE dimension WHEN 'citation_coupling' THEN a ELSE b END
            / CASE WHEN a + b = 0 THEN 1 ELSE a + b END), 6) AS score
     FROM graph_neighbors, v GROUP BY 1, 2, 3""")
 def _(t):
     key = F.col("r_regionkey")
     raw = F.format_string('{"citation_coupling":%s,"method_lineage":%s}', (key / 4.0).cast("string"), ((key % 3) / 4.0).cast("string"))
     views = t.raw("region").select(key.cast("long").alias("view_id"), F.col("r_name").alias("name"), raw.alias("weights"))
-    return rounded(sim.blend_views(graph_neighbors(t), reads.saved_views(views)), "view_id", "work_id", "other_id")
+    return rounded(sim.blend_views(graph_neighbors(t), reads.saved_views(views)), "view_id", "work_id", "neighbor_work_id")

@@ -50,7 +50,7 @@ def _dir(df):
 
 
 @query("i2_refreshed_neighbors", """
-    SELECT work_id, other_id, round(score, 6) AS score FROM lineage_neighbors""")
+    SELECT work_id, neighbor_work_id, round(score, 6) AS score FROM lineage_neighbors""")
 def _(t):
     """Every voted relation touches its works; stored lists of the others stay as they were."""
     folder = fresh_path(t.spark, "works")
@@ -61,11 +61,11 @@ def _(t):
         members.where("anchor_work_id IS NOT NULL").select(F.col("anchor_work_id").alias("work_id")).distinct(), "touched")
     changes = t.spark.readStream.schema(touched.schema).parquet(_dir(touched))
     _finish(feeds.follow_works(changes, feeds.refresh_lineage(lambda: relations, lambda: members), folder))
-    return rounded(feeds.current_neighbors(t.spark, stored, folder), "work_id", "other_id")
+    return rounded(feeds.current_neighbors(t.spark, stored, folder), "work_id", "neighbor_work_id")
 
 
 @query("i2_refreshed_after_few_changes", """
-    SELECT work_id, other_id, round(score, 6) AS score FROM lineage_neighbors""")
+    SELECT work_id, neighbor_work_id, round(score, 6) AS score FROM lineage_neighbors""")
 def _(t):
     """One relation in two hundred gets its votes; lists that this cannot reach stay as they were stored."""
     folder = fresh_path(t.spark, "works")
@@ -79,7 +79,7 @@ def _(t):
     _finish(feeds.follow_works(
         changes, feeds.refresh_lineage(lambda: after, lambda: members), folder,
         affected=feeds.affected_by_lineage(lambda: before, lambda: after, lambda: members)))
-    return rounded(feeds.current_neighbors(t.spark, stored, folder), "work_id", "other_id")
+    return rounded(feeds.current_neighbors(t.spark, stored, folder), "work_id", "neighbor_work_id")
 
 
 @query("i3_applied_results", """
@@ -126,15 +126,15 @@ def _applied(t, events):
 @query("i4_comment_feed", """
     SELECT m.user_id AS viewer_id, c.comment_id FROM node_comments c JOIN (
         SELECT graph_id, user_id, user_id % 50 * 1000 AS since FROM group_members JOIN graphs USING (group_id)) m ON m.graph_id = c.graph_id
-    WHERE c.created_ord > m.since AND (c.visibility = 'team' OR c.user_id = m.user_id) AND c.kind IN ('question', 'idea')
-    QUALIFY row_number() OVER (PARTITION BY m.user_id ORDER BY c.created_ord DESC, c.comment_id DESC) <= 200""")
+    WHERE c.created_at > m.since AND (c.visibility = 'team' OR c.user_id = m.user_id) AND c.kind IN ('question', 'idea')
+    QUALIFY row_number() OVER (PARTITION BY m.user_id ORDER BY c.created_at DESC, c.comment_id DESC) <= 200""")
 def _(t):
     folder = fresh_path(t.spark, "feed")
     comments = StreamedLibrary(t.spark, t.directory, "conversations").node_comments
     viewers = reads.graphs_visible_to_users(t.group_members, t.graphs).select(
         "graph_id", F.col("user_id").alias("viewer_id"), (F.col("user_id") % 50 * 1000).alias("since"))
     stream = comments.select(
-        "comment_id", "graph_id", "work_id", "user_id", "kind", "visibility", F.col("created_ord").alias("updated_ord"))
+        "comment_id", "graph_id", "work_id", "user_id", "kind", "visibility", F.col("created_at").alias("updated_at"))
     _finish(feeds.follow_comments(stream, viewers, folder, ["Question", "idea"]))
-    schema = "comment_id long, graph_id long, work_id long, user_id long, kind string, visibility string, updated_ord long, viewer_id long"
+    schema = "comment_id long, graph_id long, work_id long, user_id long, kind string, visibility string, updated_at long, viewer_id long"
     return feeds.comment_feed(t.spark, folder, schema, 200).select("viewer_id", "comment_id")

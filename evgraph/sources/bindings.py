@@ -44,7 +44,7 @@ class Library:
             F.col("p_partkey").alias("work_id"),
             tf.normalize_title(F.col("p_name")).alias("title_norm"),
             (F.col("p_partkey") * 2).alias("primary_version_id"),
-            F.col("p_partkey").alias("created_ord"),
+            F.col("p_partkey").alias("created_at"),
         )
 
     @cached_property
@@ -73,7 +73,7 @@ class Library:
                 F.concat_ws(" ", "p_brand", "p_type").alias("abstract"),
                 (F.lit(1990) + F.col("p_size") + F.col("nth")).alias("year"),
                 F.col("p_brand").alias("venue_name"),
-                (key * 2 + F.col("nth")).alias("created_ord"),
+                (key * 2 + F.col("nth")).alias("created_at"),
             )
         )
 
@@ -129,7 +129,7 @@ class Library:
             F.round((F.col("o_totalprice") % 100) / 100, 4).alias("confidence"),
             F.when(priority == "1", "public_fact").when(priority == "2", "team_record")
             .otherwise("ai_candidate").alias("source"),
-            F.col("o_orderkey").alias("created_ord"),
+            F.col("o_orderkey").alias("created_at"),
             F.unix_date(F.col("o_orderdate").cast("date")).alias("created_day"),
         )
 
@@ -330,7 +330,7 @@ class Library:
             F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, "private").otherwise("team").alias("visibility"),
             F.col("text").alias("body"),
             F.when(F.col("turn") > 0, comment_id - 1).alias("parent_id"),
-            comment_id.alias("created_ord"),
+            comment_id.alias("created_at"),
         )
 
     @cached_property

@@ -34,7 +34,7 @@ def chosen_versions(works: DataFrame, versions: DataFrame, requested: DataFrame
         wanted = wanted.join(requested.select("work_id", F.col("version_id").alias("_asked")), "work_id", "left")
     else:
         wanted = wanted.withColumn("_asked", F.lit(None).cast(versions.schema["version_id"].dataType))
-    first = versions.groupBy("work_id").agg(F.min_by("version_id", F.struct("created_ord", "version_id")).alias("_first"))
+    first = versions.groupBy("work_id").agg(F.min_by("version_id", F.struct("created_at", "version_id")).alias("_first"))
     pick = wanted.join(first, "work_id", "left").select(
         "work_id", F.coalesce("_asked", "_primary", "_first").alias("version_id"))
     return versions.join(pick, ["work_id", "version_id"], "left_semi")

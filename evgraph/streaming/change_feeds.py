@@ -114,7 +114,7 @@ def affected_by_lineage(
 
     def near(seeds: DataFrame) -> DataFrame:
         edges = lineage_edges(before(), members()).union(lineage_edges(after(), members()))
-        return within_steps(edges.select("work_id", "other_id").distinct(), seeds, hops - 1)
+        return within_steps(edges.select("work_id", "neighbor_work_id").distinct(), seeds, hops - 1)
 
     return near
 
@@ -125,13 +125,13 @@ def refresh_citations(citations: Callable[[], DataFrame], k: int = K):
 
 
 def current_neighbors(spark: SparkSession, stored: DataFrame, folder: str) -> DataFrame:
-    """Stored lists (work_id, other_id, score) with those of refreshed works replaced."""
+    """Stored lists (work_id, neighbor_work_id, score) with those of refreshed works replaced."""
     seeds = _log(spark, f"{folder}/seeds", "work_id long")
     newest = seeds.groupBy("work_id").agg(F.max("batch").alias("batch"))
-    fresh = _log(spark, f"{folder}/lists", "work_id long, other_id long, score double")
+    fresh = _log(spark, f"{folder}/lists", "work_id long, neighbor_work_id long, score double")
     return (
-        stored.join(newest.select("work_id"), "work_id", "left_anti").select("work_id", "other_id", "score")
-        .unionByName(fresh.join(newest, ["work_id", "batch"], "left_semi").select("work_id", "other_id", "score"))
+        stored.join(newest.select("work_id"), "work_id", "left_anti").select("work_id", "neighbor_work_id", "score")
+        .unionByName(fresh.join(newest, ["work_id", "batch"], "left_semi").select("work_id", "neighbor_work_id", "score"))
     )
 
 
@@ -197,7 +197,7 @@ def follow_comments(
     def handle(batch: DataFrame, batch_id: int) -> None:
         asked = batch if kinds is None else batch.where(F.col("kind").isin([k.lower() for k in kinds]))
         fed = asked.join(viewers, "graph_id").where(
-            (F.col("updated_ord") > F.col("since"))
+            (F.col("updated_at") > F.col("since"))
             & ((F.col("visibility") == "team") | (F.col("user_id") == F.col("viewer_id")))
         )
         _append(fed.drop("since"), f"{folder}/feed", batch_id)
@@ -210,9 +210,9 @@ def comment_feed(spark: SparkSession, folder: str, schema, limit: int | None = N
     sent = _log(spark, f"{folder}/feed", schema)
     if limit is None:
         return sent
-    return top_k(sent, ["viewer_id"], [F.desc("updated_ord"), F.desc("comment_id")], max(1, min(limit, 1000)))
+    return top_k(sent, ["viewer_id"], [F.desc("updated_at"), F.desc("comment_id")], max(1, min(limit, 1000)))
 
 
 def next_cursors(feed: DataFrame) -> DataFrame:
     """Where each viewer goes on reading."""
-    return feed.groupBy("viewer_id").agg(F.max("updated_ord").alias("since"))
+    return feed.groupBy("viewer_id").agg(F.max("updated_at").alias("since"))

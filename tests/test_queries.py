@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, db, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["work_id", "other_id", "score"]
+    assert entry.entry(spark).columns == ["work_id", "neighbor_work_id", "score"]
 
 
 def test_typed_load(spark, tmp_path):

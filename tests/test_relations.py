@@ -134,13 +134,13 @@ def test_two_hops_like_full_search(spark, seed, hub_part):
     scored = ego.scored_ends(e, m, r)
     best = sorted((c, o, round(s, 6)) for c, (_, kept) in want.items() for o, s in kept)
     out = ego.two_hop_others(scored, k=6, expanded=3).withColumn("score", F.round("score", 6))
-    assert sorted(map(tuple, out.select("center_id", "other_id", "score").collect())) == best
+    assert sorted(map(tuple, out.select("center_id", "neighbor_work_id", "score").collect())) == best
 
     found = ego.two_hop_candidates(scored, 3, hub_part)
-    got = found.select("center_id", "other_id", "relation_id", "direction", F.round("score", 6))
+    got = found.select("center_id", "neighbor_work_id", "relation_id", "direction", F.round("score", 6))
     assert sorted(map(tuple, got.collect())) == sorted((c, o, i, way, round(s, 6)) for c, (rows_, _) in want.items() for o, i, way, s in rows_)
     kept = ego.kept_others(found, 6)
-    assert sorted(map(tuple, kept.select("center_id", "other_id", F.round("score", 6)).collect())) == best
+    assert sorted(map(tuple, kept.select("center_id", "neighbor_work_id", F.round("score", 6)).collect())) == best
     groups = defaultdict(set)
     shown = set()
     ends = {i: (a, b) for i, a, b, *_ in edges}
@@ -155,7 +155,7 @@ def test_two_hops_like_full_search(spark, seed, hub_part):
     summed = ego.overflow_groups(over)
     assert rows(summed, "center_id", "group_key", "members") == sorted(
         ((c, k, len(o)) for (c, k), o in groups.items()), key=lambda x: [str(y) for y in x])
-    assert {(x.center_id, x.group_key, x.other_id) for x in over.collect()} == {(c, k, o) for (c, k), os in groups.items() for o in os}
+    assert {(x.center_id, x.group_key, x.neighbor_work_id) for x in over.collect()} == {(c, k, o) for (c, k), os in groups.items() for o in os}
     lines = ego.ego_edges(found, kept, summed)
     assert {(x.center_id, x.edge_id) for x in lines.where("bundle_key IS NOT NULL").collect()} == shown
     assert lines.where("bundle_key IS NULL").count() == len(groups) > 20
@@ -220,7 +220,7 @@ def test_queue_variants(spark):
         (5, "improves_on", 0.8, "ai_candidate", "unreviewed", 5), (6, "improves_on", 0.9, "team_record", "unreviewed", 6),
         (7, "improves_on", 0.9, "ai_candidate", "confirmed", 7),
     ]
-    relations = spark.createDataFrame(data, "relation_id long, type string, confidence double, source string, review_status string, created_ord long")
+    relations = spark.createDataFrame(data, "relation_id long, type string, confidence double, source string, review_status string, created_at long")
     members = spark.createDataFrame([(i, 100) for i in range(1, 8)], "relation_id long, anchor_work_id long")
     ids = lambda **how: [r["relation_id"] for r in rel.review_queue(relations, members, **how).collect()]
     assert ids() == [5, 4]

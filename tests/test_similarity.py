@@ -30,7 +30,7 @@ def brute_shared(links, k):
 
 
 def got_pairs(df):
-    return sorted((r["work_id"], r["other_id"], round(r["score"], 9)) for r in df.collect())
+    return sorted((r["work_id"], r["neighbor_work_id"], round(r["score"], 9)) for r in df.collect())
 
 
 def hub_links(seed, works=60, refs=25, hubs=2):
@@ -105,7 +105,7 @@ def test_lineage_is_exact_when_pruned(spark, seed):
         if a != b:
             undirected[min(a, b), max(a, b)] = rng.choice([1, 2])
     edges = [(a, b, w) for (a, b), w in undirected.items()] + [(b, a, w) for (a, b), w in undirected.items()]
-    df = spark.createDataFrame(edges, "work_id long, other_id long, length int")
+    df = spark.createDataFrame(edges, "work_id long, neighbor_work_id long, length int")
     for k in (3, 32):
         assert got_pairs(sim.lineage_neighbors(df, k, hub_part=4096 if k == 3 else 2)) == bounded_walks(edges, 4, k)
     seeds = spark.createDataFrame([(0,), (5,)], "work_id long")
@@ -146,7 +146,7 @@ def test_cosine_is_exact(spark, block_rows, pivots):
     vectors = clustered_vectors(1, 70)
     df = spark.createDataFrame(vectors, "entity_id long, field string, vec array<float>")
     got = sim.cosine_neighbors(df, 5, block_rows, pivots).collect()
-    got = sorted((r["field"], r["work_id"], r["other_id"], round(r["score"], 9)) for r in got)
+    got = sorted((r["field"], r["work_id"], r["neighbor_work_id"], round(r["score"], 9)) for r in got)
     want = brute_cosine(vectors, 5)
     assert [r[:2] for r in got] == [r[:2] for r in want]
     assert np.allclose(sorted(r[3] for r in got), sorted(r[3] for r in want))
@@ -164,7 +164,7 @@ def test_cleared_aspects_have_no_list(spark):
 
 
 def neighbors(spark, data):
-    return spark.createDataFrame(data, "dimension string, work_id string, other_id string, score double")
+    return spark.createDataFrame(data, "dimension string, work_id string, neighbor_work_id string, score double")
 
 
 def test_blend_and_views(spark):
@@ -179,11 +179,11 @@ def test_blend_and_views(spark):
 def test_strongest_and_springs(spark):
     d = spark.createDataFrame(
         [("a", "b", 0.9), ("a", "c", 0.7), ("a", "d", 0.2), ("a", "a", 1.0), ("a", "e", float("nan"))],
-        "work_id string, other_id string, score double",
+        "work_id string, neighbor_work_id string, score double",
     )
-    assert rows(sim.strongest_blended(d, 2, 0.3), "other_id") == [("b",), ("c",)]
+    assert rows(sim.strongest_blended(d, 2, 0.3), "neighbor_work_id") == [("b",), ("c",)]
     two = spark.createDataFrame(
-        [("a", "b", 0.9), ("a", "c", 0.7), ("b", "a", 0.85), ("b", "c", 0.6)], "work_id string, other_id string, score double"
+        [("a", "b", 0.9), ("a", "c", 0.7), ("b", "a", 0.85), ("b", "c", 0.6)], "work_id string, neighbor_work_id string, score double"
     )
     springs = {(r["source_id"], r["target_id"]): r for r in sim.layout_springs(two).collect()}
     assert set(springs) == {("a", "b"), ("a", "c"), ("b", "c")}

@@ -10,4 +10,4 @@ def test_built_once_and_equal_to_the_builder(spark):
     assert sq.stored_neighbors(Library(spark, "/root/testdata/sf0.001"), "method_lineage") is first
     built = sq._BUILDERS["method_lineage"](t)
     assert first.count() == built.count()
-    assert first.select("work_id", "other_id").exceptAll(built.select("work_id", "other_id")).isEmpty()
+    assert first.select("work_id", "neighbor_work_id").exceptAll(built.select("work_id", "neighbor_work_id")).isEmpty()

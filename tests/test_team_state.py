@@ -122,7 +122,7 @@ def test_pages_list_author_names_in_order(spark):
 
 def test_cards_fall_back_to_the_first_version(spark):
     works = spark.createDataFrame([(1, 12), (2, None), (3, None)], "work_id long, primary_version_id long")
-    versions = spark.createDataFrame([(11, 1, 1), (12, 1, 2), (22, 2, 9), (23, 2, 4), (24, 2, 4)], "version_id long, work_id long, created_ord long")
+    versions = spark.createDataFrame([(11, 1, 1), (12, 1, 2), (22, 2, 9), (23, 2, 4), (24, 2, 4)], "version_id long, work_id long, created_at long")
     assert rows(reads.with_shown_version(works, versions), "work_id", "primary_version_id") == [(1, 12), (2, 23), (3, None)]
 
 
@@ -177,7 +177,7 @@ def test_versions_to_read(spark):
     works = spark.createDataFrame([(1, None), (2, 21), (3, 31)], "work_id long, primary_version_id long")
     versions = spark.createDataFrame(
         [(10, 1, 2, "t", "a"), (11, 1, 1, "t", "a"), (20, 2, 1, "t", "a"), (21, 2, 2, "t", "a"), (31, 2, 1, "t", "a")],
-        "version_id long, work_id long, created_ord long, title string, abstract string")
+        "version_id long, work_id long, created_at long, title string, abstract string")
     asked = spark.createDataFrame([(2, 20)], "work_id long, version_id long")
     assert rows(paper_text.chosen_versions(works, versions), "work_id", "version_id") == [(1, 11), (2, 21)]
     assert rows(paper_text.chosen_versions(works, versions, asked), "work_id", "version_id") == [(1, 11), (2, 20)]
@@ -230,7 +230,7 @@ def test_changes_reach_only_works_near_them(spark, tmp_path):
     near = feeds.affected_by_lineage(lambda: before, lambda: after, lambda: members)
     feeds.follow_works(stream, feeds.refresh_lineage(lambda: after, lambda: members), folder, affected=near).awaitTermination()
     got = feeds.current_neighbors(spark, stored, folder)
-    assert rows(got, "work_id", "other_id", "score") == rows(sim.lineage_neighbors(sim.lineage_edges(after, members)))
+    assert rows(got, "work_id", "neighbor_work_id", "score") == rows(sim.lineage_neighbors(sim.lineage_edges(after, members)))
     assert {r.work_id for r in near(spark.createDataFrame([(10,), (11,)], "work_id long")).collect()} == set(range(7, 15))
 
 
@@ -268,7 +268,7 @@ def test_results_keep_every_column(spark, tmp_path):
 
 
 def test_feed_and_cursors(spark, tmp_path):
-    schema = "comment_id long, graph_id long, work_id long, user_id long, visibility string, updated_ord long"
+    schema = "comment_id long, graph_id long, work_id long, user_id long, visibility string, updated_at long"
     rows_in = [(1, 1, 1, 5, "team", 10), (2, 1, 1, 5, "private", 11), (3, 1, 1, 6, "team", 3), (4, 2, 1, 6, "team", 99)]
     spark.createDataFrame(rows_in, schema).write.parquet(str(tmp_path / "in"))
     viewers = spark.createDataFrame([(5, 1, 5), (6, 1, 0)], "viewer_id long, graph_id long, since long")
@@ -282,16 +282,16 @@ def test_feed_and_cursors(spark, tmp_path):
 def test_recall_prefers_strong_signals(spark):
     from evgraph.operators.relations import recall_candidates
 
-    works = spark.createDataFrame([(i, i) for i in range(60)], "work_id long, created_ord long")
+    works = spark.createDataFrame([(i, i) for i in range(60)], "work_id long, created_at long")
     near = spark.createDataFrame([("citation_coupling", 1, 2, 0.05), ("topic", 1, 3, 0.9), ("aspect_theory", 1, 4, 0.99)],
-                                 "dimension string, work_id long, other_id long, score double")
+                                 "dimension string, work_id long, neighbor_work_id long, score double")
     cites = spark.createDataFrame([(1, 5), (6, 1)], "citing_work_id long, cited_work_id long")
     projects = spark.createDataFrame([(1, 9), (7, 9)], "work_id long, project_id long")
     relations = spark.createDataFrame([(1, "improves_on", "confirmed"), (2, "cites", "confirmed")], "relation_id long, type string, review_status string")
     members = spark.createDataFrame([(1, "work", 1, "source"), (1, "work", 59, "target"), (2, "work", 1, "source"), (2, "work", 58, "target")],
                                     "relation_id long, entity_kind string, entity_id long, role string")
     out = recall_candidates(works, near, cites, projects, relations, members)
-    got = [(r["other_id"], r["score"]) for r in out.where("work_id = 1").orderBy(F.desc("score"), "other_id").collect()]
+    got = [(r["neighbor_work_id"], r["score"]) for r in out.where("work_id = 1").orderBy(F.desc("score"), "neighbor_work_id").collect()]
     assert got[:4] == [(3, 0.9), (5, 0.55), (6, 0.5), (7, 0.2)]
     # 59 is related already, so the latest works start with 58; ties go by id
     assert got[4:] == [(i, 0.12) for i in range(12, 18)]
