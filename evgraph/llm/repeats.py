@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.llm.common import map_documents
+from evgraph.llm.jaccard_join import _bitmap
 from evgraph.session import materialize
 
 BYTES_AT_ONCE = 2_000_000
 KNOWN_TEXTS = 100_000
+BITMAP_BITS = 1 << 25
 
 
 def gram_bytes(least: int) -> int:
@@ -193,20 +195,72 @@ def _buffers(batches):
         yield held
 
 
-def _all_anchors(texts: DataFrame, least: int) -> DataFrame:
-    shape = pa.schema([(n, pa.int64()) for n in ("h", "b1", "b2")] + [(n, pa.int32()) for n in ("at", "lo", "hi")])
+def _shared_bitmap(hashes: DataFrame):
+    """A bitmap of one column of 64-bit hashes, broadcast; 4 MB whatever their number: it may hold more, never fewer."""
+    return hashes.sparkSession.sparkContext.broadcast(_bitmap(hashes, BITMAP_BITS))
+
+
+def _in_bitmap(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & (BITMAP_BITS - 1)
+    return np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1) > 0
+
+
+def _passing(rows: DataFrame, column: str, bits, inside: bool = True) -> DataFrame:
+    """The rows whose hash in `column` is in the bitmap, or those whose hash is not."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_in_bitmap(bits.value, batch.column(column).to_numpy()) == inside))
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes))
+
+
+def _anchored(least: int):
+    """For mapInArrow: what `anchors` finds in each buffer, with the buffer's rows and where each row's text begins."""
 
     def run(batches):
         for held in _buffers(batches):
             data = np.frombuffer(b"".join(t for _, _, t in held), np.uint8)
             ends = np.cumsum([len(t) for _, _, t in held])
-            doc, h, at, lo, hi = anchors(data, ends, least)
-            begin = (ends - [len(t) for _, _, t in held])[doc]
+            yield held, ends - [len(t) for _, _, t in held], anchors(data, ends, least)
+
+    return run
+
+
+def _anchor_counts(texts: DataFrame, least: int) -> DataFrame:
+    """(h, n): the keys of anchors that are found more than once; copies that a task passes over do not count."""
+    found = _anchored(least)
+
+    def run(batches):
+        for _, _, (_, h, _, _, _) in found(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64())], names=["h"])
+
+    every = texts.select("b1", "b2", "text").mapInArrow(run, "h long")
+    return every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def _repeated_anchors(texts: DataFrame, least: int, counts: DataFrame, portion: int) -> DataFrame:
+    """(h, b1, b2, at, lo, hi, large): the anchors whose key is in `counts`.
+
+    A bitmap of the keys passes over most others before anything is shuffled, and the join decides. Anchors with more than `portion`
+    rows (and the few that share a bit with one) are `large`: they stay out of the join, which so has no hot key.
+    """
+    found = _anchored(least)
+    often, crowded = _shared_bitmap(counts.select("h")), _shared_bitmap(counts.filter(F.col("n") > portion).select("h"))
+    shape = pa.schema([(n, pa.int64()) for n in ("h", "b1", "b2")] + [(n, pa.int32()) for n in ("at", "lo", "hi")] + [("large", pa.bool_())])
+
+    def run(batches):
+        for held, begins, rows in found(batches):
+            seen = _in_bitmap(often.value, rows[1])
+            doc, h, at, lo, hi = (r[seen] for r in rows)
+            begin = begins[doc]
             b1, b2 = (np.array([t[k] for t in held], np.int64)[doc] for k in (0, 1))
-            columns = (h, b1, b2, at - begin, lo - begin, hi - begin)
+            columns = (h, b1, b2, at - begin, lo - begin, hi - begin, _in_bitmap(crowded.value, h))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
 
-    return texts.select("b1", "b2", "text").mapInArrow(run, "h long, b1 long, b2 long, at int, lo int, hi int")
+    rows = texts.select("b1", "b2", "text").mapInArrow(run, "h long, b1 long, b2 long, at int, lo int, hi int, large boolean")
+    met = rows.withColumn("key", F.when(F.col("large"), F.xxhash64("b1", "at")).otherwise(F.col("h")))
+    return met.join(counts.withColumnRenamed("h", "key"), "key", "left").filter("large OR n IS NOT NULL").drop("key", "n")
 
 
 STRING = "h long, s1 long, s2 long, before int, string binary, weight long"
@@ -312,33 +366,30 @@ def _counted_windows(found: DataFrame, least: int) -> DataFrame:
 def repeats(texts: DataFrame, least: int = 400, portion: int = 50_000) -> DataFrame:
     """(b1, b2, first, last): runs of starts of strings of `least` bytes that start elsewhere too, by text identity.
 
-    `texts` has doc_id, b1, b2 and the binary text. Of equal texts one is read. Anchors found in more than `portion`
-    rows go by counting, all others by interval expansion, which gives the same.
+    `texts` has doc_id, b1, b2 and the binary text. Of equal texts one is read. Anchors are looked for twice: first their keys are
+    counted, then the places of repeated ones are listed. Anchors found in more than `portion` rows go by counting, all others
+    by interval expansion, which gives the same.
     """
-    every = materialize(_all_anchors(texts, least), "anchors")
-    counts = every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    large = (F.col("n") > portion).alias("large")
+    counts = materialize(_anchor_counts(texts, least), "anchors")
     readers = texts.groupBy("b1", "b2").agg(F.min("doc_id").alias("reader"), F.count("*").alias("copies"))
     places = (
-        every.join(counts, "h")
-        .select("b1", "b2", large, F.struct("h", "at", "lo", "hi").alias("place"))
-        .distinct()
+        _repeated_anchors(texts, least, counts, portion)
         .groupBy("b1", "b2", "large")  # the anchors of one text
-        .agg(F.collect_list("place").alias("places"))
+        .agg(F.collect_set(F.struct("h", "at", "lo", "hi")).alias("places"))
     )
-    asked = places.join(readers, ["b1", "b2"]).withColumnsRenamed({"b1": "r1", "b2": "r2"})
-    same = texts.doc_id.eqNullSafe(F.col("reader")) & (F.col("b1") == F.col("r1")) & (F.col("b2") == F.col("r2"))
-    found = texts.join(asked, same).select("b1", "b2", "text", "places", "copies", "large")
+    asked = materialize(places.join(readers, ["b1", "b2"]).withColumnsRenamed({"b1": "r1", "b2": "r2"}), "places")
+    # only the texts that are read for their anchors are shuffled
+    named = _shared_bitmap(asked.select(F.xxhash64("reader", "r1").alias("name")))
+    wanted = _passing(texts.withColumn("name", F.xxhash64("doc_id", "b1")), "name", named)
+    same = wanted.doc_id.eqNullSafe(F.col("reader")) & (F.col("b1") == F.col("r1")) & (F.col("b2") == F.col("r2"))
+    found = materialize(wanted.join(asked, same).select("b1", "b2", "text", "places", "copies", "large"), "readers")
     grouped = found.filter(~F.col("large")).drop("large")
     verdicts = _verdicts(_strings(grouped, least, owners=False), least)
     owners = _strings(grouped, least, owners=True)
     expanded = owners.join(verdicts, ["s1", "s2"]).select(
         "b1", "b2", (F.col("lo") + F.col("first")).alias("first"), (F.col("lo") + F.col("last")).alias("last")
     )
-    out = expanded
-    if every.join(counts, "h").filter(F.col("n") > portion).limit(1).count():
-        out = out.union(_counted_windows(found.filter("large").drop("large"), least))
-    return out
+    return expanded.union(_counted_windows(found.filter("large").drop("large"), least))
 
 
 def remove_repeats(docs: DataFrame, least: int = 400, portion: int = 50_000) -> DataFrame:
@@ -357,18 +408,25 @@ def remove_repeats(docs: DataFrame, least: int = 400, portion: int = 50_000) ->
     copied = long.groupBy("b1", "b2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).filter("n > 1")
     whole = copied.select("b1", "b2", F.lit(0).alias("first"), (F.col("size") - least).cast("int").alias("last"))
     per_text = (
-        materialize(runs.union(whole), "repeats")
+        runs.union(whole)
         .groupBy(F.col("b1").alias("r1"), F.col("b2").alias("r2"))  # the runs of one text
-        .agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+        .agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
+    )
+    per_text = materialize(per_text, "repeats")
+    cut_texts = _shared_bitmap(per_text.select("r1"))
+    told = (
+        _passing(texts, "b1", cut_texts)
+        .join(per_text, (F.col("b1") == F.col("r1")) & (F.col("b2") == F.col("r2")), "left")
+        .select("doc_id", "text", "runs")
+        .unionByName(_passing(texts, "b1", cut_texts, inside=False).select("doc_id", "text"), allowMissingColumns=True)
     )
-    told = texts.join(per_text, (F.col("b1") == F.col("r1")) & (F.col("b2") == F.col("r2")), "left")
 
     def cut(batch):
         made = [_cut(t, r or [], least) for t, r in zip(batch["text"], batch["runs"])]
         return {"doc_id": batch["doc_id"]} | {n: [m[i] for m in made] for i, n in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"))}
 
     return map_documents(
-        told.select("doc_id", "text", "runs"), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        told, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
 
 
