@@ -22,6 +22,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(fold == 0, F.lit(False))
 
 
+_model: dict = {}
+
+
+def worker_model(key, build):
+    """The model of `key` in this Python worker: built at first use, kept until another one is asked for."""
+    if key not in _model:
+        _model.clear()
+        _model[key] = build()
+    return _model[key]
+
+
+def free_model() -> None:
+    """Drops what `worker_model` keeps: workers are used again by the stages that follow."""
+    _model.clear()
+
+
 ROWS_AT_ONCE = 500
 
 

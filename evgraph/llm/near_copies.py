@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evgraph.llm.common import ROWS_AT_ONCE, free_model
 from evgraph.llm.components import components
 from evgraph.llm.simhash import SEED
 from evgraph.session import materialize
@@ -19,6 +20,7 @@ from evgraph.session import materialize
 WIDTH = 5
 BANDS, ROWS = 30, 5
 AT_ONCE = 4096
+SPANS_AT_ONCE = 1 << 16
 # Jaccard >= LEAST / OF, in whole numbers: OF * common >= LEAST * (a + b - common)
 LEAST, OF = 4, 5
 
@@ -29,16 +31,22 @@ _SHIFTS = _random.integers(0, 2**64, BANDS * ROWS, np.uint64)
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     """Ascending hashes of the distinct `width`-word shingles; a shorter text is one shingle, a wordless one none."""
-    words = text.lower().split() if text else []
-    if not words:
+    data = np.frombuffer((text or b"").lower(), np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    keep = ~space
+    keep[1:] |= keep[:-1] & space[1:]  # one space after each word
+    joined = np.where(space, np.uint8(32), data)[keep].tobytes().rstrip(b" ")
+    if not joined:
         return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
     starts = np.concatenate(([0], ends[:-1] + 1))
-    last = min(width, len(words)) - 1
-    spans = zip(starts[: len(words) - last].tolist(), ends[last:].tolist())
-    count = len(words) - last
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in spans), np.uint64, count))
+    last = min(width, len(ends)) - 1
+    starts, ends = starts[: len(ends) - last], ends[last:]
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(out), SPANS_AT_ONCE):
+        part = slice(at, at + SPANS_AT_ONCE)
+        out[part] = [xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[part].tolist(), ends[part].tolist())]
+    return np.unique(out)
 
 
 def band_keys(own: np.ndarray) -> list[int]:
@@ -64,6 +72,7 @@ def _keyed(texts: DataFrame) -> DataFrame:
     """(node, key): the distinct band keys of each text."""
 
     def run(batches):
+        free_model()
         for batch in batches:
             keys = [band_keys(shingles(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
@@ -76,8 +85,10 @@ def _sets(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            own = [shingles(t.as_py()).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(at, ROWS_AT_ONCE)
+                own = [shingles(t.as_py()).view(np.int64) for t in rows.column("text")]
+                yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
 
     return texts.mapInArrow(run, "node binary, own array<long>")
 
@@ -86,6 +97,8 @@ def joined(nodes: list[bytes], groups: list[bytes], sets: list[np.ndarray]) -> l
     """Links between similar sets, connected as all similar pairs are where `groups` are connected already."""
     if len(set(groups)) < 2:
         return []
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    nodes, groups, sets = ([column[i] for i in order] for column in (nodes, groups, sets))
     sizes = np.array([len(s) for s in sets])
     # an empty set has one member of its own, which makes it equal to empty ones alone
     ids = np.unique(np.concatenate([s if len(s) else np.array([-1]) for s in sets]), return_inverse=True)[1]
@@ -94,14 +107,15 @@ def joined(nodes: list[bytes], groups: list[bytes], sets: list[np.ndarray]) -> l
     root = np.unique(np.array([g.hex() for g in groups]), return_inverse=True)[1]
     mark = np.zeros(ids.max() + 1, np.int64)
     links = []
+    fits = np.searchsorted(LEAST * held, OF * held, "right")  # a set is similar to none that is larger than it by a quarter
     for i in range(len(sets) - 1):
-        later = slice(i + 1, None)
-        low, high = np.minimum(held[i], held[later]), np.maximum(held[i], held[later])
-        if not np.any((root[later] != root[i]) & (OF * low >= LEAST * high)):
+        later = slice(i + 1, int(fits[i]))
+        if not np.any(root[later] != root[i]):
             continue
         mine = ids[starts[i] : starts[i] + held[i]]
         mark[mine] = 1
-        common = np.add.reduceat(mark[ids[starts[i + 1] :]], starts[later] - starts[i + 1])
+        end = starts[fits[i] - 1] + held[fits[i] - 1]
+        common = np.add.reduceat(mark[ids[starts[i + 1] : end]], starts[later] - starts[i + 1])
         mark[mine] = 0
         for j in np.flatnonzero((LEAST + OF) * common >= LEAST * (held[i] + held[later])) + i + 1:
             if root[j] != root[i]:
@@ -110,15 +124,16 @@ def joined(nodes: list[bytes], groups: list[bytes], sets: list[np.ndarray]) -> l
     return links
 
 
-def _across(members: DataFrame, sets: DataFrame, portion: int) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, portion: int, most: int) -> DataFrame:
     """(a, b): links inside the buckets of `members` (key, node, component) between members of different components.
 
-    A bucket of more than `portion` shingles is cut into portions by hash, and each pair of portions is a group.
+    A bucket of more than `portion` shingles or `most` members is cut into portions by hash, and each pair of portions is a group.
     """
     open_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     rows = members.join(open_keys, "key", "left_semi").join(sets, "node")
     rows = materialize(rows, "open_buckets")
-    parts = rows.groupBy("key").agg(F.ceil(F.sum(F.size("own") + 1) / portion).cast("long").alias("portions"))
+    needed = F.greatest(F.ceil(F.sum(F.size("own") + 1) / portion), F.ceil(F.count("*") / most))
+    parts = rows.groupBy("key").agg(needed.cast("long").alias("portions"))
     spread = (
         rows.join(parts, "key")
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("portions")))
@@ -135,7 +150,7 @@ def _across(members: DataFrame, sets: DataFrame, portion: int) -> DataFrame:
     return spread.groupBy("key", "first", "second").applyInArrow(compare, "a binary, b binary")
 
 
-def links(texts: DataFrame, portion: int = 1_000_000) -> DataFrame:
+def links(texts: DataFrame, portion: int = 400_000, most: int = 2_000) -> DataFrame:
     """(a, b): links between the distinct texts of `texts` (node, text), connected exactly as all similar pairs that meet in a band."""
     keyed = materialize(_keyed(texts), "bands")
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
@@ -153,7 +168,7 @@ def links(texts: DataFrame, portion: int = 1_000_000) -> DataFrame:
     verified = materialize(both.filter(equal | (some & near)).select("a", "b"), "verified")
     first = components(verified)
     members = shared.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    return verified.union(_across(materialize(members, "buckets"), sets, portion))
+    return verified.union(_across(materialize(members, "buckets"), sets, portion, most))
 
 
 def representatives(docs: DataFrame) -> DataFrame:

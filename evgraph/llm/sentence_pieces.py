@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import map_documents
+from evgraph.llm.common import map_documents, worker_model
 from evgraph.session import materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -42,8 +42,6 @@ def read_pieces(path: str = MODEL) -> list[tuple[str, float, str]]:
 class Pieces:
     """The vocabulary as a trie over plain text: the space marker of the file is a space here."""
 
-    _built: dict = {}
-
     def __init__(self, pieces: list[tuple[str, float, str]]):
         self.trie: list = [{}, None, -1]  # children, and score and id of the piece that ends here
         self.byte_ids = np.zeros(256, np.int64)
@@ -73,9 +71,7 @@ class Pieces:
 
     @classmethod
     def of(cls, key: str, pieces) -> "Pieces":
-        if key not in cls._built:
-            cls._built = {key: cls(pieces)}
-        return cls._built[key]
+        return worker_model(("pieces", key), lambda: cls(pieces))
 
     def viterbi(self, text: str, entry: dict[int, float], stop: int) -> tuple[list[float], list[int], list[int]]:
         """Best scores of the places in `text` over pieces that start before `stop`, and start and id of each last piece.

@@ -59,10 +59,18 @@ def test_members_that_are_far_from_the_least_one_still_meet(spark):
         assert groups is not nodes and not got or plain_components(range(len(texts)), got) == want
     rows = spark.createDataFrame([(bytearray(n), bytearray(t.encode())) for n, t in zip(nodes, texts)], "node binary, text binary")
     for portion in (400, 1_000_000):
-        links = [(int.from_bytes(r.a), int.from_bytes(r.b)) for r in nc.links(rows, portion).collect()]
+        links = [(int.from_bytes(r.a), int.from_bytes(r.b)) for r in nc.links(rows, portion, most=4).collect()]
         assert plain_components(range(len(texts)), links) == want
 
 
+def test_shingles_are_those_of_split_words():
+    for text in ("", " ", "a", " A  b\t\x0bc ", "é x\u00a0y z\u2003w v u t", "one two\nthree  four five six \r\n", "w " * 70_000 + "end"):
+        words = text.encode().lower().split()
+        spans = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        assert nc.shingles(text.encode()).tolist() == sorted(nc.xxhash.xxh64_intdigest(s, nc.SEED) for s in spans)
+    assert len(nc.shingles(None)) == 0
+
+
 def test_wordless_repeated_and_no_rows(spark):
     docs = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, " \n"), (4, ""), (None, "x y z")], "doc_id long, text string")
     got = [(r.doc_id, bytes(r.node)) for r in nc.representatives(docs).collect()]
