@@ -12,13 +12,21 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import held_out, id_and_bytes, map_documents
+from evgraph.llm.common import held_out, id_and_bytes, map_documents, worker_model
 
-LETTERS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 CACHED_WORDS = 200_000
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters; fractions, small figures and Roman numerals of their own are none."""
+    words = WORDS.findall(text)
+    if not words or "".join(words).isalpha():
+        return words
+    return [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 class SuffixAutomaton:
     """All substrings of the added words; `phrases` cuts a word into longest known substrings."""
 
@@ -107,42 +115,38 @@ def training_words(docs: DataFrame, docs_per_lang: int, words_per_lang: int, wor
 class Languages:
     """The automata of all languages, built once in each worker from the bounded word lists."""
 
-    _built: dict = {}
-
     def __init__(self, words: dict[str, list[str]]):
         self.names = sorted(words)
         self.automata = [SuffixAutomaton(f" {w} " for w in words[n]) for n in self.names]
         self.bits = np.array([np.log2(max(2, a.size)) for a in self.automata])
         self._ids: dict[str, int] = {}
-        self._counts: list[list[int]] = []
+        self._counts = np.zeros((2 * CACHED_WORDS, len(self.names)), np.int64)
 
     @classmethod
     def of(cls, key: str, words: dict[str, list[str]]) -> "Languages":
-        if key not in cls._built:
-            cls._built = {key: cls(words)}
-        return cls._built[key]
+        return worker_model(("languages", key), lambda: cls(words))
 
     def phrase_counts(self, words: list[str]) -> np.ndarray:
-        if len(self._ids) > CACHED_WORDS:
-            self._ids, self._counts = {}, []
         ids, counts = self._ids, self._counts
         total = np.zeros(len(self.names), np.int64)
         for at in range(0, len(words), CACHED_WORDS):
             rows = []
+            if len(ids) > CACHED_WORDS:
+                ids.clear()
             for w in words[at : at + CACHED_WORDS]:
                 i = ids.get(w)
                 if i is None:
-                    i = ids[w] = len(counts)
-                    counts.append([a.phrases(f" {w} ") for a in self.automata])
+                    i = ids[w] = len(ids)
+                    counts[i] = [a.phrases(f" {w} ") for a in self.automata]
                 rows.append(i)
             uses = np.bincount(rows)
             used = np.flatnonzero(uses)
-            total += uses[used] @ np.array([counts[i] for i in used.tolist()], np.int64)
+            total += uses[used] @ counts[used]
         return total
 
     def predict(self, text: bytes | None) -> tuple[str, float, float | None]:
         """Language, its share of exp(-bits per letter) over all languages, and its bits per letter."""
-        words = LETTERS.findall(text.decode("utf-8", "replace").lower()) if text else []
+        words = words_of(text.decode("utf-8", "replace").lower()) if text else []
         if not words or not self.names:
             return UNKNOWN, 0.0, None
         bits = self.phrase_counts(words) * self.bits / (sum(map(len, words)) + 2 * len(words))
@@ -157,7 +161,7 @@ def identify(
 
     Learned are the non-null `lang` values of rows outside the held-out fold, from a sample of at most
     `docs_per_lang` texts and `words_per_lang` words each. Null texts, texts without a letter, and all texts where
-    nothing could be learned get `und` and score 0. Rows repeat as they came; of the other columns those named in
+    nothing could be learned get `und` and score 0. Of languages with equal bits the first by name is taken. Rows repeat as they came; of the other columns those named in
     `carry` follow.
     """
     found = training_words(docs, docs_per_lang, words_per_lang, word_chars).collect()  # bounded by the parameters

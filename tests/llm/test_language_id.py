@@ -1,5 +1,6 @@
 """The automaton against plain substring search; held-out accuracy; edge cases."""
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -27,6 +28,42 @@ def test_phrases_are_longest_known_substrings():
             assert automaton.phrases(w) == plain_phrases(known, w)
 
 
+def plain_prediction(known, size, text):
+    """Language of fewest bits a letter, phrases cut by plain search in the training words."""
+    words, word = [], ""
+    for c in text.lower() + " ":
+        if unicodedata.category(c).startswith("L"):
+            word += c
+        elif word:
+            words, word = words + [f" {word} "], ""
+    if not words:
+        return "und"
+    bits = {n: sum(plain_phrases(k, w) for w in words) * np.log2(max(2, size[n])) / sum(map(len, words)) for n, k in known.items()}
+    return min(sorted(bits), key=bits.get)
+
+
+def test_predictions_equal_a_plain_search(spark):
+    rng = np.random.default_rng(4)
+    stems = {"de": "sch ung ich ein tz".split(), "en": "th ing er wh ed".split(), "fr": "eau é que oi tion".split()}
+    lines = [" ".join("".join(rng.choice(stems[n], rng.integers(1, 4))) for _ in range(8)) for n in stems for _ in range(20)]
+    mixed = [" ".join(rng.permutation((lines[i] + " " + lines[-i]).split()).tolist()) + rng.choice([" ½²", "x²y", " 3", ""]) for i in range(1, 30)]
+    rows = [(i, t, list(stems)[i // 20]) for i, t in enumerate(lines)] + [(100 + i, t, None) for i, t in enumerate(mixed)]
+    rows += [(200, "½ ² Ⅷ", None), (201, "ing " * 60_000, None), (202, "12", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words = {}
+    for r in li.training_words(docs, 300, 4000, 64).collect():
+        words.setdefault(r.lang, []).append(f" {r.word} ")
+    size = {n: sum(map(len, w)) for n, w in words.items()}
+    got = {r.doc_id: r.lang_pred for r in li.identify(docs).collect()}
+    assert {i: got[i] for i, _, _ in rows if i != 201} == {i: plain_prediction(words, size, t) for i, t, _ in rows if i != 201}
+    assert got[201] == "en" and got[200] == "und"
+
+
+def test_equal_bits_go_to_the_first_name(spark):
+    docs = spark.createDataFrame([(i, "abc abd", lang) for i in range(1, 40) for lang in ("yy", "xx")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in li.identify(docs).collect()} == {"xx"}
+
+
 def test_held_out_accuracy_and_edge_cases(spark):
     rng = np.random.default_rng(1)
     stems = {"en": "th ing er on wh ed".split(), "de": "sch ung ich ver ein tz".split(), "fr": "eau é ment que oi tion".split()}
