@@ -5,20 +5,23 @@ documents kept apart by a gap) as one ascending list per term. A test phrase is
 list of each further term, shifted by its offset, is intersected with what is left.
 """
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import id_and_bytes
+from evgraph.llm.common import free_model, id_and_bytes
 from evgraph.session import materialize
 
 WORD_BYTES = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEGMENT_BYTES = 4_000_000
 GAP = 1_000  # free positions between documents; bounds phrase length plus slop
-SEGMENT = """doc_ids array<long>, first array<int>, n_words array<int>, terms array<binary>,
+SEGMENT = """segment long, doc_ids array<long>, first array<int>, n_words array<int>, terms array<binary>,
              starts array<int>, positions array<int>"""
+HIT = "segment long, doc int, doc_id long, start int, length int, phrase_id long"
 PHRASE = "phrase_id long, terms array<binary>, offsets array<int>"
 
 
@@ -44,7 +47,7 @@ def _segment(docs: list[tuple[int | None, list[bytes]]], wanted) -> dict:
     order = np.argsort(term_of, kind="stable")
     sizes = np.bincount(term_of, minlength=len(terms))[keep]
     return {
-        "doc_ids": [d for d, _ in docs], "first": first, "n_words": [len(w) for _, w in docs],
+        "segment": uuid.uuid4().int >> 65, "doc_ids": [d for d, _ in docs], "first": first, "n_words": [len(w) for _, w in docs],
         "terms": [t for t, k in zip(terms, keep) if k], "starts": np.concatenate(([0], sizes.cumsum())).astype(np.int32),
         "positions": spot[order].astype(np.int32),
     }
@@ -53,6 +56,8 @@ def _segment(docs: list[tuple[int | None, list[bytes]]], wanted) -> dict:
 def build_index(docs: DataFrame, term_filter: "TermFilter | None" = None) -> DataFrame:
     """Segments of `docs` (doc_id, text), written as a table. Null texts have no words and stay in the index.
 
+    A segment has a number of its own, drawn when it is written: with the place of a document in it, it tells rows apart.
+
     With `term_filter`, postings of terms that no test phrase holds are left out: a lookup would never read them.
     """
     spark = docs.sparkSession
@@ -62,6 +67,7 @@ def build_index(docs: DataFrame, term_filter: "TermFilter | None" = None) -> Dat
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        free_model()
         shape = to_arrow_schema(schema)
         wanted = TermFilter(bits.value).__contains__ if bits else lambda t: True
 
@@ -166,7 +172,7 @@ def _meet(left: np.ndarray, spots: np.ndarray, slop: int) -> np.ndarray:
 
 
 def find(index: DataFrame, phrases: DataFrame, slop: int = 0, block: int = 50_000) -> DataFrame:
-    """(doc_id, start, length, phrase_id): where each phrase (PHRASE, ordered by `by_rarity`) occurs.
+    """(segment, doc, doc_id, start, length, phrase_id): where each phrase (PHRASE, ordered by `by_rarity`) occurs.
 
     slop 0 finds exact phrases. Otherwise it is proximity search: each term has an occurrence at most `slop` words
     from its place relative to the rarest term. Phrases are the stated query set: they go over the index in blocks
@@ -178,7 +184,7 @@ def find(index: DataFrame, phrases: DataFrame, slop: int = 0, block: int = 50_00
     out = None
     for b in range(blocks):
         queries = spark.sparkContext.broadcast([tuple(r) for r in phrases.filter(part == b).select("phrase_id", "terms", "offsets").collect()])
-        hits = index.mapInArrow(_finder(queries, slop), "doc_id long, start int, length int, phrase_id long")
+        hits = index.mapInArrow(_finder(queries, slop), HIT)
         out = hits if out is None else out.union(hits)
     return out
 
@@ -188,10 +194,12 @@ def _finder(queries, slop: int):
         by_anchor: dict[bytes, list] = {}
         for q in queries.value:
             by_anchor.setdefault(bytes(q[1][0]), []).append(q)
-        shape = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("phrase_id", pa.int64())])
+        kinds = {"long": pa.int64(), "int": pa.int32()}
+        shape = pa.schema([(n, kinds[k]) for n, k in map(str.split, HIT.split(", "))])
         for batch in batches:
             for k in range(batch.num_rows):
-                got = _lookup({n: batch.column(n)[k].values for n in batch.schema.names}, by_anchor, slop)
+                got = _lookup({n: batch.column(n)[k].values for n in batch.schema.names if n != "segment"}, by_anchor, slop)
+                got = (np.full(len(got[0]), batch.column("segment")[k].as_py(), np.int64), *got)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(got, shape)], schema=shape)
 
     return run
@@ -227,13 +235,13 @@ def _lookup(segment: dict, by_anchor: dict[bytes, list], slop: int) -> tuple:
         end = np.minimum(start + length, n_words[doc])
         start = np.maximum(start, 0)
         length = end - start
-    return segment["doc_ids"].take(pa.array(doc)), start, length, name
+    return doc, segment["doc_ids"].take(pa.array(doc)), start, length, name
 
 
 def document_words(index: DataFrame) -> DataFrame:
-    """(doc_id, n_words) of every row that was indexed."""
-    return index.select(F.explode(F.arrays_zip("doc_ids", "n_words")).alias("d")).select(
-        F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words")
+    """(segment, doc, doc_id, n_words) of every row that was indexed."""
+    return index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("doc", "d")).select(
+        "segment", "doc", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words")
     )
 
 
@@ -241,29 +249,30 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slop: int
     """doc_id, n_words, n_hit, items (sorted strings of item ids), contaminated, for each row of `docs`.
 
     `docs` has doc_id and text, `items` item_id and text. A word inside an occurrence of a window of `width` item words is hit; items
-    without words never match, null texts have no words, empty tables give no hits. Rows that repeat a doc_id each
-    count every place that is hit in any of them; a null doc_id gets none.
+    without words never match, null texts have no words, empty tables give no hits. Rows are told apart by their place
+    in the index: each counts its own hits, whether its doc_id is null or repeated.
     """
     owned = windows(items, width)
     phrases = owned.select("phrase_id", "terms").distinct()
     index = build_index(docs, TermFilter.of(phrases.select(F.explode("terms").alias("term"))))
     hits = materialize(find(index, by_rarity(index, phrases), slop), "hits")
-    spans = hits.groupBy("doc_id", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
+    row = ["segment", "doc"]
+    spans = hits.groupBy(*row, "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
     before = F.max("end").over(
-        Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    )  # rows of one document only
+        Window.partitionBy(*row).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    )  # places of one document only
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))))
-    covered = spans.withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"))
+    covered = spans.withColumn("fresh", fresh).groupBy(*row).agg(F.sum("fresh").alias("n_hit"))
     held = (
-        hits.select("doc_id", "phrase_id").distinct()
+        hits.select(*row, "phrase_id").distinct()
         .join(owned.select("phrase_id", F.col("item_id").cast("string").alias("item")).distinct(), "phrase_id")
-        .groupBy("doc_id")
+        .groupBy(*row)
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     return (
         document_words(index)
-        .join(covered, "doc_id", "left")
-        .join(held, "doc_id", "left")
+        .join(covered, row, "left")
+        .join(held, row, "left")
         .select(
             "doc_id",
             "n_words",

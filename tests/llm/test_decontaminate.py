@@ -78,6 +78,15 @@ def test_empty_tables_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "item_id long, text string")
     got = sorted((r.doc_id or -1, r.n_words, r.n_hit) for r in dc.contamination(docs, items).collect())
-    assert got == [(-1, 2, 0), (1, 1, 2), (1, 2, 2)]  # places 0 and 1 of a document with id 1
+    assert got == [(-1, 2, 2), (1, 1, 1), (1, 2, 2)]  # each row has hits of its own
     assert dc.contamination(docs.limit(0), items).collect() == []
     assert [r.contaminated for r in dc.contamination(docs, items.limit(0)).collect()] == [False] * 3
+
+
+def test_null_and_repeated_ids_count_their_own_hits(spark):
+    passage = "one two three four five six seven eight nine ten"
+    rows = [(None, passage), (None, "clean text"), (7, "x " + passage), (7, "clean"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in dc.contamination(docs, items).collect()))
+    assert got == [(0, 2, 0, False), (0, 10, 10, True), (7, 1, 0, False), (7, 11, 10, True), (8, 0, 0, False)]
