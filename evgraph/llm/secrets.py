@@ -116,9 +116,9 @@ def scan(files: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> D
         .agg(F.collect_set("rule").alias("rules")),  # at most the number of rules
         "unseen",
     )
-    texts = own.join(
-        unseen.withColumnRenamed("blob", "named").hint("shuffle_hash"), own.path.eqNullSafe(F.col("reader"))
-    ).filter(F.col("named") == F.sha2(F.col("text").cast("binary"), 256))  # repeated paths: only the named version
+    here = address(own)  # a path may hold many versions: only the named one is read
+    same = (here.blob == F.col("named")) & here.path.eqNullSafe(F.col("reader"))
+    texts = here.join(unseen.withColumnRenamed("blob", "named").hint("shuffle_hash"), same)
     searched = texts.select(
         F.col("named").alias("blob"),
         F.explode(
