@@ -18,11 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import map_documents
+from evgraph.llm.common import ROWS_AT_ONCE, map_documents
 from evgraph.llm.jaccard_join import _bitmap
 from evgraph.session import materialize
 
-BYTES_AT_ONCE = 2_000_000
+BYTES_AT_ONCE = 500_000
+STRING_BYTES_AT_ONCE = 8_000_000
 KNOWN_TEXTS = 100_000
 BITMAP_BITS = 1 << 25
 
@@ -172,10 +173,10 @@ def _identity(text):
     return F.xxhash64(F.lit(1), text).alias("b1"), F.xxhash64(F.lit(2), text).alias("b2")
 
 
-def _buffers(batches):
-    """Rows of (b1, b2, text), together at most about BYTES_AT_ONCE or one row.
+def _buffers(batches, least: int):
+    """(b1, b2, piece, place of the piece in its text), together at most about twice BYTES_AT_ONCE.
 
-    Copies of a text bring nothing new: those of the latest KNOWN_TEXTS texts are passed over.
+    A longer text is cut into pieces, each of which holds the strings that start in its first BYTES_AT_ONCE bytes. Copies of a text bring nothing new: those of the latest KNOWN_TEXTS texts are passed over.
     """
     held, size, seen = [], 0, set()
     for batch in batches:
@@ -186,11 +187,13 @@ def _buffers(batches):
             if len(seen) >= KNOWN_TEXTS:
                 seen.clear()
             seen.add((b1[i], b2[i]))
-            held.append((b1[i], b2[i], batch.column(2)[i].as_py()))
-            size += len(held[-1][2])
-            if size > BYTES_AT_ONCE:
-                yield held
-                held, size = [], 0
+            text = batch.column(2)[i].as_py()
+            for at in range(0, max(1, len(text) - least + 1), BYTES_AT_ONCE):
+                held.append((b1[i], b2[i], text[at : at + BYTES_AT_ONCE + least - 1], at))
+                size += len(held[-1][2])
+                if size > BYTES_AT_ONCE:
+                    yield held
+                    held, size = [], 0
     if held:
         yield held
 
@@ -210,19 +213,21 @@ def _passing(rows: DataFrame, column: str, bits, inside: bool = True) -> DataFra
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_in_bitmap(bits.value, batch.column(column).to_numpy()) == inside))
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(at, ROWS_AT_ONCE)
+                yield rows.filter(pa.array(_in_bitmap(bits.value, rows.column(column).to_numpy()) == inside))
 
     return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes))
 
 
 def _anchored(least: int):
-    """For mapInArrow: what `anchors` finds in each buffer, with the buffer's rows and where each row's text begins."""
+    """For mapInArrow: what `anchors` finds in each buffer, with the buffer's pieces and where the text of each begins."""
 
     def run(batches):
-        for held in _buffers(batches):
-            data = np.frombuffer(b"".join(t for _, _, t in held), np.uint8)
-            ends = np.cumsum([len(t) for _, _, t in held])
-            yield held, ends - [len(t) for _, _, t in held], anchors(data, ends, least)
+        for held in _buffers(batches, least):
+            data = np.frombuffer(b"".join(t for _, _, t, _ in held), np.uint8)
+            ends = np.cumsum([len(t) for _, _, t, _ in held])
+            yield held, ends - [len(t) + at for _, _, t, at in held], anchors(data, ends, least)
 
     return run
 
@@ -279,18 +284,26 @@ def _rows(batches, at_once: int = 50):
 
 
 def _strings(found: DataFrame, least: int, owners: bool) -> DataFrame:
-    """The strings of the listed anchors of each text: themselves (equal ones of a task together), or who owns them."""
+    """The strings of the listed anchors of each text: themselves (equal ones of a few texts together), or who owns them."""
 
     def run(batches):
         names = [f.split()[0] for f in (OWNER if owners else STRING).split(", ")]
         kinds = {"string": pa.binary(), "before": pa.int32(), "lo": pa.int32()}
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(n, pa.int64())) for i, n in enumerate(names)], names=names)
+
         for batch in batches:
-            rows, known = [], {}
+            rows, known, size = [], {}, 0
             for row in _rows([batch]):
                 for p in row["places"]:
+                    if size > STRING_BYTES_AT_ONCE:
+                        yield out(rows)
+                        rows, known, size = [], {}, 0
                     string = row["text"][p["lo"] : p["hi"] + least]
                     before = p["at"] - p["lo"]
                     name = _signed(xxhash.xxh3_128_intdigest(string + before.to_bytes(4, "little")))
+                    size += 150
                     if owners:
                         rows.append((*name, row["b1"], row["b2"], p["lo"]))
                     elif (name, p["h"]) in known:
@@ -298,7 +311,8 @@ def _strings(found: DataFrame, least: int, owners: bool) -> DataFrame:
                     else:
                         known[name, p["h"]] = one = [p["h"], *name, before, string, row["copies"]]
                         rows.append(one)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(n, pa.int64())) for i, n in enumerate(names)], names=names)
+                        size += len(string)
+            yield out(rows)
 
     return found.mapInArrow(run, OWNER if owners else STRING)
 

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evgraph.llm import repeats
@@ -54,3 +55,22 @@ def test_repeated_null_and_no_rows(spark):
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs, 40).collect())
     assert got == [(-1, 50, 50, 1), (1, 40, 40, 1), (1, 40, 40, 1), (2, 0, 0, 0)]
     assert repeats.remove_repeats(docs.limit(0), 40).collect() == []
+
+
+@pytest.mark.parametrize("least", [24, 40])
+def test_pieces_of_long_texts_hold_the_anchors_of_whole_ones(monkeypatch, least):
+    texts = [t.encode() for t in corpus(7) if t]
+    batch = pa.RecordBatch.from_pydict({"b1": list(range(len(texts))), "b2": [0] * len(texts), "text": texts})
+
+    def starts(at_once):
+        monkeypatch.setattr(repeats, "BYTES_AT_ONCE", at_once)
+        out = []
+        for held, begins, (doc, h, at, lo, hi) in repeats._anchored(least)([batch]):
+            own, begin = [held[d][0] for d in doc], begins[doc]
+            for b1, key, place, first, last in zip(own, h.tolist(), (at - begin).tolist(), (lo - begin).tolist(), (hi - begin).tolist()):
+                out += [(b1, key, place, s) for s in range(first, last + 1)]
+        return sorted(out)
+
+    whole = starts(10**6)
+    assert len({(b, s) for b, _, _, s in whole}) == len(whole) == sum(max(0, len(t) - least + 1) for t in texts)
+    assert starts(50) == starts(333) == whole
