@@ -208,14 +208,14 @@ def _in_bitmap(bits: bytes, hashes: np.ndarray) -> np.ndarray:
     return np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1) > 0
 
 
-def _passing(rows: DataFrame, column: str, bits, inside: bool = True) -> DataFrame:
-    """The rows whose hash in `column` is in the bitmap, or those whose hash is not."""
+def _passing(rows: DataFrame, column: str, bits) -> DataFrame:
+    """The rows whose hash in `column` is in the bitmap."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(at, ROWS_AT_ONCE)
-                yield rows.filter(pa.array(_in_bitmap(bits.value, rows.column(column).to_numpy()) == inside))
+                yield rows.filter(pa.array(_in_bitmap(bits.value, rows.column(column).to_numpy())))
 
     return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes))
 
@@ -428,20 +428,21 @@ def remove_repeats(docs: DataFrame, least: int = 400, portion: int = 50_000) ->
     )
     per_text = materialize(per_text, "repeats")
     cut_texts = _shared_bitmap(per_text.select("r1"))
-    told = (
-        _passing(texts, "b1", cut_texts)
-        .join(per_text, (F.col("b1") == F.col("r1")) & (F.col("b2") == F.col("r2")), "left")
-        .select("doc_id", "text", "runs")
-        .unionByName(_passing(texts, "b1", cut_texts, inside=False).select("doc_id", "text"), allowMissingColumns=True)
-    )
+    # merged, not broadcast: a stage then has one Python worker a task
+    told = _passing(texts, "b1", cut_texts).join(per_text.hint("merge"), (F.col("b1") == F.col("r1")) & (F.col("b2") == F.col("r2")), "left")
+    names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
-    def cut(batch):
-        made = [_cut(t, r or [], least) for t, r in zip(batch["text"], batch["runs"])]
-        return {"doc_id": batch["doc_id"]} | {n: [m[i] for m in made] for i, n in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"))}
+    def cut(rows):
+        made = [_cut(t, r or [], least) for t, r in zip(rows["text"], rows["runs"])]
+        return {"doc_id": rows["doc_id"]} | {n: [m[i] for m in made] for i, n in enumerate(names)}
 
-    return map_documents(
-        told, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
+    def leave(rows):
+        at = np.flatnonzero(~_in_bitmap(cut_texts.value, np.array(rows["b1"], np.int64))).tolist()
+        return cut({"doc_id": [rows["doc_id"][i] for i in at], "text": [rows["text"][i] for i in at], "runs": [None] * len(at)})
+
+    changed = map_documents(told.select("doc_id", "text", "runs"), cut, shape)
+    return changed.union(map_documents(texts.select("doc_id", "b1", "text"), leave, shape))
 
 
 def _cut(text: bytes, runs: list[dict], least: int) -> tuple:
