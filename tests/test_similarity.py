@@ -65,6 +65,21 @@ def test_shared_links_of_seeds(spark):
         assert got_pairs(sim.shared_link_neighbors(df, 5, heavy, seeds)) == want
 
 
+def test_weak_pairs_are_passed_over_before_they_are_shuffled(spark, monkeypatch):
+    rng = random.Random(3)
+    links = [(w, rng.randrange(120)) for w in range(200) for _ in range(rng.randrange(2, 30))]
+    df = spark.createDataFrame(links, "entity long, ref long")
+    whole = len(brute_shared(links, 10_000))
+    want = brute_shared(links, 3)
+    counted, above = [], sim._above_floor
+    monkeypatch.setattr(sim, "_above_floor", lambda pairs: counted.append(pairs.count()) or above(pairs))
+    assert got_pairs(sim.shared_link_neighbors(df, 3)) == want
+        monkeypatch.setattr(sim, "SKETCH_REFS", 6)  # works with more references are never passed over
+    assert got_pairs(sim.shared_link_neighbors(df, 3)) == want
+    assert got_pairs(sim.shared_link_neighbors(df, 3, heavy_df=20)) == want
+    assert counted[0] < counted[1] < whole
+
+
 def test_symmetry_before_trim(spark):
     links = hub_links(2)
     df = spark.createDataFrame(links, "citing_work_id long, cited_work_id long")
