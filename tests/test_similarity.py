@@ -109,6 +109,17 @@ def bounded_walks(edges, hops, k):
     return sorted(out)
 
 
+def test_lineage_rounds_move_new_near_entries_only(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = {(a, b) for a in range(150) for b in rng.sample(range(150), 3) if a < b}
+    edges = [(x, y, 1 + (a + b) % 2) for a, b in pairs for x, y in ((a, b), (b, a))]
+    df = spark.createDataFrame(edges + edges[:20], "work_id long, neighbor_work_id long, length int")
+    dealt, deal = [], sim.dealt_out
+    monkeypatch.setattr(sim, "dealt_out", lambda rows, *keys: (dealt.append(rows.count()) if keys == ("work_id",) else None) or deal(rows, *keys))
+    assert got_pairs(sim.lineage_neighbors(df, 4)) == bounded_walks(edges, 4, 4)
+    assert len(dealt) == 3 and sum(dealt) < 3 * 4 * len(edges) / 2
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_lineage_is_exact_when_pruned(spark, seed):
     rng = random.Random(seed)
