@@ -22,10 +22,10 @@ class StreamedLibrary(Library):
     def raw(self, name):
         if name != self.streamed:
             return super().raw(name)
-        return (
-            self.spark.readStream.schema(schemas.RAW[name]).option("pathGlobFilter", f"{name}.parquet")
-            .parquet(self.directory)
-        )
+        stream = self.spark.readStream.schema(schemas.RAW[name])
+        if any(file.endswith(f"/{name}.parquet") for file in super().raw(name).inputFiles()):  # one file beside other tables
+            return stream.option("pathGlobFilter", f"{name}.parquet").parquet(self.directory)
+        return stream.parquet(f"{self.directory}/{name}.parquet")
 
     def size(self, name):
         return Library(self.spark, self.directory).size(name) if name == self.streamed else super().size(name)

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from evgraph.operators import consensus, evaluation, extraction, reads, tables
+from evgraph.plans import registry, stream_queries  # noqa: F401
 from evgraph.session import fresh_path, materialize
 from evgraph.sources import gold, paper_text
+from evgraph.sources.bindings import Library
 from evgraph.streaming import change_feeds as feeds
 from tests.helpers import rows
 
@@ -199,6 +201,14 @@ def test_late_votes_do_not_win(spark, tmp_path):
     assert rows(feeds.live_status(spark, folder)) == want == [(1, "confirmed"), (2, "disputed")]
 
 
+def test_votes_are_kept_by_an_aggregate(spark, tmp_path):
+    spark.createDataFrame([(1, "relation", 1, 1, "agree", 9)], VOTE).write.parquet(str(tmp_path / "in"))
+    following = feeds.follow_reviews(spark.readStream.schema(VOTE).parquet(str(tmp_path / "in")), fresh_path(spark, "plain"))
+    following.awaitTermination()
+    operators = [o.operatorName for o in following.lastProgress.stateOperators]
+    assert operators == ["stateStoreSave"]
+
+
 def test_live_status_over_batches_and_restarts(spark, tmp_path):
     rng = random.Random(4)
     data = [(rng.randrange(6), rng.randrange(4), rng.choice(["agree", "disagree", "unsure"]), rng.randrange(30)) for _ in range(90)]
@@ -279,6 +289,18 @@ def test_feed_and_cursors(spark, tmp_path):
     assert rows(feeds.next_cursors(feed)) == [(5, 11), (6, 10)]
 
 
+def test_feed_of_a_table_in_several_files_or_without_rows(spark, tmp_path):
+    turns = "conv_id long, turn long, role string, text string"
+    query = registry.PLANS["i4_comment_feed"]
+    for name, talk, want in (("parts", [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "user", "c")], {1001, 1002}), ("none", [], set())):
+        folder = tmp_path / name
+        spark.createDataFrame(talk, turns).repartition(3).write.parquet(f"{folder}/conversations.parquet")
+        spark.createDataFrame([(1, 1, 0.0)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{folder}/customer.parquet")
+        spark.createDataFrame([(1, 1, "n")], "n_nationkey int, n_regionkey int, n_name string").write.parquet(f"{folder}/nation.parquet")
+        fed = query(Library(spark, str(folder)))
+        assert {r["comment_id"] for r in fed.collect()} == want
+
+
 def test_recall_prefers_strong_signals(spark):
     from evgraph.operators.relations import recall_candidates
 
