@@ -107,6 +107,15 @@ def plain_neighbourhoods(n, edges, members, readers, kept, expanded):
     return out
 
 
+def test_what_the_expansion_multiplies_meets_no_other_table(spark):
+    columns = "center_id long, neighbor_work_id long, relation_id long, direction string, score double, from_anchor boolean, to_anchor boolean"
+    scored = spark.createDataFrame([(1, 2, 1, "out", 1.0, True, True), (2, 1, 1, "in", 1.0, True, True), (2, 3, 2, "out", 0.5, True, None)], columns)
+    found = ego.two_hop_candidates(scored)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2  # parts of hubs, before the expansion
+    assert rows(found, "center_id", "neighbor_work_id", "relation_id") == [(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2)]
+
+
 @pytest.mark.parametrize("seed,hub_part", [(0, 4096), (2, 5), (3, 1)])
 def test_two_hops_like_full_search(spark, seed, hub_part):
     rng = random.Random(seed)
