@@ -19,17 +19,22 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
-def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, linked=near_copies.links) -> DataFrame:
     """The row with the smallest id of each component of near copies (five-word Jaccard of 0.8 or more); equal rows count once.
 
-    A null id stays only where a component has no other.
+    A null id stays only where a component has no other. `linked` may find other links.
     """
-    kept = near_copies.representatives(docs).select(F.col("doc_id").alias("kept"), F.col("node").alias("kept_node"))
+    kept = near_copies.representatives(docs, linked).select(F.col("doc_id").alias("kept"), F.col("node").alias("kept_node"))
     rows = docs.select(*COLUMNS, near_copies.text_key().alias("node"))
     same = F.col("doc_id").eqNullSafe(F.col("kept")) & (F.col("node") == F.col("kept_node"))
     return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "node"]).select(*COLUMNS)
 
 
+def without_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As `without_near_duplicates`, and texts are linked by SimHash as well (op10: fingerprints 4 or fewer bits apart)."""
+    return without_near_duplicates(spark, docs, sf_dir, near_copies.all_links)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark; rows are told apart by their text, so that ids may be null or repeated."""
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("key"))
@@ -57,7 +62,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", known_language),
-    ("simhash", without_near_duplicates),
+    ("simhash", without_duplicates),
     ("decontamination", decontaminated),
     ("secrets", without_secrets),
     ("sentence_pieces", encoded),

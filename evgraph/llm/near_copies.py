@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evgraph.llm.common import ROWS_AT_ONCE, free_model
 from evgraph.llm.components import components
-from evgraph.llm.simhash import SEED
+from evgraph.llm.simhash import SEED, near_duplicates
 from evgraph.session import materialize
 
 WIDTH = 5
@@ -171,14 +171,25 @@ def links(texts: DataFrame, portion: int = 400_000, most: int = 2_000) -> DataFr
     return verified.union(_across(materialize(members, "buckets"), sets, portion, most))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """(doc_id, node): one row of `docs` (doc_id, text) for each component of near copies.
+def fingerprint_links(texts: DataFrame) -> DataFrame:
+    """(a, b): links that connect the texts of `texts` (node, text) as SimHash does: fingerprints 4 or fewer bits apart."""
+    found = near_duplicates(texts.withColumnRenamed("node", "doc_id"), kind="binary")
+    return found.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
+
+
+def all_links(texts: DataFrame) -> DataFrame:
+    """(a, b): the links of SimHash and those of near copies together."""
+    return fingerprint_links(texts).union(links(texts))
+
+
+def representatives(docs: DataFrame, linked=links) -> DataFrame:
+    """(doc_id, node): one row of `docs` (doc_id, text) for each component of the links that `linked` finds: near copies or `all_links`.
 
     It is the one with the smallest doc_id, a null id only where a component has no other; `node` is `text_key`, which
     tells rows of one id apart. An empty table gives an empty result; other columns are ignored.
     """
     texts = docs.select(text_key().alias("node"), F.col("text").cast("string").cast("binary").alias("text"))
-    found = components(links(texts))
+    found = components(linked(texts))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")).alias("first")
     heads = docs.select("doc_id", text_key().alias("node")).groupBy("node").agg(first)
     named = heads.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -42,10 +42,10 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row of `docs`; null and wordless texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, kind: str = "long") -> DataFrame:
+    """(doc_id, fp) of every row of `docs`, ids being of type `kind`; null and wordless texts have fingerprint 0."""
     return map_documents(
-        id_and_bytes(docs), lambda b: b | {"fp": [fingerprint(t) for t in b["text"]]}, "doc_id long, fp long"
+        id_and_bytes(docs), lambda b: b | {"fp": [fingerprint(t) for t in b["text"]]}, f"doc_id {kind}, fp long"
     )
 
 
@@ -164,13 +164,13 @@ def links(classes: DataFrame, distance: int = 4, spare: int = 2, pivot_count: in
     return grouped.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links) of every row of `docs` (doc_id, text).
+def near_duplicates(docs: DataFrame, distance: int = 4, kind: str = "long") -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable over links) of every row of `docs` (doc_id of type `kind`, text).
 
     Null and wordless texts share fingerprint 0 and link like any other. Repeated rows stay; a null doc_id gets the
     component of its fingerprint. An empty table gives an empty result.
     """
-    prints = materialize(fingerprints(docs), "fingerprints")
+    prints = materialize(fingerprints(docs, kind), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     found = components(links(classes, distance))
     heads = (

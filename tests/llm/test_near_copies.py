@@ -87,3 +87,16 @@ def test_rows_with_null_or_repeated_ids_are_told_apart(spark, tmp_path):
     spark.createDataFrame([(1, two)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
     assert sorted(((r.doc_id or 0, r.text) for r in clean.collect())) == sorted([(0, one), (7, three)])
+
+
+def test_stage_links_what_simhash_links(spark):
+    """Texts of one long refrain: their fingerprints are alike, their sets of shingles are not."""
+    rng = np.random.default_rng(5)
+    tails = [" ".join(f"{rng.integers(10**9)}" for _ in range(60)) for _ in range(6)]
+    refrain = "green lanterns drift across harbours " * 400
+    texts = [refrain + t for t in tails[:3]] + tails[3:] + [refrain + tails[0]]
+    prints, sets = [plain_fingerprint(t) for t in texts], [plain_set(t) for t in texts]
+    assert all((prints[0] ^ p).bit_count() <= 4 for p in prints[:3]) and max(jaccard(sets[i], sets[j]) for i in range(6) for j in range(i)) < 0.5
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, refrain + "and on", "en", "s", 1)]
+    got = dict(corpus_pipeline.STAGES)["simhash"](spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r.doc_id for r in got) == [0, 3, 4, 5]
