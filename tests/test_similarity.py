@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from evgraph.operators import similarity as sim
@@ -179,6 +180,21 @@ def test_cosine_is_exact(spark, block_rows, pivots):
     assert [r[:3] for r in got if r[3] < 0.999999] == [r[:3] for r in want if r[3] < 0.999999]
 
 
+def test_block_meets_its_queries_a_slice_at_a_time():
+    rng = np.random.default_rng(4)
+    block, asking = rng.normal(size=(300, 6)), rng.normal(size=(5000, 6))
+    rows = [("f", f"b{i}", v, False) for i, v in enumerate(block)] + [("f", f"q{i}", v, True) for i, v in enumerate(asking)]
+    pdf = pd.DataFrame(rows, columns=["field", "twin", "vec", "asks"]).assign(cluster=0, block=0, portion=0)
+    alone = pdf[300:350].assign(block=1)  # a block without rows of its own
+    frames = list(sim._meet_blocks([pdf[:100], pdf[100:2000], pdf[2000:], alone], 4))
+    assert max(map(len, frames)) <= 5 * sim.SLICE
+    unit = lambda m: m / np.sqrt((m * m).sum(1, keepdims=True))
+    best = np.argsort(-(unit(asking) @ unit(block).T), axis=1)[:, :5]
+    want = {(f"q{i}", f"b{j}") for i, near in enumerate(best) for j in near}
+    found = pd.concat(frames)
+    assert len(found) == len(want) and set(zip(found["twin"], found["other_twin"])) == want
+
+
 def test_cleared_aspects_have_no_list(spark):
     df = spark.createDataFrame(
         [(1, "aspect:theory", [1.0, 0.0]), (2, "aspect:theory", [1.0, 1.0]), (3, "aspect:theory", [0.0, 0.0])],
