@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import id_and_bytes, map_documents
+from evgraph.llm.common import free_model, id_and_bytes, map_documents
 from evgraph.llm.components import components
 from evgraph.session import materialize
 
@@ -44,9 +44,12 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, kind: str = "long") -> DataFrame:
     """(doc_id, fp) of every row of `docs`, ids being of type `kind`; null and wordless texts have fingerprint 0."""
-    return map_documents(
-        id_and_bytes(docs), lambda b: b | {"fp": [fingerprint(t) for t in b["text"]]}, f"doc_id {kind}, fp long"
-    )
+    return map_documents(id_and_bytes(docs), _prints, f"doc_id {kind}, fp long")
+
+
+def _prints(batch: dict) -> dict:
+    free_model()  # the first pass over the texts after a stage that may have kept one
+    return batch | {"fp": [fingerprint(t) for t in batch["text"]]}
 
 
 def pivots(count: int) -> np.ndarray:

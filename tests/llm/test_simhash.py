@@ -1,11 +1,12 @@
 """SimHash components against all pairs."""
 
 import re
+import weakref
 
 import numpy as np
 import xxhash
 
-from evgraph.llm import simhash
+from evgraph.llm import common, sentence_pieces, simhash
 from evgraph.llm.components import components
 
 SCHEMA = "doc_id long, text string, fp string"
@@ -77,3 +78,10 @@ def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)}
+
+
+def test_fingerprints_free_the_model_of_an_earlier_stage():
+    model = weakref.ref(sentence_pieces.Pieces.of("of an earlier stage", [("a", -1.0, "piece")]))
+    want = [int(np.uint64(plain_fingerprint(t)).view(np.int64)) for t in ("a b c d", None)]
+    assert simhash._prints({"text": [b"a b c d", None]})["fp"] == want
+    assert not common._model and model() is None
