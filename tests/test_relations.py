@@ -259,3 +259,17 @@ def test_replies_name_contexts_of_their_own_batch_only(spark):
     members = spark.createDataFrame([], "relation_id long, entity_id long, role string")
     got = {r["type"]: r["explanation"] for r in context_candidates(outputs, contexts, resolved, relations, members).collect()}
     assert got == {"improves_on": "c3", "alternative_to": "c12"}
+
+
+def test_pieces_that_no_quote_wants_stay_where_they_were_cut(spark):
+    """One quote of a page: few places of its text are looked up. Very many quotes: all of them are found."""
+    text = "".join(f"word{i:04d} " for i in range(1500))
+    seg = spark.createDataFrame([(1, 1, 7, text), (1, 2, 8, text.upper()), (2, None, 9, text)], "version_id long, page long, segment_no long, text string")
+    one = spark.createDataFrame([(1, 1, text[900:912])], "version_id long, page long, _piece string")
+    pieces = rel.segment_pieces(seg, one).collect()
+    assert len(pieces) < 60 and (1, 1, 7, text[900:912]) in [tuple(p) for p in pieces]
+    starts = range(0, len(text) - 12, 4)
+    many = [(i, 1, 2, text[i : i + 12] + "and more", None) for i in starts] + [(-1, 1, 2, "nowhere at all", None), (-2, 1, 1, text[900:912], None)]
+    ev = spark.createDataFrame(many, "evidence_id long, version_id long, page long, text string, bbox string")
+    got = {r["evidence_id"]: (r["how"], r["segment_no"]) for r in rel.ground_evidence(ev, seg).collect()}
+    assert got == {i: ("segment", 8) for i in starts} | {-1: ("none", None), -2: ("segment", 7)}
