@@ -81,6 +81,61 @@ def test_weak_pairs_are_passed_over_before_they_are_shuffled(spark, monkeypatch)
     assert counted[0] < counted[1] < whole
 
 
+def test_shared_links_in_rounds_and_parts(spark, monkeypatch):
+    """Rounds, works in parts, references whose rows lie in several batches, and repeated and unknown links change nothing."""
+    rng = random.Random(11)
+    links = hub_links(1) + [(w, 50 + rng.randrange(9)) for w in range(60) for _ in range(rng.randrange(8))]
+    df = spark.createDataFrame(links + [(None, 3), (5, None)], "entity long, ref long")
+    named = spark.createDataFrame([(f"w{e:02}", f"r{r}") for e, r in links], "entity string, ref string")
+    want = brute_shared(links, 5)
+    monkeypatch.setattr(sim, "ROWS_A_ROUND", 60)
+    monkeypatch.setattr(sim, "HUB_PART", 4)
+    monkeypatch.setattr(sim, "MARKS_AT_ONCE", 3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for heavy in (6, 512):
+            assert got_pairs(sim.shared_link_neighbors(df, 5, heavy)) == want
+        assert got_pairs(sim.shared_link_neighbors(named, 5)) == [(f"w{a:02}", f"w{b:02}", s) for a, b, s in want]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sim.shared_link_neighbors(df.limit(0), 5).collect() == []
+
+
+def test_common_marks_equal_sets():
+    """Rows of one reference after the other; what a pair has in common is counted, and pairs below the floor are dropped."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    sizes = np.array([3, 1, 6, 9])
+    marks = [sorted({7 * g} | {rng.randrange(-40, 40) for _ in range(12)}) for g, s in enumerate(sizes) for _ in range(s)]
+    marks[4] = None
+    count = len(marks)
+    rows = pa.table({
+        "entity": [f"e{i}" for i in range(count)], "n": [9] * count, "m": [1] * count, "most": [1] * count, "asks": [i % 5 > 0 for i in range(count)],
+        "floor": [None if i % 7 == 0 else 36 / 81 for i in range(count)], "sketch": pa.array(marks, pa.list_(pa.int16()))})
+    found = sim._able_pairs(rows, sizes, [])
+    group = np.repeat(np.arange(4), sizes)
+    want = {(f"e{i}", f"e{j}") for i in range(count) for j in range(count) if i != j and group[i] == group[j] and i % 5 and
+            (i % 7 == 0 or marks[i] is None or marks[j] is None or len(set(marks[i]) & set(marks[j])) >= 6)}
+    assert 0 < len(want) < int((sizes * (sizes - 1)).sum())
+    assert sorted(zip(found["work_id"].to_pylist(), found["neighbor_work_id"].to_pylist())) == sorted(want)
+
+
+def test_staged_tables_leave_no_shuffles(spark):
+    from pyspark.sql import functions as F
+
+    from evgraph.session import SHUFFLES_GO, discard, materialize
+
+    assert spark.conf.get(SHUFFLES_GO, "false") == "false"
+    kept = materialize(spark.range(50).groupBy((F.col("id") % 7).alias("k")).count(), "kept")
+    assert rows(kept, "k", "count") == [(k, 8 if k < 1 else 7) for k in range(7)]
+    assert spark.conf.get(SHUFFLES_GO, "false") == "false"
+    discard(kept)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        kept.collect()
+
+
 def test_symmetry_before_trim(spark):
     links = hub_links(2)
     df = spark.createDataFrame(links, "citing_work_id long, cited_work_id long")
