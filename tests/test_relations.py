@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evgraph import taxonomy as tx
 from evgraph.operators import ego
 from evgraph.operators import relations as rel
+from evgraph.session import materialize
 from tests.helpers import rows
 
 EDGE = (
@@ -170,6 +171,29 @@ def test_two_hops_like_full_search(spark, seed, hub_part):
     assert lines.where("bundle_key IS NULL").count() == len(groups) > 20
 
 
+def test_two_hop_views_in_rounds(spark, monkeypatch):
+    """Centres are looked at in turns; what is counted and drawn stays the same, and no shuffle of the candidates waits for the end."""
+    rng = random.Random(4)
+    edges = [(i, rng.randrange(25), rng.randrange(25), rng.choice(["improves_on", "uses_method_from"]), "confirmed", "x", rng.random(), "", 0) for i in range(120)]
+    edges = [e for e in edges if e[1] != e[2]]
+    e = spark.createDataFrame(edges, EDGE.replace("source_work_id string, target_work_id string", "source_work_id long, target_work_id long"))
+    m = spark.createDataFrame([(i, role, w) for i, a, b, *_ in edges for role, w in (("source", a), ("target", b))], "relation_id long, role string, anchor_work_id long")
+    scored = materialize(ego.scored_ends(e, m, spark.createDataFrame([], "user_id long, work_id long, status string")), "scored")
+    monkeypatch.setattr(ego, "ENDS_A_ROUND", 100)
+    assert ego.rounds_of(scored) == 3
+    found = ego.two_hop_candidates(scored, 3)
+    seen = []
+    for n in (0, 3):
+        kept = ego.kept_others(found, 4, n)
+        groups = ego.overflow_groups(ego.overflow_members(found, kept), n)
+        drawn = ego.ego_edges(found, kept, groups, n)
+        seen.append([rows(df, *sorted(df.columns)) for df in (kept, groups, drawn)])
+        plan = groups._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange" in plan) == (n == 0)
+    assert seen[0] == seen[1] and all(seen[0])
+
+
+
 def test_positions_over_strides(spark):
     data = [("a", i) for i in range(0, 50, 3)] + [("b", 7), ("b", 1)]
     df = spark.createDataFrame(data, "k string, o int")
